@@ -61,8 +61,7 @@ def _record_coverage(
             return
         start = start or floor_time(built.first, DAY_MS)
         end = end or floor_time(built.last, DAY_MS) + timedelta(days=1)
-    for name in grains:
-        store.mark_covered(name, start, end)
+    store.mark_covered(grains, start, end)
 
 
 def validate_rollups(

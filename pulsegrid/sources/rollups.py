@@ -139,11 +139,11 @@ class RollupStore:
                 upper = upper.replace(year=upper.year + 1, month=1, day=1)
         return lower, upper
 
-    def mark_covered(self, grain: str, start: datetime, end: datetime) -> None:
-        """Record that the rollup holds everything the readings had in `[start, end)`."""
-        row = [(grain, start, end)]
+    def mark_covered(self, grains: Sequence[str], start: datetime, end: datetime) -> None:
+        """Record that rollups hold everything the readings had in `[start, end)`."""
+        rows = [(grain, start, end) for grain in grains]
         schema = "grain string, start timestamp_ntz, end timestamp_ntz"
-        covered = self.spark.createDataFrame(row, schema).coalesce(1)
+        covered = self.spark.createDataFrame(rows, schema).coalesce(1)
         covered.write.mode("append").parquet(f"{self.root}/covered")
 
     def covers(self, grain: str, start: datetime, end: datetime) -> bool:

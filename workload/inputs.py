@@ -108,11 +108,16 @@ def store(spark: SparkSession, sf_dir: str) -> RollupStore:
     return RollupStore(spark, _built[key], tie=TIE)
 
 
+# Averages of hundredths over 32 readings may lie halfway between two roundings. This moves them
+# off it, so that the order of a sum cannot decide the last digit.
+SHIFT = 1.37e-8
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, as the last digits of a sum depend on the order of its terms."""
     return df.select(
         *[
-            F.round(field.name, digits).alias(field.name)
+            F.round(F.col(field.name) + SHIFT, digits).alias(field.name)
             if isinstance(field.dataType, T.DoubleType)
             else F.col(field.name)
             for field in df.schema.fields

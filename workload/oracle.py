@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from workload.inputs import SHIFT
 from workload.queries import (
     ALL_END,
     ALL_START,
@@ -12,6 +13,7 @@ from workload.queries import (
     HOUR,
     SERIES_POINTS,
     SIX_HOURS,
+    SMART_HOURS,
     START,
     STRIDE_POINTS,
 )
@@ -137,9 +139,13 @@ merged AS (
 {strided('merged', RESULT, ORDER, FIT_POINTS)}"""
 
 
-def hour_partials() -> str:
+# Width of the first pass: the time span needs more than an hour per point, so it is exact.
+SMART_WIDTH = SMART_HOURS * HOUR // FIT_POINTS
+
+
+def average_partials(interval_ms: int) -> str:
     return f"""WITH {SERIES}, partials AS (
-  SELECT {bucket(HOUR)} AS b, sensor_name, asset_id, sum(value) AS s, count(value) AS c
+  SELECT {bucket(interval_ms)} AS b, sensor_name, asset_id, sum(value) AS s, count(value) AS c
   FROM series GROUP BY 1, 2, 3)"""
 
 
@@ -228,11 +234,11 @@ FROM (SELECT sensor_name, asset_id, count(DISTINCT {bucket(interval_ms)}) AS obs
 
 
 
-ORACLE: dict[str, str] = {
+_PLAIN: dict[str, str] = {
     "query_series_avg": range_query("avg", START, END, two_sensors=True),
     "query_series_max": range_query("max", START, END, two_sensors=True),
     "query_series_last": range_query("last", START, END, two_sensors=True),
-    "query_series_capped": refit(hour_partials()),
+    "query_series_capped": refit(average_partials(HOUR)),
     "scan_raw": f"""WITH {SERIES} SELECT * FROM series
 WHERE {within(START, END)} AND sensor_name IN ('click', 'view')
   AND asset_id IN ('asset_001', 'asset_002')""",
@@ -311,8 +317,8 @@ SELECT sensor_name, asset_id, round(stddev_samp(value), 6) AS std_dev,
        round(avg(value), 6) AS mean, round(stddev_samp(value) / abs(avg(value)), 6) AS variability
 FROM series GROUP BY 1, 2""",
     "series_density": f"""WITH {SERIES}, {SPANS}
-SELECT sensor_name, asset_id, points, round(span_ms / 3600000, 3) AS duration_hours,
-       round(span_ms / points, 3) AS density_ms_per_point,
+SELECT sensor_name, asset_id, points, round(span_ms / 3600000 + {SHIFT}, 3) AS duration_hours,
+       round(span_ms / points + {SHIFT}, 3) AS density_ms_per_point,
        CAST(floor(span_ms / {HOUR}) AS BIGINT) AS estimated_points FROM spans""",
     "time_range": """SELECT min(ts) AS start_time, max(ts) AS end_time,
        round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0::DOUBLE, 6) AS duration_hours
@@ -349,7 +355,7 @@ SELECT '{{"timestamp":"' || {ISO} || '","sensor_name":"' || sensor_name || '","a
        || ',"event_id":' || CAST(event_id AS VARCHAR) || '}}' AS record FROM series""",
     "recommend_interval": f"""WITH {SERIES}, {SPANS},
 widths AS (SELECT *, {rung(f'span_ms / {SERIES_POINTS}')} AS width FROM spans)
-SELECT sensor_name, asset_id, points, round(span_ms / 3600000, 3) AS duration_hours,
+SELECT sensor_name, asset_id, points, round(span_ms / 3600000 + {SHIFT}, 3) AS duration_hours,
        width AS recommended_interval_ms,
        CAST(floor(span_ms / width) AS BIGINT) AS estimated_points FROM widths""",
     "estimate_points": f"""WITH {SERIES}
@@ -380,9 +386,9 @@ merged AS (
          avg(value) AS value FROM series, span GROUP BY 1, 2, 3),
 {strided('merged', RESULT, ORDER, FIT_POINTS)}""",
     "downsample_noop": f"WITH {SERIES} SELECT * FROM series",
-    "smart_downsample": refit(hour_partials()),
+    "smart_downsample": refit(average_partials(SMART_WIDTH)),
     "smart_status_last": f"""WITH {SERIES}, partials AS (
-  SELECT {bucket(HOUR)} AS b, sensor_name, asset_id, max(("timestamp", event_id)) AS latest,
+  SELECT {bucket(SMART_WIDTH)} AS b, sensor_name, asset_id, max(("timestamp", event_id)) AS latest,
          last(value ORDER BY "timestamp", event_id) AS v,
          last(k ORDER BY "timestamp", event_id) AS s FROM series GROUP BY 1, 2, 3),
 span AS (SELECT greatest(1000, CAST(floor((epoch_ms(max(b)) - epoch_ms(min(b))) / {FIT_POINTS})
@@ -436,3 +442,5 @@ SELECT {bucket(60_000)} AS "timestamp", sensor_name, asset_id, round(avg(value),
        min("timestamp") AS first_ts FROM series, closed
 GROUP BY 1, 2, 3 HAVING {bucket(60_000)} + INTERVAL 1 MINUTE <= any_value(watermark)""",
 }
+
+ORACLE = {name: sql.replace(", 6)", f" + {SHIFT}, 6)") for name, sql in _PLAIN.items()}

@@ -73,9 +73,10 @@ TWO_ASSETS = ["asset_001", "asset_002"]
 START, END = "2024-01-02T06:30:15", "2024-01-28T18:45:30"
 DAY_START, DAY_END = "2024-01-03", "2024-01-29"
 ALL_START, ALL_END = "2024-01-01", "2024-01-31"
-STRIDE_POINTS = 700
-FIT_POINTS = 1000
+STRIDE_POINTS = 300
+FIT_POINTS = 500
 SERIES_POINTS = 100
+SMART_HOURS = 720
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -352,13 +353,13 @@ def downsample_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Too many points for the limit: hours first, then wider buckets and a stride."""
     df = series(spark, sf_dir)
-    return rounded(smart_downsample(df, 60_000, FIT_POINTS, 720, fields=["value"]))
+    return rounded(smart_downsample(df, 60_000, FIT_POINTS, SMART_HOURS, fields=["value"]))
 
 
 def smart_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state field makes every field keep its last value."""
     df = series(spark, sf_dir).withColumnRenamed("k", "status")
-    return rounded(smart_downsample(df, HOUR, FIT_POINTS, 720, tie=TIE))
+    return rounded(smart_downsample(df, HOUR, FIT_POINTS, SMART_HOURS, tie=TIE))
 
 
 def adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
