@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pulsegrid.functions.time import ntz, utc_time
+from pulsegrid.functions.time import EPOCH, ntz, utc_time
 from pulsegrid.operators.lookup import lookup_join
+from pulsegrid.schema import normalize, to_utc_ntz
 
 PARTITION = "dt"
 
@@ -23,22 +24,39 @@ def time_range(
 ) -> DataFrame:
     """Rows in `[start, end)`.
 
+    The bounds are literals of the column's own type, so they reach the scan also where the
+    column is a timestamp with a zone or a count of nanoseconds.
+
     Spark does not derive partition predicates from a timestamp range, so a frame with a `dt`
     partition column gets them here. `partition_floor` is the period (DAY, MONTH, YEAR) whose first
     day `dt` holds; with None, `dt` is left alone.
     """
     prune = partition_floor is not None and PARTITION in df.columns
     if start is not None:
-        df = df.where(F.col(column) >= ntz(start))
+        moment, bound = _comparable(df, column, start)
+        df = df.where(moment >= bound)
         if prune:
             df = df.where(F.col(PARTITION) >= partition_day(utc_time(start), partition_floor))
     if end is not None:
-        df = df.where(F.col(column) < ntz(end))
+        moment, bound = _comparable(df, column, end)
+        df = df.where(moment < bound)
         if prune:
             df = df.where(F.col(PARTITION) <= F.lit(utc_time(end).date()))
     return df
 
 
+def _comparable(df: DataFrame, column: str, value: datetime | str) -> tuple[Column, Column]:
+    """The column and the bound in a type they share, the column untouched where possible."""
+    data_type = df.schema[column].dataType
+    moment = utc_time(value)
+    if isinstance(data_type, T.TimestampType):
+        return F.col(column), F.lit(moment.replace(tzinfo=timezone.utc))
+    if isinstance(data_type, T.LongType):
+        nanos = (moment - EPOCH) // timedelta(microseconds=1) * 1000
+        return F.col(column), F.lit(nanos).cast("long")
+    return to_utc_ntz(F.col(column), data_type), ntz(moment)
+
+
 def partition_day(value: datetime, period: str):
     """Literal of the first day of the partition period a time falls in."""
     day = value.date()
@@ -77,5 +95,8 @@ def select_readings(
     end: datetime | str | None = None,
     assets: Sequence[str] | DataFrame | None = None,
 ) -> DataFrame:
-    """All three filters, before any bucketing so that they reach the scan."""
-    return only_assets(only_sensors(time_range(df, start, end), sensors), assets)
+    """All three filters, before any bucketing so that they reach the scan.
+
+    `df` may be as it was read: it is normalized after the time range is applied.
+    """
+    return only_assets(only_sensors(normalize(time_range(df, start, end)), sensors), assets)

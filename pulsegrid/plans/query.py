@@ -71,7 +71,7 @@ def query_series(
 ) -> SeriesResult:
     """Buckets of the chosen series in time order, from the cheapest table that is exact.
 
-    `raw` is a normalized frame of readings, or None to use stored rollups only. `max_points`
+    `raw` is a frame of readings, as read or normalized, or None to use stored rollups only. `max_points`
     limits the rows, at most `ABSOLUTE_MAX_POINTS`; None returns every bucket and keeps the whole
     query lazy.
     """

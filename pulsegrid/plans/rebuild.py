@@ -79,7 +79,7 @@ def validate_rollups(
     """
     if first_sensors is not None:
         raw = only_sensors(raw, list_sensors(raw).limit(first_sensors))
-    raw = only_sensors(raw, sensors)
+    raw = select_readings(raw, sensors)
     keys = ["sensor_name", "asset_id"]
     seen = observed_buckets(raw, raw_interval_ms).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observed"),

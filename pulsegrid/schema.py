@@ -33,10 +33,13 @@ def normalize(df: DataFrame) -> DataFrame:
 
 
 def to_utc_ntz(column: Column, data_type: T.DataType) -> Column:
-    """UTC wall-clock value of a timestamp, date or ISO-8601 string column."""
+    """UTC wall-clock value of a timestamp, date, ISO-8601 text or count of nanoseconds."""
     if isinstance(data_type, T.TimestampNTZType):
         return column
-    if isinstance(data_type, T.StringType):
+    if isinstance(data_type, T.LongType):
+        # Decimal division, since a double cannot hold that many digits.
+        column = F.timestamp_micros(F.floor(column / F.lit(1000).cast("decimal(4,0)")).cast("long"))
+    elif isinstance(data_type, T.StringType):
         column = column.cast("timestamp")
     elif not isinstance(data_type, T.TimestampType):
         return column.cast("timestamp_ntz")
@@ -50,7 +53,7 @@ def series_keys(df: DataFrame) -> list[str]:
 
 def numeric_fields(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     """Numeric columns outside the key, in schema order. Booleans and intervals do not count."""
-    skip = {TIMESTAMP, *SERIES_KEYS, *exclude}
+    skip = {TIMESTAMP, *SERIES_KEYS, ASSET_ALIAS, *exclude}
     return [
         field.name
         for field in df.schema.fields

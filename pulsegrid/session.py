@@ -20,6 +20,8 @@ def build_session(app: str = "pulsegrid", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Files written by pandas hold nanoseconds; `normalize` converts them.
+        "spark.sql.legacy.parquet.nanosAsLong": "true",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pulsegrid.functions.paths import asset_of, hour_of, sensor_of
 from pulsegrid.functions.time import floor_time, ntz, utc_time
 from pulsegrid.operators.filters import PARTITION, select_readings
-from pulsegrid.schema import SERIES_KEYS, TIMESTAMP, normalize, series_keys
+from pulsegrid.schema import SERIES_KEYS, TIMESTAMP, series_keys
 
 HOUR_MS = 3_600_000
 
@@ -68,8 +68,7 @@ def read_raw(
 ) -> DataFrame:
     """Readings of a table written by `write_raw`, with all predicates at the scan."""
     df = read_parquet(spark, root, merge_schema=merge_schema, skip_unreadable=skip_unreadable)
-    df = select_readings(normalize(df), sensors, start, end, assets)
-    return df.drop(PARTITION)
+    return select_readings(df, sensors, start, end, assets).drop(PARTITION)
 
 
 def read_series(
@@ -143,7 +142,7 @@ def read_hourly_tree(
         df = df.withColumn("sensor_name", sensor_of(path))
     if "asset_id" not in df.columns and "daqid" not in df.columns:
         df = df.withColumn("asset_id", asset_of(path))
-    return select_readings(normalize(df), sensors, start, end, assets)
+    return select_readings(df, sensors, start, end, assets)
 
 
 def with_path_columns(df: DataFrame) -> DataFrame:

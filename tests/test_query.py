@@ -149,3 +149,25 @@ def test_normalize(spark):
     assert [r["value"] for r in rows] == [None, 1.0]
     kept = normalize(df.withColumn("asset_id", F.lit("own"))).first()
     assert kept["asset_id"] == "own"
+
+
+def test_times_as_nanoseconds(spark):
+    nanos = 1_704_067_200_123_456_789
+    df = spark.createDataFrame([(nanos, 1.0), (-1, 2.0)], "timestamp long, value double")
+    times = [r["timestamp"] for r in normalize(df).collect()]
+    assert times == [ts("2024-01-01T00:00:00.123456"), ts("1969-12-31T23:59:59.999999")]
+
+
+@pytest.mark.parametrize("cast", ["timestamp", "long", "string"])
+def test_bounds_are_pushed_down_in_the_type_of_the_column(spark, one_series, tmp_path, cast):
+    nanos = F.unix_micros(F.col("timestamp").cast("timestamp")) * 1000
+    moment = nanos if cast == "long" else F.col("timestamp").cast(cast)
+    path = str(tmp_path / cast)
+    one_series.withColumn("timestamp", moment).write.parquet(path)
+    stored = spark.read.parquet(path)
+    args = (["test_sensor"], "2024-01-01T00:10:00", "2024-01-01T00:20:00")
+    result = query_series(stored, *args, interval_ms=MINUTE, max_points=None, fields=["humidity"])
+    assert result.data.count() == 10
+    if cast != "string":
+        plan = result.data._jdf.queryExecution().toString()
+        assert "GreaterThanOrEqual(timestamp," in plan and "LessThan(timestamp," in plan

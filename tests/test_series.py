@@ -76,7 +76,7 @@ def test_time_range(one_series):
 
 def test_profile(one_series):
     row = series_profile(one_series, "pressure").first()
-    assert (row["std_dev"], row["variability"]) == (0.0, 0.0)
+    assert (row["std_dev"], row["variability"]) == pytest.approx((0.0, 0.0), abs=1e-9)
     row = series_profile(one_series.withColumn("zero", F.lit(0.0)), "zero").first()
     assert row["variability"] is None
 
