@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.functions.time import bucket_start, floor_time, micros, ntz, utc_time
+from pulsegrid.functions.time import bucket_start, micros, ntz, utc_time
 from pulsegrid.operators.filters import time_range
 from pulsegrid.schema import TIMESTAMP, drop_null_keys, series_keys
 
@@ -19,6 +19,26 @@ def observed_buckets(df: DataFrame, interval_ms: int) -> DataFrame:
     return drop_null_keys(df).select(bucket, *series_keys(df)).distinct()
 
 
+def observed_counts(df: DataFrame, interval_ms: int) -> DataFrame:
+    """Number of distinct buckets per series, with the number of the first and the last.
+
+    Buckets are numbered since the epoch and marked in bitmaps, which are filled before the
+    shuffle: a day of seconds moves as a few of them instead of 86 400 rows.
+    """
+    keys = series_keys(df)
+    numbered = drop_null_keys(df).select(*keys, bucket_number(F.col(TIMESTAMP), interval_ms).alias("n"))
+    bitmaps = numbered.groupBy(*keys, F.bitmap_bucket_number("n").alias("chunk")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("marks"),
+        F.min("n").alias("first"),
+        F.max("n").alias("last"),
+    )
+    return bitmaps.groupBy(*keys).agg(
+        F.sum(F.bitmap_count("marks")).alias("observed"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+    )
+
+
 def coverage(
     df: DataFrame,
     interval_ms: int,
@@ -29,17 +49,11 @@ def coverage(
 
     Without a range, each series is measured between its own first and last bucket.
     """
-    keys = series_keys(df)
-    seen = observed_buckets(time_range(df, start, end), interval_ms)
-    ends = seen.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("observed"),
-        F.min("bucket").alias("first_bucket"),
-        F.max("bucket").alias("last_bucket"),
-    )
+    counts = observed_counts(time_range(df, start, end), interval_ms)
     first, last = _grid_ends(interval_ms, start, end)
-    expected = bucket_count(first, last, interval_ms)
-    return ends.select(
-        *keys,
+    expected = last - first + 1
+    return counts.select(
+        *series_keys(df),
         "observed",
         expected.alias("expected"),
         (F.col("observed") / expected).alias("coverage"),
@@ -59,40 +73,37 @@ def missing_buckets(
     """
     keys = series_keys(df)
     seen = observed_buckets(time_range(df, start, end), interval_ms)
-    ends = seen.groupBy(*keys).agg(
-        F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket")
-    )
+    number = bucket_number(F.col("bucket"), interval_ms)
+    ends = seen.groupBy(*keys).agg(F.min(number).alias("first"), F.max(number).alias("last"))
     first, last = _grid_ends(interval_ms, start, end)
-    count = bucket_count(first, last, interval_ms)
     chunks = ends.select(
         *keys,
-        micros(first).alias("origin"),
-        count.alias("expected"),
-        F.explode(
-            F.sequence(F.lit(0).cast("long"), count - 1, F.lit(CHUNK_BUCKETS).cast("long"))
-        ).alias("chunk"),
-    )
-    stop = F.least(F.col("chunk") + CHUNK_BUCKETS, F.col("expected")) - 1
-    numbers = chunks.select(*keys, "origin", F.explode(F.sequence("chunk", stop)).alias("number"))
-    moment = F.col("origin") + F.col("number") * F.lit(interval_ms * 1000).cast("long")
-    grid = numbers.select(
-        F.timestamp_micros(moment).cast("timestamp_ntz").alias("bucket"), *keys
+        last.alias("last"),
+        F.explode(F.sequence(first, last, F.lit(CHUNK_BUCKETS).cast("long"))).alias("chunk"),
     )
+    stop = F.least(F.col("chunk") + CHUNK_BUCKETS - 1, F.col("last"))
+    numbers = chunks.select(*keys, F.explode(F.sequence("chunk", stop)).alias("number"))
+    moment = F.timestamp_micros(F.col("number") * F.lit(interval_ms * 1000).cast("long"))
+    grid = numbers.select(moment.cast("timestamp_ntz").alias("bucket"), *keys)
     return grid.join(seen, ["bucket", *keys], "left_anti").withColumnRenamed("bucket", TIMESTAMP)
 
 
-def bucket_count(first: Column, last: Column, interval_ms: int) -> Column:
-    """Buckets from `first` to `last`, both included."""
-    return F.floor((micros(last) - micros(first)) / F.lit(interval_ms * 1000)) + 1
+def bucket_number(moment: Column, interval_ms: int) -> Column:
+    """Buckets since the epoch."""
+    return F.floor(micros(moment) / F.lit(interval_ms * 1000))
+
+
+def _last_moment(end: datetime | str) -> Column:
+    """The end is exclusive: its own bucket counts only if some of it lies before the end."""
+    return ntz(utc_time(end) - datetime.resolution)
 
 
 def _grid_ends(
     interval_ms: int, start: datetime | str | None, end: datetime | str | None
 ) -> tuple[Column, Column]:
-    first, last = F.col("first_bucket"), F.col("last_bucket")
+    first, last = F.col("first"), F.col("last")
     if start is not None:
-        first = ntz(floor_time(utc_time(start), interval_ms))
+        first = bucket_number(ntz(start), interval_ms)
     if end is not None:
-        # The end is exclusive: its own bucket counts only if some of it lies before the end.
-        last = ntz(floor_time(utc_time(end) - datetime.resolution, interval_ms))
+        last = bucket_number(_last_moment(end), interval_ms)
     return first, last

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.time import bucket_start, order_key
 from pulsegrid.schema import drop_null_keys, numeric_fields, series_keys
+from pulsegrid.session import require_utc
 
 METHODS = ("avg", "min", "max", "last", "first", "count", "sum")
 ALL_STATS = ("sum", "cnt", "min", "max", "first", "last")
@@ -51,6 +52,7 @@ def build_partials(
     stats: Mapping[str, Sequence[str]] | Sequence[str] = ALL_STATS,
 ) -> DataFrame:
     """Partials of readings. `stats` may be given per field; one shuffle, combined map-side."""
+    require_utc(df.sparkSession)
     fields = numeric_fields(df, tie) if fields is None else list(fields)
     per_field = stats if isinstance(stats, Mapping) else {field: stats for field in fields}
     keys = series_keys(df)

@@ -7,9 +7,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.functions.time import ceil_time, floor_time, micros, utc_time
+from pulsegrid.functions.time import ceil_time, floor_time, utc_time
 from pulsegrid.operators.catalog import list_sensors
-from pulsegrid.operators.coverage import observed_buckets
+from pulsegrid.operators.coverage import observed_counts
 from pulsegrid.operators.downsample import extent
 from pulsegrid.operators.filters import only_sensors, select_readings
 from pulsegrid.operators.partials import build_partials, merge_partials
@@ -81,12 +81,8 @@ def validate_rollups(
         raw = only_sensors(raw, list_sensors(raw).limit(first_sensors))
     raw = select_readings(raw, sensors)
     keys = ["sensor_name", "asset_id"]
-    seen = observed_buckets(raw, raw_interval_ms).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("observed"),
-        F.min("bucket").alias("first_bucket"),
-        F.max("bucket").alias("last_bucket"),
-    )
-    tiers = [_verdict(seen, "raw", raw_interval_ms, RAW_COVERAGE)]
+    seen = observed_counts(raw, raw_interval_ms)
+    tiers = [_verdict(seen, "raw", raw_interval_ms, raw_interval_ms, RAW_COVERAGE)]
     for name, grain in GRAINS.items():
         if not store.exists(name):
             continue
@@ -95,16 +91,20 @@ def validate_rollups(
         # One row per series on both sides.
         paired = seen.drop("observed").join(counts, keys, "left").fillna(0, ["observed"])
         threshold = MINUTE_COVERAGE if name == "1m" else 0.0
-        tiers.append(_verdict(paired, name, grain.interval_ms, threshold))
+        tiers.append(_verdict(paired, name, grain.interval_ms, raw_interval_ms, threshold))
     merged = tiers[0]
     for tier in tiers[1:]:
         merged = merged.unionByName(tier)
     return merged
 
 
-def _verdict(series: DataFrame, tier: str, interval_ms: int, threshold: float) -> DataFrame:
-    step = interval_ms * 1000
-    first, last = [F.floor(micros(F.col(f"{end}_bucket")) / step) for end in ("first", "last")]
+def _verdict(
+    series: DataFrame, tier: str, interval_ms: int, numbered_ms: int, threshold: float
+) -> DataFrame:
+    """Expected buckets of a tier between ends that are numbered in buckets of `numbered_ms`."""
+    first, last = [
+        F.floor(F.col(end) * F.lit(numbered_ms) / F.lit(interval_ms)) for end in ("first", "last")
+    ]
     expected = last - first + 1
     ratio = F.col("observed") / expected
     return series.select(

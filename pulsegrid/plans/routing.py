@@ -93,7 +93,7 @@ def tiered_partials(
             if not raw_rows.isEmpty():
                 return _from_raw(raw_rows, request), RAW
             raw_gone = True
-        elif store is not None and is_exact(tier, request, not raw_gone) and store.exists(tier):
+        elif store is not None and is_exact(tier, request, not raw_gone):
             if not raw_gone and not store.covers(tier, *_inner(tier, request)):
                 continue
             stored = _stored(store, tier, request)
@@ -122,8 +122,10 @@ def _inner(tier: str, request: Request) -> tuple[datetime, datetime]:
 
 
 def _stored(store: RollupStore, tier: str, request: Request) -> DataFrame | None:
-    start, end = _inner(tier, request)
-    rows = store.read(tier, request.sensors, start, end, request.assets)
+    table = store.open(tier)
+    if table is None:
+        return None
+    rows = store.select(table, tier, request.sensors, *_inner(tier, request), request.assets)
     held = partial_stats(rows)
     complete = all(set(request.stats) <= set(held.get(field, ())) for field in request.fields)
     return keep_stats(rows, request.stats, request.fields) if complete else None

@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pulsegrid.session import require_utc
+
 TIMESTAMP = "timestamp"
 SERIES_KEYS = ("sensor_name", "asset_id")
 ASSET_ALIAS = "daqid"
@@ -17,6 +19,7 @@ def normalize(df: DataFrame) -> DataFrame:
     `daqid` becomes `asset_id` where that is absent, `timestamp` becomes UTC without a zone, the
     keys become strings and NaN becomes NULL.
     """
+    require_utc(df.sparkSession)
     if ASSET_ALIAS in df.columns and "asset_id" not in df.columns:
         df = df.withColumn("asset_id", F.col(ASSET_ALIAS))
     columns = []

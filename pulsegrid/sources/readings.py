@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pulsegrid.functions.paths import asset_of, hour_of, sensor_of
@@ -14,19 +15,22 @@ from pulsegrid.operators.filters import PARTITION, select_readings
 from pulsegrid.schema import SERIES_KEYS, TIMESTAMP, series_keys
 
 HOUR_MS = 3_600_000
+GLOB_CHARACTERS = "{}[]*?,\\/"
 
 
 def read_parquet(
     spark: SparkSession,
     *paths: str,
+    schema: T.StructType | None = None,
     merge_schema: bool = False,
     skip_unreadable: bool = False,
     recursive: bool = False,
 ) -> DataFrame:
     """Parquet files as they are. One read for any number of paths.
 
-    `merge_schema` outer-unions differing columns. `skip_unreadable` passes over corrupt and
-    vanished files, which otherwise fail the job. Ids stay text even as partition directories.
+    Without a `schema` that of one file is taken; `merge_schema` outer-unions those of all files,
+    which opens every one of them. `skip_unreadable` passes over corrupt and vanished files, which
+    otherwise fail the job. Ids stay text even as partition directories.
     """
     options = {
         "mergeSchema": merge_schema,
@@ -34,25 +38,26 @@ def read_parquet(
         "ignoreMissingFiles": skip_unreadable,
         "recursiveFileLookup": recursive,
     }
-    df = spark.read.options(**options).parquet(*paths)
+    reader = spark.read.options(**options)
+    if schema is not None:
+        return reader.schema(schema).parquet(*paths)
+    df = reader.parquet(*paths)
     # Directory names such as asset_id=001 are inferred as numbers; read them as the text they are.
     numeric = [
         field.name
         for field in df.schema.fields
         if field.name in SERIES_KEYS and isinstance(field.dataType, T.NumericType)
     ]
-    if numeric and not recursive:
-        stored = spark.read.options(**{**options, "recursiveFileLookup": True}).parquet(*paths)
-        schema = T.StructType(
-            [
-                T.StructField(field.name, T.StringType())
-                if field.name in numeric and field.name not in stored.columns
-                else field
-                for field in df.schema.fields
-            ]
-        )
-        df = spark.read.options(**options).schema(schema).parquet(*paths)
-    return df
+    if not numeric or recursive:
+        return df
+    stored = spark.read.options(**{**options, "recursiveFileLookup": True}).parquet(*paths)
+    fields = [
+        T.StructField(field.name, T.StringType())
+        if field.name in numeric and field.name not in stored.columns
+        else field
+        for field in df.schema.fields
+    ]
+    return spark.read.options(**options).schema(T.StructType(fields)).parquet(*paths)
 
 
 def read_raw(
@@ -63,11 +68,14 @@ def read_raw(
     end: datetime | str | None = None,
     assets: Sequence[str] | DataFrame | None = None,
     *,
-    merge_schema: bool = True,
+    schema: T.StructType | None = None,
+    merge_schema: bool = False,
     skip_unreadable: bool = False,
 ) -> DataFrame:
     """Readings of a table written by `write_raw`, with all predicates at the scan."""
-    df = read_parquet(spark, root, merge_schema=merge_schema, skip_unreadable=skip_unreadable)
+    df = read_parquet(
+        spark, root, schema=schema, merge_schema=merge_schema, skip_unreadable=skip_unreadable
+    )
     return select_readings(df, sensors, start, end, assets).drop(PARTITION)
 
 
@@ -118,17 +126,27 @@ def read_hourly_tree(
     end: datetime | str | None = None,
     assets: Sequence[str] | None = None,
     *,
+    schema: T.StructType | None = None,
+    merge_schema: bool = True,
     skip_unreadable: bool = False,
 ) -> DataFrame:
     """Readings of a tree `asset/yyyy/mm/dd/hh/sensor[_yyyymmdd_hh].parquet`.
 
-    Asset and sensor come from the path where the file lacks them. The path predicates use only
-    file metadata, so Spark drops the other files before it schedules a scan. A start within an
-    hour keeps the file of that hour.
+    Asset and sensor come from the path where the file lacks them. Only the directories of the
+    assets and months asked for are listed. The other path predicates use file metadata alone, so
+    Spark drops the files before it schedules a scan. A start within an hour keeps the file of
+    that hour. Give a `schema` for large trees, or every listed file is opened to merge theirs.
     """
-    df = read_parquet(
-        spark, root, merge_schema=True, skip_unreadable=skip_unreadable, recursive=True
+    options = dict(
+        schema=schema, merge_schema=merge_schema, skip_unreadable=skip_unreadable, recursive=True
     )
+    try:
+        df = read_parquet(spark, listing_glob(root, start, end, assets), **options)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # Nothing of these assets and months: the tree supplies the columns of an empty result.
+        df = read_parquet(spark, root, **options)
     path = F.col("_metadata.file_path")
     if start is not None:
         df = df.where(hour_of(path) >= ntz(floor_time(utc_time(start), HOUR_MS)))
@@ -145,6 +163,25 @@ def read_hourly_tree(
     return select_readings(df, sensors, start, end, assets)
 
 
+def listing_glob(
+    root: str,
+    start: datetime | str | None,
+    end: datetime | str | None,
+    assets: Sequence[str] | None,
+) -> str:
+    """Pattern for the asset and month directories a query needs; the root where that is all."""
+    if (start is None or end is None) and not assets:
+        return root
+    plain = assets and not any(set(name) & set(GLOB_CHARACTERS) for name in assets)
+    pattern = "{" + ",".join(assets) + "}" if plain else "*"
+    if start is None or end is None:
+        return f"{root}/{pattern}"
+    first, last = utc_time(start), utc_time(end)
+    numbers = range(first.year * 12 + first.month - 1, last.year * 12 + last.month)
+    months = ",".join(f"{n // 12:04d}/{n % 12 + 1:02d}" for n in numbers)
+    return f"{root}/{pattern}/{{{months}}}"
+
+
 def with_path_columns(df: DataFrame) -> DataFrame:
     """Add asset, hour and sensor of each row's file. `df` must come straight from a file scan."""
     path = F.col("_metadata.file_path")

@@ -62,11 +62,15 @@ class RollupStore:
         return f"{self.root}/{GRAINS[grain].name}"
 
     def exists(self, grain: str) -> bool:
-        return self._table(self.path(grain)) is not None
+        return self.open(grain) is not None
+
+    def open(self, grain: str) -> DataFrame | None:
+        """The whole table of a grain, or None where there is none."""
+        return self._table(self.path(grain))
 
     def _table(self, path: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(path)
+            return read_parquet(self.spark, path)
         except AnalysisException as error:
             if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
@@ -81,8 +85,11 @@ class RollupStore:
         assets: Sequence[str] | DataFrame | None = None,
     ) -> DataFrame:
         """Partials whose bucket starts in `[start, end)`; only the partitions of that time."""
-        df = read_parquet(self.spark, self.path(grain))
-        df = time_range(df, start, end, column="bucket", partition_floor=GRAINS[grain].period)
+        return self.select(read_parquet(self.spark, self.path(grain)), grain, sensors, start, end, assets)
+
+    def select(self, table: DataFrame, grain: str, sensors=None, start=None, end=None, assets=None):
+        """`read` on a table opened before."""
+        df = time_range(table, start, end, column="bucket", partition_floor=GRAINS[grain].period)
         return only_assets(only_sensors(df, sensors), assets).drop(PARTITION)
 
     def write(self, grain: str, partials: DataFrame) -> None:
@@ -141,9 +148,11 @@ class RollupStore:
 
     def mark_covered(self, grains: Sequence[str], start: datetime, end: datetime) -> None:
         """Record that rollups hold everything the readings had in `[start, end)`."""
-        rows = [(grain, start, end) for grain in grains]
-        schema = "grain string, start timestamp_ntz, end timestamp_ntz"
-        covered = self.spark.createDataFrame(rows, schema).coalesce(1)
+        covered = self.spark.range(0, 1, 1, 1).select(
+            F.explode(F.array(*[F.lit(grain) for grain in grains])).alias("grain"),
+            ntz(start).alias("start"),
+            ntz(end).alias("end"),
+        )
         covered.write.mode("append").parquet(f"{self.root}/covered")
 
     def covers(self, grain: str, start: datetime, end: datetime) -> bool:

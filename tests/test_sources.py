@@ -3,10 +3,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid import normalize
 from pulsegrid.functions.paths import asset_of, hour_of, sensor_of
 from pulsegrid.functions.time import iso8601, json_records
 from pulsegrid.sources.inventory import count_files, file_inventory, file_time_range
 from pulsegrid.sources.readings import (
+    listing_glob,
     read_hourly_tree,
     read_parquet,
     read_raw,
@@ -140,3 +142,20 @@ def test_json_records_keep_missing_values(readings):
     assert json_records(df).first()["record"] == (
         '{"timestamp":"2024-01-01T00:00:00","sensor_name":"s","asset_id":"a","value":null,"tie":1}'
     )
+
+
+def test_only_the_directories_asked_for_are_listed(spark, tree):
+    assert listing_glob("r", None, None, None) == "r"
+    assert listing_glob("r", None, None, ["a", "b"]) == "r/{a,b}"
+    assert listing_glob("r", "2023-12-30", "2024-01-02", ["a*"]) == "r/*/{2023/12,2024/01}"
+    empty = read_hourly_tree(spark, tree, start="2030-01-01", end="2030-01-02")
+    assert empty.count() == 0 and "asset_id" in empty.columns
+
+
+def test_another_session_zone_is_an_error(spark, one_series):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            normalize(one_series)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -16,10 +16,12 @@ _built: dict[tuple[str, str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
-def events_as_readings(events: DataFrame) -> DataFrame:
+def events_as_readings(events: DataFrame, *others: str) -> DataFrame:
+    """The event type is the sensor, four groups of users the assets."""
     asset = F.lpad((F.col("user_id") % 4).cast("string"), 3, "0")
     return events.select(
         F.col("ts").alias("timestamp"),
@@ -28,18 +30,17 @@ def events_as_readings(events: DataFrame) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         "event_id",
+        *others,
     )
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` as readings: the event type is the sensor, four groups of users the assets."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """`events` as readings."""
     return normalize(events_as_readings(table(spark, sf_dir, "events")))
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`lineitem` as readings with four fields."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return normalize(
         table(spark, sf_dir, "lineitem").select(
             F.col("l_shipdate").alias("timestamp"),
@@ -53,7 +54,6 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`orders` as readings, with a field of their own."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return normalize(
         table(spark, sf_dir, "orders").select(
             F.col("o_orderdate").alias("timestamp"),
@@ -74,7 +74,6 @@ def hybrid_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as a request log."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("key"),
         F.col("ts").alias("timestamp"),

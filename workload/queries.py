@@ -233,7 +233,6 @@ def daqid_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times as ISO-8601 text: UTC, or two hours ahead of it."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     ts = F.col("ts").cast("timestamp")
     utc = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     ahead = F.date_format(ts + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")
@@ -262,9 +261,7 @@ def sensors_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def non_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = series(spark, sf_dir).select("timestamp", "sensor_name", "asset_id", "event_id")
-    props = table(spark, sf_dir, "events").select("event_id", "props")
-    notes = df.join(props, "event_id")
+    notes = inputs.events_as_readings(table(spark, sf_dir, "events"), "props").drop("value", "k")
     return aggregate_by_interval(notes, HOUR, "avg", tie=TIE)
 
 
@@ -368,7 +365,6 @@ def adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a request for two sensors over the hour before it."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     requests = table(spark, sf_dir, "events").select(
         "event_id",
         request_fingerprint(
@@ -387,7 +383,6 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rollup_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream the events through the incremental rollup and read what it has closed."""
     schema = table(spark, sf_dir, "events").schema
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = read_stream(spark, f"{sf_dir}/events*.parquet", schema)
     out = scratch_path(spark, "stream")
     query = stream_rollup(
