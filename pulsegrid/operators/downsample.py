@@ -64,7 +64,7 @@ def downsample_to_max_points(
         return df
     interval = required_interval(size.span_ms, max_points)
     bucketed = aggregate_by_interval(df, interval, method, fields=fields, tie=tie)
-    return stride_sample(bucketed, max_points)
+    return stride_sample(bucketed, max_points, distinct_rows=True)
 
 
 def choose_methods(
@@ -135,7 +135,7 @@ def fit_partials(
         return Fitted(finalize(stored, method), size.rows, False)
     interval = required_interval(size.span_ms, max_points)
     coarser = finalize(merge_partials(stored, interval), method)
-    return Fitted(stride_sample(coarser, max_points), size.rows, True)
+    return Fitted(stride_sample(coarser, max_points, distinct_rows=True), size.rows, True)
 
 
 def adaptive_bucket(

@@ -32,6 +32,6 @@ def lookup_join(
     if stored.count() <= broadcast_rows:
         return rows.join(F.broadcast(stored), list(keys), how)
     salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in rows.columns]), F.lit(SALTS))
-    salted = rows.withColumn("salt", salt.cast("int"))
-    copies = stored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "salt"], how).drop("salt")
+    salted = rows.withColumn("lookup_salt", salt.cast("int"))
+    copies = stored.withColumn("lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "lookup_salt"], how).drop("lookup_salt")

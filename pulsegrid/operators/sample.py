@@ -4,53 +4,90 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.schema import TIMESTAMP, series_keys
 from pulsegrid.session import materialize
 
 _ROW_BITS = 33
+_COPIES = "row_copies"
 
 
-def with_position(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Add `position`, the 0-based rank in the order of `order_by`, and `total`, the row count.
+def with_position(
+    df: DataFrame, order_by: Sequence[str], copies: str | None = None
+) -> DataFrame:
+    """Add `row_position`, the 0-based rank in the order of `order_by`, and `row_total`, the row count.
+
+    With `copies`, a row stands for that many equal ones and `row_position` is the rank of the first.
 
-    Rows are range-partitioned on the whole ordering key, so even a timestamp that holds a third of
-    all rows is split. They are written once, because a second evaluation may cut the ranges
-    elsewhere; only the row count of each range is then summed up and sent to the tasks.
+    Rows are range-partitioned on the whole ordering key and, within equal keys, on a hash of the
+    row, so that neither a timestamp nor a key that holds a third of all rows fills one task. They
+    are written once, because a second evaluation may cut the ranges elsewhere. Then only the size
+    of each range is summed up and sent to the tasks.
     """
-    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    spread = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
+    order = [*[F.col(f"`{name}`") for name in order_by], spread]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # Within a partition the generated id counts rows in their sorted order.
     generated = F.monotonically_increasing_id()
-    stored = materialize(ranged.withColumn("generated", generated), "position")
-    rows = stored.withColumn("slice", F.shiftright("generated", _ROW_BITS))
+    stored = materialize(ranged.withColumn("row_generated", generated), "position")
+    rows = stored.withColumn("row_slice", F.shiftright("row_generated", _ROW_BITS))
+    size = F.count(F.lit(1)) if copies is None else F.sum(copies)
     # One row per partition of the range shuffle, so both the window and the broadcast are small.
-    sizes = rows.groupBy("slice").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("row_slice").agg(size.alias("row_size"))
     offsets = sizes.select(
-        "slice",
-        F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"),
-        F.sum("size").over(Window.partitionBy()).alias("total"),
+        "row_slice",
+        _sum_before("row_size", Window.orderBy("row_slice")).alias("row_before"),
+        F.sum("row_size").over(Window.partitionBy()).alias("row_total"),
     )
-    in_slice = F.col("generated") - F.shiftleft(F.col("slice"), _ROW_BITS)
-    placed = rows.join(F.broadcast(offsets), "slice")
-    return placed.withColumn("position", F.col("before") + in_slice).select(
-        *df.columns, "position", "total"
+    if copies is None:
+        inside = F.col("row_generated") - F.shiftleft(F.col("row_slice"), _ROW_BITS)
+    else:
+        # The ranges are of like size, whatever the keys.
+        inside = _sum_before(copies, Window.partitionBy("row_slice").orderBy("row_generated"))
+    placed = rows.withColumn("row_inside", inside).join(F.broadcast(offsets), "row_slice")
+    return placed.withColumn("row_position", F.col("row_before") + F.col("row_inside")).select(
+        *df.columns, "row_position", "row_total"
     )
 
 
+def _sum_before(column: str, order) -> Column:
+    frame = order.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(frame), F.lit(0))
+
+
 def stride_sample(
-    df: DataFrame, max_points: int, order_by: Sequence[str] | None = None
+    df: DataFrame,
+    max_points: int,
+    order_by: Sequence[str] | None = None,
+    *,
+    distinct_rows: bool = False,
 ) -> DataFrame:
     """Every `n // max_points`-th row, the first `max_points` of them; all rows when they fit.
 
     Because the stride is rounded down, up to half of the range may be cut off at the end. Without
-    `order_by` the order is that of time and series, which must identify a row.
+    `order_by` the order is that of time and series. Copies of a row are counted first and placed
+    together; `distinct_rows` says that there are none, as after any bucketing.
     """
     order_by = list(order_by or (TIMESTAMP, *series_keys(df)))
-    placed = with_position(df, order_by)
-    step = F.greatest(F.lit(1), F.floor(F.col("total") / F.lit(max_points)))
-    kept = placed.where(
-        (F.col("position") % step == 0) & (F.col("position") < step * F.lit(max_points))
+    if distinct_rows:
+        placed = with_position(df, order_by)
+        step = _step(max_points)
+        return placed.where(
+            (F.col("row_position") % step == 0) & (F.col("row_position") < step * F.lit(max_points))
+        ).select(*df.columns)
+    counted = df.groupBy(*[F.col(f"`{name}`") for name in df.columns])
+    placed = with_position(counted.agg(F.count(F.lit(1)).alias(_COPIES)), order_by, _COPIES)
+    step = _step(max_points)
+    # Multiples of the stride from the first copy to the last.
+    first = F.ceil(F.col("row_position") / step)
+    last = F.least(
+        F.ceil((F.col("row_position") + F.col(_COPIES)) / step) - 1, F.lit(max_points - 1)
     )
-    return kept.select(*df.columns)
+    hits = placed.withColumn("row_first_hit", first).withColumn("row_last_hit", last)
+    chosen = hits.where("row_first_hit <= row_last_hit")
+    return chosen.withColumn("row_hit", F.explode(F.sequence("row_first_hit", "row_last_hit"))).select(*df.columns)
+
+
+def _step(max_points: int) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.col("row_total") / F.lit(max_points)))

@@ -25,14 +25,25 @@ def test_stride_sample_takes_every_nth_of_the_order(spark, n, limit):
     assert sorted(row["rank"] for row in out) == expected
 
 
-def test_positions_are_exact_when_one_timestamp_holds_most_rows(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_positions_are_exact_when_one_timestamp_holds_most_rows(spark, coalesce):
+    """Also over several ranges, which AQE would merge for so few rows."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, coalesce)
+    try:
+        check_positions(spark)
+    finally:
+        spark.conf.set(setting, "true")
+
+
+def check_positions(spark):
     df = spark.range(20_000).select(
         F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(5)).alias("moment"), "id"
     )
     placed = with_position(df.repartition(5), ["moment", "id"])
     order = Window.orderBy("moment", "id")
     expected = df.withColumn("expected", F.row_number().over(order) - 1)
-    wrong = placed.join(expected, ["id", "moment"]).where("position <> expected OR total <> 20000")
+    wrong = placed.join(expected, ["id", "moment"]).where("row_position <> expected OR row_total <> 20000")
     assert wrong.count() == 0
     assert placed.count() == 20_000
 
@@ -132,3 +143,26 @@ def test_lookup_join_is_the_same_below_and_above_its_limit(spark, how):
     assert sorted(small.collect()) == sorted(large.collect())
     assert small.count() > 0
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("limit", [1, 7, 100, 1900, 5000])
+def test_copies_of_a_row_are_counted(spark, limit):
+    """A third of all rows are one row."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(500)).otherwise(F.col("id") % 900).alias("rank"),
+        F.lit("x").alias("label"),
+    )
+    ordered = sorted(row["rank"] for row in df.collect())
+    expected = ordered[:: max(1, 3000 // limit)][:limit]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = stride_sample(df, limit, ["rank"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(row["rank"] for row in out) == expected
+
+
+def test_fields_may_have_any_name(spark):
+    df = spark.range(100).selectExpr("id AS position", "id AS slice", "id AS total", "id AS size")
+    assert stride_sample(df, 10, ["position"]).count() == 10
+    assert stride_sample(df, 10, ["position"], distinct_rows=True).columns == df.columns

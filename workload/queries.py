@@ -328,7 +328,7 @@ def hybrid_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = aggregate_by_interval(series(spark, sf_dir), HOUR, "avg", fields=["value"])
-    return rounded(stride_sample(hourly, STRIDE_POINTS))
+    return rounded(stride_sample(hourly, STRIDE_POINTS, distinct_rows=True))
 
 
 def stride_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
