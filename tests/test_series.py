@@ -39,6 +39,16 @@ def test_coverage_counts_real_buckets(gappy):
     assert (row["observed"], row["expected"]) == (9, 11)
 
 
+def test_coverage_before_the_epoch(spark):
+    start = F.lit("1969-12-31 23:30:00").cast("timestamp_ntz")
+    df = spark.range(0, 3600, 2).select(
+        (start + F.make_dt_interval(secs=F.col("id"))).alias("timestamp"),
+        F.lit("s").alias("sensor_name"),
+    )
+    row = coverage(df.union(df), 1000).first()
+    assert (row["observed"], row["expected"]) == (1800, 3599)
+
+
 @pytest.mark.parametrize("chunk", [1, 4, 4096])
 def test_missing_buckets(gappy, monkeypatch, chunk):
     monkeypatch.setattr(coverage_module, "CHUNK_BUCKETS", chunk)
