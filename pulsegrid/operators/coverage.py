@@ -6,35 +6,32 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.functions.time import bucket_start, micros, ntz, utc_time
+from pulsegrid.functions.time import micros, ntz, utc_time
 from pulsegrid.operators.filters import time_range
 from pulsegrid.schema import TIMESTAMP, drop_null_keys, series_keys
+from pulsegrid.session import materialize
 
-CHUNK_BUCKETS = 4096
+CHUNK_WORDS = 4096
 
 
-def observed_buckets(df: DataFrame, interval_ms: int) -> DataFrame:
-    """Distinct (bucket, series) that hold readings."""
-    bucket = bucket_start(TIMESTAMP, interval_ms).alias("bucket")
-    return drop_null_keys(df).select(bucket, *series_keys(df)).distinct()
+def observed_words(df: DataFrame, interval_ms: int) -> DataFrame:
+    """Which buckets of each series hold readings, 64 in a row as the bits of one long.
 
-
-def observed_counts(df: DataFrame, interval_ms: int) -> DataFrame:
-    """Number of distinct buckets per series, with the number of the first and the last.
-
-    Buckets are numbered since the epoch, and those of 64 in a row marked in the bits of one long
-    before the shuffle, so dense series move as a 64th of their buckets. All of it is hash
-    aggregation.
+    Buckets are numbered since the epoch. The bits are combined before the shuffle, so dense series
+    move as a 64th of their buckets, and all of it is hash aggregation.
     """
     keys = series_keys(df)
     number = bucket_number(F.col(TIMESTAMP), interval_ms).alias("n")
     numbered = drop_null_keys(df).select(*keys, number)
-    bit = F.col("n").bitwiseAND(63).cast("int")
-    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    words = numbered.groupBy(*keys, F.shiftright("n", 6).alias("word")).agg(
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n").bitwiseAND(63).cast("int"))
+    return numbered.groupBy(*keys, F.shiftright("n", 6).alias("word")).agg(
         F.bit_or(mark).alias("marks"), F.min("n").alias("first"), F.max("n").alias("last")
     )
-    return words.groupBy(*keys).agg(
+
+
+def observed_counts(df: DataFrame, interval_ms: int) -> DataFrame:
+    """Number of distinct buckets per series, with the number of the first and the last."""
+    return observed_words(df, interval_ms).groupBy(*series_keys(df)).agg(
         F.sum(F.bit_count("marks")).alias("observed"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
@@ -70,24 +67,40 @@ def missing_buckets(
 ) -> DataFrame:
     """The expected buckets of each series that hold no reading.
 
-    The grid is laid out in chunks of at most `CHUNK_BUCKETS`, so no row ever carries a whole
-    series, and is matched with the observed buckets on time and series together.
+    The expected time is laid out in words of 64 buckets and matched with the observed words on
+    series and word; only words with a gap are taken apart. The grid unfolds in chunks of at most
+    `CHUNK_WORDS`, so no row ever carries a whole series.
     """
     keys = series_keys(df)
-    seen = observed_buckets(time_range(df, start, end), interval_ms)
-    number = bucket_number(F.col("bucket"), interval_ms)
-    ends = seen.groupBy(*keys).agg(F.min(number).alias("first"), F.max(number).alias("last"))
+    # Used twice below, and much smaller than the readings they come from.
+    words = materialize(observed_words(time_range(df, start, end), interval_ms), "words")
+    ends = words.groupBy(*keys).agg(F.min("first").alias("first"), F.max("last").alias("last"))
     first, last = _grid_ends(interval_ms, start, end)
-    chunks = ends.select(
-        *keys,
-        last.alias("last"),
-        F.explode(F.sequence(first, last, F.lit(CHUNK_BUCKETS).cast("long"))).alias("chunk"),
+    spans = ends.select(*keys, first.alias("first"), last.alias("last"))
+    last_word = F.shiftright("last", 6)
+    step = F.lit(CHUNK_WORDS).cast("long")
+    chunks = spans.withColumn(
+        "chunk", F.explode(F.sequence(F.shiftright("first", 6), last_word, step))
+    )
+    stop = F.least(F.col("chunk") + step - 1, last_word)
+    grid = chunks.withColumn("word", F.explode(F.sequence("chunk", stop))).drop("chunk")
+    marked = grid.join(words.select(*keys, "word", "marks"), [*keys, "word"], "left")
+    gaps = marked.where(F.coalesce(F.col("marks"), F.lit(0)) != -1)
+    numbers = F.sequence(F.shiftleft("word", 6), F.shiftleft("word", 6) + 63)
+    missing = F.filter(
+        numbers,
+        lambda n: n.between(F.col("first"), F.col("last"))
+        & (_bit(F.coalesce(F.col("marks"), F.lit(0).cast("long")), n) == 0),
     )
-    stop = F.least(F.col("chunk") + CHUNK_BUCKETS - 1, F.col("last"))
-    numbers = chunks.select(*keys, F.explode(F.sequence("chunk", stop)).alias("number"))
     moment = F.timestamp_micros(F.col("number") * F.lit(interval_ms * 1000).cast("long"))
-    grid = numbers.select(moment.cast("timestamp_ntz").alias("bucket"), *keys)
-    return grid.join(seen, ["bucket", *keys], "left_anti").withColumnRenamed("bucket", TIMESTAMP)
+    return gaps.select(*keys, F.explode(missing).alias("number")).select(
+        moment.cast("timestamp_ntz").alias(TIMESTAMP), *keys
+    )
+
+
+def _bit(word: Column, number: Column) -> Column:
+    place = number.bitwiseAND(63).cast("int")
+    return F.call_function("shiftright", word, place).bitwiseAND(1)
 
 
 def bucket_number(moment: Column, interval_ms: int) -> Column:

@@ -1,5 +1,7 @@
 """Catalogue, profile, coverage and gaps."""
 
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,13 +53,32 @@ def test_coverage_before_the_epoch(spark):
 
 @pytest.mark.parametrize("chunk", [1, 4, 4096])
 def test_missing_buckets(gappy, monkeypatch, chunk):
-    monkeypatch.setattr(coverage_module, "CHUNK_BUCKETS", chunk)
+    monkeypatch.setattr(coverage_module, "CHUNK_WORDS", chunk)
     gaps = sorted(r["timestamp"] for r in missing_buckets(gappy, MINUTE).collect())
     assert gaps == [ts(f"2024-01-01T00:{m:02d}") for m in (7, 8, 30)]
     inside = missing_buckets(gappy, MINUTE, "2024-01-01T00:55:00", "2024-01-01T01:03:00")
     assert sorted(r["timestamp"].minute for r in inside.collect()) == [0, 1, 2]
 
 
+def test_missing_seconds_equal_a_set_difference(spark):
+    """Gaps within words, over whole words and on both sides of the epoch."""
+    df = spark.range(-5000, 5000).where("id % 7 <> 3 AND NOT id BETWEEN 100 AND 900").select(
+        F.timestamp_seconds("id").cast("timestamp_ntz").alias("timestamp"),
+        F.concat(F.lit("s"), F.pmod("id", F.lit(2))).alias("sensor_name"),
+    )
+    held = {(r["timestamp"], r["sensor_name"]) for r in df.collect()}
+    expected = set()
+    for sensor in ("s0", "s1"):
+        times = [t for t, s in held if s == sensor]
+        moment = min(times)
+        while moment <= max(times):
+            if (moment, sensor) not in held:
+                expected.add((moment, sensor))
+            moment += timedelta(seconds=1)
+    found = [tuple(r) for r in missing_buckets(df, 1000).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
 def test_lists(six_series):
     assert [r[0] for r in list_sensors(six_series).collect()] == ["quad_ch1", "quad_ch2", "quad_ch3"]
     assert [r[0] for r in list_sensors(six_series, "asset_009").collect()] == []
