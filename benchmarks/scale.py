@@ -62,7 +62,7 @@ def main() -> None:
     )
     print(f"{total / 1e6:.1f} M rows, {n_series} series, {days} days in {folder}")
     raw_path = f"{folder}/raw"
-    clock("write the readings", lambda: write_raw(df, raw_path), total)
+    clock("write the readings", lambda: write_raw(df, raw_path, dedup=False), total)
     raw = read_raw(spark, raw_path)
     store = RollupStore(spark, f"{folder}/rollups")
     clock("build all rollups", lambda: rebuild_rollups(raw, store), total)

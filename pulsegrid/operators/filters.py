@@ -94,9 +94,13 @@ def select_readings(
     start: datetime | str | None = None,
     end: datetime | str | None = None,
     assets: Sequence[str] | DataFrame | None = None,
+    *,
+    dedup: bool = False,
 ) -> DataFrame:
     """All three filters, before any bucketing so that they reach the scan.
 
-    `df` may be as it was read: it is normalized after the time range is applied.
+    `df` may be as it was read: it is normalized after the time range is applied. `dedup` then
+    removes whole-row copies among the rows that are left.
     """
-    return only_assets(only_sensors(normalize(time_range(df, start, end)), sensors), assets)
+    rows = only_assets(only_sensors(normalize(time_range(df, start, end)), sensors), assets)
+    return rows.dropDuplicates() if dedup else rows

@@ -67,13 +67,15 @@ def query_series(
     store: RollupStore | None = None,
     fields: Sequence[str] | None = None,
     tie: Sequence[str] = (),
+    dedup: bool = False,
     max_duration_hours: float | None = None,
 ) -> SeriesResult:
     """Buckets of the chosen series in time order, from the cheapest table that is exact.
 
     `raw` is a frame of readings, as read or normalized, or None to use stored rollups only. `max_points`
     limits the rows, at most `ABSOLUTE_MAX_POINTS`; None returns every bucket and keeps the whole
-    query lazy.
+    query lazy. `dedup` removes whole-row copies first; tables written by `write_raw` and unions
+    made by `union_sources` have none.
     """
     start, end = validate_range(sensors, start, end, max_duration_hours)
     duration_ms = millis_between(start, end)
@@ -81,7 +83,7 @@ def query_series(
     preferred = tier_by_duration(duration_ms / HOUR_MS)
     return _run(
         raw, sensors, start, end, assets, interval_ms, max_points, aggregation,
-        store, fields, tie, preferred,
+        store, fields, tie, dedup, preferred,
     )
 
 
@@ -97,6 +99,7 @@ def aggregated_query(
     store: RollupStore | None = None,
     fields: Sequence[str] | None = None,
     tie: Sequence[str] = (),
+    dedup: bool = False,
 ) -> SeriesResult:
     """Buckets of a width chosen for all sensors together, from the coarsest rollup that fits."""
     start, end = validate_range(sensors, start, end)
@@ -105,7 +108,7 @@ def aggregated_query(
         interval_ms = aggregated_interval(millis_between(start, end), len(sensors), limit)
     result = _run(
         raw, sensors, start, end, None, interval_ms, max_points, aggregation,
-        store, fields, tie, tier_by_interval(interval_ms),
+        store, fields, tie, dedup, tier_by_interval(interval_ms),
     )
     return _with_sensor_type(result)
 
@@ -119,12 +122,13 @@ def raw_query(
     max_points: int = ABSOLUTE_MAX_POINTS,
     fields: Sequence[str] | None = None,
     tie: Sequence[str] = (),
+    dedup: bool = False,
 ) -> SeriesResult:
     """Original values, the last of each second. A range too long for the limit ends earlier."""
     start, end = validate_range(sensors, start, end)
     truncated = (end - start).total_seconds() * len(sensors) > max_points
     actual_end = start + timedelta(seconds=max_points / len(sensors)) if truncated else end
-    rows = select_readings(raw, sensors, start, actual_end)
+    rows = select_readings(raw, sensors, start, actual_end, dedup=dedup)
     last = aggregate_by_interval(rows, SECOND_MS, "last", fields=fields, tie=tie)
     data = last.orderBy(TIMESTAMP, *series_keys(last))
     return _with_sensor_type(SeriesResult(data, "raw", SECOND_MS, truncated, actual_end))
@@ -132,7 +136,7 @@ def raw_query(
 
 def _run(
     raw, sensors, start, end, assets, interval_ms, max_points, aggregation,
-    store, fields, tie, preferred,
+    store, fields, tie, dedup, preferred,
 ) -> SeriesResult:
     method = resolve_method(aggregation)
     tie = tie or (store.tie if store else ())
@@ -140,7 +144,7 @@ def _run(
         fields = _fields(raw, store, preferred, tie)
     request = Request(
         sensors, start, end, assets, interval_ms,
-        () if method == "count" else fields, tie, stats_for([method]),
+        () if method == "count" else fields, tie, stats_for([method]), dedup,
     )
     partials, tier = tiered_partials(raw, store, request, preferred)
     truncated, actual_end = False, end

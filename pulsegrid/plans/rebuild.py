@@ -30,16 +30,17 @@ def rebuild_rollups(
     *,
     grains: Sequence[str] = ("1m", "1h", "1d"),
     fields: Sequence[str] | None = None,
+    dedup: bool = False,
 ) -> None:
     """Recompute rollups of the given sensors and time, everything by default.
 
     The range is widened to whole days, which all grains divide. Each grain is one job: minutes
     from the readings, every other grain by merging the stored next finer one. Running it twice
-    leaves the same tables.
+    leaves the same tables. `dedup` removes whole-row copies of readings first.
     """
     start = floor_time(utc_time(start), DAY_MS) if start is not None else None
     end = ceil_time(utc_time(end), DAY_MS) if end is not None else None
-    rows = select_readings(raw, sensors, start, end)
+    rows = select_readings(raw, sensors, start, end, dedup=dedup)
     finer = None
     for name in grains:
         grain = GRAINS[name]

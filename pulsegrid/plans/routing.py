@@ -49,6 +49,7 @@ class Request:
     fields: Sequence[str]
     tie: Sequence[str]
     stats: Sequence[str]
+    dedup: bool = False
 
     @property
     def duration_ms(self) -> float:
@@ -106,7 +107,9 @@ def tiered_partials(
 
 
 def _select(raw: DataFrame, request: Request) -> DataFrame:
-    return select_readings(raw, request.sensors, request.start, request.end, request.assets)
+    return select_readings(
+        raw, request.sensors, request.start, request.end, request.assets, dedup=request.dedup
+    )
 
 
 def _from_raw(rows: DataFrame, request: Request) -> DataFrame:
@@ -136,7 +139,9 @@ def _edges(raw: DataFrame, tier: str, request: Request) -> Iterable[DataFrame]:
     start, end = _inner(tier, request)
     for lower, upper in ((request.start, start), (end, request.end)):
         if lower < upper:
-            rows = select_readings(raw, request.sensors, lower, upper, request.assets)
+            rows = select_readings(
+                raw, request.sensors, lower, upper, request.assets, dedup=request.dedup
+            )
             yield build_partials(
                 rows,
                 GRAINS[tier].interval_ms,

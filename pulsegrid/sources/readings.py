@@ -93,14 +93,22 @@ def read_series(
 
 
 def write_raw(
-    df: DataFrame, root: str, *, partition_by: Sequence[str] = (PARTITION,), mode: str = "overwrite"
+    df: DataFrame,
+    root: str,
+    *,
+    partition_by: Sequence[str] = (PARTITION,),
+    mode: str = "overwrite",
+    dedup: bool = True,
 ) -> None:
     """Store readings by day, sorted by series so that row groups can be skipped.
 
+    Whole-row copies are removed here, once, so that queries need not do it again.
+
     The rebalance lets AQE split a day, or an asset of a day, that is larger than a file should be.
     Overwriting replaces only the partitions at hand.
     """
-    write_partitioned(df.withColumn(PARTITION, F.to_date(TIMESTAMP)), root, partition_by, mode)
+    rows = df.dropDuplicates() if dedup else df
+    write_partitioned(rows.withColumn(PARTITION, F.to_date(TIMESTAMP)), root, partition_by, mode)
 
 
 def write_partitioned(

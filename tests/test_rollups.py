@@ -183,3 +183,19 @@ def test_coverage_of_rollups(built, month):
     assert not by_tier["1m", "000"]["ok"]
     few = validate_rollups(month, built, first_sensors=2).select("sensor_name").distinct()
     assert few.count() == 2
+
+
+def test_copies_are_removed_on_request(store, month):
+    twice = month.unionByName(month)
+    rebuild_rollups(twice, store, dedup=True)
+    for method in ("count", "sum"):
+        direct = aggregate_by_interval(month, HOUR, method, fields=["value"], tie=["tie"])
+        assert canonical(finalize(store.read("1h"), method)) == canonical(direct)
+    args = (["s1"], "2023-12-12T05:17:33", "2024-01-15T21:44:10")
+    options = dict(interval_ms=HOUR, aggregation="count", max_points=None, tie=["tie"])
+    once = query_series(month, *args, **options)
+    routed = query_series(twice, *args, store=store, dedup=True, **options)
+    assert routed.tier_used == "1h"
+    assert canonical(routed.data) == canonical(once.data)
+    doubled = query_series(twice, *args, **options)
+    assert sum(r["count"] for r in doubled.data.collect()) == 2 * sum(r["count"] for r in once.data.collect())

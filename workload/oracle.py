@@ -238,6 +238,7 @@ _PLAIN: dict[str, str] = {
     "query_series_avg": range_query("avg", START, END, two_sensors=True),
     "query_series_max": range_query("max", START, END, two_sensors=True),
     "query_series_last": range_query("last", START, END, two_sensors=True),
+    "query_series_dedup": range_query("sum", START, END, two_sensors=True),
     "query_series_capped": refit(average_partials(HOUR)),
     "scan_raw": f"""WITH {SERIES} SELECT * FROM series
 WHERE {within(START, END)} AND sensor_name IN ('click', 'view')

@@ -154,6 +154,17 @@ def query_series_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(result.data)
 
 
+def query_series_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources that hold the same readings, whose copies the query removes."""
+    df = series(spark, sf_dir)
+    twice = union_sources(df, df, dedup=False)
+    result = query_series(
+        twice, TWO_SENSORS, START, END,
+        interval_ms=HOUR, aggregation="sum", max_points=None, fields=["value"], tie=TIE, dedup=True,
+    )
+    return rounded(result.data)
+
+
 def tiered_read(tier: str, interval_ms: int, start: str, end: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = query_series(
@@ -398,6 +409,7 @@ QUERIES: dict[str, Query] = {
     "query_series_max": series_query("max"),
     "query_series_last": series_query("last"),
     "query_series_capped": query_series_capped,
+    "query_series_dedup": query_series_dedup,
     "scan_raw": scan_raw,
     "scan_rollup_1m": scan_rollup("1m"),
     "scan_rollup_1h": scan_rollup("1h"),
