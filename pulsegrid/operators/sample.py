@@ -16,9 +16,9 @@ _COPIES = "row_copies"
 def with_position(
     df: DataFrame, order_by: Sequence[str], copies: str | None = None
 ) -> DataFrame:
-    """Add `row_position`, the 0-based rank in the order of `order_by`, and `row_total`, the row count.
+    """Add `row_position`, the 0-based rank in the order of `order_by`, and `row_total`.
 
-    With `copies`, a row stands for that many equal ones and `row_position` is the rank of the first.
+    With `copies`, a row stands for that many equal ones and its position is that of the first.
 
     Rows are range-partitioned on the whole ordering key and, within equal keys, on a hash of the
     row, so that neither a timestamp nor a key that holds a third of all rows fills one task. They
@@ -86,7 +86,8 @@ def stride_sample(
     )
     hits = placed.withColumn("row_first_hit", first).withColumn("row_last_hit", last)
     chosen = hits.where("row_first_hit <= row_last_hit")
-    return chosen.withColumn("row_hit", F.explode(F.sequence("row_first_hit", "row_last_hit"))).select(*df.columns)
+    repeated = F.explode(F.sequence("row_first_hit", "row_last_hit"))
+    return chosen.withColumn("row_hit", repeated).select(*df.columns)
 
 
 def _step(max_points: int) -> Column:

@@ -35,6 +35,7 @@ GRAINS = {
     )
 }
 DAY_MS = GRAINS["1d"].interval_ms
+COVERED = "grain string, start timestamp_ntz, end timestamp_ntz"
 
 
 class RollupStore:
@@ -157,17 +158,19 @@ class RollupStore:
 
     def covers(self, grain: str, start: datetime, end: datetime) -> bool:
         """Whether the recorded ranges of a grain, one per rebuild, cover `[start, end)`."""
-        table = self._table(f"{self.root}/covered")
-        if table is None:
-            return False
+        try:
+            table = self.spark.read.schema(COVERED).parquet(f"{self.root}/covered")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
         ranges = table.where((F.col("grain") == grain) & (F.col("end") > ntz(start)))
         reached = utc_time(start)
-        for row in ranges.orderBy("start").toLocalIterator():
-            if row["start"] > reached:
-                return False
+        # One row per rebuild.
+        for row in sorted(ranges.collect(), key=lambda row: row["start"]):
+            if reached >= end or row["start"] > reached:
+                break
             reached = max(reached, row["end"])
-            if reached >= end:
-                return True
         return reached >= end
 
 

@@ -139,7 +139,7 @@ def test_lookup_join_is_the_same_below_and_above_its_limit(spark, how):
     )
     lookup = spark.range(10).select(F.col("id").alias("key"), (F.col("id") * 2).alias("double"))
     small = lookup_join(rows, lookup, ["key"], how)
-    large = lookup_join(rows, lookup, ["key"], how, broadcast_rows=0)
+    large = lookup_join(rows, lookup, ["key"], how, broadcast_bytes=0)
     assert sorted(small.collect()) == sorted(large.collect())
     assert small.count() > 0
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()

@@ -199,3 +199,17 @@ def test_copies_are_removed_on_request(store, month):
     assert canonical(routed.data) == canonical(once.data)
     doubled = query_series(twice, *args, **options)
     assert sum(r["count"] for r in doubled.data.collect()) == 2 * sum(r["count"] for r in once.data.collect())
+
+
+def test_coverage_record(store):
+    def day(number):
+        return ts(f"2024-01-{number:02d}")
+
+    assert not store.covers("1m", day(1), day(2))
+    store.mark_covered(["1m", "1h"], day(1), day(5))
+    store.mark_covered(["1m"], day(8), day(10))
+    assert store.covers("1m", day(1), day(5)) and store.covers("1m", day(2), day(3))
+    assert store.covers("1m", day(8), day(9))
+    assert not store.covers("1m", day(4), day(9)) and not store.covers("1h", day(8), day(9))
+    store.mark_covered(["1m"], day(4), day(8))
+    assert store.covers("1m", day(1), day(10)) and not store.covers("1m", day(1), day(11))
