@@ -57,13 +57,15 @@ def rebuild_rollups(
 def _record_coverage(
     store: RollupStore, grains: Sequence[str], start: datetime | None, end: datetime | None
 ) -> None:
-    if start is None or end is None:
-        built = extent(store.read(grains[-1]), "bucket")
-        if built.first is None:
-            return
-        start = start or floor_time(built.first, DAY_MS)
-        end = end or floor_time(built.last, DAY_MS) + timedelta(days=1)
-    store.mark_covered(grains, start, end)
+    """Everything before the given start was built too if there is none; nothing past the last day
+    with readings is, as more may come."""
+    latest = extent(store.read(grains[-1]), "bucket").last
+    if latest is None:
+        return
+    known = floor_time(latest, DAY_MS) + timedelta(days=1)
+    start, end = start or datetime.min, min(end or known, known)
+    if start < end:
+        store.mark_covered(grains, start, end)
 
 
 def validate_rollups(

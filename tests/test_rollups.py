@@ -213,3 +213,13 @@ def test_coverage_record(store):
     assert not store.covers("1m", day(4), day(9)) and not store.covers("1h", day(8), day(9))
     store.mark_covered(["1m"], day(4), day(8))
     assert store.covers("1m", day(1), day(10)) and not store.covers("1m", day(1), day(11))
+
+
+def test_coverage_ends_with_the_readings(store, month):
+    rebuild_rollups(month, store, start="2023-12-10", end="2030-01-01")
+    last = month.agg(F.max("timestamp")).first()[0]
+    assert store.covers("1h", ts("2023-12-10"), last)
+    assert not store.covers("1h", ts("2023-12-10"), ts("2029-01-01"))
+    assert not store.covers("1h", ts("2020-01-01"), ts("2023-12-20"))
+    rebuild_rollups(month, store)
+    assert store.covers("1h", ts("2020-01-01"), ts("2023-12-20"))
