@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 from pulsegrid.functions.time import ceil_time, floor_time, utc_time
 from pulsegrid.operators.catalog import list_sensors
 from pulsegrid.operators.coverage import observed_counts
-from pulsegrid.operators.downsample import extent
 from pulsegrid.operators.filters import only_sensors, select_readings
 from pulsegrid.operators.partials import build_partials, merge_partials
 from pulsegrid.session import materialize
@@ -57,12 +56,14 @@ def rebuild_rollups(
 def _record_coverage(
     store: RollupStore, grains: Sequence[str], start: datetime | None, end: datetime | None
 ) -> None:
-    """Everything before the given start was built too if there is none; nothing past the last day
-    with readings is, as more may come."""
-    latest = extent(store.read(grains[-1]), "bucket").last
+    """Everything before the readings' first was built too, unless a start was given.
+
+    The last minute with readings, and what follows, may still grow and is not recorded.
+    """
+    latest = store.read(grains[-1]).agg(F.max("last_ts")).first()[0]
     if latest is None:
         return
-    known = floor_time(latest, DAY_MS) + timedelta(days=1)
+    known = floor_time(latest, GRAINS["1m"].interval_ms)
     start, end = start or datetime.min, min(end or known, known)
     if start < end:
         store.mark_covered(grains, start, end)

@@ -82,8 +82,9 @@ def tiered_partials(
 ) -> tuple[DataFrame, str]:
     """Partials of the requested buckets and the tier they came from.
 
-    A rollup is used where it is exact and recorded to cover the range; where the readings
-    themselves are gone, any exact rollup with rows will do. The first tier with rows wins.
+    A rollup is used where it is exact, as far as it is recorded to be complete; what lies outside
+    comes from the readings. Where the readings themselves are gone, any exact rollup with rows
+    will do. The first tier with rows wins.
     """
     raw_rows = None if raw is None else _select(raw, request)
     raw_gone = raw is None
@@ -95,11 +96,13 @@ def tiered_partials(
                 return _from_raw(raw_rows, request), RAW
             raw_gone = True
         elif store is not None and is_exact(tier, request, not raw_gone):
-            if not raw_gone and not store.covers(tier, *_inner(tier, request)):
-                continue
-            stored = _stored(store, tier, request)
+            start, end = _inner(tier, request)
+            if not raw_gone:
+                until = store.covered_until(tier, start)
+                end = min(end, floor_time(until or start, GRAINS[tier].interval_ms))
+            stored = _stored(store, tier, request, start, end) if start < end else None
             if stored is not None and not stored.isEmpty():
-                edges = None if raw_gone else _edges(raw, tier, request)
+                edges = () if raw_gone else _edges(raw, tier, request, start, end)
                 return merge_partials(_joined(stored, edges), request.interval_ms), tier
     if raw is None:
         raise ValueError("no stored rollup can answer this query exactly")
@@ -124,19 +127,22 @@ def _inner(tier: str, request: Request) -> tuple[datetime, datetime]:
     return ceil_time(request.start, grain), floor_time(request.end, grain)
 
 
-def _stored(store: RollupStore, tier: str, request: Request) -> DataFrame | None:
+def _stored(
+    store: RollupStore, tier: str, request: Request, start: datetime, end: datetime
+) -> DataFrame | None:
     table = store.open(tier)
     if table is None:
         return None
-    rows = store.select(table, tier, request.sensors, *_inner(tier, request), request.assets)
+    rows = store.select(table, tier, request.sensors, start, end, request.assets)
     held = partial_stats(rows)
     complete = all(set(request.stats) <= set(held.get(field, ())) for field in request.fields)
     return keep_stats(rows, request.stats, request.fields) if complete else None
 
 
-def _edges(raw: DataFrame, tier: str, request: Request) -> Iterable[DataFrame]:
-    """Partials of the readings before the first and after the last whole bucket."""
-    start, end = _inner(tier, request)
+def _edges(
+    raw: DataFrame, tier: str, request: Request, start: datetime, end: datetime
+) -> Iterable[DataFrame]:
+    """Partials of the readings before and after the time the rollup answers for."""
     for lower, upper in ((request.start, start), (end, request.end)):
         if lower < upper:
             rows = select_readings(
@@ -151,7 +157,7 @@ def _edges(raw: DataFrame, tier: str, request: Request) -> Iterable[DataFrame]:
             )
 
 
-def _joined(stored: DataFrame, edges: Iterable[DataFrame] | None) -> DataFrame:
-    for edge in edges or ():
+def _joined(stored: DataFrame, edges: Iterable[DataFrame]) -> DataFrame:
+    for edge in edges:
         stored = stored.unionByName(edge.select(*stored.columns))
     return stored

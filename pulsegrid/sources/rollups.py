@@ -156,22 +156,23 @@ class RollupStore:
         )
         covered.write.mode("append").parquet(f"{self.root}/covered")
 
-    def covers(self, grain: str, start: datetime, end: datetime) -> bool:
-        """Whether the recorded ranges of a grain, one per rebuild, cover `[start, end)`."""
+    def covered_until(self, grain: str, start: datetime | str) -> datetime | None:
+        """End of the recorded time that includes `start` without a gap, or None."""
         try:
             table = self.spark.read.schema(COVERED).parquet(f"{self.root}/covered")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return False
+                return None
             raise
-        ranges = table.where((F.col("grain") == grain) & (F.col("end") > ntz(start)))
-        reached = utc_time(start)
+        start = utc_time(start)
+        later = table.where((F.col("grain") == grain) & (F.col("end") > ntz(start)))
+        reached = start
         # One row per rebuild.
-        for row in sorted(ranges.collect(), key=lambda row: row["start"]):
-            if reached >= end or row["start"] > reached:
+        for row in sorted(later.collect(), key=lambda row: row["start"]):
+            if row["start"] > reached:
                 break
             reached = max(reached, row["end"])
-        return reached >= end
+        return reached if reached > start else None
 
 
 def rollup_view(partials: DataFrame) -> DataFrame:

@@ -133,14 +133,23 @@ def test_every_tier_answers_like_the_readings(built, month, method, start, end,
     assert direct.data.count() > 0
 
 
-def test_a_rollup_that_does_not_cover_the_range_is_not_used(store, month):
-    rebuild_rollups(month, store, start="2023-12-10", end="2023-12-20")
-    args = dict(interval_ms=DAY, max_points=None, fields=["value"], tie=["tie"], store=store)
-    assert query_series(month, ["s1"], "2023-12-10", "2023-12-20", **args).tier_used == "1h"
-    result = query_series(month, ["s1"], "2023-12-10", "2024-01-05", **args)
-    assert result.tier_used == "raw"
-    rebuild_rollups(month, store, start="2023-12-20", end="2024-01-06")
-    assert query_series(month, ["s1"], "2023-12-10", "2024-01-05", **args).tier_used == "1h"
+def test_a_rollup_answers_as_far_as_it_is_complete(store, month):
+    """Readings after the recorded end come from the readings themselves."""
+    options = dict(interval_ms=DAY, aggregation="count", max_points=None, tie=["tie"])
+    query = (["s1"], "2023-12-10", "2024-01-05")
+    direct = canonical(query_series(month, *query, **options).data)
+    assert query_series(month, *query, store=store, **options).tier_used == "raw"
+    early = month.where("timestamp < '2023-12-25 10:00:30'")
+    rebuild_rollups(early, store)
+    result = query_series(month, *query, store=store, **options)
+    assert result.tier_used == "1h" and canonical(result.data) == direct
+    rebuild_rollups(month, store, start="2024-01-01", end="2024-01-06")
+    gap = query_series(month, *query, store=store, **options)
+    assert gap.tier_used == "1h" and canonical(gap.data) == direct
+    uncovered = query_series(month, ["s1"], "2023-12-26", "2024-01-05", store=store, **options)
+    assert uncovered.tier_used == "raw"
+    rebuild_rollups(month, store, start="2023-12-25", end="2024-01-01")
+    assert canonical(query_series(month, *query, store=store, **options).data) == direct
 
 
 def test_fallback_where_the_readings_are_gone(built, month):
@@ -205,21 +214,23 @@ def test_coverage_record(store):
     def day(number):
         return ts(f"2024-01-{number:02d}")
 
-    assert not store.covers("1m", day(1), day(2))
+    def until(grain, number):
+        return store.covered_until(grain, day(number))
+
+    assert until("1m", 1) is None
     store.mark_covered(["1m", "1h"], day(1), day(5))
     store.mark_covered(["1m"], day(8), day(10))
-    assert store.covers("1m", day(1), day(5)) and store.covers("1m", day(2), day(3))
-    assert store.covers("1m", day(8), day(9))
-    assert not store.covers("1m", day(4), day(9)) and not store.covers("1h", day(8), day(9))
+    assert until("1m", 1) == until("1m", 4) == day(5) and until("1m", 8) == day(10)
+    assert until("1m", 5) is None and until("1h", 8) is None
     store.mark_covered(["1m"], day(4), day(8))
-    assert store.covers("1m", day(1), day(10)) and not store.covers("1m", day(1), day(11))
+    assert until("1m", 1) == day(10) and until("1m", 10) is None
 
 
 def test_coverage_ends_with_the_readings(store, month):
     rebuild_rollups(month, store, start="2023-12-10", end="2030-01-01")
     last = month.agg(F.max("timestamp")).first()[0]
-    assert store.covers("1h", ts("2023-12-10"), last)
-    assert not store.covers("1h", ts("2023-12-10"), ts("2029-01-01"))
-    assert not store.covers("1h", ts("2020-01-01"), ts("2023-12-20"))
+    minute = last.replace(second=0, microsecond=0)
+    assert store.covered_until("1h", ts("2023-12-10")) == minute
+    assert store.covered_until("1h", ts("2020-01-01")) is None
     rebuild_rollups(month, store)
-    assert store.covers("1h", ts("2020-01-01"), ts("2023-12-20"))
+    assert store.covered_until("1h", ts("2020-01-01")) == minute
