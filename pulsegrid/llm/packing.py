@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pulsegrid.llm.common import Scratch, slices
 from pulsegrid.llm.tokens import encoder
 
-SLICE = 16 << 20
+SLICE = 6 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pulsegrid.llm.common import Scratch, partitions, slices
 from pulsegrid.llm.tokens import encoder
 
-SLICE = 16 << 20
+SLICE = 6 << 20
 BLOCK = 1 << 20
 FRAMES = "doc_id long, n_tokens long, crc long, frame binary"
 BLOCKS = (
@@ -60,14 +60,12 @@ def train_dictionary(
     order of a hash of doc_id, whatever the size of the table. Too few texts give no dictionary."""
     width = 2 if encoder(tokenizer).size <= 1 << 16 and end_id < 1 << 16 else 4
     text = F.coalesce("text", F.lit(""))
-    chosen = (
-        docs.where(F.length(text) <= longest)
-        .select("doc_id", text.alias("text"), F.xxhash64("doc_id").alias("order"))
-        .orderBy("order", "doc_id", "text")
-        .limit(sample)
-        .toArrow()
-        .select(["doc_id", "text"])
-    )
+    place = F.xxhash64("doc_id")
+    fitting = docs.where(F.length(text) <= longest)
+    # The last place that counts comes from ids alone; few texts are read out then.
+    last = docs.select(place.alias("place")).orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+    chosen = fitting.where(place <= last) if last is not None else fitting.limit(0)
+    chosen = chosen.select("doc_id", text.alias("text")).orderBy(place, "doc_id", "text").limit(sample).toArrow()
     samples = [_serialized(ids, width) for _, ids in _each(iter(chosen.to_batches()), tokenizer, end_id)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes(), width

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pulsegrid.llm.common import ragged
 _encoders: dict[str, "Encoder"] = {}
 # Letters for which lower case goes by single letters, so that a word and its point are two tokens.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-_WORDS_HELD = 1_500_000
-_SEGMENT = 1 << 21
+_WORDS_HELD = 700_000
+_SEGMENT = 1 << 18
 
 
 def encoder(path: str) -> "Encoder":
@@ -59,39 +60,51 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _forget(self) -> None:
+        """`known` gives words numbers; word i has the ids flat[begin[i]:begin[i] + length[i]]."""
         self.known: dict[str, int] = {}
-        self.bases: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        split = {}
-        fresh = set()
-        for word in words:
-            plain = _PLAIN.fullmatch(word)
-            base, mark = (plain[1].lower(), plain[2]) if plain else (word, "")
-            split[word] = base, mark
-            if base not in self.bases:
-                fresh.add(base)
-        fresh = list(fresh)
-        for base, ids in zip(fresh, self._ids(fresh)):
-            self.bases[base] = ids
-        lists = [self.bases[base] + self.marks[mark] if mark else self.bases[base] for base, mark in split.values()]
-        count, n = len(self.known), len(lists)
+    def _add(self, words: list[str], lists: list[list[int]]) -> None:
+        count, n = len(self.known), len(words)
         lengths = np.fromiter(map(len, lists), np.int64, n)
         total = int(lengths.sum())
         self.flat = _room(self.flat, self.used + total)
         self.begin, self.length = _room(self.begin, count + n), _room(self.length, count + n)
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in lists for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
         self.begin[count : count + n] = self.used + np.cumsum(lengths) - lengths
         self.length[count : count + n] = lengths
         self.used += total
-        self.known.update(zip(split, range(count, count + n)))
+        self.known.update(zip(words, range(count, count + n)))
 
-    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and the number of ids of each word."""
+    def _learn(self, words: list[str]) -> None:
+        """Words that are plain but for case and a point get the ids of their plain form."""
+        known, forms, fresh = self.known, {}, {}
+        for word in words:
+            plain = _PLAIN.fullmatch(word)
+            if plain:
+                base = plain[1].lower()
+                if base != word:
+                    forms[word] = base, plain[2]
+                if base not in known:
+                    fresh[base] = None
+            else:
+                fresh[word] = None
+        fresh = list(fresh)
+        for at in range(0, len(fresh), 1 << 14):
+            part = fresh[at : at + (1 << 14)]
+            self._add(part, self._ids(part))
+        begin, length, flat = self.begin, self.length, self.flat
+        lists = []
+        for base, mark in forms.values():
+            number = known[base]
+            ids = flat[begin[number] : begin[number] + length[number]].tolist()
+            lists.append(ids + self.marks[mark] if mark else ids)
+        self._add(list(forms), lists)
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) + len(distinct) > _WORDS_HELD:
@@ -100,10 +113,8 @@ class Encoder:
         if fresh:
             self._learn(fresh)
         known = self.known
-        number = np.fromiter((known[word] for word in distinct), np.int64, len(distinct))
-        number = number[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = self.length[number]
-        return self.flat[ragged(self.begin[number], lengths)], lengths
+        number = np.fromiter((known[word] for word in distinct), np.int32, len(distinct))
+        return number[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]; null is an empty text."""
@@ -113,13 +124,15 @@ class Encoder:
             lists = lists.combine_chunks()
         ends = lists.offsets.to_numpy()
         words = lists.values
-        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for at in range(0, len(words), _SEGMENT):
-            part = self._words(words.slice(at, _SEGMENT))
-            ids.append(part[0])
-            lengths.append(part[1])
-        sums = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-        return np.concatenate(ids), sums[ends]
+        numbers = self._numbers(words)
+        lengths = self.length[numbers]
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        ids = np.empty(int(sums[-1]), np.uint32)
+        for at in range(0, len(numbers), _SEGMENT):
+            part = numbers[at : at + _SEGMENT]
+            span = ragged(self.begin[part], lengths[at : at + _SEGMENT])
+            ids[sums[at] : sums[at] + len(span)] = self.flat[span]
+        return ids, sums[ends]
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
