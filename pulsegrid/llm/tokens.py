@@ -53,6 +53,10 @@ class Encoder:
                 raise ValueError(f"{path}: words of this tokenizer depend on the white space around them")
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        self.closes = np.zeros(self.size, bool)
+        for piece, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.closes[number] = bool(suffix) and piece.endswith(suffix)
         self.marks = {"": [], **{m: self._ids([m])[0] for m in ".,"}}
         self._forget()
 
@@ -67,21 +71,32 @@ class Encoder:
         self.length = np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def _add_plain(self, words: list[str]) -> None:
+        """Words of letters as one text, which their last pieces part again."""
+        ids = np.array(self._ids([" ".join(words)])[0], np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            self._add(words, self._ids(words))
+            return
+        self._store(words, ids, np.diff(ends, prepend=0))
+
     def _add(self, words: list[str], lists: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._store(words, np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths)
+
+    def _store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         count, n = len(self.known), len(words)
-        lengths = np.fromiter(map(len, lists), np.int64, n)
-        total = int(lengths.sum())
-        self.flat = _room(self.flat, self.used + total)
+        self.flat = _room(self.flat, self.used + len(ids))
         self.begin, self.length = _room(self.begin, count + n), _room(self.length, count + n)
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
+        self.flat[self.used : self.used + len(ids)] = ids
         self.begin[count : count + n] = self.used + np.cumsum(lengths) - lengths
         self.length[count : count + n] = lengths
-        self.used += total
+        self.used += len(ids)
         self.known.update(zip(words, range(count, count + n)))
 
     def _learn(self, words: list[str]) -> None:
         """Words that are plain but for case and a point get the ids of their plain form."""
-        known, forms, fresh = self.known, {}, {}
+        known, bases, forms, odd = self.known, {}, {}, []
         for word in words:
             plain = _PLAIN.fullmatch(word)
             if plain:
@@ -89,20 +104,29 @@ class Encoder:
                 if base != word:
                     forms[word] = base, plain[2]
                 if base not in known:
-                    fresh[base] = None
+                    bases[base] = None
             else:
-                fresh[word] = None
-        fresh = list(fresh)
-        for at in range(0, len(fresh), 1 << 14):
-            part = fresh[at : at + (1 << 14)]
-            self._add(part, self._ids(part))
-        begin, length, flat = self.begin, self.length, self.flat
-        lists = []
-        for base, mark in forms.values():
-            number = known[base]
-            ids = flat[begin[number] : begin[number] + length[number]].tolist()
-            lists.append(ids + self.marks[mark] if mark else ids)
-        self._add(list(forms), lists)
+                odd.append(word)
+        bases = list(bases)
+        for at in range(0, len(bases), 1 << 12):
+            self._add_plain(bases[at : at + (1 << 12)])
+        for at in range(0, len(odd), 1 << 12):
+            self._add(odd[at : at + (1 << 12)], self._ids(odd[at : at + (1 << 12)]))
+        if forms:
+            number = np.fromiter((known[base] for base, _ in forms.values()), np.int64, len(forms))
+            mark = np.array([len(m) and 1 + ".,".index(m) for _, m in forms.values()])
+            lengths = self.length[number]
+            # The ids of the base and after them those of the mark.
+            more = np.array([len(self.marks[m]) for m in ("", ".", ",")])[mark]
+            ids = np.empty(int((lengths + more).sum()), np.uint32)
+            tops = np.cumsum(lengths + more)
+            first = tops - lengths - more
+            ids[ragged(first, lengths)] = self.flat[ragged(self.begin[number], lengths)]
+            for i, m in enumerate(".,"):
+                at = first[mark == i + 1] + lengths[mark == i + 1]
+                for k, value in enumerate(self.marks[m]):
+                    ids[at + k] = value
+            self._store(list(forms), ids, lengths + more)
 
     def _numbers(self, words: pa.Array) -> np.ndarray:
         coded = words.dictionary_encode()
