@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import contamination, html_text, packing, shingle_join, token_files, topk, toxicity
+from pulsegrid.llm import contamination, html_text, line_dedup, packing, shingle_join, token_files, topk, toxicity
 from pulsegrid.llm.common import Scratch, ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report_contamination(table(spark, sf_dir, "documents"), benchmark)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.delete_repeated_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 2048, end_id=0)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op5_html_text": op5_html_text,
     "op6_decontamination": op6_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_shingle_join": op10_shingle_join,
@@ -68,7 +74,32 @@ QUERIES: dict[str, Query] = {
 
 _WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+# What line dedup leaves of the texts of a table `{source}`: doc_id, n_lines, n_removed, text.
+LINES_LEFT_SQL = """
+  lines AS (
+    SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n
+    FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {source} WHERE text <> ''))),
+  solid AS (
+    SELECT *, row_number() OVER w AS s, sum(n) OVER w AS c FROM lines WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  ends AS (
+    SELECT a.doc_id, a.s, min(b.s) AS e FROM solid a JOIN solid b
+    ON a.doc_id = b.doc_id AND b.s >= a.s AND b.c - a.c + a.n >= {words} GROUP BY 1, 2),
+  lists AS (SELECT doc_id, list(line ORDER BY s) AS l FROM solid GROUP BY doc_id),
+  contents AS (SELECT doc_id, s, e, array_to_string(l[s:e], chr(10)) AS content FROM ends JOIN lists USING (doc_id)),
+  later AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS k FROM contents) WHERE k > 1),
+  gone AS (SELECT DISTINCT x.doc_id, x.i FROM solid x JOIN later y ON x.doc_id = y.doc_id AND x.s BETWEEN y.s AND y.e),
+  kept AS (
+    SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
+    FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)"""
+
 ORACLE: dict[str, str] = {
+    "op7_line_dedup": f"""
+WITH {LINES_LEFT_SQL.format(source="documents", words=line_dedup.WORDS)}
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept k USING (doc_id)""",
     "op6_decontamination": f"""
 WITH items AS (
   SELECT item_id, w, len(w) AS n, least(10, len(w)) AS size FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark)
