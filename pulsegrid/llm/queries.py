@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import contamination, html_text, line_dedup, packing, shingle_join, token_files, topk, toxicity
+from pulsegrid.llm import contamination, html_text, line_dedup, packing, shingle_join, substring_dedup, token_files, topk, toxicity
 from pulsegrid.llm.common import Scratch, ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_substrings(table(spark, sf_dir, "documents"), span=400).drop("kept")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +66,7 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op5_html_text": op5_html_text,
