@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import contamination, html_text, line_dedup, packing, shingle_join, substring_dedup, token_files, topk, toxicity
+from pulsegrid.llm import contamination, html_text, line_dedup, packing, secrets, shingle_join, substring_dedup, token_files, topk, toxicity
 from pulsegrid.llm.common import Scratch, ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", F.col("secret").cast("int").alias("secret"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html_text.extract_main_text(table(spark, sf_dir, "pages"))
     return text.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
+    "op4_secret_scan": op4_secret_scan,
     "op5_html_text": op5_html_text,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
