@@ -130,7 +130,7 @@ class Shard:
         # Where `shortest` known words follow each other.
         known = np.concatenate([[0], np.cumsum(self.text >= 0)])
         self.shortest = max(items.shortest, 1)
-        run = known[self.shortest :] - known[: len(known) - self.shortest]
+        run = known[self.shortest :] - known[: max(0, len(known) - self.shortest)]
         self.starts = np.flatnonzero(run == self.shortest)
         self.array = np.zeros(0, np.int64)
         if len(self.starts):

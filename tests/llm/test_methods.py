@@ -1,0 +1,387 @@
+"""Operators against plain versions of what they compute, on small tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from pulsegrid.llm import (
+    contamination,
+    html_text,
+    line_dedup,
+    packing,
+    secrets,
+    shingle_join,
+    substring_dedup,
+    token_files,
+    topk,
+    toxicity,
+)
+from pulsegrid.llm.components import connected_components
+from pulsegrid.llm.common import Scratch
+from pulsegrid.llm.tokens import encoder
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def mixed_rows():
+    """Texts from few words and shared parts, so that all kinds of repeats occur; odd ones among them."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))) for _ in range(30)]
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    base = [text(rng.randint(5, 120)) for _ in range(6)]
+    rows = [(None, None), (1, ""), (2, "a" * 500), (3, "b" + "a" * 300), (4, "ab" * 200), (4, "ab" * 200)]
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            b, k = rng.choice(base), rng.random()
+            begin = rng.randint(0, len(b))
+            parts.append(b if k < 0.4 else b[begin : begin + rng.randint(0, 200)] if k < 0.7 else text(rng.randint(1, 40)))
+        rows.append((10 + i, rng.choice(["", "\n"]).join(parts)))
+    return rows + rows[-3:]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("span", [60, 100])
+def test_substrings(spark, mixed_rows, span):
+    count = Counter()
+    raws = [(i, (t or "").encode()) for i, t in mixed_rows]
+    for _, raw in raws:
+        count.update(raw[p : p + span] for p in range(len(raw) - span + 1))
+    want = []
+    for i, raw in raws:
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - span + 1):
+            if count[raw[p : p + span]] > 1:
+                gone[p : p + span] = True
+        kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
+        edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+        want.append((i, len(raw), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    got = substring_dedup.remove_repeated_substrings(frame(spark, mixed_rows), span).drop("kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        before, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_automaton():
+    terms = ["idiot", "stupid", "scum", "lowei*", "vequé*"]
+    lexicon = toxicity.Lexicon({t: 1.0 for t in terms})
+    rng = random.Random(1)
+    words = ["idiot", "idiots", "idot", "iidot", "diot", "IDIOT", "scums", "scum", "loweix", "lowe", "vequéa", "stupido1"]
+    for _ in range(3000):
+        word = list(rng.choice(terms).rstrip("*"))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(word))
+            word[at : at + rng.randint(0, 1)] = rng.choice(["", *"abdeiostuéx"])
+        words.append("".join(word) or "x")
+    text = toxicity.Text([" ".join(words)])
+    found = dict(zip(*(x.tolist() for x in lexicon.hits(text)[::2])))
+    for i, word in enumerate(words):
+        low, near = word.lower(), []
+        for term in terms:
+            if term.endswith("*"):
+                near += [0] if low.startswith(term[:-1]) else []
+            else:
+                d = distance(low, term)
+                near += [d] if d == 0 or d == 1 and len(term) >= 5 else []
+        assert found.get(i) == min(near, default=None), word
+
+
+def test_quotation():
+    text = toxicity.Text(['he said "you idiot" and left\nidiot', "idiot \" idiot"])
+    lexicon = toxicity.Lexicon({"idiot": 2.0})
+    words = lexicon.hits(text)[0]
+    assert text.quoted(text.starts[words]).tolist() == [True, False, False, True]
+
+
+def test_toxicity_held_out(spark):
+    """Accuracy on documents whose labels were not learned."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    scores = toxicity.score_documents(docs, model).where(toxicity.held_out()).join(labels, "doc_id").toPandas()
+    said, true = scores["score"] >= 0.3, scores["toxic"] == 1
+    assert (said & true).sum() / said.sum() > 0.95 and (said & true).sum() / true.sum() > 0.88
+
+
+def test_tokens_are_those_of_the_library():
+    texts = ["", " ", "Straße, ÉCOLE. naïve école it's I'LL 3.14 <|endoftext|> ΑΣ Σ. İstanbul ﬁn   x\x85y\x1cz 😀!!", "a\n\nb\tc"]
+    texts += [" ".join(random.Random(2).choices(["Abc.", "don't", "x1,", "日本語", "..", "THE", "é́"], k=500))]
+    import pyarrow as pa
+
+    ids, offsets = encoder(PATH).encode(pa.array(texts))
+    plain = Tokenizer.from_file(PATH)
+    for i, text in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_round_trip(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = str(tmp_path / "files")
+    token_files.write_token_files(docs, path, PATH, end_id=1, shards=3)
+    plain, at = Tokenizer.from_file(PATH), 0
+    rows = token_files.read_token_files(spark, path).orderBy("start").collect()
+    texts = docs.orderBy("doc_id").collect()
+    assert len(rows) == len(texts)
+    for row, doc in zip(rows, texts):
+        ids = plain.encode(doc["text"], add_special_tokens=False).ids + [1]
+        assert (row["doc_id"], row["start"], row["ids"]) == (doc["doc_id"], at, ids)
+        assert row["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        at += len(ids)
+    some = token_files.read_token_files(spark, path, doc_ids=[5, 150]).collect()
+    assert sorted(r["doc_id"] for r in some) == [5, 150]
+
+
+def test_secrets(spark):
+    found = secrets.scan_secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    keys = found["value"].str.fullmatch("AKIA[A-Z0-9]{16}|[0-9a-f]{40}")
+    numbers = found["value"].str.fullmatch(r"[0-9.]+") | found["value"].str.contains("@")
+    assert keys.sum() > 10 and numbers.sum() > 30
+    assert found["secret"][keys].mean() > 0.95 and found["secret"][numbers].mean() < 0.02
+
+
+def test_secrets_from_labels(spark):
+    """Given findings decide, also against what the form says."""
+    rng = random.Random(3)
+    key = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    rows, labels = [], []
+    for i in range(300):
+        value = key(24, "0123456789abcdef") if i % 2 else "v" + key(24, "0123456789")
+        rows.append((i, f"see id {value} here"))
+        if i < 200:
+            labels.append((i, 7, i % 2 == 1))
+    given = spark.createDataFrame(labels, "doc_id long, start long, secret boolean")
+    found = secrets.scan_secrets(frame(spark, rows), given).where("doc_id >= 200").collect()
+    assert len(found) == 100 and all(r["secret"] == (r["doc_id"] % 2 == 1) for r in found)
+
+
+def test_pages(spark):
+    menu = "<nav><ul><li>Home<li>News &amp; more</ul></nav>"
+    note = "<div><p>We value your time and ask you to read our terms of use today</p></div>"
+    head = "<html><head><title>T</title><script>var t='</p>';</script></head><body>"
+    pages = [
+        (1, "http://a.example/1", f"{head}{menu}<article><h1>One  title</h1><p>Text&nbsp;of <b>one.<br>More</p></article><footer>f</footer>"),
+        (2, "http://a.example/2", f"{head}{menu}{note}<div><p>Only here are these words to be read by people</p></div>"),
+        (3, "http://a.example/3", f"{head}{menu}{note}<div><p>Something else stands on this page, which is unique too</p></div>"),
+        (4, "http://b.example/4", f"{head}{note}<main>M<div class='ad box'>Buy</div><section id=comments><article>no</article></section>"),
+        (5, "http://b.example/5", "<nav>never closed<article>A<p>B</article>"),
+    ]
+    rows = html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {
+        1: "One title\nText of one. More",
+        2: "Only here are these words to be read by people",
+        3: "Something else stands on this page, which is unique too",
+        4: "We value your time and ask you to read our terms of use today\nM",
+        5: "A\nB",
+    }
+
+
+@pytest.mark.parametrize("block", [contamination.BLOCK_WORDS, 40])
+def test_contamination(spark, mixed_rows, block):
+    """Also with the benchmark in many blocks."""
+    rng = random.Random(4)
+    texts = [t for _, t in mixed_rows if t]
+    items = [(i, " ".join(rng.choice(texts).split()[k : k + rng.randint(3, 30)])) for i, k in enumerate(rng.choices(range(20), k=25))]
+    items += [(90, "not there at all"), (91, None), (7, "abc " * 12)]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = {}
+    for i, text in items:
+        w = word.findall((text or "").lower())
+        size = min(10, len(w))
+        for k in range(len(w) - size + 1 if size else 0):
+            windows.setdefault(tuple(w[k : k + size]), set()).add(str(i))
+    want = []
+    for i, text in mixed_rows:
+        w = word.findall((text or "").lower())
+        hit, names = set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                owners = windows.get(tuple(w[k : k + size]))
+                if owners:
+                    hit.update(range(k, k + size))
+                    names |= owners
+        digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        want.append((i, len(w), len(hit), len(names), digest, bool(hit)))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.report_contamination(frame(spark, mixed_rows), benchmark, block_words=block).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    kept = contamination.remove_contaminated(frame(spark, mixed_rows), benchmark, block_words=block).count()
+    assert kept == sum(not w[-1] for w in want)
+
+
+def test_longest_matches(spark):
+    docs = frame(spark, [(1, "x a b c d e f g h i j k l y"), (2, "a b c d"), (3, "q")])
+    benchmark = spark.createDataFrame([(1, "z b c d e f g h i j k l m"), (2, "q")], "item_id long, text string")
+    rows = contamination.longest_matches(docs, benchmark).collect()
+    assert sorted(map(tuple, rows)) == [(1, "1", 11, 2, 1), (3, "2", 1, 0, 0)]
+
+
+def test_lines(spark):
+    rng = random.Random(8)
+    lines = [" ".join(rng.choice("abcdefg") * 2 for _ in range(rng.randint(1, 9))) for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice(lines + ["", "  "]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    words, first, gone = 10, {}, {i: set() for i, _ in rows}
+    for i, text in rows:
+        parts = text.split("\n") if text else []
+        at = [k for k, line in enumerate(parts) if line.split()]
+        for s in range(len(at)):
+            total = 0
+            for e in range(s, len(at)):
+                total += len(parts[at[e]].split())
+                if total >= words:
+                    content = tuple(parts[k] for k in at[s : e + 1])
+                    if first.setdefault(content, (i, s)) != (i, s):
+                        gone[i].update(at[s : e + 1])
+                    break
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.delete_repeated_lines(frame(spark, rows), words).collect()}
+    for i, text in rows:
+        kept = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i])
+        assert got[i] == (kept, len(gone[i]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_plan_is_a_packing(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(5.5, 1.2, 3000), 1, 2048).astype(int)
+    counts = {int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True))}
+    plan = packing.Plan(counts, 2048)
+    assert (plan.taken == plan.counts).all()
+    used, numbers = {}, Counter()
+    for length, first, count, sequence, offset in plan.ranges:
+        numbers.update((length, n) for n in range(first, first + count))
+        for k in range(count):
+            used.setdefault(sequence + k, []).append((offset, length))
+    assert set(numbers.values()) == {1} and len(numbers) == len(lengths)
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(used) <= 1.01 * -(-lengths.sum() // 2048) + 1
+
+
+def test_packing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = packing.pack_documents(docs, PATH, 2048, end_id=0).collect()
+    plain = Tokenizer.from_file(PATH)
+    pieces = {}
+    for row in rows:
+        pieces.setdefault(row["doc_id"], []).append(row)
+    for doc in docs.collect():
+        ids = np.array(plain.encode(doc["text"], add_special_tokens=False).ids + [0], "<u4")
+        own = sorted(pieces.pop(doc["doc_id"]), key=lambda r: r["piece"])
+        assert [r["start"] for r in own] == list(range(0, len(ids), 2048))
+        for r in own:
+            part = ids[r["start"] : r["start"] + 2048]
+            assert (r["length"], r["ids_crc32"]) == (len(part), zlib.crc32(part.tobytes()))
+    assert not pieces
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i * 5, (rng.normal(size=16) * rng.integers(0, 2, 16)).tolist()) for i in range(300)]
+    rows += [(3, [1e6] * 16), (6, [-1e6] * 16)]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", k=7, block=64, query_block=10)
+    whole = {i: np.floor(64 * np.array(v)).astype(object) for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 20 == 0):
+        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:7]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize(("size", "percent"), [(4, 85), (2, 60)])
+def test_similar(spark, size, percent):
+    """Chains of near copies, and families that lie near each other without a link."""
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(0, None), (1, ""), (2, "a b"), (3, "A  b"), (4, "a b c")]
+    for family in range(6):
+        base = rng.choices(words, k=rng.randint(40, 160))
+        for _ in range(25):
+            text = list(base)
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            if rng.random() < 0.3:
+                base = text
+            rows.append((100 + len(rows), " ".join(text)))
+    rng.shuffle(rows)
+    sets = {}
+    for i, text in rows:
+        w = (text or "").lower().split()
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    name = {i: i for i in sets}
+
+    def find(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                name[b] = a
+    want = sorted((i, len(sets[i]), find(i)) for i in ids)
+    got = shingle_join.similar_documents(frame(spark, rows), size, percent)
+    assert sorted(map(tuple, got.collect())) == want
+    kept = sorted(r["doc_id"] for r in shingle_join.one_of_each(frame(spark, rows), size, percent).collect())
+    assert kept == sorted({find(i) for i in ids})
+
+
+def test_lower_bound_of_distance():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, m = rng.integers(1, 300, 2)
+        pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, k)) for k in (n, m))
+        true = 1 - len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        low = shingle_join.least_distance(shingle_join.parity(a), len(a), shingle_join.parity(b), len(b))
+        assert low <= true + 1e-12
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)]
+    name = {}
+
+    def find(i):
+        name.setdefault(i, i)
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        name[y] = x
+    found = connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"), "c").collect()
+    got = {r["node"]: r["component"] for r in found}
+    assert all(got.get(i, i) == find(i) for i in name)
