@@ -4,13 +4,12 @@ A document is the set of its word n-grams. Equal sets are one class from the sta
 
 1. Order. A sketch of fixed size counts n-grams over all documents; rare ones come first in every set. The sketch only
    decides the order, so its error costs time and never a link.
-2. Relations. Sets that share a min-hash are compared with one of them, the leader. A set within the threshold
-   of its leader joins the leader's star; its exact distance to the leader is kept.
-3. Index. Sets are listed under the n-grams of their prefix, of which similar sets share one. A list is cut in blocks by star,
-   each with its range of sizes and its first position; block pairs that size or position rule out are skipped.
-4. Answers. For pairs of blocks that remain only the leaders are compared. Jaccard distance is a metric, so the
-   members' answers follow: no member can link if the leaders' distance exceeds the threshold by both radii. Only
-   members of the few star pairs that stay open, and are not connected by then, are compared themselves.
+2. Relations. Sets that share a min-hash are compared with one of them, the leader. A set that links with a leader
+   inherits its component, and with it the answers of all sets found that way.
+3. Index. Sets are listed under the n-grams of their prefix, of which similar sets share one, in order of size. Of a list only
+   pairs of different components count; the largest component of a list is passed over as a block, sizes and
+   positions in the prefix skip more, and bitmaps of the parity of hashes bound the difference of two sets from below.
+4. The pairs that are left are compared exactly.
 
 So a group of thousands of near copies costs a comparison per member, not per pair, and no link is lost.
 
@@ -26,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from pulsegrid.llm.common import Scratch, slices
+from pulsegrid.llm.common import Scratch, free_shuffles, ragged, slices
 from pulsegrid.llm.components import connected_components
 from pulsegrid.llm.words import SOLID, find_words, hash_words, joined, mixed
 
@@ -36,7 +35,7 @@ SLICE = 4 << 20
 SEGMENT = 1 << 16
 MIN_HASHES = 4
 _SALTS = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
-_MEMBERS = "doc_id long, sid long, n long, low array<long>, segment int, counts binary"
+_MEMBERS = "doc_id long, sid long, n long, low array<long>, bits binary, segment int, counts binary"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -72,6 +71,38 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
                 yield doc_id, int.from_bytes(full[:8], "little", signed=True), full, values
 
 
+def parity(values: np.ndarray) -> bytes:
+    """A bitmap of two bits or more for each element: whether an odd number of them falls on each."""
+    width = 64
+    while width < 2 * len(values):
+        width *= 2
+    odd = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_distance(a: bytes, n: int, b: bytes, m: int) -> float:
+    """A lower bound of the Jaccard distance: sets differ in at least as many elements as their bitmaps do."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        # The lowest bits number the cells, so a narrower bitmap is the sum of the halves.
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    odd = max(abs(n - m), int(np.bitwise_count(x ^ y).sum()))
+    return 2 * odd / (n + m + odd)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) with the lower bound of their distance."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("x", "nx", "y", "ny")))
+        low = [least_distance(*row) for row in rows]
+        rest = [c for c in batch.schema.names if c not in ("x", "nx", "y", "ny")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in rest), pa.array(low, pa.float64())], [*rest, "low"]
+        )
+
+
 def _gathered(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], most: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Rows in batches."""
     held = []
@@ -95,13 +126,13 @@ def _members(size: int, bits: int) -> Callable:
             for doc_id, sid, _, values in _sets(batches, size):
                 counts[(values >> np.uint64(64 - bits)).astype(np.int64)] += 1
                 low = [int(mixed(values ^ s).min() >> np.uint64(1)) for s in _SALTS[:MIN_HASHES]] if len(values) else []
-                yield doc_id, sid, len(values), low, None, None
+                yield doc_id, sid, len(values), low, parity(values), None, None
             for number, part in enumerate(counts.reshape(-1, SEGMENT)):
                 if part.any():
-                    yield None, None, None, None, number, pack(part.tobytes())
+                    yield None, None, None, None, None, number, pack(part.tobytes())
 
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-        yield from _gathered(rows(), ["doc_id", "sid", "n", "low", "segment", "counts"], kinds)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
+        yield from _gathered(rows(), ["doc_id", "sid", "n", "low", "bits", "segment", "counts"], kinds)
 
     return run
 
@@ -279,147 +310,258 @@ def _several(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.filter(pa.array(keep)).to_batches()
 
 
-def block_pairs(leader: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int) -> set[tuple[int, int]]:
-    """Pairs of the blocks of one list whose sizes and positions leave room for a link.
-
-    A block is a star's part of the list. Shared elements before this one are at most the smaller position, those
-    after it at most the smaller rest.
-    """
-    order = np.argsort(leader, kind="stable")
-    leader, n, place = leader[order], n[order], place[order]
-    cuts = np.flatnonzero(np.concatenate([[True], leader[1:] != leader[:-1]]))
-    if len(cuts) < 2:
-        return set()
-    low, high = np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts)
-    before, rest = np.maximum.reduceat(place, cuts), np.maximum.reduceat(n - place - 1, cuts)
-    star = leader[cuts]
-    order = np.argsort(low, kind="stable")
-    star, low, high, before, rest = star[order], low[order], high[order], before[order], rest[order]
-    out = set()
-    for i in range(len(star) - 1):
-        # Blocks are in order of size, so all behind the last that can match are skipped.
-        end = int(np.searchsorted(low, high[i] * 100 // percent, side="right"))
-        others = slice(i + 1, end)
-        room = np.minimum(before[i], before[others]) + 1 + np.minimum(rest[i], rest[others])
-        least = -(-percent * (low[i] + low[others]) // (100 + percent))
-        for other in star[others][room >= least].tolist():
-            out.add((min(int(star[i]), other), max(int(star[i]), other)))
-    return out
+class Listed:
+    """The sets of one list, in order of size, with their components and bitmaps."""
+
+    def __init__(self, rows: pa.Table):
+        col = lambda name: rows.column(name).to_numpy()
+        order = np.argsort(col("n"), kind="stable")
+        self.sid, self.group = col("sid")[order], col("group")[order]
+        self.n, self.place = col("n")[order].astype(np.int64), col("place")[order].astype(np.int64)
+        bits = rows.column("bits").take(pa.array(order)).to_pylist()
+        self.width = np.array([len(b) for b in bits])
+        # Bitmaps of one width together; a set's place among them.
+        self.maps, self.at = {}, np.zeros(len(order), np.int64)
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.maps[width] = np.frombuffer(b"".join(bits[i] for i in own), np.uint8).reshape(len(own), width)
+            self.at[own] = np.arange(len(own))
+
+    def _differ(self, i: int, others: np.ndarray) -> np.ndarray:
+        """In how many elements a set and others differ at least."""
+        out = np.abs(self.n[others] - self.n[i])
+        mine = self.maps[int(self.width[i])][self.at[i]]
+        for width in np.unique(self.width[others]).tolist():
+            own = self.width[others] == width
+            theirs, less = self.maps[width][self.at[others[own]]], mine
+            # The lowest bits number the cells, so a narrower bitmap is the sum of the halves.
+            while len(less) > theirs.shape[1]:
+                less = less[: len(less) // 2] ^ less[len(less) // 2 :]
+            while theirs.shape[1] > len(less):
+                half = theirs.shape[1] // 2
+                theirs = theirs[:, :half] ^ theirs[:, half:]
+            out[own] = np.maximum(out[own], np.bitwise_count(theirs ^ less).sum(axis=1))
+        return out
+
+    def pairs(self, percent: int) -> Iterator[tuple[int, int]]:
+        """Pairs of different components that sizes, positions and bitmaps leave open.
+
+        Shared elements before the list's are at most the smaller position, those after it at most the smaller rest.
+        """
+        groups, counts = np.unique(self.group, return_counts=True)
+        largest = self.group == groups[counts.argmax()]
+        rest = self.n - self.place - 1
+        most = 1 - percent / 100 + 1e-9
+        for i in np.flatnonzero(~largest).tolist():
+            # The list is in order of size: only a slice of it can match.
+            begin = int(np.searchsorted(self.n, -(-self.n[i] * percent // 100)))
+            end = int(np.searchsorted(self.n, self.n[i] * 100 // percent, side="right"))
+            others = np.arange(begin, end)
+            room = np.minimum(self.place[i], self.place[others]) + 1 + np.minimum(rest[i], rest[others])
+            least = -(-percent * (self.n[i] + self.n[others]) // (100 + percent))
+            # Each pair once: with the largest component, or with a later one of the others.
+            others = others[(room >= least) & (self.group[others] != self.group[i]) & (largest[others] | (others > i))]
+            if not len(others):
+                continue
+            odd = self._differ(i, others)
+            near = 2 * odd / (self.n[i] + self.n[others] + odd) <= most
+            for other in self.sid[others[near]].tolist():
+                yield min(int(self.sid[i]), other), max(int(self.sid[i]), other)
+
+
+class Rows:
+    """Rows of many short lists, compared pair by pair in arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.sid, self.group = table.column("sid").to_numpy(), table.column("group").to_numpy()
+        self.n, self.place = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place"))
+        bits = table.column("bits").combine_chunks()
+        bits = pa.concat_arrays(bits.chunks) if isinstance(bits, pa.ChunkedArray) else bits
+        offsets = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1]
+        self.begin, self.width = offsets[:-1].astype(np.int64), np.diff(offsets)
+        self.data = np.frombuffer(bits.buffers()[2], np.uint8)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of rows sets, sizes, positions and bitmaps leave open, once each, as pairs of sets."""
+        n, m = self.n[left], self.n[right]
+        keep = (self.group[left] != self.group[right]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        left, right = left[keep], right[keep]
+        n, m, p, q = self.n[left], self.n[right], self.place[left], self.place[right]
+        keep = np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1) >= -(-percent * (n + m) // (100 + percent))
+        left, right = left[keep], right[keep]
+        swap = self.sid[left] > self.sid[right]
+        left, right = np.where(swap, right, left), np.where(swap, left, right)
+        order = np.lexsort((self.sid[right], self.sid[left]))
+        left, right = left[order], right[order]
+        a, b = self.sid[left], self.sid[right]
+        first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+        left, right = left[first], right[first]
+        odd = np.abs(self.n[left] - self.n[right])
+        widths = self.width[left].astype(np.int64) << 32 | self.width[right]
+        for both in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == both)
+            for part in np.array_split(at, 1 + len(at) * (both & 0xFFFF) // (1 << 24)):
+                x, y = self._maps(left[part], both >> 32), self._maps(right[part], both & 0xFFFFFFFF)
+                while x.shape[1] > y.shape[1]:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                while y.shape[1] > x.shape[1]:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                odd[part] = np.maximum(odd[part], np.bitwise_count(x ^ y).sum(axis=1))
+        near = 2 * odd / (self.n[left] + self.n[right] + odd) <= 1 - percent / 100 + 1e-9
+        return np.stack([self.sid[left[near]], self.sid[right[near]]], axis=1)
+
+    def _maps(self, rows: np.ndarray, width: int) -> np.ndarray:
+        return self.data[self.begin[rows][:, None] + np.arange(width)]
+
+
+LONG_LIST = 512
+_PAIRS = 1 << 20
+
+
+def short_pairs(table: pa.Table, begin: np.ndarray, end: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Pairs of sets from the lists table[begin:end], about `_PAIRS` pairs of rows at a time."""
+    if not len(begin):
+        return
+    rows = Rows(table)
+    row = ragged(begin, end - begin)
+    more = np.repeat(end, end - begin) - row - 1
+    cuts = np.searchsorted(np.cumsum(more), np.arange(_PAIRS, int(more.sum()) + _PAIRS, _PAIRS)) + 1
+    for part in np.split(np.arange(len(row)), np.unique(np.minimum(cuts, len(row)))):
+        if len(part):
+            yield rows.pairs(np.repeat(row[part], more[part]), ragged(row[part] + 1, more[part]), percent)
 
 
 def _list_pairs(percent: int) -> Callable:
-    """Pairs of leaders to compare; rows (gram, leader, n, place) come list by list."""
+    """Pairs of sets to compare; rows (gram, sid, group, n, place, bits) come list by list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        held: list[np.ndarray] = []
+        held = None
 
         def flush():
-            nonlocal found
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            found = set()
+            found.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-        def lists(rows: np.ndarray):
-            cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
-            ends = [*cuts.tolist(), len(rows)]
-            for begin, end in zip([0, *cuts.tolist()], ends):
-                part = rows[begin:end]
-                if part[0, 1] != part[-1, 1] or (part[:, 1] != part[0, 1]).any():
-                    found.update(block_pairs(part[:, 1], part[:, 2], part[:, 3], percent))
+        def lists(table: pa.Table):
+            gram, group = table.column("gram").to_numpy(), table.column("group").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            several = np.minimum.reduceat(group, cuts) != np.maximum.reduceat(group, cuts)
+            begins, ends = cuts[several], np.append(cuts[1:], len(gram))[several]
+            long = ends - begins > LONG_LIST
+            for pairs in short_pairs(table, begins[~long], ends[~long], percent):
+                found.update(map(tuple, pairs.tolist()))
+            for begin, end in zip(begins[long].tolist(), ends[long].tolist()):
+                found.update(Listed(table.slice(begin, end - begin)).pairs(percent))
 
         for batch in batches:
-            held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1))
-            rows = np.concatenate(held)
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < 50_000:
+                continue
+            gram = held.column("gram").to_numpy()
+            last = int(np.searchsorted(gram, gram[-1]))  # the last list may go on
             if last:
-                lists(rows[:last])
-                held = [rows[last:]]
-            else:
-                held = [rows]
+                lists(held.slice(0, last).combine_chunks())
+                held = held.slice(last)
             if len(found) > 100_000:
                 yield flush()
-        if held:
-            lists(np.concatenate(held))
+        if held is not None and held.num_rows:
+            lists(held.combine_chunks())
         yield flush()
 
     return run
 
 
-def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int = 23, bloom_bits: int = 27) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: links have 100 * shared >= percent * union."""
+def label_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int = 23, bloom_bits: int = 27) -> DataFrame:
+    """doc_id, sid (of its set), n (size of the set) and component of every document; empty sets have no component."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = scratch.write(source.mapInArrow(_members(size, bits), _MEMBERS), "members")
-    members = first.where("segment IS NULL").select("doc_id", "sid", "n", "low")
+    members = first.where("segment IS NULL").select("doc_id", "sid", "n", "low", "bits")
     steps = spark.sparkContext.broadcast(frequency_steps(first.where("segment IS NOT NULL").select("segment", "counts"), bits))
 
     index = source.mapInArrow(_prefixes(size, bits, percent, steps), "gram long, sid long, n int, place int")
     index = index.repartition("gram").sortWithinPartitions("gram", "sid")
     lists = scratch.write(index.mapInArrow(_repeated, "gram long, sid long, n int, place int"), "lists")
 
-    # One leader for all sets with the same min-hash.
-    sets = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("low").alias("low"))
-    hashes = sets.select("sid", F.posexplode("low").alias("which", "value"))
-    groups = hashes.groupBy("which", "value").agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a <> last")
-    near = hashes.join(groups, ["which", "value"]).where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
-    near = scratch.write(near, "near")
+    most = 1 - percent / 100 + 1e-9
+    sets = members.where("n > 0").groupBy("sid").agg(
+        F.min("doc_id").alias("doc"), F.first("low").alias("low"), F.first("bits").alias("bits"), F.first("n").alias("n")
+    )
+    sets = scratch.write(sets, "classes")
 
-    # The sets that any comparison can need, each from one document.
-    used = lists.select("sid").union(near.select("a")).union(near.select("b")).distinct()
-    keys = used.join(sets.select("sid", "doc"), "sid")
-    bloom = spark.sparkContext.broadcast(_bloom(keys, bloom_bits))
-    wanted = source.mapInArrow(_wanted(size, bloom_bits, bloom), "sid long, grams binary").dropDuplicates(["sid"])
-    grams = scratch.write(wanted, "sets")
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs with a lower bound of their distance."""
+        left = sets.select(F.col("sid").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx"))
+        right = sets.select(F.col("sid").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny"))
+        return pairs.join(left, "a").join(right, "b").mapInArrow(_bounded, "b long, a long, low double")
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs with their exact distance; their sets are fetched, each from one document."""
+        used = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        bloom = spark.sparkContext.broadcast(_bloom(used.join(sets.select("sid", "doc"), "sid"), bloom_bits))
+        wanted = source.mapInArrow(_wanted(size, bloom_bits, bloom), "sid long, grams binary").dropDuplicates(["sid"])
+        grams = scratch.write(wanted, f"{name}-sets")
         left = grams.select(F.col("sid").alias("a"), F.col("grams").alias("x"))
         right = grams.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
         counted = both.mapInArrow(_overlap, "a long, b long, shared long, whole long")
         linked = F.col("shared") * 100 >= F.col("whole") * percent
-        return scratch.write(counted.select("a", "b", (1 - F.col("shared") / F.col("whole")).alias("d"), linked.alias("linked")), name)
-
-    # Stars: a set goes to the smallest leader that it links with.
-    direct = compare(near, "direct").where("linked")
-    stars = direct.groupBy(F.col("b").alias("sid")).agg(F.min_by("d", "a").alias("d"), F.min("a").alias("leader"))
-    stars = scratch.write(stars, "stars")
-    own = F.coalesce("leader", "sid").alias("leader")
-    labelled = scratch.write(
-        lists.join(stars, "sid", "left").select("gram", "sid", "n", "place", own, F.coalesce("d", F.lit(0.0)).alias("d")), "labelled"
-    )
-    scratch.drop(lists)
-    parted = labelled.select("gram", "leader", "n", "place").repartition("gram").sortWithinPartitions("gram")
-    pairs = scratch.write(parted.mapInArrow(_list_pairs(percent), "a long, b long").distinct(), "pairs")
-    between = compare(pairs, "between")
-    links = direct.select("a", "b").unionByName(between.where("linked").select("a", "b"))
-    component = connected_components(links, scratch, "first")
-
-    # Star pairs that the distance of their leaders leaves open, in different components.
-    radius = stars.groupBy("leader").agg(F.max("d").alias("r"))
-    of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    span = lambda side: radius.select(F.col("leader").alias(side), F.col("r").alias(f"r{side}"))
-    open_ = between.where("NOT linked").join(span("a"), "a", "left").join(span("b"), "b", "left")
-    most = F.lit(1 - percent / 100 + 1e-9)
-    open_ = open_.where(F.col("d") - F.coalesce("ra", F.lit(0.0)) - F.coalesce("rb", F.lit(0.0)) <= most)
-    open_ = open_.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    open_ = open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", F.col("d").alias("between"))
-    open_ = scratch.write(open_, "open")
-    side = lambda name, star: labelled.select(
-        "gram", F.col("leader").alias(star), F.col("sid").alias(name), F.col("d").alias(f"d{name}"), F.col("n").alias(f"n{name}")
-    )
-    cross = open_.join(side("x", "a"), "a").join(side("y", "b"), ["gram", "b"])
-    cross = cross.where(F.col("between") - F.col("dx") - F.col("dy") <= most)
-    cross = cross.where((F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent))
-    rest = compare(cross.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "rest").where("linked")
-    final = links.unionByName(rest.select("a", "b"))
-    component = connected_components(final, scratch, "last")
-
-    whole = members.select("doc_id", "sid", "n").join(
-        component.select(F.col("node").alias("sid"), "component"), "sid", "left"
-    ).withColumn("component", F.coalesce("component", "sid"))
+        distance = (1 - F.col("shared") / F.col("whole")).alias("d")
+        out = scratch.write(counted.select("a", "b", distance, linked.alias("linked")), name)
+        scratch.drop(grams)
+        free_shuffles(spark)
+        return out
+
+    # One leader for all sets with the same min-hash.
+    hashes = sets.select("sid", F.posexplode("low").alias("which", "value"))
+    groups = hashes.groupBy("which", "value").agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a <> last")
+    near = hashes.join(groups, ["which", "value"]).where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    near = scratch.write(bounded(near).where(F.col("low") <= most), "near")
+    direct = compare(near, "direct").where("linked").select("a", "b")
+    component = connected_components(direct, scratch, "first").select(F.col("node").alias("sid"), F.col("component").alias("group"))
+    known = sets.join(component, "sid", "left").select("sid", F.coalesce("group", "sid").alias("group"), "bits")
+    labelled = lists.join(known, "sid").select("gram", "sid", "group", "n", "place", "bits")
+    parted = labelled.repartition("gram").sortWithinPartitions("gram")
+    between = scratch.write(parted.mapInArrow(_list_pairs(percent), "a long, b long").distinct(), "between-pairs")
+    exact = compare(between, "between").where("linked").select("a", "b")
+    component = connected_components(direct.unionByName(exact), scratch, "last")
+
+    named = component.select(F.col("node").alias("sid"), "component")
+    whole = members.select("doc_id", "sid", "n").join(named, "sid", "left")
+    return whole.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "sid")))
+
+
+def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: links have 100 * shared >= percent * union."""
+    whole = label_documents(docs, size, percent)
     names = whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return whole.join(names, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    name = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return whole.join(names, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"))
+
+
+def _with_set(size: int, at: int, text: int, names: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                two = pa.RecordBatch.from_arrays([part.column(at), part.column(text)], ["doc_id", "text"])
+                rows = [(sid, len(values)) for _, sid, _, values in _sets(iter([two]), size)]
+                sids, sizes = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())], names)
+
+    return run
+
+
+def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """One document of each component, that with the smallest doc_id, and all documents without shingles."""
+    sid, n = "__set", "__size"
+    whole = label_documents(docs, size, percent).where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("first")
+    kept = whole.groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.sid").alias(sid))
+    fields = [*docs.schema.fields, T.StructField(sid, T.LongType()), T.StructField(n, T.LongType())]
+    places = docs.columns.index("doc_id"), docs.columns.index("text")
+    rows = docs.mapInArrow(_with_set(size, *places, [f.name for f in fields]), T.StructType(fields))
+    full = rows.where(F.col(n) > 0).join(kept, sid).where(F.col("doc_id").eqNullSafe(F.col("__id")))
+    return full.dropDuplicates([sid, "doc_id"]).select(*docs.columns).unionByName(rows.where(F.col(n) == 0).select(*docs.columns))

@@ -9,8 +9,9 @@ around them alone, so equal strings have equal anchors but for their margins, an
 2. A repeated run of `span` bytes settles the strings inside it as repeated. A string whose core, the phrases
    between its safe anchors, is unique occurs once. Runs of any number of phrases have the pair of ranks at their ends
    (of the largest power of two) as their name; a string inside a repeated run of that kind is settled, too.
-3. What is left are strings at the borders of repeats. They are compared byte by byte with all strings of the same core, through
-   digests of 128 bits.
+3. What is left are strings at the borders of repeats. They are compared with all strings of the same core by digests of
+   128 bits: first in blocks of starts at equal distances from an anchor, then, where a border runs through a block, one by
+   one.
 
 Null is an empty text. Texts shorter than `span` keep all bytes. Rows with equal id and text count as two places, so all of
 them lose what is at least `span` long. No place is preferred: every occurrence is removed. Matches never cross
@@ -32,6 +33,7 @@ from pulsegrid.llm.words import joined, mixed
 
 SLICE = 4 << 20
 GRAM = 8
+STEP = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _START, _END = np.uint64(0xA5A5F00DD00DFACE), np.uint64(0x3C3C1DEA5EED0BAD)
@@ -160,47 +162,43 @@ def repeated_runs(docs: DataFrame, span: int, scratch: Scratch) -> DataFrame:
         *[F.first(c).alias(c) for c in ("pos", "prev", "nxt", "nxt2", "size")],
         F.first("name").alias("rank"), F.count("*").alias("copies"),
     )
-    end = F.least(F.col("nxt") + GRAM, "size")
-    state = state.select("*", end.alias("end"), F.array("rank").alias("ranks"), F.lit(None).cast("int").alias("top"))
-    state = scratch.write(state, "runs-0")
+    state = scratch.write(state.withColumn("end", F.least(F.col("nxt") + GRAM, "size")), "runs")
     scratch.drop(parsed)
     free_shuffles(spark)
-    offset, number = 1, 1
+    active = state.select("key", "idx", "pos", "end", "rank", "copies")
+    levels, offset, number = [active.select("key", "idx", "rank", "end", F.lit(0).alias("level"))], 1, 1
     while True:
         order = Window.partitionBy("key").orderBy("idx")
         ahead = F.lead(F.struct("idx", "rank", "end"), offset).over(order)
-        state_ = state.withColumn("ahead", ahead)
-        meets = F.col("rank").isNotNull() & F.col("top").isNull() & (F.col("ahead.idx") == F.col("idx") + offset)
-        other = F.when(meets, F.col("ahead.rank"))
-        pairs = scratch.write(
-            state_.withColumn("other", other).withColumn("far", F.when(other.isNotNull(), F.col("ahead.end"))).drop("ahead"),
-            f"pairs-{number}",
-        )
-        scratch.drop(state)
-        active = pairs.where("other IS NOT NULL")
+        meets = (F.col("ahead.idx") == F.col("idx") + offset) & (F.col("end") - F.col("pos") < span)
+        pairs = active.withColumn("ahead", ahead).where(meets)
+        pairs = pairs.select("key", "idx", "pos", "copies", "rank", F.col("ahead.rank").alias("other"), F.col("ahead.end").alias("end"))
+        pairs = scratch.write(pairs, f"pairs-{number}")
         # Distinct pairs in their order; their places are the new ranks.
-        again = active.groupBy("rank", "other").agg(F.sum("copies").alias("n")).where("n > 1").select("rank", "other")
-        ranks = scratch.write(
-            again.sort("rank", "other").withColumn("new", F.monotonically_increasing_id()), f"ranks-{number}"
-        )
-        longer = active.join(ranks, ["rank", "other"], "left").withColumn("end", F.coalesce("far", "end"))
-        rest = pairs.where("other IS NULL").withColumn("new", F.lit(None).cast("long"))
-        both = longer.unionByName(rest)
-        done = F.col("new").isNotNull() & (F.col("end") - F.col("pos") >= span)
-        state = both.select(
-            "key", "idx", "pos", "prev", "nxt", "nxt2", "size", "copies", F.col("new").alias("rank"), "end",
-            F.concat("ranks", F.array("new")).alias("ranks"), F.when(done, F.col("end")).otherwise(F.col("top")).alias("top"),
-        )
-        state = scratch.write(state, f"runs-{number}")
+        again = pairs.groupBy("rank", "other").agg(F.sum("copies").alias("n")).where("n > 1").select("rank", "other")
+        ranks = again.sort("rank", "other").withColumn("new", F.monotonically_increasing_id())
+        ranks = scratch.write(ranks, f"ranks-{number}")
+        active = pairs.join(ranks, ["rank", "other"]).select("key", "idx", "pos", "end", F.col("new").alias("rank"), "copies")
+        active = scratch.write(active, f"active-{number}")
         scratch.drop(pairs, ranks)
         free_shuffles(spark)
+        if active.isEmpty():
+            break
+        levels.append(active.select("key", "idx", "rank", "end", F.lit(number).alias("level")))
         offset, number = offset * 2, number + 1
-        if state.where("rank IS NOT NULL AND top IS NULL").isEmpty():
-            return state
+    # One row a phrase: the ranks of all levels it has, which are the first ones.
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    have = every.groupBy("key", "idx").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("level", "rank"))), lambda x: x["rank"]).alias("ranks"), F.max("end").alias("top")
+    )
+    both = state.drop("rank", "end").join(have, ["key", "idx"])
+    return both.withColumn("top", F.when(F.col("top") - F.col("pos") >= span, F.col("top")))
 
 
-_NAMES = ["key", "covered", "lo", "hi", "t", "ra", "rb", "xt", "xo", "xa", "xb"]
-INTERVALS = "key long, covered boolean, lo int, hi int, t int, ra long, rb long, xt int, xo int, xa long, xb long"
+_NAMES = ["key", "covered", "lo", "hi", "at", "t", "ra", "rb", "xt", "xo", "xa", "xb"]
+INTERVALS = "key long, covered boolean, lo int, hi int, at int, t int, ra long, rb long, xt int, xo int, xa long, xb long"
 
 
 class Runs:
@@ -287,19 +285,19 @@ class Runs:
         begin, end = self.covered()
         doc = np.searchsorted(self.bases, begin, side="right") - 1
         none = np.zeros(len(begin), np.int64)
-        yield self._batch(self.keys[doc], True, begin - self.bases[doc], end - self.bases[doc], *[none] * 7)
+        yield self._batch(self.keys[doc], True, begin - self.bases[doc], end - self.bases[doc], *[none] * 8)
         for rows, lo, hi, t, ra, rb in self.cores():
             # Known already as a whole: then only other strings may need these.
             at = np.searchsorted(begin, self.base[rows] + lo, side="right") - 1
             settled = (at >= 0) & (self.base[rows] + hi <= end[np.maximum(at, 0)]) if len(end) else np.zeros(len(rows), bool)
             xt, xo, xa, xb = self.wider(rows, lo, hi)
             xt = np.where(settled, -1, xt)
-            yield self._batch(self.key[rows], False, lo, hi, t, ra, rb, xt, xo, xa, xb)
+            yield self._batch(self.key[rows], False, lo, hi, self.pos[rows], t, ra, rb, xt, xo, xa, xb)
 
     @staticmethod
-    def _batch(key, covered, lo, hi, t, ra, rb, xt, xo, xa, xb) -> pa.RecordBatch:
+    def _batch(key, covered, lo, hi, at, t, ra, rb, xt, xo, xa, xb) -> pa.RecordBatch:
         small = lambda x: pa.array(np.asarray(x).astype(np.int32))
-        columns = [pa.array(key), pa.array(np.full(len(key), covered)), small(lo), small(hi), small(t), pa.array(ra), pa.array(rb)]
+        columns = [pa.array(key), pa.array(np.full(len(key), covered)), small(lo), small(hi), small(at), small(t), pa.array(ra), pa.array(rb)]
         return pa.RecordBatch.from_arrays([*columns, small(xt), small(xo), pa.array(xa), pa.array(xb)], _NAMES)
 
 
@@ -322,39 +320,67 @@ def _intervals(span: int) -> Callable:
     return run
 
 
-def _enumerate(span: int) -> Callable:
-    """Digests of the strings that start in the given ranges; of settled ones each digest once a slice."""
+def _blocks(span: int) -> Callable:
+    """Digests of blocks of `STEP` starts, counted back from an anchor: of the bytes that their strings share, and of all their bytes.
+
+    Strings that are equal lie in blocks that share the first; blocks that share the second hold equal strings only.
+    Of settled blocks with the same bytes one stands for all of a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[bytes] = set()
-            keys, places, digests, open_ = [], [], [], []
+            rows = []
             for key, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "ranges"))):
                 raw = text_bytes(text)
+                starts: dict[int, bool] = {}
                 for part in ranges:
-                    for p in range(part["lo"], part["hi"] + 1):
-                        digest = xxhash.xxh3_128_digest(raw[p : p + span])
-                        if part["settled"]:
-                            if digest in seen:
-                                continue
-                            seen.add(digest)
-                        keys.append(key)
-                        places.append(p)
-                        digests.append(digest)
-                        open_.append(not part["settled"])
-                if len(keys) > 100_000:
-                    yield _strings(keys, places, digests, open_)
-                    keys, places, digests, open_ = [], [], [], []
-            yield _strings(keys, places, digests, open_)
+                    for block in range((part["at"] - part["hi"]) // STEP, (part["at"] - part["lo"]) // STEP + 1):
+                        start = part["at"] - STEP * block
+                        starts[start] = starts.get(start, True) and part["settled"]
+                for start, settled in starts.items():
+                    inner = xxhash.xxh3_128_digest(raw[start : start - STEP + 1 + span])
+                    fits = start - STEP + 1 >= 0 and start + span <= len(raw)
+                    outer = xxhash.xxh3_128_digest(raw[start - STEP + 1 : start + span]) if fits else None
+                    if settled and fits:
+                        if outer in seen:
+                            continue
+                        seen.add(outer)
+                    rows.append((key, start, inner, outer, not settled))
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
+            columns = zip(*rows) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "start", "inner", "outer", "open"]
+            )
 
     return run
 
 
-def _strings(keys: list, places: list, digests: list, open_: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(open_, pa.bool_())],
-        ["key", "p", "digest", "open"],
-    )
+def _enumerate(span: int) -> Callable:
+    """Digests of the strings of the given blocks; of settled ones each digest once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[bytes] = set()
+            rows = []
+            for key, text, blocks in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "blocks"))):
+                raw = text_bytes(text)
+                places: dict[int, bool] = {}
+                for block in blocks:
+                    for p in range(max(0, block["start"] - STEP + 1), min(block["start"], len(raw) - span) + 1):
+                        places[p] = places.get(p, False) or block["open"]
+                for p, open_ in places.items():
+                    digest = xxhash.xxh3_128_digest(raw[p : p + span])
+                    if not open_:
+                        if digest in seen:
+                            continue
+                        seen.add(digest)
+                    rows.append((key, p, digest, open_))
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
+            columns = zip(*rows) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "p", "digest", "open"])
+
+    return run
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,24 +406,41 @@ def repeated_starts(docs: DataFrame, span: int, scratch: Scratch) -> DataFrame:
     wide = inner.where("xt > 0").join(copies, "key", "left")
     name = ["xt", "xo", "xa", "xb"]
     again = wide.groupBy(*name).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("places"))
-    proven = wide.join(again.where("places > 1"), name, "left_semi").select("key", "lo", "hi", "t", "ra", "rb")
+    proven = wide.join(again.where("places > 1"), name, "left_semi").select("key", "lo", "hi", "at", "t", "ra", "rb")
     proven = scratch.write(proven, "proven")
-    open_ = inner.where("xt >= 0").select("key", "lo", "hi", "t", "ra", "rb").join(proven, ["key", "lo", "hi", "t", "ra", "rb"], "left_anti")
-    settled = inner.where("xt < 0").select("key", "lo", "hi", "t", "ra", "rb").unionByName(proven)
+    columns = ["key", "lo", "hi", "at", "t", "ra", "rb"]
+    open_ = inner.where("xt >= 0").select(*columns).join(proven, columns, "left_anti")
+    settled = inner.where("xt < 0").select(*columns).unionByName(proven)
     states = open_.withColumn("settled", F.lit(False)).unionByName(settled.withColumn("settled", F.lit(True)))
     states = scratch.write(states, "states")
     # Cores that an open string has and that stand in several places.
-    asked = states.groupBy("t", "ra", "rb").agg(F.count("*").alias("n"), F.min("settled").alias("settled"))
-    asked = asked.where("n > 1 AND NOT settled").select("t", "ra", "rb")
+    asked = states.groupBy("t", "ra", "rb").agg(F.count("*").alias("n"), F.min("settled").alias("settled")).join(
+        states.join(copies, "key").groupBy("t", "ra", "rb").agg(F.max("copies").alias("copies")), ["t", "ra", "rb"], "left"
+    )
+    asked = asked.where("(n > 1 OR copies > 1) AND NOT settled").select("t", "ra", "rb")
     wanted = states.join(asked, ["t", "ra", "rb"], "left_semi")
-    ranges = wanted.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "settled")).alias("ranges"))
+    ranges = wanted.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at", "settled")).alias("ranges"))
     texts = docs.mapInArrow(_keyed, "key long, doc_id long, text string").select("key", "text")
-    strings = texts.join(ranges, "key").mapInArrow(_enumerate(span), "key long, p int, digest binary, open boolean")
+    blocks = texts.join(ranges, "key").mapInArrow(_blocks(span), "key long, start int, inner binary, outer binary, open boolean")
+    blocks = scratch.write(blocks, "blocks")
+    scratch.drop(states)
+    free_shuffles(docs.sparkSession)
+    same = blocks.where("outer IS NOT NULL").groupBy("outer").agg(F.count("*").alias("n")).where("n > 1").select("outer")
+    equal = scratch.write(blocks.where("open").join(same, "outer", "left_semi").select("key", "start").distinct(), "equal")
+    rest = blocks.join(equal.withColumn("done", F.lit(True)), ["key", "start"], "left").withColumn(
+        "open", F.col("open") & F.col("done").isNull()
+    )
+    near = rest.groupBy("inner").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select("inner")
+    asked = rest.join(near, "inner", "left_semi").groupBy("key").agg(F.collect_list(F.struct("start", "open")).alias("blocks"))
+    asked = scratch.write(asked, "asked")
+    strings = texts.join(asked, "key").mapInArrow(_enumerate(span), "key long, p int, digest binary, open boolean")
     strings = scratch.write(strings, "strings")
     free_shuffles(docs.sparkSession)
     twice = strings.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     found = strings.where("open").join(twice, "digest", "left_semi").select("key", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    return covered.unionByName(proven.select("key", "lo", "hi")).unionByName(found)
+    # All starts of equal blocks: those before the block's last that are in the text.
+    whole = equal.select("key", (F.col("start") - STEP + 1).alias("lo"), F.col("start").alias("hi"))
+    return covered.unionByName(proven.select("key", "lo", "hi")).unionByName(whole).unionByName(found)
 
 
 def _remove(span: int) -> Callable:

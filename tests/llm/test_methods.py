@@ -317,9 +317,21 @@ def test_top_k(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-@pytest.mark.parametrize(("size", "percent"), [(4, 85), (2, 60)])
-def test_similar(spark, size, percent):
-    """Chains of near copies, and families that lie near each other without a link."""
+@pytest.mark.parametrize(("size", "percent", "long"), [(4, 85, 512), (2, 60, 512), (4, 85, 3)])
+def test_similar(spark, monkeypatch, size, percent, long):
+    """Chains of near copies, and families that lie near each other without a link; lists short and long."""
+    pairs = shingle_join._list_pairs
+
+    def with_limit(*args):
+        run = pairs(*args)
+
+        def limited(batches):
+            shingle_join.LONG_LIST = long
+            return run(batches)
+
+        return limited
+
+    monkeypatch.setattr(shingle_join, "_list_pairs", with_limit)
     rng = random.Random(size)
     words = [f"w{i}" for i in range(500)]
     rows = [(0, None), (1, ""), (2, "a b"), (3, "A  b"), (4, "a b c")]
