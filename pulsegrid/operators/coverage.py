@@ -43,12 +43,17 @@ def coverage(
     interval_ms: int,
     start: datetime | str | None = None,
     end: datetime | str | None = None,
+    *,
+    series: DataFrame | None = None,
 ) -> DataFrame:
     """Observed and expected buckets per series and their ratio.
 
-    Without a range, each series is measured between its own first and last bucket.
+    Without a range, each series is measured between its own first and last bucket. With both ends of one, series
+    that are silent in it have a row as well: those of `series`, a frame of keys, else all that `df` ever holds.
     """
     counts = observed_counts(time_range(df, start, end), interval_ms)
+    if start is not None and end is not None:
+        counts = all_series(df, series).join(counts, series_keys(df), "left").fillna(0, ["observed"])
     first, last = _grid_ends(interval_ms, start, end)
     expected = last - first + 1
     return counts.select(
@@ -59,13 +64,21 @@ def coverage(
     )
 
 
+def all_series(df: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    """The keys of a catalogue, or of all readings."""
+    keys = series_keys(df)
+    return drop_null_keys(df if series is None else series).select(*keys).distinct()
+
+
 def missing_buckets(
     df: DataFrame,
     interval_ms: int,
     start: datetime | str | None = None,
     end: datetime | str | None = None,
+    *,
+    series: DataFrame | None = None,
 ) -> DataFrame:
-    """The expected buckets of each series that hold no reading.
+    """The expected buckets of each series that hold no reading; series and range as in `coverage`.
 
     The expected time is laid out in words of 64 buckets and matched with the observed words on
     series and word; only words with a gap are taken apart. The grid unfolds in chunks of at most
@@ -75,6 +88,8 @@ def missing_buckets(
     # Used twice below, and much smaller than the readings they come from.
     words = materialize(observed_words(time_range(df, start, end), interval_ms), "words")
     ends = words.groupBy(*keys).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    if start is not None and end is not None:
+        ends = all_series(df, series).join(ends, keys, "left")
     first, last = _grid_ends(interval_ms, start, end)
     spans = ends.select(*keys, first.alias("first"), last.alias("last"))
     last_word = F.shiftright("last", 6)

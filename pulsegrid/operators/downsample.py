@@ -120,9 +120,12 @@ def smart_downsample(
 
 @dataclass(frozen=True)
 class Fitted:
+    """Rows that fit, how many there were, and the width they were widened to, None where they fitted."""
+
     data: DataFrame
     points: int
     truncated: bool
+    interval_ms: int | None = None
 
 
 def fit_partials(
@@ -135,7 +138,7 @@ def fit_partials(
         return Fitted(finalize(stored, method), size.rows, False)
     interval = required_interval(size.span_ms, max_points)
     coarser = finalize(merge_partials(stored, interval), method)
-    return Fitted(stride_sample(coarser, max_points, distinct_rows=True), size.rows, True)
+    return Fitted(stride_sample(coarser, max_points, distinct_rows=True), size.rows, True, interval)
 
 
 def adaptive_bucket(

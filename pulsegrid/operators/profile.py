@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.functions.intervals import ABSOLUTE_MAX_POINTS, aggregated_interval_column
+from pulsegrid.functions.intervals import RECOMMENDED_POINTS, aggregated_interval_column
 from pulsegrid.functions.time import bucket_start, span_millis
 from pulsegrid.schema import TIMESTAMP, drop_null_keys, series_keys
 
@@ -34,7 +34,7 @@ def series_density(df: DataFrame, interval_ms: int) -> DataFrame:
     )
 
 
-def recommend_intervals(df: DataFrame, target_points: int = ABSOLUTE_MAX_POINTS // 2) -> DataFrame:
+def recommend_intervals(df: DataFrame, target_points: int = RECOMMENDED_POINTS) -> DataFrame:
     """Recommended bucket width of every series and the points to expect from it."""
     keys = series_keys(df)
     stats = drop_null_keys(df).groupBy(*keys).agg(

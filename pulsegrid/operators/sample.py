@@ -63,32 +63,27 @@ def stride_sample(
     *,
     distinct_rows: bool = False,
 ) -> DataFrame:
-    """Every `n // max_points`-th row, the first `max_points` of them; all rows when they fit.
+    """`max_points` rows at even distances from the first on; all rows when they fit.
 
-    Because the stride is rounded down, up to half of the range may be cut off at the end. Without
-    `order_by` the order is that of time and series. Copies of a row are counted first and placed
+    Of n rows those at the positions floor(k * n / max_points) are kept, so the last one lies in the last stride.
+    Without `order_by` the order is that of time and series. Copies of a row are counted first and placed
     together; `distinct_rows` says that there are none, as after any bucketing.
     """
     order_by = list(order_by or (TIMESTAMP, *series_keys(df)))
     if distinct_rows:
         placed = with_position(df, order_by)
-        step = _step(max_points)
-        return placed.where(
-            (F.col("row_position") % step == 0) & (F.col("row_position") < step * F.lit(max_points))
-        ).select(*df.columns)
+        chosen = _strides("row_position + 1", max_points) > _strides("row_position", max_points)
+        return placed.where(chosen).select(*df.columns)
     counted = df.groupBy(*[F.col(f"`{name}`") for name in df.columns])
     placed = with_position(counted.agg(F.count(F.lit(1)).alias(_COPIES)), order_by, _COPIES)
-    step = _step(max_points)
-    # Multiples of the stride from the first copy to the last.
-    first = F.ceil(F.col("row_position") / step)
-    last = F.least(
-        F.ceil((F.col("row_position") + F.col(_COPIES)) / step) - 1, F.lit(max_points - 1)
-    )
-    hits = placed.withColumn("row_first_hit", first).withColumn("row_last_hit", last)
-    chosen = hits.where("row_first_hit <= row_last_hit")
-    repeated = F.explode(F.sequence("row_first_hit", "row_last_hit"))
+    # The numbers of the strides that begin at one of the copies.
+    begin, end = _strides("row_position", max_points), _strides(f"row_position + {_COPIES}", max_points)
+    chosen = placed.withColumn("row_begin", begin).withColumn("row_end", end).where("row_begin < row_end")
+    repeated = F.explode(F.sequence("row_begin", F.col("row_end") - 1))
     return chosen.withColumn("row_hit", repeated).select(*df.columns)
 
 
-def _step(max_points: int) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.col("row_total") / F.lit(max_points)))
+def _strides(position: str, max_points: int) -> Column:
+    """How many strides begin before a position; of fewer rows than strides each begins one."""
+    strides = F.least(F.lit(max_points).cast("decimal(19,0)"), F.col("row_total"))
+    return F.ceil(F.expr(position).cast("decimal(19,0)") * strides / F.col("row_total")).cast("long")

@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 
-from pulsegrid.functions.intervals import (
-    ABSOLUTE_MAX_POINTS,
-    DEFAULT_MAX_POINTS,
-    aggregated_interval,
-    query_interval,
-)
+from pulsegrid.functions.intervals import TARGET_POINTS, aggregated_interval, query_interval
 from pulsegrid.functions.time import millis_between, utc_time
 from pulsegrid.operators.bucket import aggregate_by_interval
 from pulsegrid.operators.downsample import fit_partials
 from pulsegrid.operators.filters import select_readings
-from pulsegrid.operators.partials import finalize, partial_stats, resolve_method, stats_for
+from pulsegrid.operators.partials import build_partials, finalize, partial_stats, resolve_method, stats_for
 from pulsegrid.plans.routing import Request, tier_by_duration, tier_by_interval, tiered_partials
 from pulsegrid.schema import TIMESTAMP, numeric_fields, series_keys
 from pulsegrid.sources.rollups import GRAINS, RollupStore
@@ -29,13 +24,24 @@ SECOND_MS = 1000
 
 @dataclass(frozen=True)
 class SeriesResult:
-    """Rows of a query and how they were obtained."""
+    """Rows of a query and how they were obtained.
+
+    `interval_ms` is the width of the rows' buckets, also where a limit made it wider than asked, and `truncated`
+    says that it did; `points` is then the number of rows of the width asked for, else None, as nothing was counted.
+    """
 
     data: DataFrame
     tier_used: str
     interval_ms: int
     truncated: bool
     actual_end: datetime | None
+    method: str | None = None
+    points: int | None = None
+
+    @property
+    def points_per_hour(self) -> float:
+        """Rows an hour that one series has at most at this width."""
+        return HOUR_MS / self.interval_ms
 
 
 def validate_range(
@@ -61,7 +67,7 @@ def query_series(
     end: datetime | str,
     assets: Sequence[str] | DataFrame | None = None,
     interval_ms: int | None = None,
-    max_points: int | None = DEFAULT_MAX_POINTS,
+    max_points: int | None = None,
     aggregation: str = "avg",
     *,
     store: RollupStore | None = None,
@@ -73,13 +79,12 @@ def query_series(
     """Buckets of the chosen series in time order, from the cheapest table that is exact.
 
     `raw` is a frame of readings, as read or normalized, or None to use stored rollups only. `max_points`
-    limits the rows, at most `ABSOLUTE_MAX_POINTS`; None returns every bucket and keeps the whole
-    query lazy. `dedup` removes whole-row copies first; tables written by `write_raw` and unions
+    limits the rows; None, the default, returns every bucket and keeps the whole query lazy. `dedup` removes whole-row copies first; tables written by `write_raw` and unions
     made by `union_sources` have none.
     """
     start, end = validate_range(sensors, start, end, max_duration_hours)
     duration_ms = millis_between(start, end)
-    interval_ms = interval_ms or query_interval(duration_ms, max_points or DEFAULT_MAX_POINTS)
+    interval_ms = interval_ms or query_interval(duration_ms, max_points or TARGET_POINTS)
     preferred = tier_by_duration(duration_ms / HOUR_MS)
     return _run(
         raw, sensors, start, end, assets, interval_ms, max_points, aggregation,
@@ -95,7 +100,7 @@ def aggregated_query(
     interval_ms: int | None = None,
     aggregation: str = "mean",
     *,
-    max_points: int | None = ABSOLUTE_MAX_POINTS,
+    max_points: int | None = None,
     store: RollupStore | None = None,
     fields: Sequence[str] | None = None,
     tie: Sequence[str] = (),
@@ -104,7 +109,7 @@ def aggregated_query(
     """Buckets of a width chosen for all sensors together, from the coarsest rollup that fits."""
     start, end = validate_range(sensors, start, end)
     if interval_ms is None:
-        limit = max_points or ABSOLUTE_MAX_POINTS
+        limit = max_points or TARGET_POINTS
         interval_ms = aggregated_interval(millis_between(start, end), len(sensors), limit)
     result = _run(
         raw, sensors, start, end, None, interval_ms, max_points, aggregation,
@@ -119,19 +124,24 @@ def raw_query(
     start: datetime | str,
     end: datetime | str,
     *,
-    max_points: int = ABSOLUTE_MAX_POINTS,
+    max_points: int | None = None,
     fields: Sequence[str] | None = None,
     tie: Sequence[str] = (),
     dedup: bool = False,
 ) -> SeriesResult:
-    """Original values, the last of each second. A range too long for the limit ends earlier."""
+    """Original values, the last of each second; with `max_points` at most that many, spread over the range."""
     start, end = validate_range(sensors, start, end)
-    truncated = (end - start).total_seconds() * len(sensors) > max_points
-    actual_end = start + timedelta(seconds=max_points / len(sensors)) if truncated else end
-    rows = select_readings(raw, sensors, start, actual_end, dedup=dedup)
-    last = aggregate_by_interval(rows, SECOND_MS, "last", fields=fields, tie=tie)
-    data = last.orderBy(TIMESTAMP, *series_keys(last))
-    return _with_sensor_type(SeriesResult(data, "raw", SECOND_MS, truncated, actual_end))
+    rows = select_readings(raw, sensors, start, end, dedup=dedup)
+    tie = tuple(tie)
+    if max_points is None:
+        last = aggregate_by_interval(rows, SECOND_MS, "last", fields=fields, tie=tie)
+        data = last.orderBy(TIMESTAMP, *series_keys(last))
+        return _with_sensor_type(SeriesResult(data, "raw", SECOND_MS, False, end, "last"))
+    partials = build_partials(rows, SECOND_MS, fields=fields or numeric_fields(raw, tie), tie=tie, stats=stats_for(["last"]))
+    fitted = fit_partials(partials, "last", max_points)
+    width = max(SECOND_MS, fitted.interval_ms or 0)
+    data = fitted.data.orderBy(TIMESTAMP, *series_keys(fitted.data))
+    return _with_sensor_type(SeriesResult(data, "raw", width, fitted.truncated, end, "last", fitted.points))
 
 
 def _run(
@@ -147,25 +157,15 @@ def _run(
         () if method == "count" else fields, tie, stats_for([method]), dedup,
     )
     partials, tier = tiered_partials(raw, store, request, preferred)
-    truncated, actual_end = False, end
-    if max_points is None or _bound(request) <= max_points:
-        data = finalize(partials, method)
+    if max_points is None:
+        data, width, truncated, points = finalize(partials, method), interval_ms, False, None
     else:
-        fitted = fit_partials(partials, method, min(max_points, ABSOLUTE_MAX_POINTS))
-        data, truncated = fitted.data, fitted.truncated
-        if truncated:
-            actual_end = data.agg({TIMESTAMP: "max"}).first()[0]
+        fitted = fit_partials(partials, method, max_points)
+        data, truncated, points = fitted.data, fitted.truncated, fitted.points
+        width = max(interval_ms, fitted.interval_ms or 0)
     ordered = data.orderBy(TIMESTAMP, *series_keys(data))
-    return SeriesResult(ordered, tier, interval_ms, truncated, actual_end)
-
-
-def _bound(request: Request) -> float:
-    """Most rows a query can have; unknown, hence unlimited, unless its assets are listed."""
-    listed = isinstance(request.sensors, (list, tuple)) and isinstance(request.assets, (list, tuple))
-    if not listed or not request.assets:
-        return float("inf")
-    buckets = request.duration_ms / request.interval_ms + 2
-    return buckets * len(request.sensors) * len(request.assets)
+    # The range is whole whatever the limit: rows are spread over it.
+    return SeriesResult(ordered, tier, width, truncated, end, method, points)
 
 
 def _fields(raw, store, preferred, tie) -> list[str]:
@@ -177,6 +177,4 @@ def _fields(raw, store, preferred, tie) -> list[str]:
 
 def _with_sensor_type(result: SeriesResult) -> SeriesResult:
     renamed = result.data.withColumnRenamed("sensor_name", "sensor_type")
-    return SeriesResult(
-        renamed, result.tier_used, result.interval_ms, result.truncated, result.actual_end
-    )
+    return replace(result, data=renamed)

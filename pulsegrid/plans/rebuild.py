@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.time import ceil_time, floor_time, utc_time
-from pulsegrid.operators.catalog import list_sensors
-from pulsegrid.operators.coverage import observed_counts
+from pulsegrid.operators.coverage import bucket_number, observed_counts
 from pulsegrid.operators.filters import only_sensors, select_readings
 from pulsegrid.operators.partials import build_partials, merge_partials
+from pulsegrid.schema import TIMESTAMP, numeric_fields
 from pulsegrid.session import materialize
 from pulsegrid.sources.rollups import DAY_MS, GRAINS, RollupStore
 
-# Lowest acceptable coverage of the readings and of the minute rollup.
+# Lowest acceptable coverage of the readings and of each rollup.
 RAW_COVERAGE = 0.9
-MINUTE_COVERAGE = 0.8
+TIER_COVERAGE = {"1m": 0.8, "1h": 0.8, "1d": 0.8}
 
 
 def rebuild_rollups(
@@ -33,12 +33,16 @@ def rebuild_rollups(
 ) -> None:
     """Recompute rollups of the given sensors and time, everything by default.
 
-    The range is widened to whole days, which all grains divide. Each grain is one job: minutes
-    from the readings, every other grain by merging the stored next finer one. Running it twice
-    leaves the same tables. `dedup` removes whole-row copies of readings first.
+    The range is widened to whole days, which all grains divide, and back to where the recorded time ended within the
+    day before, as that day may have grown since. Each grain is one job: minutes from the readings, every other
+    grain by merging the stored next finer one. Running it twice leaves the same tables, and days of which the
+    readings have gone lose their rows. `dedup` removes whole-row copies of readings first.
     """
     start = floor_time(utc_time(start), DAY_MS) if start is not None else None
     end = ceil_time(utc_time(end), DAY_MS) if end is not None else None
+    if start is not None and not sensors:
+        start = min([start, *(floor_time(t, DAY_MS) for t in store.open_ends(start))])
+    fields = numeric_fields(raw, store.tie) if fields is None else list(fields)
     rows = select_readings(raw, sensors, start, end, dedup=dedup)
     finer = None
     for name in grains:
@@ -49,24 +53,33 @@ def rebuild_rollups(
             partials = merge_partials(store.read(finer, sensors, start, end), grain.interval_ms)
         store.replace(name, partials, start, end, sensors)
         finer = name
-    if not sensors:
-        _record_coverage(store, grains, start, end)
+    span = start or datetime.min, end or datetime.max
+    if sensors:
+        # What the other sensors have keeps its record only if both were built alike.
+        store.forget(grains, *span, unless=store.build(fields, dedup))
+    else:
+        store.forget(grains, *span)
+        _record_coverage(raw, store, grains, start, end, store.build(fields, dedup))
 
 
 def _record_coverage(
-    store: RollupStore, grains: Sequence[str], start: datetime | None, end: datetime | None
+    raw: DataFrame, store: RollupStore, grains: Sequence[str], start: datetime | None, end: datetime | None, build: str
 ) -> None:
     """Everything before the readings' first was built too, unless a start was given.
 
-    The last minute with readings, and what follows, may still grow and is not recorded.
+    Up to `end` if the source has later readings; else the last minute with readings, and what follows, may still grow
+    and is not recorded.
     """
-    latest = store.read(grains[-1]).agg(F.max("last_ts")).first()[0]
-    if latest is None:
-        return
-    known = floor_time(latest, GRAINS["1m"].interval_ms)
-    start, end = start or datetime.min, min(end or known, known)
-    if start < end:
-        store.mark_covered(grains, start, end)
+    if end is not None and not select_readings(raw, None, end).isEmpty():
+        known = end
+    else:
+        latest = select_readings(raw, None, start, end).agg(F.max(TIMESTAMP)).first()[0]
+        if latest is None:
+            return
+        known = floor_time(latest, GRAINS["1m"].interval_ms)
+    start = start or datetime.min
+    if start < known:
+        store.mark_covered(grains, start, known, build)
 
 
 def validate_rollups(
@@ -75,29 +88,27 @@ def validate_rollups(
     sensors: Sequence[str] | None = None,
     *,
     raw_interval_ms: int = 1000,
-    first_sensors: int | None = None,
 ) -> DataFrame:
     """Coverage of the readings and of each stored grain per series, with a verdict.
 
-    Every tier is measured between the first and last reading of the series. `first_sensors`
-    restricts the check to that many sensors in name order, as a quick look.
+    Every tier is measured between the first and last reading of the series; stored buckets outside of that do not
+    count, and a tier that is not there has coverage 0.
     """
-    if first_sensors is not None:
-        raw = only_sensors(raw, list_sensors(raw).limit(first_sensors))
     raw = select_readings(raw, sensors)
     keys = ["sensor_name", "asset_id"]
     # One row per series, compared with every tier: the readings are scanned once.
     seen = materialize(observed_counts(raw, raw_interval_ms), "observed")
     tiers = [_verdict(seen, "raw", raw_interval_ms, raw_interval_ms, RAW_COVERAGE)]
     for name, grain in GRAINS.items():
-        if not store.exists(name):
-            continue
-        held = only_sensors(store.read(name), sensors).groupBy(*keys)
-        counts = held.agg(F.count(F.lit(1)).alias("observed"))
-        # One row per series on both sides.
-        paired = seen.drop("observed").join(counts, keys, "left").fillna(0, ["observed"])
-        threshold = MINUTE_COVERAGE if name == "1m" else 0.0
-        tiers.append(_verdict(paired, name, grain.interval_ms, raw_interval_ms, threshold))
+        held = seen.drop("observed").withColumn("observed", F.lit(0).cast("long"))
+        if store.exists(name):
+            rows = only_sensors(store.read(name), sensors).select(*keys, bucket_number(F.col("bucket"), grain.interval_ms).alias("n"))
+            first, last = _ends(grain.interval_ms, raw_interval_ms)
+            inside = seen.select(*keys, first.alias("low"), last.alias("high")).join(rows, keys).where("n BETWEEN low AND high")
+            counts = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("observed"))
+            # One row per series on both sides.
+            held = seen.drop("observed").join(counts, keys, "left").fillna(0, ["observed"])
+        tiers.append(_verdict(held, name, grain.interval_ms, raw_interval_ms, TIER_COVERAGE[name]))
     merged = tiers[0]
     for tier in tiers[1:]:
         merged = merged.unionByName(tier)
@@ -108,9 +119,7 @@ def _verdict(
     series: DataFrame, tier: str, interval_ms: int, numbered_ms: int, threshold: float
 ) -> DataFrame:
     """Expected buckets of a tier between ends that are numbered in buckets of `numbered_ms`."""
-    first, last = [
-        F.floor(F.col(end) * F.lit(numbered_ms) / F.lit(interval_ms)) for end in ("first", "last")
-    ]
+    first, last = _ends(interval_ms, numbered_ms)
     expected = last - first + 1
     ratio = F.col("observed") / expected
     return series.select(
@@ -122,3 +131,8 @@ def _verdict(
         ratio.alias("coverage"),
         (ratio >= F.lit(threshold)).alias("ok"),
     )
+
+
+def _ends(interval_ms: int, numbered_ms: int) -> list[Column]:
+    """Numbers of a series' first and last bucket of a width, from those of another."""
+    return [F.floor(F.col(end) * F.lit(numbered_ms) / F.lit(interval_ms)) for end in ("first", "last")]

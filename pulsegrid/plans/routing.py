@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
-from datetime import datetime
+from dataclasses import dataclass, replace
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions.time import ceil_time, floor_time, millis_between
 from pulsegrid.operators.filters import select_readings
@@ -16,6 +16,7 @@ from pulsegrid.operators.partials import (
     merge_partials,
     partial_stats,
 )
+from pulsegrid.schema import TIMESTAMP
 from pulsegrid.sources.rollups import GRAINS, RollupStore
 
 RAW = "raw"
@@ -82,9 +83,9 @@ def tiered_partials(
 ) -> tuple[DataFrame, str]:
     """Partials of the requested buckets and the tier they came from.
 
-    A rollup is used where it is exact, as far as it is recorded to be complete; what lies outside
-    comes from the readings. Where the readings themselves are gone, any exact rollup with rows
-    will do. The first tier with rows wins.
+    A rollup is used where it is exact, as far as it is recorded to be complete and was built as the request asks
+    (fields, order of equal times, copies); what lies outside comes from the readings. Where the readings are
+    gone, it must be recorded for the whole range. The first tier with rows wins.
     """
     raw_rows = None if raw is None else _select(raw, request)
     raw_gone = raw is None
@@ -92,14 +93,17 @@ def tiered_partials(
         if tier == RAW:
             if raw is None:
                 continue
-            if not raw_rows.isEmpty():
-                return _from_raw(raw_rows, request), RAW
+            # Copies do not make rows, so nothing is deduplicated for this.
+            if not _select(raw, replace(request, dedup=False)).isEmpty():
+                return _raw_with_past(raw, raw_rows, store, request), RAW
             raw_gone = True
         elif store is not None and is_exact(tier, request, not raw_gone):
             start, end = _inner(tier, request)
-            if not raw_gone:
-                until = store.covered_until(tier, start)
-                end = min(end, floor_time(until or start, GRAINS[tier].interval_ms))
+            until = store.covered_until(tier, start, request.fields, request.tie, request.dedup)
+            reached = min(end, floor_time(until or start, GRAINS[tier].interval_ms))
+            if raw_gone and reached < end:
+                continue  # nothing else could answer for the rest
+            end = reached
             stored = _stored(store, tier, request, start, end) if start < end else None
             if stored is not None and not stored.isEmpty():
                 edges = () if raw_gone else _edges(raw, tier, request, start, end)
@@ -109,6 +113,25 @@ def tiered_partials(
     return _from_raw(raw_rows, request), NONE
 
 
+def _raw_with_past(raw: DataFrame, rows: DataFrame, store: RollupStore | None, request: Request) -> DataFrame:
+    """The readings; what lies before the source's first comes from a rollup that was built while it was there."""
+    partials = _from_raw(rows, request)
+    if store is None or not store.covered():
+        return partials
+    if not select_readings(raw, None, None, request.start + timedelta(microseconds=1)).isEmpty():
+        return partials  # the source reaches back beyond the range
+    first = select_readings(raw, None, request.start, request.end).agg(F.min(TIMESTAMP)).first()[0]
+    for tier, grain in sorted(GRAINS.items(), key=lambda g: -g[1].interval_ms):
+        start, end = ceil_time(request.start, grain.interval_ms), min(floor_time(first, grain.interval_ms), request.end)
+        if request.interval_ms % grain.interval_ms or start != request.start or start >= end:
+            continue
+        until = store.covered_until(tier, start, request.fields, request.tie, request.dedup)
+        stored = _stored(store, tier, request, start, end) if until and until >= end else None
+        if stored is not None:
+            return merge_partials(_joined(stored, _edges(raw, tier, request, request.start, end)), request.interval_ms)
+    return partials
+
+
 def _select(raw: DataFrame, request: Request) -> DataFrame:
     return select_readings(
         raw, request.sensors, request.start, request.end, request.assets, dedup=request.dedup

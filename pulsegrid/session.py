@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: dict[str, tempfile.TemporaryDirectory] = {}
+_roots: dict[str, str] = {}
+_written: dict[str, tuple[SparkSession, set[str]]] = {}
 
 
 def build_session(app: str = "pulsegrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,19 +37,48 @@ def require_utc(spark: SparkSession) -> None:
         raise ValueError(f"spark.sql.session.timeZone must be UTC, not {zone}")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below `spark.checkpoint.dir`, which every executor can read.
+def use_scratch_root(spark: SparkSession, root: str) -> None:
+    """Name the shared folder of this application, where `spark.checkpoint.dir` is not set."""
+    _roots[spark.sparkContext.applicationId] = root
 
-    Only a local session without that setting falls back to a temporary folder of this machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder all executors share; what is written there goes when the process ends."""
+    application = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or _roots.get(application)
     if not root:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        held = _local_scratch.setdefault("dir", tempfile.TemporaryDirectory(prefix="pulsegrid-"))
-        root = held.name
-    return f"{root.rstrip('/')}/pulsegrid/{label}-{uuid.uuid4().hex}"
+        raise RuntimeError("set spark.checkpoint.dir, or use_scratch_root, to a folder all executors share")
+    path = f"{root.rstrip('/')}/pulsegrid/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_delete_all)
+    _written.setdefault(application, (spark, set()))[1].add(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def list_paths(spark: SparkSession, root: str, levels: tuple[str, ...]) -> list[str]:
+    """Partition folders of a table, as deep as it has partition columns."""
+    pattern = "/".join([root, *[f"{name}=*" for name in levels]])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or []]
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has in the scratch folder; lazy results that read it end here."""
+    _, paths = _written.get(spark.sparkContext.applicationId, (spark, set()))
+    while paths:
+        delete_path(spark, paths.pop())
+
+
+def _delete_all() -> None:
+    for spark, _ in _written.values():
+        if spark.sparkContext._jsc is not None:
+            release_scratch(spark)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

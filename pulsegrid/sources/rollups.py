@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from pulsegrid.functions.time import ceil_time, floor_time, ntz, utc_time
 from pulsegrid.operators.filters import PARTITION, only_assets, only_sensors, time_range
 from pulsegrid.operators.partials import partial_stats, statistic
 from pulsegrid.schema import series_keys
-from pulsegrid.session import materialize
+from pulsegrid.session import delete_path, list_paths, materialize
 from pulsegrid.sources.readings import read_parquet, write_partitioned
 
 
@@ -35,7 +36,7 @@ GRAINS = {
     )
 }
 DAY_MS = GRAINS["1d"].interval_ms
-COVERED = "grain string, start timestamp_ntz, end timestamp_ntz"
+COVERED = "grain string, start timestamp_ntz, end timestamp_ntz, build string"
 
 
 class RollupStore:
@@ -112,9 +113,12 @@ class RollupStore:
         A partition is the unit of replacement, so its other rows are carried over. They are
         written aside first: a table cannot be overwritten while it is read.
         """
-        if not self.exists(grain) or (start is None and end is None and not sensors):
+        if not self.exists(grain):
             self.write(grain, partials)
             return
+        if start is None and end is None and not sensors:
+            self.clear(grain, materialize(partials, "rollup"))
+            return
         replaced = F.lit(True)
         if start is not None:
             replaced &= F.col("bucket") >= ntz(start)
@@ -124,7 +128,19 @@ class RollupStore:
             replaced &= F.col("sensor_name").isin(list(sensors))
         lower, upper = self._partition_bounds(grain, start, end)
         kept = self.read(grain, None, lower, upper).where(~replaced)
-        self.write(grain, materialize(partials.unionByName(kept, allowMissingColumns=True), "rollup"))
+        rows = materialize(partials.unionByName(kept, allowMissingColumns=True), "rollup")
+        self.clear(grain, rows, lower, upper)
+
+    def clear(self, grain: str, rows: DataFrame, lower: datetime | None = None, upper: datetime | None = None) -> None:
+        """Write `rows`, and delete partitions between the bounds that they leave empty."""
+        table = time_range(read_parquet(self.spark, self.path(grain)), lower, upper, column="bucket", partition_floor=GRAINS[grain].period)
+        there = {r[0] for r in table.select(PARTITION).distinct().collect()}  # one row per partition
+        left = {r[0] for r in rows.select(F.to_date(F.date_trunc(GRAINS[grain].period, "bucket"))).distinct().collect()}
+        self.write(grain, rows)
+        empty = there - left
+        for path in list_paths(self.spark, self.path(grain), self.partition_by):
+            if any(f"{PARTITION}={day}" in path for day in empty):
+                delete_path(self.spark, path)
 
     def _partition_bounds(self, grain: str, start: datetime | None, end: datetime | None):
         """The time range widened to whole partitions."""
@@ -147,32 +163,65 @@ class RollupStore:
                 upper = upper.replace(year=upper.year + 1, month=1, day=1)
         return lower, upper
 
-    def mark_covered(self, grains: Sequence[str], start: datetime, end: datetime) -> None:
-        """Record that rollups hold everything the readings had in `[start, end)`."""
-        covered = self.spark.range(0, 1, 1, 1).select(
-            F.explode(F.array(*[F.lit(grain) for grain in grains])).alias("grain"),
-            ntz(start).alias("start"),
-            ntz(end).alias("end"),
-        )
-        covered.write.mode("append").parquet(f"{self.root}/covered")
-
-    def covered_until(self, grain: str, start: datetime | str) -> datetime | None:
-        """End of the recorded time that includes `start` without a gap, or None."""
+    def build(self, fields: Sequence[str], dedup: bool) -> str:
+        """How rollups were made: fields, order of equal times, copies removed or not."""
+        return json.dumps({"fields": sorted(fields), "tie": list(self.tie), "dedup": dedup}, sort_keys=True)
+
+    def covered(self) -> list[Row]:
+        """The record: one row per grain, build and span without a gap, as it is merged when written."""
         try:
-            table = self.spark.read.schema(COVERED).parquet(f"{self.root}/covered")
+            return self.spark.read.schema(COVERED).parquet(f"{self.root}/covered").collect()
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return None
+                return []
             raise
+
+    def _record(self, rows: list[tuple]) -> None:
+        merged: list[list] = []
+        for grain, build, start, end in sorted((r[0], r[3], r[1], r[2]) for r in rows):
+            last = merged[-1] if merged else None
+            if last and last[0] == grain and last[3] == build and start <= last[2]:
+                last[2] = max(last[2], end)
+            else:
+                merged.append([grain, start, end, build])
+        self.spark.createDataFrame(merged, COVERED).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/covered")
+
+    def mark_covered(self, grains: Sequence[str], start: datetime, end: datetime, build: str) -> None:
+        """Record that rollups hold everything the readings had in `[start, end)`."""
+        self._record([*map(tuple, self.covered()), *[(grain, start, end, build) for grain in grains]])
+
+    def forget(self, grains: Sequence[str], start: datetime, end: datetime, unless: str | None = None) -> None:
+        """Take `[start, end)` out of the record, but for the build named."""
+        rows, left = list(map(tuple, self.covered())), []
+        for row in rows:
+            grain, lower, upper, build = row
+            if grain not in grains or build == unless or upper <= start or lower >= end:
+                left.append(row)
+                continue
+            if lower < start:
+                left.append((grain, lower, start, build))
+            if upper > end:
+                left.append((grain, end, upper, build))
+        if left != rows:
+            self._record(left)
+
+    def open_ends(self, start: datetime) -> list[datetime]:
+        """Ends of recorded spans that stop within the day before `start`."""
+        return [r["end"] for r in self.covered() if timedelta(0) < start - r["end"] < timedelta(milliseconds=DAY_MS)]
+
+    def covered_until(
+        self, grain: str, start: datetime | str, fields: Sequence[str] = (), tie: Sequence[str] | None = None, dedup: bool | None = None
+    ) -> datetime | None:
+        """End of the recorded time that includes `start` without a gap and was built so, or None."""
         start = utc_time(start)
-        later = table.where((F.col("grain") == grain) & (F.col("end") > ntz(start)))
-        reached = start
-        # One row per rebuild.
-        for row in sorted(later.collect(), key=lambda row: row["start"]):
-            if row["start"] > reached:
-                break
-            reached = max(reached, row["end"])
-        return reached if reached > start else None
+        ends = []
+        for row in self.covered():
+            build = json.loads(row["build"])
+            fits = set(fields) <= set(build["fields"]) and (dedup is None or build["dedup"] == dedup)
+            fits &= tie is None or build["tie"] == list(tie)
+            if fits and row["grain"] == grain and row["start"] <= start < row["end"]:
+                ends.append(row["end"])
+        return max(ends, default=None)
 
 
 def rollup_view(partials: DataFrame) -> DataFrame:

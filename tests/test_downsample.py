@@ -17,10 +17,10 @@ SECOND = 1000
 
 
 @pytest.mark.parametrize("n, limit", [(1999, 1000), (1000, 1000), (1001, 1000), (2500, 400), (7, 100)])
-def test_stride_sample_takes_every_nth_of_the_order(spark, n, limit):
+def test_stride_sample_is_spread_over_the_order(spark, n, limit):
     df = spark.range(n).select((F.lit(n) - F.col("id")).alias("rank"), "id")
-    step = max(1, n // limit)
-    expected = list(range(1, n + 1))[::step][:limit]
+    expected = [k * n // min(n, limit) + 1 for k in range(min(n, limit))]
+    assert n - expected[-1] <= -(-n // limit)
     out = stride_sample(df, limit, ["rank"]).collect()
     assert sorted(row["rank"] for row in out) == expected
 
@@ -153,7 +153,8 @@ def test_copies_of_a_row_are_counted(spark, limit):
         F.lit("x").alias("label"),
     )
     ordered = sorted(row["rank"] for row in df.collect())
-    expected = ordered[:: max(1, 3000 // limit)][:limit]
+    kept = min(3000, limit)
+    expected = [ordered[k * 3000 // kept] for k in range(kept)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         out = stride_sample(df, limit, ["rank"]).collect()

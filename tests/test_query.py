@@ -32,7 +32,8 @@ def test_the_limit_truncates_and_is_reported(six_series):
     )
     assert result.truncated
     assert 0 < result.data.count() <= 100
-    assert result.actual_end == result.data.agg(F.max("timestamp")).first()[0]
+    assert result.interval_ms > 10_000 and result.points == 720 and result.method == "avg"
+    assert result.data.agg(F.max("timestamp")).first()[0] >= ts("2024-01-01T00:29:00")
     exact = query_series(
         six_series, ["quad_ch1"], "2024-01-01", "2024-01-01T00:30:00", ["asset_001"],
         interval_ms=60_000, max_points=30,
@@ -113,12 +114,22 @@ def test_raw_query_returns_the_values_as_they_are(one_series):
     assert "sensor_type" in result.data.columns and "sensor_name" not in result.data.columns
 
 
-def test_raw_query_ends_where_the_limit_is_reached(six_series):
-    result = raw_query(
-        six_series, ["quad_ch1", "quad_ch2"], "2024-01-01", "2024-01-01T00:30:00", max_points=200
-    )
-    assert result.truncated and result.actual_end == ts("2024-01-01T00:01:40")
-    assert result.data.count() == 100 * 2 * 2
+def test_raw_query_spreads_a_limit_over_the_range(six_series):
+    args = (six_series, ["quad_ch1", "quad_ch2"], "2024-01-01", "2024-01-01T00:30:00")
+    result = raw_query(*args, max_points=200)
+    assert result.truncated and result.actual_end == ts("2024-01-01T00:30:00") and result.interval_ms > 1000
+    assert 0 < result.data.count() <= 200
+    assert result.data.agg(F.max("timestamp")).first()[0] >= ts("2024-01-01T00:29:00")
+    assert raw_query(*args).data.count() == 1800 * 2 * 2
+
+
+def test_rows_do_not_depend_on_how_series_are_named(six_series):
+    args = (six_series, ["quad_ch1", "quad_ch2", "quad_ch3"], "2024-01-01", "2024-01-01T00:30:00")
+    for limit in (None, 100_000, 500):
+        plain = query_series(*args, interval_ms=1000, max_points=limit).data
+        listed = query_series(*args, ["asset_001", "asset_002"], interval_ms=1000, max_points=limit).data
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, listed.collect()))
+        assert plain.count() <= (limit or 10_800)
 
 
 def test_aggregated_query_with_more_sensors_than_points(six_series):

@@ -190,8 +190,65 @@ def test_coverage_of_rollups(built, month):
     day = by_tier["1d", "000"]
     assert day["observed"] == day["expected"] and day["coverage"] == 1.0 and day["ok"]
     assert not by_tier["1m", "000"]["ok"]
-    few = validate_rollups(month, built, first_sensors=2).select("sensor_name").distinct()
-    assert few.count() == 2
+
+
+def test_a_tier_that_is_missing_fails(store, month):
+    rebuild_rollups(month, store, grains=["1h"])
+    shorter = month.where("timestamp > '2024-01-01'")
+    rows = validate_rollups(shorter, store, ["s1"], raw_interval_ms=HOUR).collect()
+    assert all(r["coverage"] <= 1 for r in rows)
+    assert {r["tier"] for r in rows if r["coverage"] == 0} == {"1m", "1d"}
+    assert not any(r["ok"] for r in rows if r["tier"] in ("1m", "1d"))
+
+
+def test_days_built_one_by_one_answer_together(store, month):
+    days = ["2023-12-28", "2023-12-29", "2023-12-30", "2023-12-31", "2024-01-01"]
+    for start, end in zip(days, days[1:]):
+        # Only what had arrived by then.
+        rebuild_rollups(month.where(f"timestamp < '{end}'"), store, start=start, end=end, grains=["1h"])
+    query = (["s1"], days[0], "2023-12-31")
+    options = dict(interval_ms=DAY, aggregation="count", tie=["tie"])
+    assert store.covered_until("1h", ts(days[0])) > ts("2023-12-31")
+    routed = query_series(month, *query, store=store, **options)
+    assert canonical(routed.data) == canonical(query_series(month, *query, **options).data)
+
+
+def test_what_was_built_otherwise_does_not_answer(store, month):
+    twice = month.unionByName(month)
+    rebuild_rollups(twice, store, grains=["1h"])
+    query = (["s1"], "2023-12-12", "2024-01-14")
+    options = dict(interval_ms=DAY, aggregation="sum", tie=["tie"], fields=["value"])
+    direct = canonical(query_series(month, *query, **options).data)
+    result = query_series(twice, *query, store=store, dedup=True, **options)
+    assert result.tier_used == "raw" and canonical(result.data) == direct
+    rebuild_rollups(month, store, grains=["1h"])
+    rebuild_rollups(month, store, start="2023-12-20", end="2023-12-22", grains=["1h"], fields=["other"] if "other" in month.columns else [])
+    result = query_series(month, *query, store=store, **options)
+    assert canonical(result.data) == direct
+
+
+def test_days_that_are_gone_leave_the_rollup(store, month):
+    rebuild_rollups(month, store, grains=["1m", "1h"])
+    left = month.where("to_date(timestamp) <> DATE'2024-01-02'")
+    rebuild_rollups(left, store, grains=["1m", "1h"])
+    assert store.read("1m", None, "2024-01-02", "2024-01-03").count() == 0
+    assert store.read("1h", None, "2024-01-02", "2024-01-03").count() == 0
+
+
+def test_readings_that_expired_are_answered_from_the_rollup(built, month):
+    query = (["s1"], "2024-01-02T12:00:00", "2024-01-03T12:00:00")
+    options = dict(interval_ms=HOUR, aggregation="avg", fields=["value"], tie=["tie"])
+    left = month.where("timestamp >= '2024-01-03'")
+    whole = query_series(month, *query, **options)
+    assert canonical(query_series(left, *query, store=built, **options).data) == canonical(whole.data)
+
+
+def test_a_rollup_alone_must_cover_the_range(store, month):
+    rebuild_rollups(month, store, start="2023-12-20", end="2023-12-23")
+    options = dict(interval_ms=HOUR, store=store, fields=["value"])
+    assert query_series(None, ["s1"], "2023-12-20", "2023-12-23", **options).tier_used == "1m"
+    with pytest.raises(ValueError):
+        query_series(None, ["s1"], "2023-12-20", "2023-12-24", **options)
 
 
 def test_copies_are_removed_on_request(store, month):
@@ -218,12 +275,17 @@ def test_coverage_record(store):
         return store.covered_until(grain, day(number))
 
     assert until("1m", 1) is None
-    store.mark_covered(["1m", "1h"], day(1), day(5))
-    store.mark_covered(["1m"], day(8), day(10))
+    store.mark_covered(["1m", "1h"], day(1), day(5), store.build(["value"], False))
+    store.mark_covered(["1m"], day(8), day(10), store.build(["value"], False))
     assert until("1m", 1) == until("1m", 4) == day(5) and until("1m", 8) == day(10)
     assert until("1m", 5) is None and until("1h", 8) is None
-    store.mark_covered(["1m"], day(4), day(8))
+    store.mark_covered(["1m"], day(4), day(8), store.build(["value"], False))
     assert until("1m", 1) == day(10) and until("1m", 10) is None
+    assert len(store.covered()) == 2
+    assert store.covered_until("1m", day(1), ["value"], dedup=True) is None
+    assert store.covered_until("1m", day(1), ["other"]) is None
+    store.forget(["1m"], day(3), day(4))
+    assert until("1m", 1) == day(3) and until("1m", 3) is None and until("1m", 4) == day(10)
 
 
 def test_coverage_ends_with_the_readings(store, month):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pulsegrid import RollupStore, normalize, rebuild_rollups
-from pulsegrid.session import scratch_path
+from pulsegrid.session import scratch_path, use_scratch_root
 from pulsegrid.sources.readings import read_parquet, write_raw
 
 TIE = ["event_id"]
@@ -17,6 +17,8 @@ _built: dict[tuple[str, str, str], str] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # The warehouse is the other folder that driver and executors share.
+    use_scratch_root(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch")
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 

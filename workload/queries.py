@@ -74,9 +74,12 @@ START, END = "2024-01-02T06:30:15", "2024-01-28T18:45:30"
 DAY_START, DAY_END = "2024-01-03", "2024-01-29"
 ALL_START, ALL_END = "2024-01-01", "2024-01-31"
 STRIDE_POINTS = 300
+LIMIT_POINTS = 2000
 FIT_POINTS = 500
 SERIES_POINTS = 100
 SMART_HOURS = 720
+# Two hours in which some series have no reading.
+SILENT_START, SILENT_END = "2024-01-09T03:00:00", "2024-01-09T05:00:00"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -189,13 +192,66 @@ def tiered_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(result.data)
 
 
+def month(spark: SparkSession, readings: DataFrame, store, method: str, interval_ms: int, **more) -> DataFrame:
+    """The whole month from a store, which must answer from a rollup."""
+    options = dict(interval_ms=interval_ms, aggregation=method, store=store, fields=["value"]) | more
+    result = query_series(readings, SENSORS, ALL_START, ALL_END, **options)
+    if result.tier_used == "raw":
+        raise AssertionError("expected a rollup")
+    return rounded(result.data)
+
+
+def tiered_daily_rebuilds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollups built a day at a time answer for the whole month."""
+    readings, store = series(spark, sf_dir), inputs.new_store(spark)
+    for day in range(1, 31):
+        rebuild_rollups(readings, store, start=f"2024-01-{day:02d}", end=f"2024-01-{day + 1:02d}", grains=["1h"], fields=["value"])
+    return month(spark, readings, store, "avg", SIX_HOURS)
+
+
+def tiered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading is there twice; copies were removed when the rollup was built, as the query asks."""
+    readings, store = series(spark, sf_dir), inputs.new_store(spark)
+    twice = readings.unionByName(readings)
+    rebuild_rollups(twice, store, grains=["1h"], fields=["value"], dedup=True)
+    return month(spark, twice, store, "sum", DAY, dedup=True)
+
+
+def tiered_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later rebuild of some days without a field: those days come from the readings."""
+    readings, store = series(spark, sf_dir), inputs.new_store(spark)
+    rebuild_rollups(readings, store, grains=["1h"])
+    rebuild_rollups(readings, store, start="2024-01-07", end="2024-01-12", grains=["1h"], fields=["value"])
+    return month(spark, readings, store, "sum", DAY, fields=["k"])
+
+
+def tiered_raw_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings before the 9th are gone; the rollup has them."""
+    left = series(spark, sf_dir).where("timestamp >= '2024-01-09'")
+    result = query_series(
+        left, SENSORS, "2024-01-08T12:00:00", "2024-01-09T12:00:00",
+        interval_ms=HOUR, store=inputs.store(spark, sf_dir), fields=["value"],
+    )
+    return rounded(result.data)
+
+
+def rebuild_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day is deleted from the readings and everything is built again: the rollup has lost it, too."""
+    readings, store = series(spark, sf_dir), inputs.new_store(spark)
+    rebuild_rollups(readings, store, grains=["1m", "1h"], fields=["value"])
+    left = readings.where("to_date(timestamp) <> DATE'2024-01-10'")
+    rebuild_rollups(left, store, grains=["1m", "1h"], fields=["value"])
+    return month(spark, left, store, "count", DAY)
+
+
 def raw_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = series(spark, sf_dir)
-    return raw_query(df, SENSORS, ALL_START, ALL_END, max_points=10**9, tie=TIE).data
+    return raw_query(df, SENSORS, ALL_START, ALL_END, tie=TIE).data
 
 
 def raw_seconds_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_query(series(spark, sf_dir), SENSORS, ALL_START, ALL_END, tie=TIE).data
+    df = series(spark, sf_dir)
+    return raw_query(df, SENSORS, ALL_START, ALL_END, max_points=LIMIT_POINTS, fields=["value", "k"], tie=TIE).data
 
 
 def scan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,6 +545,13 @@ QUERIES: dict[str, Query] = {
     "tiered_read_1h": tiered_read("1h", SIX_HOURS, START, END),
     "tiered_read_1m": tiered_read("1m", SIX_HOURS, "2024-01-05T00:10:30", "2024-01-11T21:00:00"),
     "tiered_fallback": tiered_fallback,
+    "coverage_silent": lambda spark, sf: rounded(coverage(series(spark, sf), HOUR, SILENT_START, SILENT_END)),
+    "missing_buckets_silent": lambda spark, sf: missing_buckets(series(spark, sf), HOUR, SILENT_START, SILENT_END),
+    "tiered_daily_rebuilds": tiered_daily_rebuilds,
+    "tiered_dedup": tiered_dedup,
+    "tiered_fields": tiered_fields,
+    "tiered_raw_expired": tiered_raw_expired,
+    "rebuild_after_delete": rebuild_after_delete,
     "popular_keys": lambda spark, sf: popular_keys(inputs.request_log(spark, sf)),
     "key_totals": lambda spark, sf: key_totals(inputs.request_log(spark, sf)),
     "usage_summary": lambda spark, sf: rounded(usage_summary(inputs.request_log(spark, sf))),
