@@ -33,7 +33,7 @@ from pulsegrid.llm.words import SOLID, find_words, hash_words, joined, mixed
 
 SLICE = 4 << 20
 SEGMENT = 1 << 16
-MIN_HASHES = 4
+MIN_HASHES = 8
 _SALTS = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 _MEMBERS = "doc_id long, sid long, n long, low array<long>, bits binary, segment int, counts binary"
 
@@ -72,9 +72,9 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
 
 
 def parity(values: np.ndarray) -> bytes:
-    """A bitmap of two bits or more for each element: whether an odd number of them falls on each."""
+    """A bitmap of a bit or more for each element: whether an odd number of them falls on each."""
     width = 64
-    while width < 2 * len(values):
+    while width < len(values):
         width *= 2
     odd = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -346,7 +346,8 @@ class Listed:
     def pairs(self, percent: int) -> Iterator[tuple[int, int]]:
         """Pairs of different components that sizes, positions and bitmaps leave open.
 
-        Shared elements before the list's are at most the smaller position, those after it at most the smaller rest.
+        In the list of the first element that two sets share, nothing before it is shared: those elements count as
+        different, and what can be shared stands after it.
         """
         groups, counts = np.unique(self.group, return_counts=True)
         largest = self.group == groups[counts.argmax()]
@@ -357,10 +358,12 @@ class Listed:
             begin = int(np.searchsorted(self.n, -(-self.n[i] * percent // 100)))
             end = int(np.searchsorted(self.n, self.n[i] * 100 // percent, side="right"))
             others = np.arange(begin, end)
-            room = np.minimum(self.place[i], self.place[others]) + 1 + np.minimum(rest[i], rest[others])
             least = -(-percent * (self.n[i] + self.n[others]) // (100 + percent))
+            room = (1 + np.minimum(rest[i], rest[others]) >= least) & (
+                self.place[i] + self.place[others] <= self.n[i] + self.n[others] - 2 * least
+            )
             # Each pair once: with the largest component, or with a later one of the others.
-            others = others[(room >= least) & (self.group[others] != self.group[i]) & (largest[others] | (others > i))]
+            others = others[room & (self.group[others] != self.group[i]) & (largest[others] | (others > i))]
             if not len(others):
                 continue
             odd = self._differ(i, others)
@@ -382,12 +385,13 @@ class Rows:
         self.data = np.frombuffer(bits.buffers()[2], np.uint8)
 
     def pairs(self, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-        """Which pairs of rows sets, sizes, positions and bitmaps leave open, once each, as pairs of sets."""
+        """Which pairs of rows sets, sizes, positions and bitmaps leave open, once each, as pairs of sets; see `Listed.pairs`."""
         n, m = self.n[left], self.n[right]
         keep = (self.group[left] != self.group[right]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
         left, right = left[keep], right[keep]
         n, m, p, q = self.n[left], self.n[right], self.place[left], self.place[right]
-        keep = np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1) >= -(-percent * (n + m) // (100 + percent))
+        least = -(-percent * (n + m) // (100 + percent))
+        keep = (1 + np.minimum(n - p - 1, m - q - 1) >= least) & (p + q <= n + m - 2 * least)
         left, right = left[keep], right[keep]
         swap = self.sid[left] > self.sid[right]
         left, right = np.where(swap, right, left), np.where(swap, left, right)
@@ -473,7 +477,7 @@ def _list_pairs(percent: int) -> Callable:
     return run
 
 
-def label_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int = 23, bloom_bits: int = 27) -> DataFrame:
+def label_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int = 24, bloom_bits: int = 27) -> DataFrame:
     """doc_id, sid (of its set), n (size of the set) and component of every document; empty sets have no component."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
@@ -515,9 +519,14 @@ def label_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int
         free_shuffles(spark)
         return out
 
-    # One leader for all sets with the same min-hash.
+    # One leader for all sets with the same min-hash: the set whose min-hashes are the commonest, as the middle of its copies.
     hashes = sets.select("sid", F.posexplode("low").alias("which", "value"))
-    groups = hashes.groupBy("which", "value").agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a <> last")
+    common = hashes.groupBy("which", "value").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.write(hashes.join(common, ["which", "value"]), "hashes")
+    score = shared.groupBy("sid").agg(F.sum("n").alias("score"))
+    leader = F.max(F.struct("score", "sid"))["sid"].alias("a")
+    groups = shared.join(score, "sid").groupBy("which", "value").agg(leader)
+    hashes = shared.select("sid", "which", "value")
     near = hashes.join(groups, ["which", "value"]).where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
     near = scratch.write(bounded(near).where(F.col("low") <= most), "near")
     direct = compare(near, "direct").where("linked").select("a", "b")
