@@ -54,6 +54,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/pulsegrid-llm/{label}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
+        self._tables: list[DataFrame] = []
         if not _left:
             atexit.register(_clear)
         _left.setdefault(spark.sparkContext.applicationId, []).append((spark, self.root))
@@ -66,6 +67,7 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(back)] = path
+        self._tables.append(back)  # so that its number stays its own
         return back
 
     def drop(self, *tables: DataFrame) -> None:
@@ -75,6 +77,13 @@ class Scratch:
                 delete(self.spark, path)
 
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all others that were written."""
+        for number in set(self._paths) - {id(table) for table in tables}:
+            delete(self.spark, self._paths.pop(number))
+        free_shuffles(self.spark)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

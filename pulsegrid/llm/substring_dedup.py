@@ -47,7 +47,7 @@ def row_id(doc_id, raw: bytes) -> int:
 
 def reach_of(span: int) -> int:
     """Anchors are so dense that every core has two of them."""
-    return max(1, (span - GRAM) // 5 + 1)
+    return max(1, (span - GRAM + 2) // 4)
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -166,7 +166,7 @@ def repeated_runs(docs: DataFrame, span: int, scratch: Scratch) -> DataFrame:
     scratch.drop(parsed)
     free_shuffles(spark)
     active = state.select("key", "idx", "pos", "end", "rank", "copies")
-    levels, offset, number = [active.select("key", "idx", "rank", "end", F.lit(0).alias("level"))], 1, 1
+    levels, offset, number = [], 1, 1
     while True:
         order = Window.partitionBy("key").orderBy("idx")
         ahead = F.lead(F.struct("idx", "rank", "end"), offset).over(order)
@@ -187,14 +187,19 @@ def repeated_runs(docs: DataFrame, span: int, scratch: Scratch) -> DataFrame:
         levels.append(active.select("key", "idx", "rank", "end", F.lit(number).alias("level")))
         offset, number = offset * 2, number + 1
     # One row a phrase: the ranks of all levels it has, which are the first ones.
+    first = F.array("rank")
+    if not levels:
+        return state.select("*", first.alias("ranks"), F.when(F.col("end") - F.col("pos") >= span, F.col("end")).alias("top")).drop("rank", "end")
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
     have = every.groupBy("key", "idx").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("level", "rank"))), lambda x: x["rank"]).alias("ranks"), F.max("end").alias("top")
+        F.transform(F.array_sort(F.collect_list(F.struct("level", "rank"))), lambda x: x["rank"]).alias("more"), F.max("end").alias("far")
     )
-    both = state.drop("rank", "end").join(have, ["key", "idx"])
-    return both.withColumn("top", F.when(F.col("top") - F.col("pos") >= span, F.col("top")))
+    both = state.join(have, ["key", "idx"], "left")
+    top = F.coalesce("far", "end")
+    both = both.withColumn("ranks", F.concat(first, F.coalesce("more", F.array().cast("array<long>"))))
+    return both.withColumn("top", F.when(top - F.col("pos") >= span, top)).drop("rank", "end", "more", "far")
 
 
 _NAMES = ["key", "covered", "lo", "hi", "at", "t", "ra", "rb", "xt", "xo", "xa", "xb"]
@@ -392,13 +397,13 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_starts(docs: DataFrame, span: int, scratch: Scratch) -> DataFrame:
     """key, lo, hi: ranges of places at which a string of `span` bytes starts that also starts elsewhere."""
-    runs = repeated_runs(docs, span, scratch)
+    runs = scratch.write(repeated_runs(docs, span, scratch), "all-runs")
+    scratch.keep_only(runs)
     columns = ["key", "idx", "pos", "prev", "nxt", "nxt2", "size", "ranks", "top"]
     ordered = runs.select(*columns).repartition("key").sortWithinPartitions("key", "idx")
     parts = scratch.write(ordered.mapInArrow(_intervals(span), INTERVALS), "intervals")
     copies = scratch.write(runs.groupBy("key").agg(F.max("copies").alias("copies")).where("copies > 1"), "copies")
-    scratch.drop(runs)
-    free_shuffles(docs.sparkSession)
+    scratch.keep_only(parts, copies)
     covered = parts.where("covered").select("key", "lo", "hi")
 
     # Runs around a string that stand in several places settle it.
@@ -413,6 +418,7 @@ def repeated_starts(docs: DataFrame, span: int, scratch: Scratch) -> DataFrame:
     settled = inner.where("xt < 0").select(*columns).unionByName(proven)
     states = open_.withColumn("settled", F.lit(False)).unionByName(settled.withColumn("settled", F.lit(True)))
     states = scratch.write(states, "states")
+    free_shuffles(docs.sparkSession)
     # Cores that an open string has and that stand in several places.
     asked = states.groupBy("t", "ra", "rb").agg(F.count("*").alias("n"), F.min("settled").alias("settled")).join(
         states.join(copies, "key").groupBy("t", "ra", "rb").agg(F.max("copies").alias("copies")), ["t", "ra", "rb"], "left"
@@ -482,7 +488,7 @@ def remove_repeated_substrings(docs: DataFrame, span: int = 400) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     starts = repeated_starts(source, span, scratch)
     starts = scratch.write(starts.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("starts")), "starts")
-    free_shuffles(docs.sparkSession)
+    scratch.keep_only(starts)
     both = source.mapInArrow(_keyed, "key long, doc_id long, text string").join(starts, "key", "left")
     return both.mapInArrow(
         _remove(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
