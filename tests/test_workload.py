@@ -7,7 +7,7 @@ from workload.inputs import series, wide
 from workload.oracle import ORACLE
 from workload.queries import QUERIES
 
-ROWS_ONLY = {"file_inventory"}
+ROWS_ONLY: set[str] = set()
 
 
 @pytest.fixture(scope="module")

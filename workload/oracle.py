@@ -423,6 +423,7 @@ UNION ALL {tier_check('1h', HOUR, 0.8)} UNION ALL {tier_check('1d', 24 * HOUR, 0
     "tiered_read_1h": range_query("avg", START, END, SIX_HOURS),
     "tiered_read_1m": range_query("avg", "2024-01-05T00:10:30", "2024-01-11T21:00:00", SIX_HOURS),
     "tiered_fallback": range_query("avg", "2024-01-09", "2024-01-10"),
+    "file_inventory": 'SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n_rows FROM events GROUP BY 1',
     "coverage_silent": f"""WITH {SERIES}, keys AS (SELECT DISTINCT sensor_name, asset_id FROM series),
 seen AS (SELECT DISTINCT {bucket(HOUR)} AS b, sensor_name, asset_id FROM series WHERE {within(SILENT_START, SILENT_END)})
 SELECT sensor_name, asset_id, count(b) AS observed, CAST(2 AS BIGINT) AS expected, count(b) / 2 AS coverage

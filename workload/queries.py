@@ -50,7 +50,7 @@ from pulsegrid.operators.requestlog import (
 from pulsegrid.operators.sample import stride_sample
 from pulsegrid.schema import drop_null_keys
 from pulsegrid.session import scratch_path
-from pulsegrid.sources.inventory import count_files, file_inventory
+from pulsegrid.sources.inventory import file_inventory, with_row_counts
 from pulsegrid.sources.readings import (
     read_parquet,
     read_raw,
@@ -285,7 +285,11 @@ def path_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_files(file_inventory(spark, sf_dir), "sensor_name")
+    """Rows that the files of each day of the stored readings hold."""
+    path = inputs.raw_table(spark, sf_dir)
+    files = with_row_counts(file_inventory(spark, path), spark.read.parquet(path))
+    day = F.regexp_extract("path", "dt=([0-9-]+)", 1)
+    return files.groupBy(day.alias("day")).agg(F.sum("n_rows").alias("n_rows"))
 
 
 def daqid_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
