@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of runs of 50 words; a document of which no word is left goes."""
+    """Texts without later repeats of runs of 50 words or more; a document of which no word is left goes."""
     ship(spark)
-    left = line_dedup.delete_repeated_lines(docs)
+    left = line_dedup.delete_repeated_lines(docs, both_ends=True)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.col("n_removed") > 0
     kept = left.where(~emptied)

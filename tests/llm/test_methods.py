@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from pulsegrid.llm import (
     contamination,
     html_text,
@@ -259,6 +260,36 @@ def test_lines(spark):
         assert got[i] == (kept, len(gone[i]))
 
 
+def test_lines_of_whole_runs(spark):
+    """Every line of any earlier run of enough words goes, to both ends of the run."""
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice("abcdefg") * 2 for _ in range(rng.randint(1, 9))) for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice(lines + ["", "  "]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    words, first, gone = 10, {}, {i: set() for i, _ in rows}
+    for i, text in rows:
+        parts = text.split("\n") if text else []
+        at = [k for k, line in enumerate(parts) if line.split()]
+        for s in range(len(at)):
+            for e in range(s, len(at)):
+                content = tuple(parts[k] for k in at[s : e + 1])
+                if sum(len(x.split()) for x in content) >= words and first.setdefault(content, (i, s)) != (i, s):
+                    gone[i].update(at[s : e + 1])
+    got = line_dedup.delete_repeated_lines(frame(spark, rows), words, both_ends=True).collect()
+    for r in got:
+        kept = "\n".join(x for k, x in enumerate(rows[r["doc_id"]][1].split("\n")) if k not in gone[r["doc_id"]])
+        assert (r["text"], r["n_removed"]) == (kept, len(gone[r["doc_id"]]))
+    plain = line_dedup.delete_repeated_lines(frame(spark, rows), words)
+    assert sum(r["n_removed"] for r in got) > plain.agg({"n_removed": "sum"}).first()[0]
+
+
+def test_pipeline_deletes_whole_runs(spark):
+    """The end of a repeated run that no window from a line on reaches."""
+    long, short = " ".join(f"a{i}" for i in range(49)), [f"b{i} c{i}" for i in range(4)]
+    rows = [(1, "\n".join(["x y", long, *short])), (2, "\n".join(["z", long, *short, "own"]))]
+    left = corpus_pipeline.drop_repeated_lines(spark, frame(spark, rows), "")
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == {1: rows[0][1], 2: "z\nown"}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_plan_is_a_packing(seed):
     rng = np.random.default_rng(seed)
