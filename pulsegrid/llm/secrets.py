@@ -64,15 +64,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = np.zeros(28 * 28, np.int64)
     for batch in batches:
         for part in slices(batch, "text", SLICE):
-            raw, _ = joined(part.column(0))
+            raw, starts = joined(part.column(0))
             kinds = _CLASS[raw]
-            pairs += np.bincount(kinds[:-1] * 28 + kinds[1:], minlength=28 * 28)
+            follow = kinds[:-1] * 28 + kinds[1:]
+            pairs += np.bincount(follow, minlength=28 * 28)
+            pairs -= np.bincount(follow[starts[1:-1] - 1], minlength=28 * 28)  # from one text to the next
             lower = LOWER[raw]
             lower[~((lower >= 97) & (lower <= 122))] = 32
             text = pa.array([lower.tobytes().decode("ascii")], pa.large_string())
             counts = pc.value_counts(pc.ascii_split_whitespace(text).values)
             words, n = counts.field(0), counts.field(1)
-            keep = pc.and_(pc.greater_equal(pc.binary_length(words), 3), pc.greater_equal(n, 2))
+            keep = pc.greater_equal(pc.binary_length(words), 3)
             yield pa.RecordBatch.from_arrays([words.filter(keep).cast(pa.string()), n.filter(keep)], ["term", "n"])
     terms = pa.array([f"#{i}" for i in range(len(pairs))], pa.string())
     yield pa.RecordBatch.from_arrays([terms, pa.array(pairs)], ["term", "n"])

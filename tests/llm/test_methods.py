@@ -161,6 +161,15 @@ def test_secrets(spark):
     assert found["secret"][keys].mean() > 0.95 and found["secret"][numbers].mean() < 0.02
 
 
+def test_words_count_over_all_slices(spark):
+    """Words that come once in each slice count as often as in one slice, and transitions are the same."""
+    rows = [(i, f"everywhere twice twice x{i} " + "once " * (i == 7)) for i in range(30)] + [(30, "often " * 29)]
+    docs = frame(spark, rows)
+    one, many = (secrets.language(docs.repartition(n), words=2) for n in (1, 31))
+    assert one[1] == many[1] == {"twice", "everywhere"}
+    assert (one[0] == many[0]).all()
+
+
 def test_secrets_from_labels(spark):
     """Given findings decide, also against what the form says."""
     rng = random.Random(3)
