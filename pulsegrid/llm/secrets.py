@@ -1,6 +1,7 @@
 """Secrets in documents: a random forest that removes false findings of a wide search.
 
-Candidates are runs of key characters with a digit, `shortest` long or longer. Each gets features: length, kinds of characters,
+Candidates are runs of key characters with a digit, `shortest` long or longer, and, of any length and any characters, values given
+to a name such as `password` and keys of a provider's format. Each gets features: length, kinds of characters,
 entropy; how usual its character transitions are, against those of all texts; how much of it is made of dictionary words,
 the commonest words of all texts; what its path says (hash of the source); the words before and after it and whether it is
 assigned to a name. A random forest, trained on labelled findings, tells secrets from other strings.
@@ -10,7 +11,8 @@ are the labels: keys of a provider's format and values given to a name such as `
 and strings that are mostly words are not. The forest also judges what has neither form.
 
 Fitted on at most `sample` labelled findings, in the order of a hash of place and document. Transitions and words are
-counted over all documents, and candidates come from all of them, whole.
+counted over all documents, and candidates come from all of them, whole. A run that is a piece of a given value stays a candidate
+beside it; only the same place is not listed twice.
 
 Null and empty texts have no candidates; a null source is a path of its own; repeated rows have their findings each.
 Without labels of both kinds every candidate gets the share of secrets among the labels, 0 if there are none.
@@ -29,7 +31,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.llm.common import Scratch, slices
+from pulsegrid.llm.common import Scratch, slices, text_bytes
 from pulsegrid.llm.words import LOWER, joined
 
 SLICE = 4 << 20
@@ -38,11 +40,18 @@ WORDS = 20_000
 _RUN = re.compile(r"[A-Za-z0-9+/_=.@-]*[0-9][A-Za-z0-9+/_=.@-]*")
 _EDGE = "=./-_+@"
 _LETTERS = re.compile(r"[a-z]+")
-_NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*)\s*(?:=|:|=>|:=)\s*[\"'`]?$")
+_NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*)[\"'`]?\s*(?:=|:|=>|:=)\s*(?:\"{3}|'{3}|[\"'`])?$")
 _WORD = re.compile(r"\w+")
 # Names to which secrets are assigned, and a provider's format.
-_NAMES = re.compile(r"(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|private_?key)s?$", re.I)
+_SECRET_NAMES = r"(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|private_?key)s?"
+_NAMES = re.compile(_SECRET_NAMES + "$", re.I)
 _FORMAT = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}")
+# The value such a name is given: up to its closing quote, else up to a space or the next name with a value.
+_GIVEN = re.compile(
+    _SECRET_NAMES + r"""["'`]?\s*(?>:=|=>|=|:)(?!=)\s*(?:(?P<quote>"{3}|'{3}|["'`])(?P<quoted>(?:(?!(?P=quote))[^\\\n]|\\.)*)(?P=quote)"""
+    r"""|["'`]?(?P<bare>(?:(?![&,;?]["'`]?[\w-]+["'`]?[=:])\S)+))""",
+    re.I,
+)
 _HASHED = 16
 FOUND = "doc_id long, start long, length long, value string, features array<double>, label int"
 
@@ -116,13 +125,13 @@ def _bucket(word: str) -> int:
 
 def describe(value: str, before: str, after: str, path: str | None, logs: np.ndarray, words: frozenset[str]) -> list[float]:
     n = len(value)
-    kinds = _CLASS[np.frombuffer(value.encode("ascii"), np.uint8)]
+    kinds = _CLASS[np.frombuffer(text_bytes(value), np.uint8)]
     counts = np.array(list(Counter(value).values())) / n
     digits, upper = sum(c.isdigit() for c in value), sum(c.isupper() for c in value)
     letters = sum(c.isalpha() for c in value)
     hexa = sum(c in "0123456789abcdefABCDEF" for c in value)
-    usual = float(logs[kinds[:-1], kinds[1:]].mean()) if n > 1 else 0.0
-    changes = float((np.diff(kinds // 26) != 0).mean()) if n > 1 else 0.0
+    usual = float(logs[kinds[:-1], kinds[1:]].mean()) if len(kinds) > 1 else 0.0
+    changes = float((np.diff(kinds // 26) != 0).mean()) if len(kinds) > 1 else 0.0
     name = _NAME.search(before)
     assigned = 1.0 if name else 0.0
     known = 1.0 if name and _NAMES.search(name[1]) else 0.0
@@ -149,20 +158,43 @@ def sure_label(value: str, before: str, words_share: float) -> int | None:
     return None
 
 
+def _given(text: str) -> Iterator[tuple[int, str]]:
+    """(start, value) of what is given to a name that says it is secret."""
+    for found in _GIVEN.finditer(text):
+        if found["quote"]:
+            begin, value = found.start("quoted"), found["quoted"]
+        else:
+            begin, value = found.start("bare"), found["bare"].rstrip("\"'`,;.")
+            while value and value[-1] in ")]}" and value.count(value[-1]) > value.count("([{"[")]}".index(value[-1])]):
+                value = value[:-1].rstrip("\"'`,;.")
+        if value:
+            yield begin, value
+
+
+def _runs(text: str, shortest: int) -> Iterator[tuple[int, str]]:
+    for found in _RUN.finditer(text):
+        value = found.group().strip(_EDGE)
+        begin = found.start() + found.group().index(value) if value else found.start()
+        # A name that is assigned without a space is not part of the value.
+        head, sign, tail = value.rpartition("=")
+        if sign and len(tail) >= shortest:
+            begin, value = begin + len(head) + 1, tail
+        if len(value) >= shortest and any(c.isdigit() for c in value):
+            yield begin, value
+
+
+def candidates(text: str, shortest: int) -> list[tuple[int, str]]:
+    """(start, value) in the order of places."""
+    found = {*_runs(text, shortest), *_given(text), *((m.start(), m.group()) for m in _FORMAT.finditer(text))}
+    return sorted(found)
+
+
 def _find(shortest: int, logs: np.ndarray, words: frozenset[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for found in _RUN.finditer(text or ""):
-                    value = found.group().strip(_EDGE)
-                    begin = found.start() + found.group().index(value) if value else found.start()
-                    # A name that is assigned without a space is not part of the value.
-                    head, sign, tail = value.rpartition("=")
-                    if sign and len(tail) >= shortest:
-                        begin, value = begin + len(head) + 1, tail
-                    if len(value) < shortest or not any(c.isdigit() for c in value):
-                        continue
+                for begin, value in candidates(text or "", shortest):
                     before, after = text[max(0, begin - 60) : begin], text[begin + len(value) : begin + len(value) + 40]
                     row = describe(value, before, after, path, logs, words)
                     rows.append((doc_id, begin, len(value), value, row, sure_label(value, before, row[8])))
