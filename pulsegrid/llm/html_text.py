@@ -4,8 +4,7 @@ A page becomes blocks of text in page order. Blocks inside `article` or `main` a
 that are named as something else (`nav`, `footer`, `aside`, `form`, a class or id such as `ad` or `comments`) are not.
 Blocks that are neither are judged by repetition: the token streams of all blocks outside of articles are concatenated by host,
 their suffixes are sorted into the classes of their first `depth` tokens, and a class that occurs on distinct pages of
-the host is a long repeated substring. A block of which repeated substrings cover more than half is boilerplate;
-the others keep their unique runs, and the covered words go.
+the host is a repeated substring. A block that repeated substrings cover whole is boilerplate; all others stay, with all their words.
 
 A class is reduced to its smallest and largest page before it moves, so a host with most pages is no hot group.
 Pages without blocks to judge need no join.
@@ -212,8 +211,8 @@ def _judge(depth: int):
                     words = block.split()
                     hit = covered[at : at + len(words)]
                     at += len(words)
-                    if kind == OPEN and 2 * hit.sum() <= len(words):
-                        out.append(" ".join(w for w, h in zip(words, np.pad(hit, (0, len(words) - len(hit)))) if not h))
+                    if kind == OPEN and not hit.all():
+                        out.append(block)
                 texts.append("\n".join(out))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows["page_id"], pa.int64()), pa.array(rows["url"], pa.string()), pa.array(texts, pa.string())],

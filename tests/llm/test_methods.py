@@ -228,6 +228,16 @@ def test_pages(spark):
     }
 
 
+def test_pages_keep_blocks_whole(spark):
+    """A phrase of another page is not cut out of a paragraph; a block that is repeated whole goes."""
+    phrase = "at the end of the long day"
+    texts = [f"We went home {phrase} and slept", f"{phrase} nothing was left of it", f"{phrase} we rest"]
+    note = "All rights reserved by the owners of these pages"
+    pages = [(i, "http://a.example/", f"<div><p>{t}</p><p>{note}</p></div>") for i, t in enumerate(texts)]
+    rows = html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in sorted(rows, key=lambda r: r["page_id"])] == texts
+
+
 @pytest.mark.parametrize("block", [contamination.BLOCK_WORDS, 40])
 def test_contamination(spark, mixed_rows, block):
     """Also with the benchmark in many blocks."""
