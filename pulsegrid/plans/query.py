@@ -16,6 +16,7 @@ from pulsegrid.operators.filters import select_readings
 from pulsegrid.operators.partials import build_partials, finalize, partial_stats, resolve_method, stats_for
 from pulsegrid.plans.routing import Request, tier_by_duration, tier_by_interval, tiered_partials
 from pulsegrid.schema import TIMESTAMP, numeric_fields, series_keys
+from pulsegrid.sources.ledger import Span
 from pulsegrid.sources.rollups import GRAINS, RollupStore
 
 HOUR_MS = 3_600_000
@@ -28,6 +29,7 @@ class SeriesResult:
 
     `interval_ms` is the width of the rows' buckets, also where a limit made it wider than asked, and `truncated`
     says that it did; `points` is then the number of rows of the width asked for, else None, as nothing was counted.
+    `uncovered` names parts of the range whose readings have gone and that no rollup answers for.
     """
 
     data: DataFrame
@@ -37,6 +39,7 @@ class SeriesResult:
     actual_end: datetime | None
     method: str | None = None
     points: int | None = None
+    uncovered: tuple[Span, ...] = ()
 
     @property
     def points_per_hour(self) -> float:
@@ -75,12 +78,14 @@ def query_series(
     tie: Sequence[str] = (),
     dedup: bool = False,
     max_duration_hours: float | None = None,
+    allow_gaps: bool = False,
 ) -> SeriesResult:
     """Buckets of the chosen series in time order, from the cheapest table that is exact.
 
     `raw` is a frame of readings, as read or normalized, or None to use stored rollups only. `max_points`
     limits the rows; None, the default, returns every bucket and keeps the whole query lazy. `dedup` removes whole-row copies first; tables written by `write_raw` and unions
-    made by `union_sources` have none.
+    made by `union_sources` have none. Parts of the range that neither readings nor rollups can answer for are an error
+    unless `allow_gaps`; then the result names them.
     """
     start, end = validate_range(sensors, start, end, max_duration_hours)
     duration_ms = millis_between(start, end)
@@ -88,7 +93,7 @@ def query_series(
     preferred = tier_by_duration(duration_ms / HOUR_MS)
     return _run(
         raw, sensors, start, end, assets, interval_ms, max_points, aggregation,
-        store, fields, tie, dedup, preferred,
+        store, fields, tie, dedup, preferred, allow_gaps,
     )
 
 
@@ -105,6 +110,7 @@ def aggregated_query(
     fields: Sequence[str] | None = None,
     tie: Sequence[str] = (),
     dedup: bool = False,
+    allow_gaps: bool = False,
 ) -> SeriesResult:
     """Buckets of a width chosen for all sensors together, from the coarsest rollup that fits."""
     start, end = validate_range(sensors, start, end)
@@ -113,7 +119,7 @@ def aggregated_query(
         interval_ms = aggregated_interval(millis_between(start, end), len(sensors), limit)
     result = _run(
         raw, sensors, start, end, None, interval_ms, max_points, aggregation,
-        store, fields, tie, dedup, tier_by_interval(interval_ms),
+        store, fields, tie, dedup, tier_by_interval(interval_ms), allow_gaps,
     )
     return _with_sensor_type(result)
 
@@ -146,7 +152,7 @@ def raw_query(
 
 def _run(
     raw, sensors, start, end, assets, interval_ms, max_points, aggregation,
-    store, fields, tie, dedup, preferred,
+    store, fields, tie, dedup, preferred, allow_gaps,
 ) -> SeriesResult:
     method = resolve_method(aggregation)
     tie = tie or (store.tie if store else ())
@@ -156,7 +162,8 @@ def _run(
         sensors, start, end, assets, interval_ms,
         () if method == "count" else fields, tie, stats_for([method]), dedup,
     )
-    partials, tier = tiered_partials(raw, store, request, preferred)
+    answer = tiered_partials(raw, store, request, preferred, allow_gaps)
+    partials = answer.partials
     if max_points is None:
         data, width, truncated, points = finalize(partials, method), interval_ms, False, None
     else:
@@ -165,7 +172,7 @@ def _run(
         width = max(interval_ms, fitted.interval_ms or 0)
     ordered = data.orderBy(TIMESTAMP, *series_keys(data))
     # The range is whole whatever the limit: rows are spread over it.
-    return SeriesResult(ordered, tier, width, truncated, end, method, points)
+    return SeriesResult(ordered, answer.tier, width, truncated, end, method, points, answer.uncovered)
 
 
 def _fields(raw, store, preferred, tie) -> list[str]:

@@ -13,6 +13,7 @@ from pulsegrid.operators.filters import only_sensors, select_readings
 from pulsegrid.operators.partials import build_partials, merge_partials
 from pulsegrid.schema import TIMESTAMP, numeric_fields
 from pulsegrid.session import materialize
+from pulsegrid.sources.ledger import source_state
 from pulsegrid.sources.rollups import DAY_MS, GRAINS, RollupStore
 
 # Lowest acceptable coverage of the readings and of each rollup.
@@ -36,13 +37,16 @@ def rebuild_rollups(
     The range is widened to whole days, which all grains divide, and back to where the recorded time ended within the
     day before, as that day may have grown since. Each grain is one job: minutes from the readings, every other
     grain by merging the stored next finer one. Running it twice leaves the same tables, and days of which the
-    readings have gone lose their rows. `dedup` removes whole-row copies of readings first.
+    readings have gone lose their rows. `dedup` removes whole-row copies of readings first. The files of the source go into the
+    ledger of the store, so that later changes of them are noticed; rebuilds of some sensors leave it as it was.
     """
     start = floor_time(utc_time(start), DAY_MS) if start is not None else None
     end = ceil_time(utc_time(end), DAY_MS) if end is not None else None
     if start is not None and not sensors:
         start = min([start, *(floor_time(t, DAY_MS) for t in store.open_ends(start))])
     fields = numeric_fields(raw, store.tie) if fields is None else list(fields)
+    # The state before the readings are read: what comes meanwhile counts as a change.
+    state = None if sensors else source_state(raw)
     rows = select_readings(raw, sensors, start, end, dedup=dedup)
     finer = None
     for name in grains:
@@ -58,12 +62,16 @@ def rebuild_rollups(
         # What the other sensors have keeps its record only if both were built alike.
         store.forget(grains, *span, unless=store.build(fields, dedup))
     else:
+        number = 0
+        if state.files is not None:
+            number = store.next_number()
+            store.ledger.append(raw, state, number, start, end)
         store.forget(grains, *span)
-        _record_coverage(raw, store, grains, start, end, store.build(fields, dedup))
+        _record_coverage(raw, store, grains, start, end, store.build(fields, dedup), number)
 
 
 def _record_coverage(
-    raw: DataFrame, store: RollupStore, grains: Sequence[str], start: datetime | None, end: datetime | None, build: str
+    raw: DataFrame, store: RollupStore, grains: Sequence[str], start: datetime | None, end: datetime | None, build: str, number: int
 ) -> None:
     """Everything before the readings' first was built too, unless a start was given.
 
@@ -79,7 +87,7 @@ def _record_coverage(
         known = floor_time(latest, GRAINS["1m"].interval_ms)
     start = start or datetime.min
     if start < known:
-        store.mark_covered(grains, start, known, build)
+        store.mark_covered(grains, start, known, build, number)
 
 
 def validate_rollups(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,8 +16,9 @@ from pulsegrid.operators.partials import (
     merge_partials,
     partial_stats,
 )
-from pulsegrid.schema import TIMESTAMP
-from pulsegrid.sources.rollups import GRAINS, RollupStore
+from pulsegrid.schema import TIMESTAMP, series_keys
+from pulsegrid.sources.ledger import Span, merged, without
+from pulsegrid.sources.rollups import GRAINS, RollupStore, select_rows
 
 RAW = "raw"
 NONE = "none"
@@ -62,17 +63,37 @@ def tier_order(preferred: str) -> list[str]:
     return [preferred, *[tier for tier in (RAW, *GRAINS) if tier != preferred]]
 
 
-def is_exact(tier: str, request: Request, has_raw: bool) -> bool:
-    """Whether a rollup yields the same result as the readings.
+class IncompleteRange(ValueError):
+    """Readings of a part of the range have gone and no stored rollup can answer for it exactly."""
 
-    Its grain must divide the bucket width. A range that does not start or end on the grain needs
-    the readings for its two edges.
-    """
-    grain = GRAINS[tier].interval_ms
-    if request.interval_ms % grain:
-        return False
-    start, end = ceil_time(request.start, grain), floor_time(request.end, grain)
-    return start < end and (has_raw or (start, end) == (request.start, request.end))
+    def __init__(self, gaps: Sequence[Span]):
+        self.gaps = tuple(gaps)
+        named = ", ".join(f"{start.isoformat()} to {end.isoformat()}" for start, end in self.gaps)
+        super().__init__(f"readings and rollups leave gaps: {named}")
+
+
+@dataclass(frozen=True)
+class Answer:
+    """Partials of the requested buckets, the tier they came from, and what of the range nothing could answer for."""
+
+    partials: DataFrame
+    tier: str
+    uncovered: tuple[Span, ...] = ()
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """A rollup and the recorded parts of the range; those that may have changed at the source since; what nothing answers for."""
+
+    grain: str
+    table: DataFrame
+    spans: list[Span]
+    doubtful: list[Span]
+    gaps: list[Span]
+
+    @property
+    def missing(self) -> float:
+        return sum(millis_between(*gap) for gap in self.gaps)
 
 
 def tiered_partials(
@@ -80,56 +101,125 @@ def tiered_partials(
     store: RollupStore | None,
     request: Request,
     preferred: str,
-) -> tuple[DataFrame, str]:
-    """Partials of the requested buckets and the tier they came from.
-
-    A rollup is used where it is exact, as far as it is recorded to be complete and was built as the request asks
-    (fields, order of equal times, copies); what lies outside comes from the readings. Where the readings are
-    gone, it must be recorded for the whole range. The first tier with rows wins.
+    allow_gaps: bool = False,
+) -> Answer:
+    """The requested buckets from the preferred tier, or another that can answer.
+
+    A rollup is used where its grain divides the buckets, as far as it is recorded to be complete and was built as the request asks
+    (fields, order of equal times, copies); what lies outside comes from the readings. Where the ledger cannot tell that the source
+    is as it was at the build, both are bucketed, and each series and bucket is taken from the one with more readings: late
+    ones are in the readings, expired ones in the rollup. Parts of the range where readings have gone without a rollup are an
+    error, or named in the answer with `allow_gaps`.
     """
-    raw_rows = None if raw is None else _select(raw, request)
-    raw_gone = raw is None
+    # Copies do not make rows, so nothing is deduplicated for this.
+    has_raw = raw is not None and not _select(raw, replace(request, dedup=False)).isEmpty()
+    best: tuple[Candidate, str] | None = None
     for tier in tier_order(preferred):
-        if tier == RAW:
-            if raw is None:
-                continue
-            # Copies do not make rows, so nothing is deduplicated for this.
-            if not _select(raw, replace(request, dedup=False)).isEmpty():
-                return _raw_with_past(raw, raw_rows, store, request), RAW
-            raw_gone = True
-        elif store is not None and is_exact(tier, request, not raw_gone):
-            start, end = _inner(tier, request)
-            until = store.covered_until(tier, start, request.fields, request.tie, request.dedup)
-            reached = min(end, floor_time(until or start, GRAINS[tier].interval_ms))
-            if raw_gone and reached < end:
-                continue  # nothing else could answer for the rest
-            end = reached
-            stored = _stored(store, tier, request, start, end) if start < end else None
-            if stored is not None and not stored.isEmpty():
-                edges = () if raw_gone else _edges(raw, tier, request, start, end)
-                return merge_partials(_joined(stored, edges), request.interval_ms), tier
+        if tier != RAW:
+            found = _candidate(raw, store, request, tier, from_start=has_raw)
+        elif has_raw:
+            found = _any_grain(raw, store, request)
+            if found is None:
+                return Answer(_from_raw(_select(raw, request), request), RAW)
+        else:
+            continue
+        if found is not None and (best is None or found.missing < best[0].missing):
+            best = found, tier
+        if best is not None and not best[0].gaps:
+            break
+    if best is not None:
+        found, tier = best
+        if found.gaps and not allow_gaps:
+            raise IncompleteRange(found.gaps)
+        return Answer(_partials(raw, request, found, from_rollup=tier != RAW), tier, tuple(found.gaps))
     if raw is None:
         raise ValueError("no stored rollup can answer this query exactly")
-    return _from_raw(raw_rows, request), NONE
-
-
-def _raw_with_past(raw: DataFrame, rows: DataFrame, store: RollupStore | None, request: Request) -> DataFrame:
-    """The readings; what lies before the source's first comes from a rollup that was built while it was there."""
-    partials = _from_raw(rows, request)
-    if store is None or not store.covered():
-        return partials
-    if not select_readings(raw, None, None, request.start + timedelta(microseconds=1)).isEmpty():
-        return partials  # the source reaches back beyond the range
-    first = select_readings(raw, None, request.start, request.end).agg(F.min(TIMESTAMP)).first()[0]
-    for tier, grain in sorted(GRAINS.items(), key=lambda g: -g[1].interval_ms):
-        start, end = ceil_time(request.start, grain.interval_ms), min(floor_time(first, grain.interval_ms), request.end)
-        if request.interval_ms % grain.interval_ms or start != request.start or start >= end:
-            continue
-        until = store.covered_until(tier, start, request.fields, request.tie, request.dedup)
-        stored = _stored(store, tier, request, start, end) if until and until >= end else None
-        if stored is not None:
-            return merge_partials(_joined(stored, _edges(raw, tier, request, request.start, end)), request.interval_ms)
-    return partials
+    return Answer(_from_raw(_select(raw, request), request), NONE)
+
+
+def _any_grain(raw: DataFrame, store: RollupStore | None, request: Request) -> Candidate | None:
+    """The rollup that fills in best for readings that have gone: of those without gaps the coarsest."""
+    fitting = [name for name, grain in GRAINS.items() if request.interval_ms % grain.interval_ms == 0]
+    best = None
+    for name in reversed(fitting):
+        found = _candidate(raw, store, request, name)
+        if found is not None and (best is None or found.missing < best.missing):
+            best = found
+        if best is not None and not best.gaps:
+            break
+    return best
+
+
+def _candidate(raw: DataFrame | None, store: RollupStore | None, request: Request, name: str, from_start: bool = False) -> Candidate | None:
+    """The recorded and stored parts of the range in a grain; with `from_start` they must reach back to the first whole bucket."""
+    if store is None or request.interval_ms % GRAINS[name].interval_ms:
+        return None
+    start, end = _inner(name, request)
+    recorded = store.spans(name, start, end, request.fields, request.tie, request.dedup)
+    if not recorded or (from_start and recorded[0][0] > start):
+        return None
+    table = store.open(name)
+    if table is None or not _holds(table, request):
+        return None
+    spans = merged((low, high) for low, high, _ in recorded)
+    if all(select_rows(table, name, request.sensors, *span, request.assets).isEmpty() for span in spans):
+        return None
+    doubtful = [] if raw is None else store.ledger.doubtful(raw, recorded)
+    width = GRAINS[name].interval_ms
+    doubtful = merged((floor_time(low, width), ceil_time(high, width)) for low, high in doubtful)
+    outside = without([(request.start, request.end)], spans)
+    gaps = outside if raw is None else _gaps(raw, table, name, request, outside)
+    return Candidate(name, table, spans, doubtful, gaps)
+
+
+def _gaps(raw: DataFrame, table: DataFrame, name: str, request: Request, pieces: Sequence[Span]) -> list[Span]:
+    """The pieces before the first reading that is left, if stored rows tell that there were earlier ones."""
+    if not pieces:
+        return []
+    narrow = replace(request, dedup=False)
+    earlier = select_readings(raw, request.sensors, None, request.start, request.assets)
+    if not earlier.isEmpty():
+        return []
+    first = _select(raw, narrow).agg(F.min(TIMESTAMP)).first()[0]
+    pieces = without(pieces, [(first, datetime.max)]) if first else list(pieces)
+    reached = floor_time(first, GRAINS[name].interval_ms) if first else None
+    rows = select_rows(table, name, request.sensors, None, reached, request.assets)
+    return [] if not pieces or rows.isEmpty() else pieces
+
+
+def _partials(raw: DataFrame | None, request: Request, found: Candidate, from_rollup: bool) -> DataFrame:
+    """Partials of the range: trusted parts from the rollup if wanted, doubtful ones from both, the rest from the readings."""
+    if not from_rollup and not found.doubtful:
+        return _from_raw(_select(raw, request), request)
+    trusted = without(found.spans, found.doubtful)
+    width = GRAINS[found.grain].interval_ms
+
+    def read(span: Span) -> DataFrame:
+        rows = select_rows(found.table, found.grain, request.sensors, *span, request.assets)
+        return keep_stats(rows, request.stats, request.fields)
+
+    def fresh(span: Span) -> DataFrame:
+        inside = replace(request, start=span[0], end=span[1], interval_ms=width)
+        return _from_raw(_select(raw, inside), inside)
+
+    parts = [_more_complete(read(span), fresh(span)) for span in found.doubtful]
+    if from_rollup:
+        parts += [read(span) for span in trusted]
+    if raw is not None:
+        parts += [fresh(span) for span in without([(request.start, request.end)], found.spans if from_rollup else found.doubtful)]
+    return merge_partials(_joined(parts[0], parts[1:]), request.interval_ms)
+
+
+def _more_complete(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Each bucket of a series from the side that counts more readings in it; from the readings if both count the same."""
+    keys = ["bucket", *series_keys(stored)]
+    rest = [name for name in stored.columns if name not in keys]
+    left = stored.select(*keys, F.struct(*[F.col(f"`{n}`") for n in rest]).alias("stored"))
+    right = fresh.select(*keys, F.struct(*[F.col(f"`{n}`").cast(stored.schema[n].dataType).alias(n) for n in rest]).alias("fresh"))
+    both = left.join(right, keys, "full")
+    late = F.col("stored").isNull() | (F.col("fresh.n_rows") >= F.col("stored.n_rows"))
+    chosen = both.select(*keys, F.when(late, F.col("fresh")).otherwise(F.col("stored")).alias("chosen"))
+    return chosen.select(*keys, *[F.col(f"chosen.`{n}`").alias(n) for n in rest])
 
 
 def _select(raw: DataFrame, request: Request) -> DataFrame:
@@ -150,34 +240,9 @@ def _inner(tier: str, request: Request) -> tuple[datetime, datetime]:
     return ceil_time(request.start, grain), floor_time(request.end, grain)
 
 
-def _stored(
-    store: RollupStore, tier: str, request: Request, start: datetime, end: datetime
-) -> DataFrame | None:
-    table = store.open(tier)
-    if table is None:
-        return None
-    rows = store.select(table, tier, request.sensors, start, end, request.assets)
-    held = partial_stats(rows)
-    complete = all(set(request.stats) <= set(held.get(field, ())) for field in request.fields)
-    return keep_stats(rows, request.stats, request.fields) if complete else None
-
-
-def _edges(
-    raw: DataFrame, tier: str, request: Request, start: datetime, end: datetime
-) -> Iterable[DataFrame]:
-    """Partials of the readings before and after the time the rollup answers for."""
-    for lower, upper in ((request.start, start), (end, request.end)):
-        if lower < upper:
-            rows = select_readings(
-                raw, request.sensors, lower, upper, request.assets, dedup=request.dedup
-            )
-            yield build_partials(
-                rows,
-                GRAINS[tier].interval_ms,
-                fields=request.fields,
-                tie=request.tie,
-                stats=request.stats,
-            )
+def _holds(table: DataFrame, request: Request) -> bool:
+    held = partial_stats(table)
+    return all(set(request.stats) <= set(held.get(field, ())) for field in request.fields)
 
 
 def _joined(stored: DataFrame, edges: Iterable[DataFrame]) -> DataFrame:

@@ -62,12 +62,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def list_paths(spark: SparkSession, root: str, levels: tuple[str, ...]) -> list[str]:
     """Partition folders of a table, as deep as it has partition columns."""
-    pattern = "/".join([root, *[f"{name}=*" for name in levels]])
+    return glob_paths(spark, "/".join([root, *[f"{name}=*" for name in levels]]))
+
+
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
     return [status.getPath().toString() for status in found or []]
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a folder its final name; False if that is taken."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = make(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not files.exists(make(target)) and files.rename(make(source), make(target))
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete everything this application has in the scratch folder; lazy results that read it end here."""
     _, paths = _written.get(spark.sparkContext.applicationId, (spark, set()))

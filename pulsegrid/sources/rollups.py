@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -14,7 +15,8 @@ from pulsegrid.functions.time import ceil_time, floor_time, ntz, utc_time
 from pulsegrid.operators.filters import PARTITION, only_assets, only_sensors, time_range
 from pulsegrid.operators.partials import partial_stats, statistic
 from pulsegrid.schema import series_keys
-from pulsegrid.session import delete_path, list_paths, materialize
+from pulsegrid.session import delete_path, glob_paths, list_paths, materialize, rename_new
+from pulsegrid.sources.ledger import Ledger
 from pulsegrid.sources.readings import read_parquet, write_partitioned
 
 
@@ -36,7 +38,7 @@ GRAINS = {
     )
 }
 DAY_MS = GRAINS["1d"].interval_ms
-COVERED = "grain string, start timestamp_ntz, end timestamp_ntz, build string"
+COVERED = "grain string, start timestamp_ntz, end timestamp_ntz, build string, number long"
 
 
 class RollupStore:
@@ -59,6 +61,7 @@ class RollupStore:
         self.root = root.rstrip("/")
         self.tie = tuple(tie)
         self.partition_by = tuple(partition_by)
+        self.ledger = Ledger(spark, f"{self.root}/sources")
 
     def path(self, grain: str) -> str:
         return f"{self.root}/{GRAINS[grain].name}"
@@ -91,8 +94,7 @@ class RollupStore:
 
     def select(self, table: DataFrame, grain: str, sensors=None, start=None, end=None, assets=None):
         """`read` on a table opened before."""
-        df = time_range(table, start, end, column="bucket", partition_floor=GRAINS[grain].period)
-        return only_assets(only_sensors(df, sensors), assets).drop(PARTITION)
+        return select_rows(table, grain, sensors, start, end, assets)
 
     def write(self, grain: str, partials: DataFrame) -> None:
         """Store partials; partitions that get rows are replaced whole, others stay."""
@@ -169,41 +171,78 @@ class RollupStore:
 
     def covered(self) -> list[Row]:
         """The record: one row per grain, build and span without a gap, as it is merged when written."""
-        try:
-            return self.spark.read.schema(COVERED).parquet(f"{self.root}/covered").collect()
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
+        return self._latest()[1]
 
-    def _record(self, rows: list[tuple]) -> None:
-        merged: list[list] = []
-        for grain, build, start, end in sorted((r[0], r[3], r[1], r[2]) for r in rows):
-            last = merged[-1] if merged else None
-            if last and last[0] == grain and last[3] == build and start <= last[2]:
-                last[2] = max(last[2], end)
-            else:
-                merged.append([grain, start, end, build])
-        self.spark.createDataFrame(merged, COVERED).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/covered")
+    def _latest(self) -> tuple[int, list[Row]]:
+        """The newest version of the record that was written to its end, and its rows."""
+        done = glob_paths(self.spark, f"{self.root}/record/version=*/_SUCCESS")
+        numbers = [int(path.rsplit("version=", 1)[1].split("/")[0]) for path in done]
+        if not numbers:
+            return 0, []
+        path = f"{self.root}/record/version={max(numbers)}"
+        return max(numbers), self.spark.read.schema(COVERED).parquet(path).collect()
 
-    def mark_covered(self, grains: Sequence[str], start: datetime, end: datetime, build: str) -> None:
-        """Record that rollups hold everything the readings had in `[start, end)`."""
-        self._record([*map(tuple, self.covered()), *[(grain, start, end, build) for grain in grains]])
+    def _change_record(self, change: Callable[[list[tuple]], list[tuple]]) -> None:
+        """Write the record anew, as a version of its own; it counts once it has its final name.
+
+        A build at the same time may have been faster, so the change is made again on what is there then.
+        """
+        for _ in range(100):
+            version, rows = self._latest()
+            before = list(map(tuple, rows))
+            after = _merged_record(change(before))
+            if after == before:
+                return
+            aside = f"{self.root}/record/aside-{uuid.uuid4().hex}"
+            self.spark.createDataFrame(after, COVERED).coalesce(1).write.parquet(aside)
+            if rename_new(self.spark, aside, f"{self.root}/record/version={version + 1}"):
+                for path in glob_paths(self.spark, f"{self.root}/record/version={version - 1}"):
+                    delete_path(self.spark, path)
+                return
+            delete_path(self.spark, aside)
+        raise RuntimeError(f"the record of {self.root} changes all the time")
+
+    def mark_covered(self, grains: Sequence[str], start: datetime, end: datetime, build: str, number: int = 0) -> None:
+        """Record that rollups hold everything the readings had in `[start, end)`, as build `number` of the ledger found them."""
+        self._change_record(lambda rows: [*rows, *[(grain, start, end, build, number) for grain in grains]])
+
+    def next_number(self) -> int:
+        """A number for a build that no other has."""
+        return uuid.uuid4().int >> 66
+
+    def spans(
+        self, grain: str, start: datetime, end: datetime, fields: Sequence[str] = (), tie: Sequence[str] | None = None, dedup: bool | None = None
+    ) -> list[tuple[datetime, datetime, int]]:
+        """The recorded parts of `[start, end)` on whole buckets that were built so, in order, with the numbers of their builds."""
+        width, at, out = GRAINS[grain].interval_ms, start, []
+        for row in sorted(self.covered(), key=lambda r: (r["start"], r["end"])):
+            build = json.loads(row["build"])
+            fits = row["grain"] == grain and set(fields) <= set(build["fields"]) and (dedup is None or build["dedup"] == dedup)
+            fits = fits and (tie is None or build["tie"] == list(tie))
+            low, high = max(at, row["start"]), min(end, row["end"])
+            if fits and low < high:
+                low, high = ceil_time(low, width), floor_time(high, width)
+                if low < high:
+                    out.append((low, high, row["number"]))
+                    at = high
+        return out
 
     def forget(self, grains: Sequence[str], start: datetime, end: datetime, unless: str | None = None) -> None:
         """Take `[start, end)` out of the record, but for the build named."""
-        rows, left = list(map(tuple, self.covered())), []
-        for row in rows:
-            grain, lower, upper, build = row
-            if grain not in grains or build == unless or upper <= start or lower >= end:
-                left.append(row)
-                continue
-            if lower < start:
-                left.append((grain, lower, start, build))
-            if upper > end:
-                left.append((grain, end, upper, build))
-        if left != rows:
-            self._record(left)
+        def change(rows: list[tuple]) -> list[tuple]:
+            left = []
+            for row in rows:
+                grain, lower, upper, build, number = row
+                if grain not in grains or build == unless or upper <= start or lower >= end:
+                    left.append(row)
+                    continue
+                if lower < start:
+                    left.append((grain, lower, start, build, number))
+                if upper > end:
+                    left.append((grain, end, upper, build, number))
+            return left
+
+        self._change_record(change)
 
     def open_ends(self, start: datetime) -> list[datetime]:
         """Ends of recorded spans that stop within the day before `start`."""
@@ -213,15 +252,32 @@ class RollupStore:
         self, grain: str, start: datetime | str, fields: Sequence[str] = (), tie: Sequence[str] | None = None, dedup: bool | None = None
     ) -> datetime | None:
         """End of the recorded time that includes `start` without a gap and was built so, or None."""
-        start = utc_time(start)
-        ends = []
-        for row in self.covered():
+        start, until = utc_time(start), None
+        for row in sorted(self.covered(), key=lambda r: (r["start"], r["end"])):
             build = json.loads(row["build"])
             fits = set(fields) <= set(build["fields"]) and (dedup is None or build["dedup"] == dedup)
             fits &= tie is None or build["tie"] == list(tie)
-            if fits and row["grain"] == grain and row["start"] <= start < row["end"]:
-                ends.append(row["end"])
-        return max(ends, default=None)
+            if fits and row["grain"] == grain and row["start"] <= (until or start) and start < row["end"]:
+                until = max(until or start, row["end"])
+        return until
+
+
+def select_rows(table: DataFrame, grain: str, sensors=None, start=None, end=None, assets=None) -> DataFrame:
+    """Partials of a stored table whose bucket starts in `[start, end)`; only the partitions of that time."""
+    df = time_range(table, start, end, column="bucket", partition_floor=GRAINS[grain].period)
+    return only_assets(only_sensors(df, sensors), assets).drop(PARTITION)
+
+
+def _merged_record(rows: list[tuple]) -> list[tuple]:
+    """Touching spans of the same grain and build as one."""
+    merged: list[list] = []
+    for grain, build, number, start, end in sorted((r[0], r[3], r[4], r[1], r[2]) for r in rows):
+        last = merged[-1] if merged else None
+        if last and (last[0], last[3], last[4]) == (grain, build, number) and start <= last[2]:
+            last[2] = max(last[2], end)
+        else:
+            merged.append([grain, start, end, build, number])
+    return [tuple(row) for row in merged]
 
 
 def rollup_view(partials: DataFrame) -> DataFrame:

@@ -437,6 +437,9 @@ WHERE ("timestamp", sensor_name, asset_id) NOT IN (SELECT ({bucket(HOUR)}, senso
     "tiered_dedup": range_query("sum", ALL_START, ALL_END, 24 * HOUR),
     "tiered_fields": f"""WITH {SERIES}
 SELECT {bucket(24 * HOUR)} AS "timestamp", sensor_name, asset_id, CAST(sum(k) AS BIGINT) AS k FROM series GROUP BY 1, 2, 3""",
+    "tiered_late": range_query("avg", ALL_START, ALL_END, SIX_HOURS),
+    "tiered_partly_expired": range_query("avg", "2024-01-05T06:00:00", "2024-01-11T18:00:00", SIX_HOURS),
+    "tiered_partial_rollup": range_query("sum", ALL_START, ALL_END, SIX_HOURS),
     "tiered_raw_expired": range_query("avg", "2024-01-08T12:00:00", "2024-01-09T12:00:00", HOUR),
     "rebuild_after_delete": f"""WITH {SERIES}
 SELECT {bucket(24 * HOUR)} AS "timestamp", sensor_name, asset_id, count(*) AS count

@@ -235,6 +235,34 @@ def tiered_raw_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(result.data)
 
 
+def tiered_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks of two days arrive, in a file of their own, after the rollup was built: those days are not left to it."""
+    readings, store = series(spark, sf_dir), inputs.new_store(spark)
+    late = F.col("timestamp").between("2024-01-06", "2024-01-08") & (F.col("sensor_name") == "click")
+    path = scratch_path(spark, "arrivals")
+    write_raw(readings.where(~late), path)
+    rebuild_rollups(read_parquet(spark, path), store, grains=["1h"], fields=["value"])
+    write_raw(readings.where(late), path, mode="append")
+    return month(spark, read_parquet(spark, path), store, "avg", SIX_HOURS)
+
+
+def tiered_partly_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks before the 8th at noon are gone, other sensors are whole: the rollup answers for the clicks."""
+    left = series(spark, sf_dir).where("sensor_name <> 'click' OR timestamp >= '2024-01-08 12:00:00'")
+    result = query_series(
+        left, SENSORS, "2024-01-05T06:00:00", "2024-01-11T18:00:00",
+        interval_ms=SIX_HOURS, store=inputs.store(spark, sf_dir), fields=["value"],
+    )
+    return rounded(result.data)
+
+
+def tiered_partial_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only hours of nine days are stored, and the readings of the first week are gone: both together have the month."""
+    readings, store = series(spark, sf_dir), inputs.new_store(spark)
+    rebuild_rollups(readings, store, start="2024-01-01", end="2024-01-10", grains=["1h"], fields=["value"])
+    return month(spark, readings.where("timestamp >= '2024-01-08 07:30:00'"), store, "sum", SIX_HOURS)
+
+
 def rebuild_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day is deleted from the readings and everything is built again: the rollup has lost it, too."""
     readings, store = series(spark, sf_dir), inputs.new_store(spark)
@@ -555,6 +583,9 @@ QUERIES: dict[str, Query] = {
     "tiered_dedup": tiered_dedup,
     "tiered_fields": tiered_fields,
     "tiered_raw_expired": tiered_raw_expired,
+    "tiered_late": tiered_late,
+    "tiered_partly_expired": tiered_partly_expired,
+    "tiered_partial_rollup": tiered_partial_rollup,
     "rebuild_after_delete": rebuild_after_delete,
     "popular_keys": lambda spark, sf: popular_keys(inputs.request_log(spark, sf)),
     "key_totals": lambda spark, sf: key_totals(inputs.request_log(spark, sf)),
