@@ -192,13 +192,20 @@ def _spread_join(rows: DataFrame, lookup: DataFrame, n: int, how: str) -> DataFr
     return rows.select("*", part).join(copies, ["digest", "part"], how).drop("part")
 
 
+def _cuts(docs: DataFrame, batches: int) -> list[int]:
+    """Where batches of about the same size begin; where exactly does not change the result."""
+    if batches < 2:
+        return []
+    return docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+
+
 def find_copies(docs: DataFrame, batches: int = BATCHES, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; `digest` of the normalised text is trusted only where bytes agree."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     source = docs.select("doc_id", normalised(F.col("text")).alias("text"))
-    cuts = docs.select(F.col("doc_id").cast("double").alias("v")).approxQuantile("v", [i / batches for i in range(1, batches)], 0.01)
-    batch = sum(((F.col("doc_id") >= cut).cast("int") for cut in sorted(set(cuts))), F.lit(0))
+    cuts = sorted(set(_cuts(docs, batches)))
+    batch = sum(((F.col("doc_id") >= cut).cast("int") for cut in cuts), F.lit(0))
     rows = source.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(batch, F.lit(0)).alias("batch"),
         _sha256(F.col("text")).alias("sha"), digest(F.col("text")).alias("digest"),
@@ -214,7 +221,7 @@ def find_copies(docs: DataFrame, batches: int = BATCHES, digest: Callable[[Colum
     bucket = F.pmod(F.xxhash64("digest"), F.lit(number)).cast("int").alias("bucket")
     buckets = scratch.write(grouped.select(bucket, "*"), "buckets")
 
-    filters = scratch.write(build_filters(buckets.where(F.col("batch") < len(set(cuts)))), "filters")
+    filters = scratch.write(build_filters(buckets.where(F.col("batch") < len(cuts))), "filters")
     positive = screen(buckets.where("batch > 0"), filters)
     snapshot = buckets.select("digest", F.col("batch").alias("snapshot"))
     known = positive.join(snapshot, ["digest", "snapshot"], "left_semi").select("digest")
