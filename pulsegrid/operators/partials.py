@@ -85,7 +85,17 @@ def _is_ordered(per_field: Mapping[str, Sequence[str]]) -> bool:
 
 def merge_partials(partials: DataFrame, interval_ms: int) -> DataFrame:
     """Partials of a coarser interval from those of finer ones, or from several sources."""
-    keys = series_keys(partials)
+    rows = partials.withColumn("merged", bucket_start("bucket", interval_ms))
+    merged = rows.groupBy("merged", *series_keys(partials)).agg(*_merging(partials))
+    return merged.withColumnRenamed("merged", "bucket")
+
+
+def add_partials(partials: DataFrame, also_by: Sequence[str] = ()) -> DataFrame:
+    """One row for each bucket and series from several of the same interval; filters of the keys still reach the scans."""
+    return partials.groupBy("bucket", *series_keys(partials), *also_by).agg(*_merging(partials))
+
+
+def _merging(partials: DataFrame) -> list[Column]:
     aggregates = [
         F.sum("n_rows").alias("n_rows"),
         F.min("first_ts").alias("first_ts"),
@@ -100,9 +110,7 @@ def merge_partials(partials: DataFrame, interval_ms: int) -> DataFrame:
             else:
                 merge = {"sum": F.sum, "cnt": F.sum, "min": F.min, "max": F.max}[stat]
                 aggregates.append(merge(F.col(f"`{field}_{stat}`")).alias(f"{field}_{stat}"))
-    rows = partials.withColumn("merged", bucket_start("bucket", interval_ms))
-    merged = rows.groupBy("merged", *keys).agg(*aggregates)
-    return merged.withColumnRenamed("merged", "bucket")
+    return aggregates
 
 
 def _ordered(field: str, value: Column, key: Column, wanted: Sequence[str]) -> list[Column]:

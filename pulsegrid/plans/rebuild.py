@@ -66,28 +66,19 @@ def rebuild_rollups(
         if state.files is not None:
             number = store.next_number()
             store.ledger.append(raw, state, number, start, end)
-        store.forget(grains, *span)
-        _record_coverage(raw, store, grains, start, end, store.build(fields, dedup), number)
+        store.record_build(grains, span, _known(raw, start, end), store.build(fields, dedup), number)
 
 
-def _record_coverage(
-    raw: DataFrame, store: RollupStore, grains: Sequence[str], start: datetime | None, end: datetime | None, build: str, number: int
-) -> None:
-    """Everything before the readings' first was built too, unless a start was given.
+def _known(raw: DataFrame, start: datetime | None, end: datetime | None) -> datetime | None:
+    """How far a build from the readings of a span is complete.
 
-    Up to `end` if the source has later readings; else the last minute with readings, and what follows, may still grow
-    and is not recorded.
+    Everything before the readings' first was built too, unless a start was given. It reaches to `end` if the source has later
+    readings; else the last minute with readings, and what follows, may still grow.
     """
     if end is not None and not select_readings(raw, None, end).isEmpty():
-        known = end
-    else:
-        latest = select_readings(raw, None, start, end).agg(F.max(TIMESTAMP)).first()[0]
-        if latest is None:
-            return
-        known = floor_time(latest, GRAINS["1m"].interval_ms)
-    start = start or datetime.min
-    if start < known:
-        store.mark_covered(grains, start, known, build, number)
+        return end
+    latest = select_readings(raw, None, start, end).agg(F.max(TIMESTAMP)).first()[0]
+    return None if latest is None else floor_time(latest, GRAINS["1m"].interval_ms)
 
 
 def validate_rollups(

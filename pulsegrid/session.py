@@ -75,6 +75,7 @@ def rename_new(spark: SparkSession, source: str, target: str) -> bool:
     """Give a folder its final name; False if that is taken."""
     make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = make(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(make(target).getParent())
     return not files.exists(make(target)) and files.rename(make(source), make(target))
 
 

@@ -115,6 +115,9 @@ class Ledger:
                 rows.append((number, state.plan, *file, low, high))
         # A source without files has an entry of its own.
         rows = rows or [(number, state.plan, None, None, None, None, None)]
+        self.write(rows)
+
+    def write(self, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("append").parquet(self.path)
 
     def doubtful(self, raw: DataFrame, spans: Sequence[tuple[datetime, datetime, int]]) -> list[Span]:

@@ -25,8 +25,9 @@ def read_parquet(
     merge_schema: bool = False,
     skip_unreadable: bool = False,
     recursive: bool = False,
+    base_path: str | None = None,
 ) -> DataFrame:
-    """Parquet files as they are. One read for any number of paths.
+    """Parquet files as they are. One read for any number of paths; below `base_path`, folders are partitions.
 
     Without a `schema` that of one file is taken; `merge_schema` outer-unions those of all files,
     which opens every one of them. `skip_unreadable` passes over corrupt and vanished files, which
@@ -38,6 +39,8 @@ def read_parquet(
         "ignoreMissingFiles": skip_unreadable,
         "recursiveFileLookup": recursive,
     }
+    if base_path is not None:
+        options["basePath"] = base_path
     reader = spark.read.options(**options)
     if schema is not None:
         return reader.schema(schema).parquet(*paths)

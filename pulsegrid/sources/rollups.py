@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from pulsegrid.functions.time import ceil_time, floor_time, ntz, utc_time
 from pulsegrid.operators.filters import PARTITION, only_assets, only_sensors, time_range
-from pulsegrid.operators.partials import partial_stats, statistic
+from pulsegrid.operators.partials import add_partials, partial_stats, statistic
 from pulsegrid.schema import series_keys
 from pulsegrid.session import delete_path, glob_paths, list_paths, materialize, rename_new
 from pulsegrid.sources.ledger import Ledger
@@ -70,10 +70,81 @@ class RollupStore:
         return self.open(grain) is not None
 
     def open(self, grain: str) -> DataFrame | None:
-        """The whole table of a grain, or None where there is none."""
-        return self._table(self.path(grain))
+        """The whole table of a grain, or None where there is none; deltas that are not folded in yet are added."""
+        table, pending = self._table(self.path(grain)), self._table(f"{self.root}/pending/{grain}/rows")
+        if pending is not None:
+            days = [r[0] for r in pending.select(PARTITION).distinct().collect()]  # one row per partition
+            rest = None if table is None else table.where(~F.col(PARTITION).isin(days))
+            table = pending if rest is None else rest.unionByName(pending, allowMissingColumns=True)
+        deltas = self._deltas(grain)
+        if not deltas:
+            return table
+        added = read_parquet(self.spark, *deltas, base_path=f"{self.root}/deltas/{grain}").drop("batch")
+        both = added if table is None else table.unionByName(added.select(*table.columns))
+        return add_partials(both, [PARTITION])
+
+    def _deltas(self, grain: str) -> list[str]:
+        """Folders of deltas that were written to their end and are in neither the table nor what is about to be folded in."""
+        found = glob_paths(self.spark, f"{self.root}/deltas/{grain}/batch=*/_SUCCESS")
+        folded = self._folded(grain) if found else {}
+        named = [(path, *_batch(path)) for path in (p.rsplit("/", 1)[0] for p in found)]
+        return [path for path, stream, number in named if number > folded.get(stream, -1)]
+
+    def _folded(self, grain: str) -> dict[str, int]:
+        """The last batch of each stream that was folded in; batches come in order."""
+        out: dict[str, int] = {}
+        for path in (f"{self.root}/folded/{grain}", f"{self.root}/pending/{grain}/folded"):
+            names = self._table(path)
+            for stream, number in [] if names is None else names.groupBy("stream").agg(F.max("number")).collect():
+                out[stream] = max(number, out.get(stream, -1))
+        return out
+
+    def add_delta(self, grain: str, partials: DataFrame, stream: str, number: int) -> None:
+        """Store partials that come on top of all others. The same batch again takes the place of the first, or is there already."""
+        if number <= self._folded(grain).get(stream, -1) or partials.isEmpty():
+            return
+        dated = partials.withColumn(PARTITION, F.to_date(F.date_trunc(GRAINS[grain].period, F.col("bucket"))))
+        path = f"{self.root}/deltas/{grain}/batch={stream}-{number:012d}"
+        dated.repartition(PARTITION).write.mode("overwrite").partitionBy(PARTITION).parquet(path)
+
+    def compact(self, grain: str) -> None:
+        """Fold deltas into the partitions they belong to.
+
+        The new partitions are written aside and count, in place of the old ones and the deltas, from the moment their folder gets
+        its name. What follows can be done again after any failure, and is, before anything else is folded.
+        """
+        self._finish(grain)
+        deltas = self._deltas(grain)
+        if not deltas:
+            return
+        aside, final = f"{self.root}/aside-{uuid.uuid4().hex}", f"{self.root}/pending/{grain}"
+        touched = read_parquet(self.spark, *deltas, base_path=f"{self.root}/deltas/{grain}").select(PARTITION).distinct()
+        days = [r[0] for r in touched.collect()]  # one row per partition
+        write_partitioned(self.open(grain).where(F.col(PARTITION).isin(days)), f"{aside}/rows", self.partition_by)
+        names = [_batch(path) for path in deltas]
+        self.spark.createDataFrame(names, "stream string, number long").coalesce(1).write.parquet(f"{aside}/folded")
+        if not rename_new(self.spark, aside, final):
+            raise RuntimeError(f"another compaction of {self.path(grain)} is under way")
+        self._finish(grain)
+
+    def _finish(self, grain: str) -> None:
+        """Move a pending compaction into the table."""
+        pending = f"{self.root}/pending/{grain}"
+        rows = self._table(f"{pending}/rows")
+        if rows is None:
+            return
+        write_partitioned(rows, self.path(grain), self.partition_by)
+        read_parquet(self.spark, f"{pending}/folded").coalesce(1).write.mode("append").parquet(f"{self.root}/folded/{grain}")
+        folded = self._folded(grain)
+        for path in glob_paths(self.spark, f"{self.root}/deltas/{grain}/batch=*"):
+            stream, number = _batch(path)
+            if number <= folded.get(stream, -1):
+                delete_path(self.spark, path)
+        delete_path(self.spark, pending)
 
     def _table(self, path: str) -> DataFrame | None:
+        if not glob_paths(self.spark, path):
+            return None
         try:
             return read_parquet(self.spark, path)
         except AnalysisException as error:
@@ -90,7 +161,10 @@ class RollupStore:
         assets: Sequence[str] | DataFrame | None = None,
     ) -> DataFrame:
         """Partials whose bucket starts in `[start, end)`; only the partitions of that time."""
-        return self.select(read_parquet(self.spark, self.path(grain)), grain, sensors, start, end, assets)
+        table = self.open(grain)
+        if table is None:
+            raise FileNotFoundError(f"no rollup at {self.path(grain)}")
+        return self.select(table, grain, sensors, start, end, assets)
 
     def select(self, table: DataFrame, grain: str, sensors=None, start=None, end=None, assets=None):
         """`read` on a table opened before."""
@@ -115,6 +189,7 @@ class RollupStore:
         A partition is the unit of replacement, so its other rows are carried over. They are
         written aside first: a table cannot be overwritten while it is read.
         """
+        self.compact(grain)
         if not self.exists(grain):
             self.write(grain, partials)
             return
@@ -229,20 +304,12 @@ class RollupStore:
 
     def forget(self, grains: Sequence[str], start: datetime, end: datetime, unless: str | None = None) -> None:
         """Take `[start, end)` out of the record, but for the build named."""
-        def change(rows: list[tuple]) -> list[tuple]:
-            left = []
-            for row in rows:
-                grain, lower, upper, build, number = row
-                if grain not in grains or build == unless or upper <= start or lower >= end:
-                    left.append(row)
-                    continue
-                if lower < start:
-                    left.append((grain, lower, start, build, number))
-                if upper > end:
-                    left.append((grain, end, upper, build, number))
-            return left
-
-        self._change_record(change)
+        self._change_record(lambda rows: _outside(rows, grains, start, end, unless))
+
+    def record_build(self, grains: Sequence[str], span: tuple[datetime, datetime], known: datetime | None, build: str, number: int) -> None:
+        """Put a build in place of what the record says of a span: it holds everything up to `known`."""
+        new = [(grain, span[0], known, build, number) for grain in grains] if known is not None and span[0] < known else []
+        self._change_record(lambda rows: [*_outside(rows, grains, *span), *new])
 
     def open_ends(self, start: datetime) -> list[datetime]:
         """Ends of recorded spans that stop within the day before `start`."""
@@ -262,12 +329,32 @@ class RollupStore:
         return until
 
 
+def _batch(path: str) -> tuple[str, int]:
+    stream, _, number = path.rsplit("batch=", 1)[1].rpartition("-")
+    return stream, int(number)
+
+
 def select_rows(table: DataFrame, grain: str, sensors=None, start=None, end=None, assets=None) -> DataFrame:
     """Partials of a stored table whose bucket starts in `[start, end)`; only the partitions of that time."""
     df = time_range(table, start, end, column="bucket", partition_floor=GRAINS[grain].period)
     return only_assets(only_sensors(df, sensors), assets).drop(PARTITION)
 
 
+def _outside(rows: list[tuple], grains: Sequence[str], start: datetime, end: datetime, unless: str | None = None) -> list[tuple]:
+    """The record without a span of some grains, but for the build named."""
+    left = []
+    for row in rows:
+        grain, lower, upper, build, number = row
+        if grain not in grains or build == unless or upper <= start or lower >= end:
+            left.append(row)
+            continue
+        if lower < start:
+            left.append((grain, lower, start, build, number))
+        if upper > end:
+            left.append((grain, end, upper, build, number))
+    return left
+
+
 def _merged_record(rows: list[tuple]) -> list[tuple]:
     """Touching spans of the same grain and build as one."""
     merged: list[list] = []

@@ -465,6 +465,7 @@ HAVING max("timestamp") < TIMESTAMP '2024-01-30 12:00:00'""",
   || '","asset_ids":["' || CAST(user_id AS VARCHAR)
   || '"],"interval_ms":1000,"aggregation":"avg","max_datapoints":10000}}') AS fingerprint
 FROM events""",
+    "stream_late_repair": range_query("avg", ALL_START, ALL_END, SIX_HOURS),
     "stream_rollup_1m": f"""WITH {SERIES}, closed AS (
   SELECT max("timestamp") - INTERVAL 10 MINUTE AS watermark FROM series)
 SELECT {bucket(60_000)} AS "timestamp", sensor_name, asset_id, round(avg(value), 6) AS value,

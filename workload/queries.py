@@ -49,7 +49,7 @@ from pulsegrid.operators.requestlog import (
 )
 from pulsegrid.operators.sample import stride_sample
 from pulsegrid.schema import drop_null_keys
-from pulsegrid.session import scratch_path
+from pulsegrid.session import delete_path, glob_paths, scratch_path
 from pulsegrid.sources.inventory import file_inventory, with_row_counts
 from pulsegrid.sources.readings import (
     read_parquet,
@@ -57,9 +57,10 @@ from pulsegrid.sources.readings import (
     read_series,
     union_sources,
     with_path_columns,
+    write_raw,
 )
 from pulsegrid.sources.rollups import extract_statistic, rollup_view
-from pulsegrid.streaming.rollup import read_stream, stream_rollup
+from pulsegrid.streaming.rollup import read_stream, stream_into_store, stream_rollup
 from workload import inputs
 from workload.inputs import TIE, WIDE_FIELDS, WIDE_TIE, rounded, series, table, wide
 
@@ -492,6 +493,27 @@ def stream_rollup_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(finalize(read_parquet(spark, f"{out}/table"), "avg", first_ts=True))
 
 
+def stream_late_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings stream into the rollups; those of three days come late, and their batch runs twice. The hours are as from the whole table."""
+    readings, store = series(spark, sf_dir), inputs.new_store(spark)
+    late = F.col("timestamp").between("2024-01-09", "2024-01-12")
+    path, checkpoint = scratch_path(spark, "arrivals"), scratch_path(spark, "checkpoint")
+
+    def arrive(rows: DataFrame) -> None:
+        write_raw(rows, path, mode="append")
+        schema = read_parquet(spark, path).schema
+        stream = stream_into_store(read_stream(spark, path, schema), store, checkpoint, fields=["value"], source=read_parquet(spark, path))
+        stream.awaitTermination()
+
+    arrive(readings.where(~late))
+    arrive(readings.where(late))
+    # Without the note of its commit, the last batch runs again.
+    delete_path(spark, max(glob_paths(spark, f"{checkpoint}/commits/[0-9]*")))
+    arrive(readings.where("false"))
+    store.compact("1h")
+    return month(spark, read_parquet(spark, path), store, "avg", SIX_HOURS)
+
+
 QUERIES: dict[str, Query] = {
     "query_series_avg": series_query("avg"),
     "query_series_max": series_query("max"),
@@ -596,4 +618,5 @@ QUERIES: dict[str, Query] = {
     ),
     "request_fingerprint": fingerprint,
     "stream_rollup_1m": stream_rollup_1m,
+    "stream_late_repair": stream_late_repair,
 }
