@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +107,26 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_held: list[Callable[[], None]] = []
+
+
+def on_release(clear: Callable[[], None]) -> None:
+    """Name what lets go of things that a Python worker keeps from task to task."""
+    _held.append(clear)
+
+
+def release_held() -> None:
+    """Before a task that needs much memory: what earlier tasks of this Python worker keep goes back to the system."""
+    import ctypes
+
+    for clear in _held:
+        clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_bytes(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass")
 

@@ -27,7 +27,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pulsegrid.llm.common import Scratch, free_shuffles, ragged, slices
+from pulsegrid.llm.common import Scratch, free_shuffles, ragged, release_held, slices
 from pulsegrid.llm.components import connected_components
 from pulsegrid.llm.words import SOLID, find_words, hash_words, joined, mixed
 
@@ -120,6 +120,7 @@ def _members(size: int, bits: int) -> Callable:
     pack = lambda data: zstandard.ZstdCompressor(level=1).compress(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
         counts = np.zeros(1 << bits, np.uint32)
 
         def rows():
@@ -207,12 +208,12 @@ def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
     """Bits set by two hashes of each (sid, doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << bits, bool)
+        held = np.zeros(1 << bits >> 3, np.uint8)
         for batch in batches:
             for at in _bloom_places(own_keys(batch.column(0), batch.column(1)), bits):
-                held[at] = True
+                np.bitwise_or.at(held, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         pack = zstandard.ZstdCompressor(level=1)
-        for number, part in enumerate(np.packbits(held).reshape(-1, SEGMENT)):
+        for number, part in enumerate(held.reshape(-1, SEGMENT)):
             if part.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int32()), pa.array([pack.compress(part.tobytes())], pa.binary())], ["segment", "bits"]

@@ -17,9 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.common import ragged
+from pulsegrid.llm.common import on_release, ragged
 
 _encoders: dict[str, "Encoder"] = {}
+on_release(_encoders.clear)
 # Letters for which lower case goes by single letters, so that a word and its point are two tokens.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _WORDS_HELD = 700_000
