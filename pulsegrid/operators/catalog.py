@@ -38,12 +38,22 @@ def series_catalog(df: DataFrame) -> DataFrame:
 
 def sensor_catalog(df: DataFrame) -> DataFrame:
     """One row per sensor. Its assets are the rows of `series_catalog`, not a list in one cell."""
-    return _summarise(series_catalog(df), "sensor_name", "asset_id", "asset_count")
+    return sensors_of(series_catalog(df))
 
 
 def asset_catalog(df: DataFrame) -> DataFrame:
     """One row per asset. Its sensors are the rows of `series_catalog`."""
-    return _summarise(series_catalog(df), "asset_id", "sensor_name", "sensor_count")
+    return assets_of(series_catalog(df))
+
+
+def sensors_of(series: DataFrame) -> DataFrame:
+    """The sensors of a catalogue of series."""
+    return _summarise(series, "sensor_name", "asset_id", "asset_count")
+
+
+def assets_of(series: DataFrame) -> DataFrame:
+    """The assets of a catalogue of series."""
+    return _summarise(series, "asset_id", "sensor_name", "sensor_count")
 
 
 def _summarise(series: DataFrame, by: str, other: str, count: str) -> DataFrame:
@@ -65,6 +75,11 @@ def time_range_of(
     """First and last time of the readings and the hours between; `hour` floors both ends."""
     rows = only_assets(only_sensors(df, sensors), assets)
     ends = rows.agg(F.min(TIMESTAMP).alias("start_time"), F.max(TIMESTAMP).alias("end_time"))
+    return range_columns(ends, granularity)
+
+
+def range_columns(ends: DataFrame, granularity: str | None = None) -> DataFrame:
+    """start_time and end_time, floored if asked, and the hours between."""
     if granularity is not None:
         ends = ends.select(
             *[

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.functions.time import bucket_start, order_key
 from pulsegrid.schema import drop_null_keys, numeric_fields, series_keys
@@ -18,6 +18,8 @@ from pulsegrid.session import require_utc
 
 METHODS = ("avg", "min", "max", "last", "first", "count", "sum")
 ALL_STATS = ("sum", "cnt", "min", "max", "first", "last")
+# The sum of squared distances from the bucket's mean; with sum and count it gives variances.
+MOMENT = "m2"
 
 _STATS_OF = {
     "avg": ("sum", "cnt"),
@@ -72,7 +74,7 @@ def partial_aggregates(fields: Sequence[str], per_field: Mapping[str, Sequence[s
     for field in fields:
         value = F.col(f"`{field}`")
         wanted = per_field.get(field, ())
-        simple = {"sum": F.sum, "cnt": F.count, "min": F.min, "max": F.max}
+        simple = {"sum": F.sum, "cnt": F.count, "min": F.min, "max": F.max, MOMENT: _squares}
         aggregates += [simple[s](value).alias(f"{field}_{s}") for s in wanted if s in simple]
         key = F.when(value.isNotNull(), F.col("order_key"))
         aggregates += _ordered(field, value, key, wanted)
@@ -85,14 +87,40 @@ def _is_ordered(per_field: Mapping[str, Sequence[str]]) -> bool:
 
 def merge_partials(partials: DataFrame, interval_ms: int) -> DataFrame:
     """Partials of a coarser interval from those of finer ones, or from several sources."""
-    rows = partials.withColumn("merged", bucket_start("bucket", interval_ms))
-    merged = rows.groupBy("merged", *series_keys(partials)).agg(*_merging(partials))
+    keys = ["merged", *series_keys(partials)]
+    rows = _around_means(partials.withColumn("merged", bucket_start("bucket", interval_ms)), keys)
+    merged = rows.groupBy(*keys).agg(*_merging(partials))
     return merged.withColumnRenamed("merged", "bucket")
 
 
 def add_partials(partials: DataFrame, also_by: Sequence[str] = ()) -> DataFrame:
     """One row for each bucket and series from several of the same interval; filters of the keys still reach the scans."""
-    return partials.groupBy("bucket", *series_keys(partials), *also_by).agg(*_merging(partials))
+    keys = ["bucket", *series_keys(partials), *also_by]
+    return _around_means(partials, keys).groupBy(*keys).agg(*_merging(partials))
+
+
+def sum_partials(partials: DataFrame) -> DataFrame:
+    """One row for each series, over all buckets."""
+    keys = series_keys(partials)
+    return _around_means(partials, keys).groupBy(*keys).agg(*_merging(partials))
+
+
+def _squares(value: Column) -> Column:
+    """Spark combines variances around their own means, so large means do not cost digits."""
+    return F.var_pop(value) * F.count(value)
+
+
+def _around_means(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Squared distances moved to the mean of all rows that are to become one; the aggregation needs no shuffle of its own then."""
+    for field, stats in partial_stats(partials).items():
+        if MOMENT not in stats:
+            continue
+        total, count, squares = (F.col(f"`{field}_{stat}`") for stat in ("sum", "cnt", MOMENT))
+        group = Window.partitionBy(*keys)
+        mean = F.sum(total).over(group) / F.sum(count).over(group)
+        apart = total / count - mean
+        partials = partials.withColumn(f"{field}_{MOMENT}", F.when(count > 0, squares + count * apart * apart))
+    return partials
 
 
 def _merging(partials: DataFrame) -> list[Column]:
@@ -108,7 +136,7 @@ def _merging(partials: DataFrame) -> list[Column]:
                 key = F.col(f"`{field}_{stat}_key`")
                 aggregates += _ordered(field, value, key, (stat,))
             else:
-                merge = {"sum": F.sum, "cnt": F.sum, "min": F.min, "max": F.max}[stat]
+                merge = {"sum": F.sum, "cnt": F.sum, "min": F.min, "max": F.max, MOMENT: F.sum}[stat]
                 aggregates.append(merge(F.col(f"`{field}_{stat}`")).alias(f"{field}_{stat}"))
     return aggregates
 
@@ -136,7 +164,7 @@ def partial_stats(partials: DataFrame) -> dict[str, list[str]]:
     for name in partials.columns:
         if name in base:
             continue
-        for suffix in ("_sum", "_cnt", "_min", "_max", "_first_v", "_last_v"):
+        for suffix in ("_sum", "_cnt", "_min", "_max", "_first_v", "_last_v", f"_{MOMENT}"):
             if name.endswith(suffix):
                 stat = suffix.removesuffix("_v").lstrip("_")
                 found.setdefault(name.removesuffix(suffix), []).append(stat)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulsegrid.functions.time import ceil_time, floor_time, utc_time
 from pulsegrid.operators.coverage import bucket_number, observed_counts
 from pulsegrid.operators.filters import only_sensors, select_readings
-from pulsegrid.operators.partials import build_partials, merge_partials
+from pulsegrid.operators.partials import ALL_STATS, MOMENT, build_partials, merge_partials
 from pulsegrid.schema import TIMESTAMP, numeric_fields
 from pulsegrid.session import materialize
 from pulsegrid.sources.ledger import source_state
@@ -31,6 +31,7 @@ def rebuild_rollups(
     grains: Sequence[str] = ("1m", "1h", "1d"),
     fields: Sequence[str] | None = None,
     dedup: bool = False,
+    moments: bool = False,
 ) -> None:
     """Recompute rollups of the given sensors and time, everything by default.
 
@@ -38,7 +39,7 @@ def rebuild_rollups(
     day before, as that day may have grown since. Each grain is one job: minutes from the readings, every other
     grain by merging the stored next finer one. Running it twice leaves the same tables, and days of which the
     readings have gone lose their rows. `dedup` removes whole-row copies of readings first. The files of the source go into the
-    ledger of the store, so that later changes of them are noticed; rebuilds of some sensors leave it as it was.
+    ledger of the store (`moments` adds what variances need), so that later changes of them are noticed; rebuilds of some sensors leave it as it was.
     """
     start = floor_time(utc_time(start), DAY_MS) if start is not None else None
     end = ceil_time(utc_time(end), DAY_MS) if end is not None else None
@@ -52,7 +53,8 @@ def rebuild_rollups(
     for name in grains:
         grain = GRAINS[name]
         if finer is None:
-            partials = build_partials(rows, grain.interval_ms, fields=fields, tie=store.tie)
+            stats = (*ALL_STATS, MOMENT) if moments else ALL_STATS
+            partials = build_partials(rows, grain.interval_ms, fields=fields, tie=store.tie, stats=stats)
         else:
             partials = merge_partials(store.read(finer, sensors, start, end), grain.interval_ms)
         store.replace(name, partials, start, end, sensors)
@@ -60,13 +62,13 @@ def rebuild_rollups(
     span = start or datetime.min, end or datetime.max
     if sensors:
         # What the other sensors have keeps its record only if both were built alike.
-        store.forget(grains, *span, unless=store.build(fields, dedup))
+        store.forget(grains, *span, unless=store.build(fields, dedup, moments))
     else:
         number = 0
         if state.files is not None:
             number = store.next_number()
             store.ledger.append(raw, state, number, start, end)
-        store.record_build(grains, span, _known(raw, start, end), store.build(fields, dedup), number)
+        store.record_build(grains, span, _known(raw, start, end), store.build(fields, dedup, moments), number)
 
 
 def _known(raw: DataFrame, start: datetime | None, end: datetime | None) -> datetime | None:

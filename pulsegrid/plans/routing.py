@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pulsegrid.functions.time import ceil_time, floor_time, millis_between
 from pulsegrid.operators.filters import select_readings
 from pulsegrid.operators.partials import (
+    MOMENT,
     build_partials,
     keep_stats,
     merge_partials,
@@ -53,6 +54,11 @@ class Request:
     stats: Sequence[str]
     dedup: bool = False
 
+    @property
+    def recorded_fields(self) -> list[str]:
+        """The fields as builds record them."""
+        return [*self.fields, *(f"{field}_{MOMENT}" for field in self.fields if MOMENT in self.stats)]
+
     @property
     def duration_ms(self) -> float:
         return millis_between(self.start, self.end)
@@ -155,7 +161,7 @@ def _candidate(raw: DataFrame | None, store: RollupStore | None, request: Reques
     if store is None or request.interval_ms % GRAINS[name].interval_ms:
         return None
     start, end = _inner(name, request)
-    recorded = store.spans(name, start, end, request.fields, request.tie, request.dedup)
+    recorded = store.spans(name, start, end, request.recorded_fields, request.tie, request.dedup)
     if not recorded or (from_start and recorded[0][0] > start):
         return None
     table = store.open(name)
@@ -174,13 +180,9 @@ def _candidate(raw: DataFrame | None, store: RollupStore | None, request: Reques
 
 def _gaps(raw: DataFrame, table: DataFrame, name: str, request: Request, pieces: Sequence[Span]) -> list[Span]:
     """The pieces before the first reading that is left, if stored rows tell that there were earlier ones."""
-    if not pieces:
-        return []
-    narrow = replace(request, dedup=False)
-    earlier = select_readings(raw, request.sensors, None, request.start, request.assets)
-    if not earlier.isEmpty():
+    if not pieces or not select_readings(raw, request.sensors, None, pieces[0][0], request.assets).isEmpty():
         return []
-    first = _select(raw, narrow).agg(F.min(TIMESTAMP)).first()[0]
+    first = _select(raw, replace(request, dedup=False)).agg(F.min(TIMESTAMP)).first()[0]
     pieces = without(pieces, [(first, datetime.max)]) if first else list(pieces)
     reached = floor_time(first, GRAINS[name].interval_ms) if first else None
     rows = select_rows(table, name, request.sensors, None, reached, request.assets)

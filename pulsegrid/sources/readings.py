@@ -9,12 +9,13 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pulsegrid.functions.paths import asset_of, hour_of, sensor_of
-from pulsegrid.functions.time import floor_time, ntz, utc_time
-from pulsegrid.operators.filters import PARTITION, select_readings
-from pulsegrid.schema import SERIES_KEYS, TIMESTAMP, series_keys
+from pulsegrid.functions.paths import LAYOUTS, TreeLayout, asset_of, folder_time, sensor_of
+from pulsegrid.functions.time import ntz, utc_time
+from pulsegrid.operators.filters import PARTITION, select_readings, time_range
+from pulsegrid.schema import SERIES_KEYS, TIMESTAMP, normalize, series_keys
 
-HOUR_MS = 3_600_000
+# Names that the bucket column of stored aggregates may have.
+BUCKET_NAMES = ("time_bucket", "minute_bucket", "hour_bucket", "day_bucket", "bucket", "timestamp")
 GLOB_CHARACTERS = "{}[]*?,\\/"
 
 
@@ -26,9 +27,12 @@ def read_parquet(
     skip_unreadable: bool = False,
     recursive: bool = False,
     base_path: str | None = None,
+    names: str | None = None,
 ) -> DataFrame:
     """Parquet files as they are. One read for any number of paths; below `base_path`, folders are partitions.
 
+    `names` is a pattern for the names of files.
+
     Without a `schema` that of one file is taken; `merge_schema` outer-unions those of all files,
     which opens every one of them. `skip_unreadable` passes over corrupt and vanished files, which
     otherwise fail the job. Ids stay text even as partition directories.
@@ -41,6 +45,8 @@ def read_parquet(
     }
     if base_path is not None:
         options["basePath"] = base_path
+    if names is not None:
+        options["pathGlobFilter"] = names
     reader = spark.read.options(**options)
     if schema is not None:
         return reader.schema(schema).parquet(*paths)
@@ -143,35 +149,72 @@ def read_hourly_tree(
 ) -> DataFrame:
     """Readings of a tree `asset/yyyy/mm/dd/hh/sensor[_yyyymmdd_hh].parquet`.
 
-    Asset and sensor come from the path where the file lacks them. Only the directories of the
-    assets and months asked for are listed. The other path predicates use file metadata alone, so
-    Spark drops the files before it schedules a scan. A start within an hour keeps the file of
-    that hour. Give a `schema` for large trees, or every listed file is opened to merge theirs.
+    Asset and sensor come from the path where the file lacks them. Give a `schema` for large trees, or every listed file is
+    opened to merge theirs.
     """
-    options = dict(
-        schema=schema, merge_schema=merge_schema, skip_unreadable=skip_unreadable, recursive=True
-    )
+    options = dict(schema=schema, merge_schema=merge_schema, skip_unreadable=skip_unreadable)
+    df = _tree_files(spark, root, LAYOUTS["raw"], sensors, start, end, assets, options)
+    return select_readings(df, sensors, start, end, assets)
+
+
+def read_rollup_tree(
+    spark: SparkSession,
+    root: str,
+    layout: str,
+    sensors: Sequence[str] | None = None,
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+    assets: Sequence[str] | None = None,
+    *,
+    schema: T.StructType | None = None,
+    merge_schema: bool = True,
+    skip_unreadable: bool = False,
+) -> DataFrame:
+    """Rows of a tree of stored aggregates, one of `LAYOUTS`, whose bucket starts in `[start, end)`.
+
+    The bucket column may have any of its names and is `time_bucket` in the result, so `extract_statistic` applies to it.
+    """
+    options = dict(schema=schema, merge_schema=merge_schema, skip_unreadable=skip_unreadable)
+    df = _tree_files(spark, root, LAYOUTS[layout], sensors, start, end, assets, options)
+    buckets = [name for name in BUCKET_NAMES if name in df.columns]
+    if not buckets:
+        raise ValueError(f"no bucket column among {', '.join(df.columns)}")
+    # Files of other layouts beside these may have brought columns of their own.
+    both = F.coalesce(*[F.col(name) for name in buckets]) if len(buckets) > 1 else F.col(buckets[0])
+    renamed = df.select(both.alias(TIMESTAMP), *[name for name in df.columns if name not in buckets])
+    return normalize(time_range(renamed, start, end)).withColumnRenamed(TIMESTAMP, BUCKET_NAMES[0])
+
+
+def _tree_files(spark, root, layout: TreeLayout, sensors, start, end, assets, options: dict) -> DataFrame:
+    """Rows of the files that the paths leave in question, with asset and sensor.
+
+    Only the directories of the assets and months asked for are listed. The other path predicates use file metadata alone, so
+    Spark drops the files before it schedules a scan. A start within a folder's time keeps that folder.
+    """
+    top = f"{root}/{layout.prefix}" if layout.prefix else root
+    options = options | {"recursive": True, "names": f"*{layout.suffix}.parquet"}
     try:
-        df = read_parquet(spark, listing_glob(root, start, end, assets), **options)
+        df = read_parquet(spark, listing_glob(top, start, end, assets), **options)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         # Nothing of these assets and months: the tree supplies the columns of an empty result.
-        df = read_parquet(spark, root, **options)
+        df = read_parquet(spark, top, **options)
     path = F.col("_metadata.file_path")
+    df = df.where(path.rlike(layout.pattern))
     if start is not None:
-        df = df.where(hour_of(path) >= ntz(floor_time(utc_time(start), HOUR_MS)))
+        df = df.where(folder_time(path, layout) >= F.date_trunc(layout.period, ntz(start)).cast("timestamp_ntz"))
     if end is not None:
-        df = df.where(hour_of(path) < ntz(end))
+        df = df.where(folder_time(path, layout) < ntz(end))
     if sensors:
-        df = df.where(sensor_of(path).isin(list(sensors)))
+        df = df.where(sensor_of(path, layout).isin(list(sensors)))
     if assets:
-        df = df.where(asset_of(path).isin(list(assets)))
+        df = df.where(asset_of(path, layout).isin(list(assets)))
     if "sensor_name" not in df.columns:
-        df = df.withColumn("sensor_name", sensor_of(path))
+        df = df.withColumn("sensor_name", sensor_of(path, layout))
     if "asset_id" not in df.columns and "daqid" not in df.columns:
-        df = df.withColumn("asset_id", asset_of(path))
-    return select_readings(df, sensors, start, end, assets)
+        df = df.withColumn("asset_id", asset_of(path, layout))
+    return df
 
 
 def listing_glob(
@@ -193,14 +236,14 @@ def listing_glob(
     return f"{root}/{pattern}/{{{months}}}"
 
 
-def with_path_columns(df: DataFrame) -> DataFrame:
-    """Add asset, hour and sensor of each row's file. `df` must come straight from a file scan."""
-    path = F.col("_metadata.file_path")
+def with_path_columns(df: DataFrame, layout: str = "raw") -> DataFrame:
+    """Add asset, start of the folder and sensor of each row's file. `df` must come straight from a file scan."""
+    path, kind = F.col("_metadata.file_path"), LAYOUTS[layout]
     return df.select(
         "*",
-        sensor_of(path).alias("file_sensor"),
-        asset_of(path).alias("file_asset"),
-        hour_of(path).alias("file_hour"),
+        sensor_of(path, kind).alias("file_sensor"),
+        asset_of(path, kind).alias("file_asset"),
+        folder_time(path, kind).alias(f"file_{kind.period}"),
     )
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from pulsegrid.functions.time import ceil_time, floor_time, ntz, utc_time
 from pulsegrid.operators.filters import PARTITION, only_assets, only_sensors, time_range
-from pulsegrid.operators.partials import add_partials, partial_stats, statistic
+from pulsegrid.operators.partials import MOMENT, add_partials, partial_stats, statistic
 from pulsegrid.schema import series_keys
 from pulsegrid.session import delete_path, glob_paths, list_paths, materialize, rename_new
 from pulsegrid.sources.ledger import Ledger
-from pulsegrid.sources.readings import read_parquet, write_partitioned
+from pulsegrid.sources.readings import BUCKET_NAMES, read_parquet, write_partitioned
 
 
 @dataclass(frozen=True)
@@ -240,9 +240,10 @@ class RollupStore:
                 upper = upper.replace(year=upper.year + 1, month=1, day=1)
         return lower, upper
 
-    def build(self, fields: Sequence[str], dedup: bool) -> str:
-        """How rollups were made: fields, order of equal times, copies removed or not."""
-        return json.dumps({"fields": sorted(fields), "tie": list(self.tie), "dedup": dedup}, sort_keys=True)
+    def build(self, fields: Sequence[str], dedup: bool, moments: bool = False) -> str:
+        """How rollups were made: fields, those with moments, order of equal times, copies removed or not."""
+        held = [*fields, *(f"{field}_{MOMENT}" for field in fields if moments)]
+        return json.dumps({"fields": sorted(held), "tie": list(self.tie), "dedup": dedup}, sort_keys=True)
 
     def covered(self) -> list[Row]:
         """The record: one row per grain, build and span without a gap, as it is merged when written."""
@@ -381,11 +382,11 @@ def extract_statistic(rollup: DataFrame, stat: str) -> DataFrame:
 
     Accepts any of the bucket column names; rows without a value in any field are dropped.
     """
+    # The suffixes of a view's columns.
     suffix = f"_{'mean' if stat == 'avg' else stat}"
     if suffix not in ("_mean", "_min", "_max"):
         raise ValueError(f"a rollup view holds mean, min and max, not {stat!r}")
-    names = ("time_bucket", "minute_bucket", "hour_bucket", "day_bucket", "bucket")
-    bucket = next(name for name in names if name in rollup.columns)
+    bucket = next(name for name in BUCKET_NAMES if name in rollup.columns)
     fields = {
         name.removesuffix(suffix): F.col(f"`{name}`")
         for name in rollup.columns

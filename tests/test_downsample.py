@@ -9,6 +9,7 @@ from pulsegrid.operators.downsample import (
     fit_partials,
     smart_downsample,
 )
+from pulsegrid.operators import sample
 from pulsegrid.operators.lookup import lookup_join
 from pulsegrid.operators.partials import build_partials
 from pulsegrid.operators.sample import stride_sample, with_position
@@ -167,3 +168,37 @@ def test_fields_may_have_any_name(spark):
     df = spark.range(100).selectExpr("id AS position", "id AS slice", "id AS total", "id AS size")
     assert stride_sample(df, 10, ["position"]).count() == 10
     assert stride_sample(df, 10, ["position"], distinct_rows=True).columns == df.columns
+
+
+@pytest.mark.parametrize("skew, points", [("time", 13), ("hash", 1000), ("text", 13), ("long text", 13), ("nulls", 13), ("numbers", 1000)])
+def test_large_slices_are_cut_again(spark, monkeypatch, skew, points):
+    """Slices of a few rows, so that every column and the hash have to tell rows apart."""
+    monkeypatch.setattr(sample, "RANKED_ROWS", 200)
+    n = 4000
+    base = spark.range(n).withColumn("mark", F.xxhash64("id"))
+    rank = {
+        "time": F.timestamp_seconds(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))),
+        "hash": F.lit(1),
+        "text": F.concat(F.lit("a common beginning "), F.when(F.col("id") % 2 == 0, F.lit("x")).otherwise(F.col("mark").cast("string"))),
+        "long text": F.concat(F.lit("x" * 40), (F.col("id") % 3).cast("string")),
+        "nulls": F.when(F.col("id") % 3 == 1, F.col("id") % 5),
+        "numbers": F.when(F.col("id") % 7 == 0, F.lit(float("inf"))).when(F.col("id") % 7 == 1, F.lit(float("nan")))
+        .when(F.col("id") % 7 == 2, F.lit(float("-inf"))).when(F.col("id") % 7 == 3, F.col("id") * 1e-12).otherwise(F.exp("id")),
+    }[skew]
+    df = base.select(rank.alias("rank"), "id")
+    order = [F.col("rank"), F.xxhash64("rank", "id")]
+    ordered = [r["id"] for r in df.repartition(1).sortWithinPartitions(*order).collect()]
+    got = sorted(r["id"] for r in sample.stride_sample(df, points, ["rank"]).collect())
+    assert got == sorted(ordered[k * n // points] for k in range(points))
+
+
+def test_only_a_part_of_the_rows_moves(spark, monkeypatch):
+    """No range exchange and no scratch table; the rows of one slice in sixteen or so are ranked."""
+    monkeypatch.setattr(sample, "RANKED_ROWS", 1000)
+    df = spark.range(200_000).select(F.timestamp_seconds("id").cast("timestamp_ntz").alias("timestamp"), F.lit("s").alias("sensor_name"))
+    out = sample.stride_sample(df, 100)
+    assert out.count() == 100
+    plan = out._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "/position-" not in plan
+    ranked = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in ranked or "BroadcastHashJoin" in plan

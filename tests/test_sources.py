@@ -12,10 +12,12 @@ from pulsegrid.sources.readings import (
     read_hourly_tree,
     read_parquet,
     read_raw,
+    read_rollup_tree,
     read_series,
     union_sources,
     write_raw,
 )
+from pulsegrid.sources.rollups import extract_statistic
 from tests.conftest import ts
 
 
@@ -81,6 +83,54 @@ def test_path_columns(spark, path, sensor, asset, hour):
     assert tuple(row) == (sensor, asset, ts(hour) if hour else None)
 
 
+@pytest.fixture
+def rollup_trees(spark, tmp_path):
+    """Stored aggregates of all layouts below one root, beside readings."""
+    files = {
+        "asset_001/2024/01/31/23/s1.parquet": ("timestamp", "2024-01-31T23:10:07"),
+        "aggregated/asset_001/2024/01/31/23/s1_minute.parquet": ("minute_bucket", "2024-01-31T23:10:00"),
+        "aggregated/asset_001/2024/02/01/00/s1_minute.parquet": ("minute_bucket", "2024-02-01T00:05:00"),
+        "aggregated/asset_002/2024/01/31/23/s2_minute.parquet": ("minute_bucket", "2024-01-31T23:11:00"),
+        "aggregated/asset_001/2024/01/31/s1.parquet": ("timestamp", "2024-01-31T23:10:00"),
+        "aggregated/asset_001/2024/01/31/s1_hour.parquet": ("hour_bucket", "2024-01-31T23:00:00"),
+        "aggregated/asset_001/2024/02/01/s1_hour.parquet": ("hour_bucket", "2024-02-01T00:00:00"),
+        "daily/asset_001/2024/01/s1.parquet": ("time_bucket", "2024-01-31T23:00:00"),
+        "daily/asset_001/2024/01/s1_day.parquet": ("day_bucket", "2024-01-31T00:00:00"),
+        "daily/asset_001/2024/02/s1_day.parquet": ("day_bucket", "2024-02-01T00:00:00"),
+    }
+    for path, (column, moment) in files.items():
+        target = tmp_path / "trees" / path
+        os.makedirs(target.parent, exist_ok=True)
+        df = spark.createDataFrame([(ts(moment), 1.5, 1.0, 2.0)], f"{column} timestamp_ntz, v_mean double, v_min double, v_max double")
+        df.toPandas().to_parquet(target)
+    return str(tmp_path / "trees")
+
+
+@pytest.mark.parametrize(
+    "layout, times, later",
+    [
+        ("minute", ["2024-01-31T23:10", "2024-01-31T23:11", "2024-02-01T00:05"], 2),
+        ("minute_by_day", ["2024-01-31T23:10"], 0),
+        ("hour", ["2024-01-31T23:00", "2024-02-01T00:00"], 1),
+        ("hour_by_month", ["2024-01-31T23:00"], 0),
+        ("day", ["2024-01-31", "2024-02-01"], 1),
+    ],
+)
+def test_trees_of_stored_aggregates(spark, rollup_trees, layout, times, later):
+    rows = read_rollup_tree(spark, rollup_trees, layout)
+    assert sorted(r["time_bucket"] for r in rows.collect()) == [ts(t) for t in times]
+    start = "2024-01-31T23:10:30"
+    assert read_rollup_tree(spark, rollup_trees, layout, start=start).count() == later
+    assert read_rollup_tree(spark, rollup_trees, layout, ["s1"], start, "2024-02-02", ["asset_001"]).count() == min(later, 1)
+    assert read_rollup_tree(spark, rollup_trees, layout, ["nobody"]).count() == 0
+    one = extract_statistic(read_rollup_tree(spark, rollup_trees, layout, assets=["asset_001"]), "max").first()
+    assert (one["sensor_name"], one["asset_id"], one["v"]) == ("s1", "asset_001", 2.0)
+
+
+def test_trees_of_aggregates_are_no_readings(spark, rollup_trees):
+    assert names(read_hourly_tree(spark, rollup_trees)) == [("asset_001", "s1", ts("2024-01-31T23:10:07"))]
+
+
 def test_inventory(spark, tree):
     files = file_inventory(spark, tree)
     assert files.count() == 5

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pulsegrid import RollupStore, normalize, rebuild_rollups
-from pulsegrid.session import scratch_path, use_scratch_root
+from pulsegrid.functions.paths import LAYOUTS
+from pulsegrid.operators.partials import build_partials
+from pulsegrid.session import delete_path, glob_paths, rename_new, scratch_path, use_scratch_root
 from pulsegrid.sources.readings import read_parquet, write_raw
+from pulsegrid.sources.rollups import GRAINS, rollup_view
 
 TIE = ["event_id"]
 WIDE_TIE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -74,6 +77,30 @@ def hybrid_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return cloud, local
 
 
+def file_tree(spark: SparkSession, sf_dir: str, layout: str) -> str:
+    """All events as one sensor of one asset in a tree of files: readings, or their aggregates of a minute, hour or day."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"tree {layout}")
+    if key not in _built:
+        kind, root = LAYOUTS[layout], scratch_path(spark, "tree")
+        rows = series(spark, sf_dir).select("timestamp", "value", "event_id")
+        if layout != "raw":
+            grain = {"minute": "1m", "hour": "1h", "day": "1d"}[layout.split("_")[0]]
+            named = rows.withColumn("sensor_name", F.lit("events")).withColumn("asset_id", F.lit("plant"))
+            view = rollup_view(build_partials(named, GRAINS[grain].interval_ms, fields=["value"]))
+            rows = view.drop("sensor_name", "asset_id").withColumnRenamed("time_bucket", f"{layout.split('_')[0]}_bucket")
+        folder = F.date_format(rows.columns[0], {2: "yyyy/MM", 3: "yyyy/MM/dd", 4: "yyyy/MM/dd/HH"}[kind.levels])
+        aside = scratch_path(spark, "tree-aside")
+        rows.withColumn("folder", F.replace(folder, F.lit("/"), F.lit("-"))).repartition("folder").write.partitionBy("folder").parquet(aside)
+        # Spark names its files itself; each gets the name that the layout asks for.
+        for path in glob_paths(spark, f"{aside}/folder=*/part-*"):
+            name = path.split("folder=")[1].split("/")[0].replace("-", "/")
+            top = f"{root}/{kind.prefix}" if kind.prefix else root
+            rename_new(spark, path, f"{top}/plant/{name}/events{kind.suffix}.parquet")
+        delete_path(spark, aside)
+        _built[key] = root
+    return _built[key]
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as a request log."""
     return table(spark, sf_dir, "events").select(

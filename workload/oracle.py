@@ -19,6 +19,8 @@ from workload.queries import (
     SMART_HOURS,
     START,
     STRIDE_POINTS,
+    TREE_END,
+    TREE_START,
 )
 
 SERIES = """series AS (
@@ -38,6 +40,9 @@ LOG = """log AS (
   SELECT user_id AS key, ts AS "timestamp", event_type AS tier, event_type = 'view' AS hit,
          value AS execution_ms FROM events)"""
 
+# A day has been deleted.
+LEFT = """NOT ("timestamp" >= TIMESTAMP '2024-01-10' AND "timestamp" < TIMESTAMP '2024-01-11')"""
+
 METHOD_SQL = {
     "avg": "avg({f})",
     "min": "min({f})",
@@ -101,6 +106,12 @@ SELECT {bucket(grain_ms)} AS bucket, sensor_name, asset_id, count(*) AS n_rows,
 FROM series GROUP BY 1, 2, 3"""
 
 
+def tree_scan(grain_ms: int, function: str) -> str:
+    return f"""SELECT * FROM (
+  SELECT {bucket(grain_ms, 'ts')} AS "timestamp", 'events' AS sensor_name, 'plant' AS asset_id, round({function}(value), 6) AS value
+  FROM events GROUP BY 1) WHERE {within(TREE_START, TREE_END)} AND value IS NOT NULL"""
+
+
 def rollup_scan(grain_ms: int) -> str:
     columns = ", ".join(
         f"round({fn}({f}), 6) AS {f}_{name}" if f == "value" or fn == "avg"
@@ -465,6 +476,27 @@ HAVING max("timestamp") < TIMESTAMP '2024-01-30 12:00:00'""",
   || '","asset_ids":["' || CAST(user_id AS VARCHAR)
   || '"],"interval_ms":1000,"aggregation":"avg","max_datapoints":10000}}') AS fingerprint
 FROM events""",
+    "read_hourly_tree": f"""SELECT ts AS "timestamp", 'events' AS sensor_name, 'plant' AS asset_id, value, event_id
+FROM events WHERE {within(TREE_START, TREE_END, 'ts')}""",
+    "read_minute_tree": tree_scan(60_000, "avg"),
+    "read_minute_tree_by_day": tree_scan(60_000, "min"),
+    "read_hour_tree": tree_scan(HOUR, "max"),
+    "read_day_tree": tree_scan(24 * HOUR, "avg"),
+    "path_columns_hourly": """SELECT 'events' AS file_sensor, 'plant' AS file_asset, date_trunc('hour', ts) AS file_hour, count(*) AS n_rows
+FROM events GROUP BY 3""",
+    "catalog_maintained": f"""WITH {SERIES}
+SELECT sensor_name, asset_id, count(*) AS data_count, min("timestamp") AS first_seen, max("timestamp") AS last_seen
+FROM series WHERE {LEFT} GROUP BY 1, 2""",
+    "catalog_maintained_sensors": f"""WITH {SERIES}
+SELECT sensor_name, count(DISTINCT asset_id) AS asset_count, count(*) AS data_count, min("timestamp") AS first_seen,
+       max("timestamp") AS last_seen FROM series WHERE {LEFT} GROUP BY 1""",
+    "time_range_maintained": f"""SELECT date_trunc('hour', min(ts)) AS start_time, date_trunc('hour', max(ts)) AS end_time,
+       round((epoch_us(date_trunc('hour', max(ts))) - epoch_us(date_trunc('hour', min(ts)))) / 3600000000.0::DOUBLE, 6) AS duration_hours
+FROM (SELECT ts, ts AS "timestamp" FROM events) WHERE {LEFT}""",
+    "profile_from_rollup": f"""WITH {SERIES}
+SELECT sensor_name, asset_id, round(stddev_samp(value), 6) AS std_dev,
+       round(avg(value), 6) AS mean, round(stddev_samp(value) / abs(avg(value)), 6) AS variability
+FROM series WHERE {LEFT} GROUP BY 1, 2""",
     "stream_late_repair": range_query("avg", ALL_START, ALL_END, SIX_HOURS),
     "stream_rollup_1m": f"""WITH {SERIES}, closed AS (
   SELECT max("timestamp") - INTERVAL 10 MINUTE AS watermark FROM series)

@@ -22,6 +22,7 @@ from pulsegrid.operators.catalog import (
     list_sensors,
     list_union,
     sensor_catalog,
+    sensors_of,
     series_catalog,
     time_range_of,
 )
@@ -48,12 +49,16 @@ from pulsegrid.operators.requestlog import (
     usage_summary,
 )
 from pulsegrid.operators.sample import stride_sample
+from pulsegrid.plans.catalog import stored_catalog, stored_time_range
+from pulsegrid.plans.profile import stored_profile
 from pulsegrid.schema import drop_null_keys
 from pulsegrid.session import delete_path, glob_paths, scratch_path
 from pulsegrid.sources.inventory import file_inventory, with_row_counts
 from pulsegrid.sources.readings import (
+    read_hourly_tree,
     read_parquet,
     read_raw,
+    read_rollup_tree,
     read_series,
     union_sources,
     with_path_columns,
@@ -74,6 +79,7 @@ TWO_ASSETS = ["asset_001", "asset_002"]
 START, END = "2024-01-02T06:30:15", "2024-01-28T18:45:30"
 DAY_START, DAY_END = "2024-01-03", "2024-01-29"
 ALL_START, ALL_END = "2024-01-01", "2024-01-31"
+TREE_START, TREE_END = "2024-01-04T05:20:00", "2024-01-13T02:00:00"
 STRIDE_POINTS = 300
 LIMIT_POINTS = 2000
 FIT_POINTS = 500
@@ -313,6 +319,26 @@ def path_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("file_sensor").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def hourly_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of nine days from a tree of hourly files, the first hour in part."""
+    rows = read_hourly_tree(spark, inputs.file_tree(spark, sf_dir, "raw"), ["events"], TREE_START, TREE_END, ["plant"])
+    return rows.select("timestamp", "sensor_name", "asset_id", "value", "event_id")
+
+
+def rollup_tree(layout: str, stat: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = read_rollup_tree(spark, inputs.file_tree(spark, sf_dir, layout), layout, ["events"], TREE_START, TREE_END)
+        return rounded(extract_statistic(rows, stat))
+
+    return run
+
+
+def path_columns_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = inputs.file_tree(spark, sf_dir, "raw")
+    df = with_path_columns(read_parquet(spark, root, recursive=True))
+    return df.groupBy("file_sensor", "file_asset", "file_hour").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that the files of each day of the stored readings hold."""
     path = inputs.raw_table(spark, sf_dir)
@@ -493,6 +519,44 @@ def stream_rollup_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(finalize(read_parquet(spark, f"{out}/table"), "avg", first_ts=True))
 
 
+_changed: dict[tuple[str, str], tuple] = {}
+
+
+def changed_store(spark: SparkSession, sf_dir: str):
+    """Readings and a store that has followed them: built, a day deleted and built again, clicks of a week arrived late."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _changed:
+        path, store = _changed[key]
+        return read_parquet(spark, path), store
+    readings, store, path = series(spark, sf_dir), inputs.new_store(spark), scratch_path(spark, "changing")
+    late = F.col("timestamp").between("2024-01-15", "2024-01-22") & (F.col("sensor_name") == "click")
+    write_raw(readings.where(~late), path)
+    rebuild_rollups(read_parquet(spark, path), store, grains=["1h", "1d"], fields=["value"], moments=True)
+    delete_path(spark, f"{path}/dt=2024-01-10")
+    rebuild_rollups(
+        read_parquet(spark, path), store, start="2024-01-10", end="2024-01-11", grains=["1h", "1d"], fields=["value"], moments=True
+    )
+    write_raw(readings.where(late), path, mode="append")
+    _changed[key] = path, store
+    return read_parquet(spark, path), store
+
+
+def catalog_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_catalog(*changed_store(spark, sf_dir))
+
+
+def catalog_maintained_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensors_of(stored_catalog(*changed_store(spark, sf_dir)))
+
+
+def time_range_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stored_time_range(*changed_store(spark, sf_dir), granularity="hour"))
+
+
+def profile_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stored_profile(*changed_store(spark, sf_dir), "value"))
+
+
 def stream_late_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings stream into the rollups; those of three days come late, and their batch runs twice. The hours are as from the whole table."""
     readings, store = series(spark, sf_dir), inputs.new_store(spark)
@@ -525,6 +589,12 @@ QUERIES: dict[str, Query] = {
     "scan_rollup_1h": scan_rollup("1h"),
     "scan_merge_schema": scan_merge_schema,
     "path_columns": path_columns,
+    "path_columns_hourly": path_columns_hourly,
+    "read_hourly_tree": hourly_tree,
+    "read_minute_tree": rollup_tree("minute", "mean"),
+    "read_minute_tree_by_day": rollup_tree("minute_by_day", "min"),
+    "read_hour_tree": rollup_tree("hour", "max"),
+    "read_day_tree": rollup_tree("day", "mean"),
     "daqid_alias": daqid_alias,
     "file_inventory": inventory,
     "rollup_roundtrip": rollup_roundtrip,
@@ -619,4 +689,8 @@ QUERIES: dict[str, Query] = {
     "request_fingerprint": fingerprint,
     "stream_rollup_1m": stream_rollup_1m,
     "stream_late_repair": stream_late_repair,
+    "catalog_maintained": catalog_maintained,
+    "catalog_maintained_sensors": catalog_maintained_sensors,
+    "time_range_maintained": time_range_maintained,
+    "profile_from_rollup": profile_from_rollup,
 }
