@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.llm.common import Scratch, slices
+from pulsegrid.llm.common import Scratch, release_held, slices
 
 SLICE = 4 << 20
 SAMPLE = 12_000
@@ -229,6 +229,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, rounds: int =
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the smallest hash of three following words, which copies of a text share as a rule."""
+    release_held()
     for batch in batches:
         out = []
         for value in batch.column(1).to_pylist():
@@ -246,6 +247,7 @@ def hash_of(value: str) -> int:
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and other documents of a batch hold each word and each beginning of a word."""
+    release_held()
     for batch in batches:
         counts = Counter(), Counter()
         for value, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
