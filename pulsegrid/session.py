@@ -71,6 +71,16 @@ def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     return [status.getPath().toString() for status in found or []]
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file in place of what is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def rename_new(spark: SparkSession, source: str, target: str) -> bool:
     """Give a folder its final name; False if that is taken."""
     make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

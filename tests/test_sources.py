@@ -7,6 +7,7 @@ from pulsegrid import normalize
 from pulsegrid.functions.paths import asset_of, hour_of, sensor_of
 from pulsegrid.functions.time import iso8601, json_records
 from pulsegrid.sources.inventory import count_files, file_inventory, file_time_range
+from pulsegrid.sources.quarantine import list_files, quarantine
 from pulsegrid.sources.readings import (
     listing_glob,
     read_hourly_tree,
@@ -160,6 +161,24 @@ def test_unreadable_files_fail_unless_skipped(spark, tmp_path):
     assert read_parquet(spark, good, skip_unreadable=True).count() == 5
 
 
+def test_files_passed_over_are_named(spark, tmp_path):
+    root = tmp_path / "data + more"
+    spark.range(90).repartition(4).write.parquet(str(root))
+    spark.range(0).coalesce(1).write.mode("append").parquet(str(root))
+    listed = list_files(spark, str(root)).collect()
+    listing = spark.createDataFrame(listed)
+    files = sorted(root.glob("part-*.parquet"))
+    filled = [f for f in files if spark.read.parquet(str(f)).count()]
+    filled[0].write_bytes(b"not parquet at all")
+    filled[1].write_bytes(filled[1].read_bytes()[:50])
+    filled[2].unlink()
+    for f in root.glob(".*.crc"):
+        f.unlink()
+    found = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in quarantine(spark, str(root), listing, spark.range(1).schema).collect()}
+    empty = {f.name: "no rows or a broken footer" for f in files if f not in filled}
+    assert found == {filled[0].name: "no Parquet footer", filled[1].name: "no Parquet footer", filled[2].name: "vanished"} | empty
+
+
 def test_raw_table(spark, six_series, tmp_path):
     root = str(tmp_path / "raw")
     write_raw(six_series, root)

@@ -52,8 +52,9 @@ from pulsegrid.operators.sample import stride_sample
 from pulsegrid.plans.catalog import stored_catalog, stored_time_range
 from pulsegrid.plans.profile import stored_profile
 from pulsegrid.schema import drop_null_keys
-from pulsegrid.session import delete_path, glob_paths, scratch_path
+from pulsegrid.session import delete_path, glob_paths, materialize, scratch_path, write_bytes
 from pulsegrid.sources.inventory import file_inventory, with_row_counts
+from pulsegrid.sources.quarantine import list_files, quarantine
 from pulsegrid.sources.readings import (
     read_hourly_tree,
     read_parquet,
@@ -339,6 +340,21 @@ def path_columns_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("file_sensor", "file_asset", "file_hour").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def scan_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each day that a scan reads, and why the files of two days give none: one is cut off, one vanishes after the listing."""
+    path = scratch_path(spark, "quarantine")
+    write_raw(series(spark, sf_dir), path)
+    schema = read_parquet(spark, path).schema
+    listed = materialize(list_files(spark, path), "listing")
+    for broken in glob_paths(spark, f"{path}/dt=2024-01-05/*.parquet"):
+        write_bytes(spark, broken, b"PAR1 and no more")
+    delete_path(spark, f"{path}/dt=2024-01-07")
+    day = F.to_date(F.regexp_extract("path", "dt=([0-9-]+)", 1)).alias("day")
+    lost = quarantine(spark, path, listed, schema).groupBy(day, "reason").agg(F.lit(0).cast("long").alias("n_rows"))
+    read = read_parquet(spark, path, schema=schema, skip_unreadable=True).groupBy(F.col("dt").alias("day")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return read.select("day", F.lit(None).cast("string").alias("reason"), "n_rows").unionByName(lost)
+
+
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that the files of each day of the stored readings hold."""
     path = inputs.raw_table(spark, sf_dir)
@@ -590,6 +606,7 @@ QUERIES: dict[str, Query] = {
     "scan_merge_schema": scan_merge_schema,
     "path_columns": path_columns,
     "path_columns_hourly": path_columns_hourly,
+    "scan_quarantine": scan_quarantine,
     "read_hourly_tree": hourly_tree,
     "read_minute_tree": rollup_tree("minute", "mean"),
     "read_minute_tree_by_day": rollup_tree("minute_by_day", "min"),
