@@ -482,7 +482,7 @@ FROM events WHERE {within(TREE_START, TREE_END, 'ts')}""",
     "read_minute_tree_by_day": tree_scan(60_000, "min"),
     "read_hour_tree": tree_scan(HOUR, "max"),
     "read_day_tree": tree_scan(24 * HOUR, "avg"),
-    "scan_quarantine": """SELECT CAST(ts AS DATE) AS day,
+    "scan_quarantine": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
        CASE CAST(ts AS DATE) WHEN DATE '2024-01-05' THEN 'no Parquet footer' WHEN DATE '2024-01-07' THEN 'vanished' END AS reason,
        count(*) FILTER (CAST(ts AS DATE) NOT IN (DATE '2024-01-05', DATE '2024-01-07')) AS n_rows
 FROM events GROUP BY 1, 2""",

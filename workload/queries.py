@@ -349,9 +349,9 @@ def scan_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     for broken in glob_paths(spark, f"{path}/dt=2024-01-05/*.parquet"):
         write_bytes(spark, broken, b"PAR1 and no more")
     delete_path(spark, f"{path}/dt=2024-01-07")
-    day = F.to_date(F.regexp_extract("path", "dt=([0-9-]+)", 1)).alias("day")
+    day = F.regexp_extract("path", "dt=([0-9-]+)", 1).alias("day")
     lost = quarantine(spark, path, listed, schema).groupBy(day, "reason").agg(F.lit(0).cast("long").alias("n_rows"))
-    read = read_parquet(spark, path, schema=schema, skip_unreadable=True).groupBy(F.col("dt").alias("day")).agg(F.count(F.lit(1)).alias("n_rows"))
+    read = read_parquet(spark, path, schema=schema, skip_unreadable=True).groupBy(F.col("dt").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n_rows"))
     return read.select("day", F.lit(None).cast("string").alias("reason"), "n_rows").unionByName(lost)
 
 
