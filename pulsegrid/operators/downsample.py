@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
@@ -82,6 +82,21 @@ def choose_methods(
     return "last"
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """Rows that fit, how many there were, and the width they were widened to, None where they fitted.
+
+    `method` and `source_rows` are known where the readings themselves were fitted.
+    """
+
+    data: DataFrame
+    points: int
+    truncated: bool
+    interval_ms: int | None = None
+    method: str | dict[str, str] | None = None
+    source_rows: int | None = None
+
+
 def smart_downsample(
     df: DataFrame,
     target_interval_ms: int,
@@ -93,39 +108,44 @@ def smart_downsample(
     method: str | None = None,
     per_field: bool = False,
 ) -> DataFrame:
-    """Standard bucket width and method chosen from the data, then fitted into the budget.
+    """The rows of `smart_fit`."""
+    return smart_fit(df, target_interval_ms, max_points, duration_hours, fields=fields, tie=tie, method=method, per_field=per_field).data
+
+
+def smart_fit(
+    df: DataFrame,
+    target_interval_ms: int,
+    max_points: int,
+    duration_hours: float,
+    *,
+    fields: Sequence[str] | None = None,
+    tie: Sequence[str] = (),
+    method: str | None = None,
+    per_field: bool = False,
+) -> Fitted:
+    """Standard bucket width and method chosen from the data, then fitted into the budget, with a report of both.
 
-    The first pass keeps mergeable partials, so a second, coarser bucketing stays exact.
+    The first pass keeps mergeable partials, so a second, coarser bucketing stays exact. Readings that fit stay as they are:
+    no width, no method.
     """
     fields = numeric_fields(df, tie) if fields is None else list(fields)
-    size = extent(df)
-    if size.rows <= max_points:
-        return df
+    rows = df.count()
+    if rows <= max_points:
+        return Fitted(df, rows, False, source_rows=rows)
     chosen = (
         resolve_method(method)
         if method
         else choose_methods(df, duration_hours, fields=fields, per_field=per_field)
     )
-    interval = smart_interval(size.rows, duration_hours * 3_600_000, max_points, target_interval_ms)
+    interval = smart_interval(rows, duration_hours * 3_600_000, max_points, target_interval_ms)
     stats = (
         {field: stats_for([name]) for field, name in chosen.items()}
         if isinstance(chosen, dict)
         else stats_for([chosen])
     )
-    partials = build_partials(
-        df, max(interval, target_interval_ms), fields=fields, tie=tie, stats=stats
-    )
-    return fit_partials(partials, chosen, max_points).data
-
-
-@dataclass(frozen=True)
-class Fitted:
-    """Rows that fit, how many there were, and the width they were widened to, None where they fitted."""
-
-    data: DataFrame
-    points: int
-    truncated: bool
-    interval_ms: int | None = None
+    width = max(interval, target_interval_ms)
+    fitted = fit_partials(build_partials(df, width, fields=fields, tie=tie, stats=stats), chosen, max_points)
+    return replace(fitted, interval_ms=max(width, fitted.interval_ms or 0), method=chosen, source_rows=rows)
 
 
 def fit_partials(

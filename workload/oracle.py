@@ -406,6 +406,13 @@ merged AS (
 {strided('merged', RESULT, ORDER, FIT_POINTS)}""",
     "downsample_noop": f"WITH {SERIES} SELECT * FROM series",
     "smart_downsample": refit(average_partials(SMART_WIDTH)),
+    "smart_report": f"""{average_partials(SMART_WIDTH)}, sizes AS (
+  SELECT count(*) AS n, greatest({SMART_WIDTH}, CAST(floor((epoch_ms(max(b)) - epoch_ms(min(b))) / {FIT_POINTS}) AS BIGINT)) AS width FROM partials),
+merged AS (SELECT DISTINCT {floor_by('b', 'width')}, sensor_name, asset_id FROM partials, sizes)
+SELECT (SELECT count(*) FROM events) AS readings, n AS points_before,
+       CASE WHEN n <= {FIT_POINTS} THEN n ELSE least({FIT_POINTS}, (SELECT count(*) FROM merged)) END AS points_after,
+       CASE WHEN n <= {FIT_POINTS} THEN {SMART_WIDTH} ELSE width END AS interval_ms, 'avg' AS method, n > {FIT_POINTS} AS truncated
+FROM sizes""",
     "smart_status_last": f"""WITH {SERIES}, partials AS (
   SELECT {bucket(SMART_WIDTH)} AS b, sensor_name, asset_id, max(("timestamp", event_id)) AS latest,
          last(value ORDER BY "timestamp", event_id) AS v,

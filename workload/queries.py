@@ -31,6 +31,7 @@ from pulsegrid.operators.downsample import (
     adaptive_bucket,
     downsample_to_max_points,
     smart_downsample,
+    smart_fit,
 )
 from pulsegrid.operators.filters import only_assets, only_sensors, select_readings, time_range
 from pulsegrid.operators.partials import finalize, merge_partials, statistic
@@ -495,6 +496,15 @@ def smart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(smart_downsample(df, 60_000, FIT_POINTS, SMART_HOURS, fields=["value"]))
 
 
+def smart_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fit of `smart_downsample` did."""
+    fit = smart_fit(series(spark, sf_dir), 60_000, FIT_POINTS, SMART_HOURS, fields=["value"])
+    return fit.data.agg(F.count(F.lit(1)).alias("points_after")).select(
+        F.lit(fit.source_rows).cast("long").alias("readings"), F.lit(fit.points).cast("long").alias("points_before"), "points_after",
+        F.lit(fit.interval_ms).cast("long").alias("interval_ms"), F.lit(fit.method).alias("method"), F.lit(fit.truncated).alias("truncated"),
+    )
+
+
 def smart_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state field makes every field keep its last value."""
     df = series(spark, sf_dir).withColumnRenamed("k", "status")
@@ -678,6 +688,7 @@ QUERIES: dict[str, Query] = {
     "downsample_avg": downsample,
     "downsample_noop": downsample_noop,
     "smart_downsample": smart,
+    "smart_report": smart_report,
     "smart_status_last": smart_status,
     "adaptive_bucket": adaptive,
     "coverage": lambda spark, sf: rounded(coverage(series(spark, sf), HOUR)),
