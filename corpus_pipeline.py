@@ -1,6 +1,9 @@
 """Documents to packed sequences: toxic documents go, then repeated lines, near copies and benchmark text.
 
-Each stage works on what the one before kept, which is written as Parquet and read again.
+Each stage works on what the one before kept, which is written as Parquet and read again. Null texts are empty: they have no words, are
+neither toxic nor repeated nor contaminated, and become a sequence of the end id alone. Very long texts are taken whole. Of rows that repeat
+doc_id and text one stays in the third stage; ties go to the smaller doc_id, null ids last. Empty tables give empty tables. Columns beyond
+doc_id and text are carried along, whatever their names, up to the last stage, whose columns are its own.
 """
 
 from __future__ import annotations
@@ -22,16 +25,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of runs of 50 words or more; a document of which no word is left goes."""
+    """Texts without later repeats of runs of 50 words or more; a document of which no word is left goes.
+
+    `n_chars` follows the text where that changed; all other columns stay as they are, also those named like counts of the operator.
+    """
     ship(spark)
-    left = line_dedup.delete_repeated_lines(docs, both_ends=True)
+    own = {name: f"__own_{name}" for name in ("n_lines", "n_removed") if name in docs.columns}
+    left = line_dedup.delete_repeated_lines(docs.withColumnsRenamed(own), both_ends=True)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.col("n_removed") > 0
     kept = left.where(~emptied)
     if "n_chars" in docs.columns:
         count = F.when(changed, F.char_length("text")).otherwise(F.col("n_chars"))
         kept = kept.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(f"`{own.get(name, name)}`").alias(name) for name in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

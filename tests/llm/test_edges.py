@@ -171,3 +171,6 @@ def test_pipeline(spark, docs, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert docs.where(F.col("doc_id").isNull()).count() == 2
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs.withColumn("n_removed", F.lit(777)), str(tmp_path))
+    assert {tuple(r) for r in lines.select("n_lines", "n_removed").collect()} == {(4, 777)}
+    assert lines.schema["n_removed"].dataType.simpleString() == "int"
