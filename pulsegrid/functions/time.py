@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta, timezone
+from math import prod
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -64,6 +65,8 @@ def span_millis(first: Column, last: Column) -> Column:
 # One timestamp step is 10^20, above any shifted 64-bit tie; the shift is 2^63.
 _STEP = "100000000000000000000"
 _SHIFT = "9223372036854775808"
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_PACKED = "__packed_tie"
 
 
 def order_key(df: DataFrame, tie: Sequence[str] = ()) -> Column:
@@ -76,8 +79,7 @@ def order_key(df: DataFrame, tie: Sequence[str] = ()) -> Column:
     moment = micros(F.col("timestamp"))
     if not tie:
         return moment
-    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    if len(tie) == 1 and isinstance(df.schema[tie[0]].dataType, integral):
+    if len(tie) == 1 and isinstance(df.schema[tie[0]].dataType, _INTEGRAL):
         packed = (
             moment.cast("decimal(18,0)") * F.lit(_STEP).cast("decimal(21,0)")
             + F.coalesce(F.col(tie[0]), F.lit(0)).cast("decimal(20,0)")
@@ -87,6 +89,27 @@ def order_key(df: DataFrame, tie: Sequence[str] = ()) -> Column:
     return F.struct(moment.alias("moment"), *[F.col(name) for name in tie])
 
 
+def pack_ties(df: DataFrame, tie: Sequence[str]) -> tuple[DataFrame, Sequence[str]]:
+    """The readings with several integer ties as one column, and its name in a list.
+
+    One aggregate of two numbers a tie measures their ranges; a tie takes as many values as its range is wide, and NULL, which comes
+    first. Where the product of these widths goes beyond 63 bits, or a tie is no integer, all stays as it is. The packed numbers
+    belong to these readings alone, so they must not be stored.
+    """
+    if len(tie) < 2 or not all(isinstance(df.schema[name].dataType, _INTEGRAL) for name in tie):
+        return df, tie
+    bounds = [end(F.col(f"`{name}`")).cast("long") for name in tie for end in (F.min, F.max)]
+    found = df.agg(*[bound.alias(str(i)) for i, bound in enumerate(bounds)]).first()
+    lows = [low or 0 for low in found[::2]]
+    widths = [(high or 0) - low + 2 for low, high in zip(lows, found[1::2])]
+    if prod(widths) >= 1 << 63:
+        return df, tie
+    packed = F.lit(0).cast("long")
+    for name, low, width in zip(tie, lows, widths):
+        packed = packed * F.lit(width) + F.coalesce(F.col(f"`{name}`").cast("long") - F.lit(low) + 1, F.lit(0))
+    return df.withColumn(_PACKED, packed), [_PACKED]
+
+
 def iso8601(timestamp: Column) -> Column:
     """ISO-8601 text with microseconds only where there are any."""
     fraction = F.date_format(timestamp, "SSSSSS")

@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.functions.time import bucket_start, bucket_start_by, order_key
+from pulsegrid.functions.time import bucket_start, bucket_start_by, order_key, pack_ties
 from pulsegrid.operators.partials import (
     build_partials,
     finalize,
+    is_ordered,
     resolve_method,
     statistic,
     stats_for,
@@ -29,8 +30,9 @@ def aggregate_by_interval(
     """One row per (bucket, series).
 
     `method` is one of avg, min, max, last, first, count, sum, or a mapping from field to method.
-    `tie` names columns that order readings of equal time for first and last. Without numeric
-    fields, the first non-missing value of every other column is kept.
+    `tie` names columns that order readings of equal time for first and last; the ranges of several integer
+    ties are measured by a job of its own, so that they fit into one key of a hash aggregate. Without
+    numeric fields, the first non-missing value of every other column is kept.
     """
     fields = numeric_fields(df, tie) if fields is None else list(fields)
     if isinstance(method, Mapping):
@@ -43,6 +45,8 @@ def aggregate_by_interval(
             return _first_values(df, interval_ms, tie)
     if method == "count":
         fields, stats = [], {}
+    if is_ordered(stats if isinstance(stats, dict) else {"": stats}):
+        df, tie = pack_ties(df, tie)
     partials = build_partials(df, interval_ms, fields=fields, tie=tie, stats=stats)
     return finalize(partials, method, first_ts=first_ts)
 
@@ -50,6 +54,7 @@ def aggregate_by_interval(
 def _first_values(df: DataFrame, interval_ms: int, tie: Sequence[str]) -> DataFrame:
     keys = series_keys(df)
     others = [name for name in df.columns if name not in {TIMESTAMP, *keys, *tie}]
+    df, tie = pack_ties(df, tie)
     rows = drop_null_keys(df).select(
         bucket_start(TIMESTAMP, interval_ms).alias("bucket"),
         *keys,

@@ -59,7 +59,7 @@ def build_partials(
     per_field = stats if isinstance(stats, Mapping) else {field: stats for field in fields}
     keys = series_keys(df)
     rows = drop_null_keys(df).withColumn("bucket", bucket_start("timestamp", interval_ms))
-    if _is_ordered(per_field):
+    if is_ordered(per_field):
         rows = rows.withColumn("order_key", order_key(df, tie))
     return rows.groupBy("bucket", *keys).agg(*partial_aggregates(fields, per_field))
 
@@ -81,7 +81,7 @@ def partial_aggregates(fields: Sequence[str], per_field: Mapping[str, Sequence[s
     return aggregates
 
 
-def _is_ordered(per_field: Mapping[str, Sequence[str]]) -> bool:
+def is_ordered(per_field: Mapping[str, Sequence[str]]) -> bool:
     return any({"first", "last"} & set(names) for names in per_field.values())
 
 

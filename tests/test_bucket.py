@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,23 @@ def test_first_and_last_take_each_field_by_itself(readings):
     assert (last["x"], last["y"]) == (3.0, 6.0)
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_several_ties_order_like_their_columns(spark, wide):
+    rng = random.Random(7)
+    pick = [None, -(1 << 62), 1 << 62] if wide else [None, -5, 0, 7]
+    at = [ts("2024-01-01"), ts("2024-01-01T00:00:10")]
+    data = [(rng.choice(at), "s", "a", float(i), rng.choice(pick), rng.choice([None, 1, 2]), i) for i in range(200)]
+    df = spark.createDataFrame(data, "timestamp timestamp_ntz, sensor_name string, asset_id string, value double, a long, b int, c int")
+    order = sorted(data, key=lambda r: (r[0], *[(v is not None, v or 0) for v in r[4:]]))
+    for method, row in (("first", order[0]), ("last", order[-1])):
+        out = aggregate_by_interval(df, MINUTE, method, fields=["value"], tie=["a", "b", "c"])
+        assert [r["value"] for r in out.collect()] == [row[3]]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("SortAggregate" in plan) == wide
+    none = aggregate_by_interval(df.limit(0), MINUTE, "last", fields=["value"], tie=["a", "b", "c"])
+    assert none.collect() == []
+
+
 @pytest.mark.parametrize("tie", [["tie"], ["label"]])
 def test_equal_times_are_ordered_by_the_tie(readings, tie):
     df = readings(
