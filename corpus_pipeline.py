@@ -31,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     ship(spark)
     own = {name: f"__own_{name}" for name in ("n_lines", "n_removed") if name in docs.columns}
-    left = line_dedup.delete_repeated_lines(docs.withColumnsRenamed(own), both_ends=True)
+    left = line_dedup.delete_repeated_lines(docs.withColumnsRenamed(own))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.col("n_removed") > 0
     kept = left.where(~emptied)

@@ -109,7 +109,8 @@ QUERIES: dict[str, Query] = {
 
 _WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
-# What line dedup leaves of the texts of a table `{source}`: doc_id, n_lines, n_removed, text.
+# What line dedup leaves of the texts of a table `{source}`: doc_id, n_lines, n_removed, text. Of all runs of enough words the shortest from
+# each line on and the shortest up to each line are compared; every line of a maximal repeated run lies in one of them that lies in the run.
 LINES_LEFT_SQL = """
   lines AS (
     SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n
@@ -117,13 +118,14 @@ LINES_LEFT_SQL = """
           FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {source} WHERE text <> ''))),
   solid AS (
     SELECT *, row_number() OVER w AS s, sum(n) OVER w AS c FROM lines WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-  ends AS (
-    SELECT a.doc_id, a.s, min(b.s) AS e FROM solid a JOIN solid b
-    ON a.doc_id = b.doc_id AND b.s >= a.s AND b.c - a.c + a.n >= {words} GROUP BY 1, 2),
+  long AS (
+    SELECT a.doc_id, a.s, b.s AS e FROM solid a JOIN solid b
+    ON a.doc_id = b.doc_id AND b.s >= a.s AND b.c - a.c + a.n >= {words}),
+  ends AS (SELECT doc_id, s, min(e) AS e FROM long GROUP BY 1, 2 UNION SELECT doc_id, max(s), e FROM long GROUP BY doc_id, e),
   lists AS (SELECT doc_id, list(line ORDER BY s) AS l FROM solid GROUP BY doc_id),
   contents AS (SELECT doc_id, s, e, array_to_string(l[s:e], chr(10)) AS content FROM ends JOIN lists USING (doc_id)),
   later AS (
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS k FROM contents) WHERE k > 1),
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s, e) AS k FROM contents) WHERE k > 1),
   gone AS (SELECT DISTINCT x.doc_id, x.i FROM solid x JOIN later y ON x.doc_id = y.doc_id AND x.s BETWEEN y.s AND y.e),
   kept AS (
     SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,

@@ -278,32 +278,10 @@ def test_longest_matches(spark):
     assert sorted(map(tuple, rows)) == [(1, "1", 11, 2, 1), (3, "2", 1, 0, 0)]
 
 
-def test_lines(spark):
-    rng = random.Random(8)
-    lines = [" ".join(rng.choice("abcdefg") * 2 for _ in range(rng.randint(1, 9))) for _ in range(12)]
-    rows = [(i, "\n".join(rng.choice(lines + ["", "  "]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
-    words, first, gone = 10, {}, {i: set() for i, _ in rows}
-    for i, text in rows:
-        parts = text.split("\n") if text else []
-        at = [k for k, line in enumerate(parts) if line.split()]
-        for s in range(len(at)):
-            total = 0
-            for e in range(s, len(at)):
-                total += len(parts[at[e]].split())
-                if total >= words:
-                    content = tuple(parts[k] for k in at[s : e + 1])
-                    if first.setdefault(content, (i, s)) != (i, s):
-                        gone[i].update(at[s : e + 1])
-                    break
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.delete_repeated_lines(frame(spark, rows), words).collect()}
-    for i, text in rows:
-        kept = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i])
-        assert got[i] == (kept, len(gone[i]))
-
-
-def test_lines_of_whole_runs(spark):
-    """Every line of any earlier run of enough words goes, to both ends of the run."""
-    rng = random.Random(9)
+@pytest.mark.parametrize("seed", [8, 9])
+def test_lines(spark, seed):
+    """Every line of any run of enough words that stands earlier goes, to both ends of the run."""
+    rng = random.Random(seed)
     lines = [" ".join(rng.choice("abcdefg") * 2 for _ in range(rng.randint(1, 9))) for _ in range(12)]
     rows = [(i, "\n".join(rng.choice(lines + ["", "  "]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
     words, first, gone = 10, {}, {i: set() for i, _ in rows}
@@ -315,12 +293,31 @@ def test_lines_of_whole_runs(spark):
                 content = tuple(parts[k] for k in at[s : e + 1])
                 if sum(len(x.split()) for x in content) >= words and first.setdefault(content, (i, s)) != (i, s):
                     gone[i].update(at[s : e + 1])
-    got = line_dedup.delete_repeated_lines(frame(spark, rows), words, both_ends=True).collect()
+    got = line_dedup.delete_repeated_lines(frame(spark, rows), words).collect()
     for r in got:
         kept = "\n".join(x for k, x in enumerate(rows[r["doc_id"]][1].split("\n")) if k not in gone[r["doc_id"]])
         assert (r["text"], r["n_removed"]) == (kept, len(gone[r["doc_id"]]))
-    plain = line_dedup.delete_repeated_lines(frame(spark, rows), words)
-    assert sum(r["n_removed"] for r in got) > plain.agg({"n_removed": "sum"}).first()[0]
+    assert len(got) == len(rows) and any(gone.values())
+
+
+def test_fingerprints_are_winnowed():
+    rng = random.Random(4)
+    for _ in range(200):
+        counts = [rng.randint(1, 9) for _ in range(rng.randint(1, 60))]
+        hashes = b"".join(rng.choice([b"a" * 16, b"b" * 16, rng.randbytes(16)]) for _ in counts)
+        ends, spots, marks = line_dedup.select_lines(counts, hashes, 20)
+        wanted = [(i, next((e for e in range(i, len(counts) + 1) if sum(counts[i:e]) >= 20), None)) for i in range(len(counts))]
+        assert list(enumerate(ends)) == [w for w in wanted if w[1] is not None]
+        assert spots == [min(range(i, e), key=lambda k: (marks[k], -k)) for i, e in enumerate(ends)]
+
+
+def test_lines_of_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines = docs.mapInArrow(line_dedup._lines, line_dedup.LINES)
+    n = line_dedup.fingerprints(lines).count()
+    counts = [r["n"] for r in lines.select("n").collect()]
+    windows = sum(sum(sum(c[i:]) >= line_dedup.WORDS for i in range(len(c))) for c in counts if len(c) < 2000)
+    assert n < windows
 
 
 def test_pipeline_deletes_whole_runs(spark):
