@@ -1,16 +1,19 @@
 """Secrets in documents: a random forest that removes false findings of a wide search.
 
-Candidates are runs of key characters with a digit, `shortest` long or longer, and, of any length and any characters, values given
-to a name such as `password` and keys of a provider's format. Each gets features: length, kinds of characters,
-entropy; how usual its character transitions are, against those of all texts; how much of it is made of dictionary words,
-the commonest words of all texts; what its path says (hash of the source); the words before and after it and whether it is
-assigned to a name. A random forest, trained on labelled findings, tells secrets from other strings.
-
-Labelled findings are a table (doc_id, start, secret). Where none is given, findings that leave no doubt by their form
-are the labels: keys of a provider's format and values given to a name such as `password` are secrets; addresses, numbers
-and strings that are mostly words are not. The forest also judges what has neither form.
-
-Fitted on at most `sample` labelled findings, in the order of a hash of place and document. Transitions and words are
+Candidates are runs of key characters, `shortest` long or longer, that hold a digit or change from lower to upper case twice, runs of
+letters of 16 characters and more, and, of any length and any characters, values given to a name such as `password` and keys of a
+provider's format. Each gets features: length, kinds of characters, entropy; how usual its character transitions are, against
+those of all texts; how much of it is made of dictionary words, the commonest words of all texts; what its path says (hash of the source);
+the words before and after it; and how it is given to a name that says it is secret, openly by a colon, or in code. That name is none
+of the neighbouring words.
+
+Labelled findings are a table (doc_id, start, secret). Where none is given, name, provider's format and recurrence label: what has such a name or format
+is a secret, unless it is a dictionary word or stands in `recurring` distinct surroundings; such values, addresses and numbers are
+none. So that the name does not repeat the label, it is hidden from a half of the labelled secrets and shown
+for a half of the others, and up to `common` dictionary words among dictionary words, half of them given to a name, are labelled as none.
+The forest judges all candidates, also those that have a label.
+
+Fitted on at most `sample` distinct labelled findings of each kind, those with the smallest hashes, found from counts of hash ranges. Transitions and words are
 counted over all documents, and candidates come from all of them, whole. A run that is a piece of a given value stays a candidate
 beside it; only the same place is not listed twice.
 
@@ -27,6 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -37,14 +41,19 @@ from pulsegrid.llm.words import LOWER, joined
 SLICE = 4 << 20
 SAMPLE = 20_000
 WORDS = 20_000
-_RUN = re.compile(r"[A-Za-z0-9+/_=.@-]*[0-9][A-Za-z0-9+/_=.@-]*")
+COMMON = 2_000
+RECURRING = 5
+_LONG = 16
+_RUN = re.compile(r"[A-Za-z0-9+/_=.@-]+")
+_HUMP = re.compile(r"[a-z][A-Z]")
 _EDGE = "=./-_+@"
 _LETTERS = re.compile(r"[a-z]+")
 _NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*)[\"'`]?\s*(?:=|:|=>|:=)\s*(?:\"{3}|'{3}|[\"'`])?$")
 _WORD = re.compile(r"\w+")
-# Names to which secrets are assigned, and a provider's format.
+# Names to which secrets are assigned, values that stand for one, and a provider's format.
 _SECRET_NAMES = r"(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|private_?key)s?"
 _NAMES = re.compile(_SECRET_NAMES + "$", re.I)
+_PLACEHOLDER = re.compile(r"(?:x{3,}|\*+|<[^>]*>|\$\{[^}]*\}|none|null|nil|true|false|changeme|example|placeholder)", re.I)
 _FORMAT = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}")
 # The value such a name is given: up to its closing quote, else up to a space or the next name with a value.
 _GIVEN = re.compile(
@@ -53,7 +62,9 @@ _GIVEN = re.compile(
     re.I,
 )
 _HASHED = 16
-FOUND = "doc_id long, start long, length long, value string, features array<double>, label int"
+FOUND = "doc_id long, start long, length long, value string, features array<double>, label int, around long"
+# Where a feature says how a value is given to a name: not at all, openly by a colon, in code.
+_GIVEN_AT = 13
 
 
 def _classes() -> np.ndarray:
@@ -118,8 +129,6 @@ def coverage(value: str, words: frozenset[str], longest: int = 20) -> float:
 
 
 def _bucket(word: str) -> int:
-    import xxhash
-
     return xxhash.xxh32_intdigest(word.lower()) % _HASHED
 
 
@@ -132,28 +141,36 @@ def describe(value: str, before: str, after: str, path: str | None, logs: np.nda
     hexa = sum(c in "0123456789abcdefABCDEF" for c in value)
     usual = float(logs[kinds[:-1], kinds[1:]].mean()) if len(kinds) > 1 else 0.0
     changes = float((np.diff(kinds // 26) != 0).mean()) if len(kinds) > 1 else 0.0
-    name = _NAME.search(before)
-    assigned = 1.0 if name else 0.0
-    known = 1.0 if name and _NAMES.search(name[1]) else 0.0
+    named = _named(before)
+    given = 0.0 if not named else 1.0 if re.fullmatch(r"\s*:\s+", before[named.end(1) :]) else 2.0
     near = [0.0] * (2 * _HASHED)
-    left, right = _WORD.findall(before)[-2:], _WORD.findall(after)[:1]
+    left, right = _WORD.findall(before[: named.start(1)] if named else before)[-2:], _WORD.findall(after)[:1]
     for word in left:
         near[_bucket(word)] += 1
     for word in right:
         near[_HASHED + _bucket(word)] += 1
     return [
         float(np.log(n)), digits / n, upper / n, letters / n, hexa / n, float(-(counts * np.log2(counts)).sum()), usual, changes,
-        coverage(value, words), float("@" in value), float("/" in value), float("." in value), assigned, known,
+        coverage(value, words), float("@" in value), float("/" in value), float("." in value), 1 - (digits + letters) / n, given,
         float(_bucket(path or "")), *near,
     ]
 
 
-def sure_label(value: str, before: str, words_share: float) -> int | None:
-    """1 or 0 for a finding that leaves no doubt."""
+def _named(before: str) -> re.Match | None:
+    """The name that says that the value after it is secret."""
     name = _NAME.search(before)
-    if _FORMAT.fullmatch(value) or name and _NAMES.search(name[1]):
+    return name if name and _NAMES.search(name[1]) else None
+
+
+def sure_label(value: str, before: str, words: frozenset[str]) -> int | None:
+    """1 or 0 for a finding of which name, format or the dictionary say so."""
+    if _FORMAT.fullmatch(value):
+        return 1
+    if value.lower() in words or _PLACEHOLDER.fullmatch(value):
+        return 0
+    if _named(before):
         return 1
-    if "@" in value or value.replace(".", "").replace("-", "").isdigit() or words_share > 0.8:
+    if "@" in value or value.replace(".", "").replace("-", "").isdigit():
         return 0
     return None
 
@@ -179,7 +196,9 @@ def _runs(text: str, shortest: int) -> Iterator[tuple[int, str]]:
         head, sign, tail = value.rpartition("=")
         if sign and len(tail) >= shortest:
             begin, value = begin + len(head) + 1, tail
-        if len(value) >= shortest and any(c.isdigit() for c in value):
+        if len(value) >= shortest and (any(c.isdigit() for c in value) or len(_HUMP.findall(value)) > 1):
+            yield begin, value
+        elif len(value) >= _LONG and value.isalpha():
             yield begin, value
 
 
@@ -197,43 +216,107 @@ def _find(shortest: int, logs: np.ndarray, words: frozenset[str]) -> Callable:
                 for begin, value in candidates(text or "", shortest):
                     before, after = text[max(0, begin - 60) : begin], text[begin + len(value) : begin + len(value) + 40]
                     row = describe(value, before, after, path, logs, words)
-                    rows.append((doc_id, begin, len(value), value, row, sure_label(value, before, row[8])))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32()]
-            columns = zip(*rows) if rows else [[]] * 6
+                    around = xxhash.xxh3_64_intdigest(text_bytes(before[-20:] + "\0" + after[:20])) >> 1
+                    rows.append((doc_id, begin, len(value), value, row, sure_label(value, before, words), around))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32(), pa.int64()]
+            columns = zip(*rows) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "value", "features", "label"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "value", "features", "label", "around"]
             )
 
     return run
 
 
-def find_candidates(docs: DataFrame, shortest: int = 12) -> DataFrame:
-    """doc_id, start and length in characters, value, features, and the label of findings that leave no doubt."""
+def _language_and_candidates(docs: DataFrame, shortest: int) -> tuple[DataFrame, np.ndarray, frozenset[str]]:
     logs, words = language(docs)
     path = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", path.alias("path"))
-    return source.mapInArrow(_find(shortest, logs, words), FOUND)
+    return source.mapInArrow(_find(shortest, logs, words), FOUND), logs, words
+
+
+def find_candidates(docs: DataFrame, shortest: int = 8) -> DataFrame:
+    """doc_id, start and length in characters, value, features, the label of findings that have one by themselves, and a hash of the surroundings."""
+    return _language_and_candidates(docs, shortest)[0]
+
+
+def recurring_values(found: DataFrame, times: int) -> DataFrame:
+    """value: those that stand in so many distinct surroundings, which copies of a document do not add to."""
+    places = found.where("label = 1").groupBy("value", "around").agg(F.lit(1).alias("one"))
+    return places.groupBy("value").agg(F.count("one").alias("n")).where(F.col("n") >= times).select("value")
+
+
+def smallest_hashes(rows: DataFrame, limit: int) -> DataFrame:
+    """At most `limit` rows of each label, those with the most leading zeros in column `hash`; 64 counts a label come to the driver."""
+    zeros = F.lit(64) - F.length(F.bin("hash"))
+    counts = rows.groupBy("label", zeros.alias("zeros")).agg(F.count("*").alias("n")).collect()
+    floors = {}
+    for label in {r["label"] for r in counts}:
+        total, floors[label] = 0, 0
+        for zero, n in sorted(((r["zeros"], r["n"]) for r in counts if r["label"] == label), reverse=True):
+            total += n
+            if total > limit:
+                floors[label] = zero + 1
+                break
+    kept = F.lit(False)
+    for label, floor in floors.items():
+        kept = kept | ((F.col("label") == label) & (zeros >= floor))
+    return rows.where(kept)
+
+
+def common_words(logs: np.ndarray, words: frozenset[str], most: int) -> list[tuple[float, list[float]]]:
+    """(0, features) of dictionary words among dictionary words, every other one given to a name."""
+    order = sorted(words, key=lambda word: (xxhash.xxh64_intdigest(word), word))[:most]
+    rows = []
+    for i, word in enumerate(order):
+        before = f"{order[i - 1]} {order[i - 2]} " + ("token: " if i % 2 else "")
+        rows.append((0.0, describe(word, before, " " + order[i - 3], word, logs, words)))
+    return rows
 
 
 def scan_secrets(
-    docs: DataFrame, findings: DataFrame | None = None, shortest: int = 12, sample: int = SAMPLE, trees: int = 30, threshold: float = 0.5
+    docs: DataFrame,
+    findings: DataFrame | None = None,
+    shortest: int = 8,
+    sample: int = SAMPLE,
+    trees: int = 30,
+    threshold: float = 0.5,
+    common: int = COMMON,
+    recurring: int = RECURRING,
 ) -> DataFrame:
     """doc_id, start, length, value, score and secret (score at the threshold or above) of every candidate."""
-    scratch = Scratch(docs.sparkSession, "secrets")
-    found = scratch.write(find_candidates(docs, shortest), "found")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "secrets")
+    candidates_, logs, words = _language_and_candidates(docs, shortest)
+    found = scratch.write(candidates_, "found")
+    at = F.col("features")[_GIVEN_AT]
     if findings is not None:
         given = findings.select("doc_id", "start", F.col("secret").cast("int").alias("given")).dropDuplicates(["doc_id", "start"])
-        found = found.join(given, ["doc_id", "start"], "left").withColumn("label", F.col("given")).drop("given")
-    order = F.xxhash64("doc_id", "start")
-    labelled = found.where("label IS NOT NULL").orderBy(order, "doc_id", "start", "value").limit(sample)
-    fitted = labelled.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("vector"))
-    fitted = scratch.write(fitted.coalesce(1), "fitted")  # at most `sample` rows
+        labelled = found.join(given, ["doc_id", "start"]).withColumn("label", F.col("given")).where("label IS NOT NULL")
+        labelled = labelled.select("label", "value", "features")
+    else:
+        labelled = found.where("label IS NOT NULL").select("label", "value", "features")
+        often = recurring_values(found, recurring).withColumn("often", F.lit(True))
+        labelled = labelled.join(often, "value", "left").withColumn("label", F.when(F.col("often"), 0).otherwise(F.col("label"))).drop("often")
+        # The name does not tell the label: hidden from half of the secrets, shown for half of the others.
+        half = F.pmod(F.xxhash64("value", F.lit(1)), F.lit(2)) == 0
+        shown = F.when((F.col("label") == 1) & half, 0.0).when((F.col("label") == 0) & half & (at == 0), 1.0).otherwise(at)
+        parts = [F.slice("features", 1, _GIVEN_AT), F.array(shown), F.slice("features", _GIVEN_AT + 2, 1000)]
+        labelled = labelled.withColumn("features", F.concat(*parts))
+    labelled = labelled.withColumn("hash", F.xxhash64("label", "value", "features")).dropDuplicates(["hash"])
+    few = smallest_hashes(scratch.write(labelled, "labelled"), sample)
+    fitted = few.select(F.col("label").cast("double").alias("label"), "features")
+    if findings is None and words:
+        fitted = fitted.unionByName(spark.createDataFrame(common_words(logs, words, common), "label double, features array<double>"))
+    fitted = scratch.write(fitted.select("label", array_to_vector("features").alias("vector")).coalesce(1), "fitted")  # two bounded samples
     shares = {r["label"]: r["n"] for r in fitted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     columns = ["doc_id", "start", "length", "value"]
     if len(shares) < 2:
         score = F.lit(1.0 if 1.0 in shares else 0.0)
         return found.select(*columns, score.alias("score")).withColumn("secret", F.col("score") >= threshold)
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=8, seed=1, probabilityCol="share")
-    model = forest.fit(fitted)
+    weight = F.when(F.col("label") == 1, 1 / shares[1.0]).otherwise(1 / shares[0.0]) * (sum(shares.values()) / 2)
+    forest = RandomForestClassifier(
+        featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=8, seed=1, probabilityCol="share"
+    )
+    model = forest.fit(fitted.withColumn("weight", weight))
     judged = model.transform(found.withColumn("vector", array_to_vector("features")))
     return judged.select(*columns, vector_to_array("share")[1].alias("score")).withColumn("secret", F.col("score") >= threshold)

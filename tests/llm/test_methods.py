@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -192,6 +194,37 @@ def test_secrets_of_any_form(spark):
     assert sorted(r["doc_id"] for r in found if r["secret"]) == list(range(len(texts)))
 
 
+def test_secrets_held_out(spark):
+    """Precision and recall of planted findings that no rule labels, and of prose after a name, by kind."""
+    rng = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    key = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    hexa, mixed = "0123456789abcdef", string.ascii_letters + string.digits
+    kinds = {
+        "hex": (True, lambda: f"the run {key(40, hexa)} went"),
+        "mixed": (True, lambda: f"the run {key(32, mixed)} went"),
+        "letters": (True, lambda: f"the run {key(32, string.ascii_letters)} went"),
+        "named": (True, lambda: f'password = "{key(14, mixed + "!#$%")}"'),
+        "prose": (False, lambda: rng.choice(["the token: the reader", "a password: please wait", "secret: they went home"])),
+        "number": (False, lambda: f"number {rng.randint(10**9, 10**14)} or {rng.randint(100, 999)}.{rng.randint(10**6, 10**7)} of"),
+        "mail": (False, lambda: f"to {key(7, 'aeinrst')}@{key(6, 'aeinrst')}.com now"),
+    }
+    planted = {10**6 + i: (kind, make()) for i, (kind, (_, make)) in enumerate(item for item in kinds.items() for _ in range(30))}
+    more = [(i, text, "web") for i, (_, text) in planted.items()]
+    extra = spark.createDataFrame(more, "doc_id long, text string, source string")
+    found = secrets.scan_secrets(docs.unionByName(extra.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))))
+    hits = {r["doc_id"] for r in found.where("secret AND doc_id >= 1000000").collect()}
+    shares = {kind: sum(i in hits for i, (k, _) in planted.items() if k == kind) / 30 for kind in kinds}
+    assert all(shares[kind] >= 0.9 if secret else shares[kind] <= 0.1 for kind, (secret, _) in kinds.items()), shares
+
+
+def test_sample_by_leading_zeros(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).cast("int").alias("label"), F.xxhash64("id").alias("hash"))
+    few = secrets.smallest_hashes(rows, 300)
+    assert all(100 <= r["count"] <= 300 for r in few.groupBy("label").count().collect())
+    assert secrets.smallest_hashes(rows, 5000).count() == 5000
+
+
 def test_secrets_from_labels(spark):
     """Given findings decide, also against what the form says."""
     rng = random.Random(3)
