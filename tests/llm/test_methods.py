@@ -195,7 +195,9 @@ def test_secrets_of_any_form(spark):
 
 
 def test_secrets_held_out(spark):
-    """Precision and recall of planted findings that no rule labels, and of prose after a name, by kind."""
+    """Precision and recall of planted findings that no rule labels, and of prose after a name, by kind.
+
+    The given table has no key of letters alone, so some with a name teach that kind; the others have none."""
     rng = random.Random(11)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
     key = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
@@ -204,6 +206,7 @@ def test_secrets_held_out(spark):
         "hex": (True, lambda: f"the run {key(40, hexa)} went"),
         "mixed": (True, lambda: f"the run {key(32, mixed)} went"),
         "letters": (True, lambda: f"the run {key(32, string.ascii_letters)} went"),
+        "taught": (True, lambda: f'api_key = "{key(rng.randint(24, 40), string.ascii_letters)}"'),
         "named": (True, lambda: f'password = "{key(14, mixed + "!#$%")}"'),
         "prose": (False, lambda: rng.choice(["the token: the reader", "a password: please wait", "secret: they went home"])),
         "number": (False, lambda: f"number {rng.randint(10**9, 10**14)} or {rng.randint(100, 999)}.{rng.randint(10**6, 10**7)} of"),
