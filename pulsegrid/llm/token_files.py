@@ -26,11 +26,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pulsegrid.llm.common import Scratch, partitions, slices
+from pulsegrid.llm.common import Scratch, partitions, release_held, slices
 from pulsegrid.llm.tokens import encoder
 
 SLICE = 6 << 20
 BLOCK = 1 << 20
+WORDS = 1_500_000  # known to a worker that encodes; they go before frames are sorted
 FRAMES = "doc_id long, n_tokens long, crc long, frame binary"
 BLOCKS = (
     "shard int, block int, dictionary string, first_id long, last_id long, start long, tokens long, "
@@ -45,7 +46,7 @@ def _serialized(ids: np.ndarray, width: int) -> bytes:
 
 def _each(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[tuple]:
     """(doc_id, ids with the end id) of every row."""
-    code = encoder(tokenizer)
+    code = encoder(tokenizer, WORDS)
     for batch in batches:
         for part in slices(batch, "text", SLICE):
             ids, offsets = code.encode(part.column(1))
@@ -58,7 +59,7 @@ def train_dictionary(
 ) -> tuple[bytes, int]:
     """(dictionary, bytes of an id). Fitted on `sample` documents of at most `longest` characters, in the
     order of a hash of doc_id, whatever the size of the table. Too few texts give no dictionary."""
-    width = 2 if encoder(tokenizer).size <= 1 << 16 and end_id < 1 << 16 else 4
+    width = 2 if encoder(tokenizer, WORDS).size <= 1 << 16 and end_id < 1 << 16 else 4
     text = F.coalesce("text", F.lit(""))
     place = F.xxhash64("doc_id")
     fitting = docs.where(F.length(text) <= longest)
@@ -107,6 +108,7 @@ def _pack(digest: str) -> Callable:
     """Blocks of sorted frames; a partition is a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         ids, counts, frames, held = [], [], [], 0
 
@@ -170,6 +172,7 @@ def write_token_files(
 
 def _unpack(dictionary: bytes, digest: str, width: int, before: dict[int, int], with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
         codec = _codec(dictionary)
         for batch in batches:
             for row in batch.to_pylist():

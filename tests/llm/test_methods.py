@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -23,6 +24,7 @@ from pulsegrid.llm import (
     shingle_join,
     substring_dedup,
     token_files,
+    tokens,
     topk,
     toxicity,
 )
@@ -138,6 +140,25 @@ def test_tokens_are_those_of_the_library():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_common_words_stay_known():
+    code, whole = tokens.Encoder(PATH, 150), Tokenizer.from_file(PATH)
+    common = " ".join(f"Shared{i}." for i in range(10))
+    for batch in range(12):
+        texts = [common + " " + " ".join(f"rare{batch}x{i}, Q{batch}y{i}" for i in range(15)), None, common]
+        ids, offsets = code.encode(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == whole.encode(text or "", add_special_tokens=False).ids
+        code.encode(pa.array([common]))
+        code._keep_common()
+        assert all(word in code.known for word in common.split()) and len(code.known) <= 75
+
+
+def test_files_are_packed_and_read_without_the_encoder():
+    encoder(PATH)
+    assert not list(token_files._unpack(b"", "", 2, {}, True)(iter([])))
+    assert not tokens._encoders
+
+
 def test_token_files_round_trip(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     path = str(tmp_path / "files")
