@@ -7,9 +7,11 @@ A document is the set of its word n-grams. Equal sets are one class from the sta
 2. Relations. Sets that share a min-hash are compared with one of them, the leader. A set that links with a leader
    inherits its component, and with it the answers of all sets found that way.
 3. Index. Sets are listed under the n-grams of their prefix, of which similar sets share one, in order of size. Of a list only
-   pairs of different components count; the largest component of a list is passed over as a block, sizes and
-   positions in the prefix skip more, and bitmaps of the parity of hashes bound the difference of two sets from below.
-4. The pairs that are left are compared exactly.
+   pairs of different components count; sizes and positions in the prefix leave few rows, and only these get bitmaps of the parity
+   of hashes, which bound the difference of two sets from below. The largest component of a long list is passed over as a block.
+4. Each set that has such a pair is compared with its nearest one by bitmaps, a pair per set and task, and links join components; this
+   goes on for `ROUNDS` rounds while it finds links.
+5. All pairs of different components that are left then are compared exactly, so rounds save work and decide nothing.
 
 So a group of thousands of near copies costs a comparison per member, not per pair, and no link is lost.
 
@@ -344,8 +346,8 @@ class Listed:
             out[own] = np.maximum(out[own], np.bitwise_count(theirs ^ less).sum(axis=1))
         return out
 
-    def pairs(self, percent: int) -> Iterator[tuple[int, int]]:
-        """Pairs of different components that sizes, positions and bitmaps leave open.
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Pairs (a, b, least distance) of different components that sizes, positions and bitmaps leave open.
 
         In the list of the first element that two sets share, nothing before it is shared: those elements count as
         different, and what can be shared stands after it.
@@ -368,9 +370,9 @@ class Listed:
             if not len(others):
                 continue
             odd = self._differ(i, others)
-            near = 2 * odd / (self.n[i] + self.n[others] + odd) <= most
-            for other in self.sid[others[near]].tolist():
-                yield min(int(self.sid[i]), other), max(int(self.sid[i]), other)
+            low = 2 * odd / (self.n[i] + self.n[others] + odd)
+            near, mine = self.sid[others[low <= most]], self.sid[i]
+            yield np.minimum(near, mine), np.maximum(near, mine), low[low <= most]
 
 
 class Rows:
@@ -379,21 +381,27 @@ class Rows:
     def __init__(self, table: pa.Table):
         self.sid, self.group = table.column("sid").to_numpy(), table.column("group").to_numpy()
         self.n, self.place = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place"))
+        if "bits" not in table.column_names:
+            return
         bits = table.column("bits").combine_chunks()
         bits = pa.concat_arrays(bits.chunks) if isinstance(bits, pa.ChunkedArray) else bits
         offsets = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1]
         self.begin, self.width = offsets[:-1].astype(np.int64), np.diff(offsets)
         self.data = np.frombuffer(bits.buffers()[2], np.uint8)
 
-    def pairs(self, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-        """Which pairs of rows sets, sizes, positions and bitmaps leave open, once each, as pairs of sets; see `Listed.pairs`."""
+    def possible(self, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of rows components, sizes and positions leave open; see `Listed.pairs`."""
         n, m = self.n[left], self.n[right]
         keep = (self.group[left] != self.group[right]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
         left, right = left[keep], right[keep]
         n, m, p, q = self.n[left], self.n[right], self.place[left], self.place[right]
         least = -(-percent * (n + m) // (100 + percent))
         keep = (1 + np.minimum(n - p - 1, m - q - 1) >= least) & (p + q <= n + m - 2 * least)
-        left, right = left[keep], right[keep]
+        return left[keep], right[keep]
+
+    def pairs(self, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+        """Which of them bitmaps leave open, too, once each, as pairs of sets with their least distance."""
+        left, right = self.possible(left, right, percent)
         swap = self.sid[left] > self.sid[right]
         left, right = np.where(swap, right, left), np.where(swap, left, right)
         order = np.lexsort((self.sid[right], self.sid[left]))
@@ -412,67 +420,105 @@ class Rows:
                 while y.shape[1] > x.shape[1]:
                     y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
                 odd[part] = np.maximum(odd[part], np.bitwise_count(x ^ y).sum(axis=1))
-        near = 2 * odd / (self.n[left] + self.n[right] + odd) <= 1 - percent / 100 + 1e-9
-        return np.stack([self.sid[left[near]], self.sid[right[near]]], axis=1)
+        low = 2 * odd / (self.n[left] + self.n[right] + odd)
+        near = low <= 1 - percent / 100 + 1e-9
+        return self.sid[left[near]], self.sid[right[near]], low[near]
 
     def _maps(self, rows: np.ndarray, width: int) -> np.ndarray:
         return self.data[self.begin[rows][:, None] + np.arange(width)]
 
 
 LONG_LIST = 512
+ROUNDS = 1
 _PAIRS = 1 << 20
 
 
-def short_pairs(table: pa.Table, begin: np.ndarray, end: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Pairs of sets from the lists table[begin:end], about `_PAIRS` pairs of rows at a time."""
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Tables of whole lists, and where those begin and end that hold several components; rows come list by list."""
+
+    def several(table: pa.Table) -> tuple:
+        gram, group = table.column("gram").to_numpy(), table.column("group").to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        more = np.minimum.reduceat(group, cuts) != np.maximum.reduceat(group, cuts)
+        return table, cuts[more], np.append(cuts[1:], len(gram))[more]
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if held.num_rows < 50_000:
+            continue
+        gram = held.column("gram").to_numpy()
+        last = int(np.searchsorted(gram, gram[-1]))  # the last list may go on
+        if last:
+            yield several(held.slice(0, last).combine_chunks())
+            held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield several(held.combine_chunks())
+
+
+def short_pairs(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of each of the lists begin:end, about `_PAIRS` at a time."""
     if not len(begin):
         return
-    rows = Rows(table)
     row = ragged(begin, end - begin)
     more = np.repeat(end, end - begin) - row - 1
     cuts = np.searchsorted(np.cumsum(more), np.arange(_PAIRS, int(more.sum()) + _PAIRS, _PAIRS)) + 1
     for part in np.split(np.arange(len(row)), np.unique(np.minimum(cuts, len(row)))):
         if len(part):
-            yield rows.pairs(np.repeat(row[part], more[part]), ragged(row[part] + 1, more[part]), percent)
+            yield np.repeat(row[part], more[part]), ragged(row[part] + 1, more[part])
+
 
+def _possible(percent: int) -> Callable:
+    """Rows (gram, sid, group, n, place) that components, sizes and positions let match another of their list; all of long lists."""
 
-def _list_pairs(percent: int) -> Callable:
-    """Pairs of sets to compare; rows (gram, sid, group, n, place, bits) come list by list."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin, end in _whole_lists(batches):
+            keep, rows = np.zeros(table.num_rows, bool), Rows(table)
+            long = end - begin > LONG_LIST
+            keep[ragged(begin[long], (end - begin)[long])] = True
+            for left, right in short_pairs(begin[~long], end[~long]):
+                for side in rows.possible(left, right, percent):
+                    keep[side] = True
+            yield from table.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def _list_pairs(percent: int, nearest: bool = False) -> Callable:
+    """Pairs of sets to compare, or of each set only its nearest; rows (gram, sid, group, n, place, bits) come list by list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        held = None
+        best: dict[int, tuple[float, int]] = {}
+
+        def add(a: np.ndarray, b: np.ndarray, low: np.ndarray):
+            if not nearest:
+                found.update(zip(a.tolist(), b.tolist()))
+                return
+            own, other, low = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([low, low])
+            order = np.lexsort((other, low, own))
+            own, other, low = own[order], other[order], low[order]
+            first = np.append(True, own[1:] != own[:-1])[: len(own)]
+            for sid, *pair in zip(own[first].tolist(), low[first].tolist(), other[first].tolist()):
+                best[sid] = min(best.get(sid, (2.0, 0)), tuple(pair))
 
         def flush():
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-        def lists(table: pa.Table):
-            gram, group = table.column("gram").to_numpy(), table.column("group").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            several = np.minimum.reduceat(group, cuts) != np.maximum.reduceat(group, cuts)
-            begins, ends = cuts[several], np.append(cuts[1:], len(gram))[several]
-            long = ends - begins > LONG_LIST
-            for pairs in short_pairs(table, begins[~long], ends[~long], percent):
-                found.update(map(tuple, pairs.tolist()))
-            for begin, end in zip(begins[long].tolist(), ends[long].tolist()):
-                found.update(Listed(table.slice(begin, end - begin)).pairs(percent))
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows < 50_000:
-                continue
-            gram = held.column("gram").to_numpy()
-            last = int(np.searchsorted(gram, gram[-1]))  # the last list may go on
-            if last:
-                lists(held.slice(0, last).combine_chunks())
-                held = held.slice(last)
+        for table, begin, end in _whole_lists(batches):
+            long = end - begin > LONG_LIST
+            rows = Rows(table)
+            for left, right in short_pairs(begin[~long], end[~long]):
+                add(*rows.pairs(left, right, percent))
+            for at, stop in zip(begin[long].tolist(), end[long].tolist()):
+                for pairs in Listed(table.slice(at, stop - at)).pairs(percent):
+                    add(*pairs)
             if len(found) > 100_000:
                 yield flush()
-        if held is not None and held.num_rows:
-            lists(held.combine_chunks())
+        found.update((min(sid, other), max(sid, other)) for sid, (_, other) in best.items())
         yield flush()
 
     return run
@@ -503,12 +549,17 @@ def label_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int
         right = sets.select(F.col("sid").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny"))
         return pairs.join(left, "a").join(right, "b").mapInArrow(_bounded, "b long, a long, low double")
 
-    def compare(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs with their exact distance; their sets are fetched, each from one document."""
-        used = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+
+    def fetched(used: DataFrame, name: str) -> DataFrame:
+        """The n-grams of sets, each from one document."""
         bloom = spark.sparkContext.broadcast(_bloom(used.join(sets.select("sid", "doc"), "sid"), bloom_bits))
         wanted = source.mapInArrow(_wanted(size, bloom_bits, bloom), "sid long, grams binary").dropDuplicates(["sid"])
-        grams = scratch.write(wanted, f"{name}-sets")
+        return scratch.write(wanted, f"{name}-sets")
+
+    def compare(pairs: DataFrame, grams: DataFrame, name: str) -> DataFrame:
+        """The pairs with their exact distance."""
         left = grams.select(F.col("sid").alias("a"), F.col("grams").alias("x"))
         right = grams.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -516,7 +567,6 @@ def label_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int
         linked = F.col("shared") * 100 >= F.col("whole") * percent
         distance = (1 - F.col("shared") / F.col("whole")).alias("d")
         out = scratch.write(counted.select("a", "b", distance, linked.alias("linked")), name)
-        scratch.drop(grams)
         free_shuffles(spark)
         return out
 
@@ -530,14 +580,45 @@ def label_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int
     hashes = shared.select("sid", "which", "value")
     near = hashes.join(groups, ["which", "value"]).where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
     near = scratch.write(bounded(near).where(F.col("low") <= most), "near")
-    direct = compare(near, "direct").where("linked").select("a", "b")
-    component = connected_components(direct, scratch, "first").select(F.col("node").alias("sid"), F.col("component").alias("group"))
-    known = sets.join(component, "sid", "left").select("sid", F.coalesce("group", "sid").alias("group"), "bits")
-    labelled = lists.join(known, "sid").select("gram", "sid", "group", "n", "place", "bits")
-    parted = labelled.repartition("gram").sortWithinPartitions("gram")
-    between = scratch.write(parted.mapInArrow(_list_pairs(percent), "a long, b long").distinct(), "between-pairs")
-    exact = compare(between, "between").where("linked").select("a", "b")
-    component = connected_components(direct.unionByName(exact), scratch, "last")
+    grams = fetched(ends(near), "direct")
+    links = compare(near, grams, "direct").where("linked").select("a", "b")
+    scratch.drop(grams)
+
+    component = connected_components(links, scratch, "first")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        """Rows of lists, list by list, with the components so far."""
+        names = component.select(F.col("node").alias("sid"), F.col("component").alias("group"))
+        rows = rows.join(names, "sid", "left").withColumn("group", F.coalesce("group", "sid"))
+        own = [c for c in ("gram", "sid", "group", "n", "place", "bits") if c in rows.columns]
+        return rows.select(*own).repartition("gram").sortWithinPartitions("gram")
+
+    possible = grouped(lists).mapInArrow(_possible(percent), "gram long, sid long, group long, n int, place int")
+    possible = scratch.write(possible, "possible")
+    scratch.drop(lists)
+    free_shuffles(spark)
+    bits_of = sets.select("sid", "bits")
+    parted = possible.join(bits_of, "sid").select("gram", "sid", "group", "n", "place", "bits").repartition("gram").sortWithinPartitions("gram")
+    pairs = scratch.write(parted.mapInArrow(_list_pairs(percent, True), "a long, b long").distinct(), "nearest-pairs-0")
+    free_shuffles(spark)
+    # Components only grow, so later pairs are of sets that have a pair now; these are fetched once.
+    used = scratch.write(ends(pairs), "open-ids")
+    grams = fetched(used, "open")
+    rows = scratch.write(possible.drop("group").join(used, "sid").join(bits_of, "sid"), "open-rows")
+    scratch.drop(possible)
+    number, every = 1, False
+    while True:
+        exact = compare(pairs, grams, f"exact-{number}").where("linked").select("a", "b")
+        none = exact.isEmpty()
+        if not none:
+            links = links.unionByName(exact)
+            component = connected_components(links, scratch, f"round-{number}")
+        if every:
+            break
+        every = none or number == ROUNDS
+        found = grouped(rows).mapInArrow(_list_pairs(percent, not every), "a long, b long").distinct()
+        pairs, number = scratch.write(found, f"pairs-{number}"), number + 1
+    scratch.drop(grams, rows)
 
     named = component.select(F.col("node").alias("sid"), "component")
     whole = members.select("doc_id", "sid", "n").join(named, "sid", "left")

@@ -495,6 +495,29 @@ def test_similar(spark, monkeypatch, size, percent, long):
     assert kept == sorted({find(i) for i in ids})
 
 
+@pytest.mark.parametrize("long", [512, 3])
+def test_a_pair_per_set_from_lists_of_near_ones(monkeypatch, long):
+    """300 sets of other components that all lie near each other: 44850 pairs, of which a set names one."""
+    monkeypatch.setattr(shingle_join, "LONG_LIST", long)
+    bits = [shingle_join.parity(np.append(np.arange(100), 1000 + i).astype(np.uint64)) for i in range(300)]
+    rows = pa.table({
+        "gram": pa.array([7] * 300), "sid": pa.array(range(300)), "group": pa.array(range(300)),
+        "n": pa.array([101] * 300, pa.int32()), "place": pa.array([0] * 300, pa.int32()), "bits": pa.array(bits),
+    })
+    pairs = [tuple(p.values()) for b in shingle_join._list_pairs(85, nearest=True)(iter(rows.to_batches())) for p in b.to_pylist()]
+    assert len(pairs) <= 300 and {sid for pair in pairs for sid in pair} == set(range(300))
+    every = [tuple(p.values()) for b in shingle_join._list_pairs(85)(iter(rows.to_batches())) for p in b.to_pylist()]
+    assert len(set(every)) >= 300 * 299 // 2 - 300
+
+
+def test_rows_without_a_possible_partner_get_no_bitmap():
+    rows = [(1, 1, 5, 100, 0), (1, 2, 5, 100, 0), (2, 1, 5, 100, 1), (2, 3, 3, 90, 1), (2, 4, 4, 50, 0), (3, 1, 5, 100, 14), (3, 6, 6, 100, 14)]
+    columns = zip(("gram", "sid", "group", "n", "place"), zip(*rows))
+    table = pa.table({name: pa.array(values) for name, values in columns})
+    kept = [tuple(r.values()) for b in shingle_join._possible(85)(iter(table.to_batches())) for r in b.to_pylist()]
+    assert kept == [(2, 1, 5, 100, 1), (2, 3, 3, 90, 1)]
+
+
 def test_lower_bound_of_distance():
     rng = np.random.default_rng(1)
     for _ in range(200):
