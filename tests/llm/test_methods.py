@@ -79,6 +79,65 @@ def test_substrings(spark, mixed_rows, span):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_substrings_of_given_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    raws = {i: (t or "").encode() for i, t in docs.collect()}
+    digests = {i: [hash(raw[p : p + 400]) for p in range(len(raw) - 399)] for i, raw in raws.items()}
+    count = Counter()
+    for own in digests.values():
+        count.update(own)
+    want = []
+    for i, raw in raws.items():
+        gone, last = bytearray(len(raw)), 0
+        for p, digest in enumerate(digests[i]):
+            if count[digest] > 1:
+                last = max(last, p)
+                gone[last : p + 400] = b"\1" * (p + 400 - last)
+                last = p + 400
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        want.append((i, len(raw), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()))
+    got = substring_dedup.remove_repeated_substrings(docs, 400).drop("kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("span", [17, 60, 400])
+def test_cores(span):
+    """Every start has one core, which its string's bytes alone decide; a string holds few phrases, and periods make no rows of their own."""
+    rng = np.random.default_rng(span)
+    texts = ["".join(rng.choice(list("ab"), 700)), "a" * 600, "abc" * 300, "b" * 300 + "".join(rng.choice(list("abcdefgh"), 900)), "ab\0" * 9]
+    texts.append("".join(rng.choice(list("abcdefgh"), 60_000)))  # the last: long and without repeats
+    raw, bounds = substring_dedup.joined(pa.array(texts))
+    reach = substring_dedup.reach_of(span)
+    at, hashes = substring_dedup.anchors(raw, bounds, reach)
+    batch = substring_dedup.parse_texts(list(range(len(texts))), pa.array(texts), span)
+    rows = {}
+    for r in batch.to_pylist():
+        rows.setdefault(r["key"], []).append(r)
+    for i, text in enumerate(texts):
+        if len(text) < span:
+            continue
+        own = rows[substring_dedup.row_id(i, text.encode())]
+        phrases, long = ([r for r in own if (r["idx"] >= 0) == kind] for kind in (True, False))
+        value = {a - int(bounds[i]): int(h) for a, h in zip(at.tolist(), hashes.tolist()) if bounds[i] <= a < bounds[i + 1]}
+        for p in range(min(1000, len(text) - span + 1)):
+            def least(begin):
+                inside = [a for a in range(begin, begin + reach) if a in value]
+                return [a for a in inside if value[a] == min(value[b] for b in inside)]
+
+            core = least(p)[0], least(p + span - substring_dedup.GRAM - reach + 1)[-1]
+            among = [r for r in long if r["flo"] <= p <= r["fhi"]]
+            if sum(core[0] <= a < core[1] for a in value) > substring_dedup.RUN:
+                assert among and all(r["idx"] == substring_dedup.COVERED or r["pos"] == core[0] for r in among)
+                continue
+            assert not among
+            first = [k for k, r in enumerate(phrases) if r["flo"] <= p <= r["fhi"]]
+            last = [k for k, r in enumerate(phrases) if r["llo"] <= p <= r["lhi"]]
+            assert len(first) == len(last) == 1 and first[0] <= last[0]
+            assert (phrases[first[0]]["pos"], phrases[last[0]]["nxt"]) == core
+    assert len(rows[substring_dedup.row_id(1, texts[1].encode())]) <= 5
+    assert len(phrases) < 2.5 * 60_000 / (reach + 1) and reach >= (span - substring_dedup.GRAM) // 2
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
