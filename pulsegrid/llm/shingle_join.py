@@ -11,9 +11,11 @@ A document is the set of its word n-grams. Equal sets are one class from the sta
    of hashes, which bound the difference of two sets from below. The largest component of a long list is passed over as a block.
 4. Each set that has such a pair is compared with its nearest one by bitmaps, a pair per set and task, and links join components; this
    goes on for `ROUNDS` rounds while it finds links.
-5. All pairs of different components that are left then are compared exactly, so rounds save work and decide nothing.
+5. All pairs of different components that are left then are compared exactly inside their lists, whose rows that still have such a
+   pair bring their sets along. A task gives no pairs away but links that join components, fewer than it has sets. So rounds save
+   work and decide nothing.
 
-So a group of thousands of near copies costs a comparison per member, not per pair, and no link is lost.
+So a group of thousands of near copies moves rows per member, not per pair, and no link is lost.
 
 Null texts and texts without words are empty sets, linked with nothing. Repeated rows are equal sets. A null doc_id takes part
 in links; if a component has null ids only, its id is null. Other columns are not used. An empty table gives no rows.
@@ -401,6 +403,11 @@ class Rows:
 
     def pairs(self, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
         """Which of them bitmaps leave open, too, once each, as pairs of sets with their least distance."""
+        left, right, low = self.near(left, right, percent)
+        return self.sid[left], self.sid[right], low
+
+    def near(self, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+        """The same as pairs of rows."""
         left, right = self.possible(left, right, percent)
         swap = self.sid[left] > self.sid[right]
         left, right = np.where(swap, right, left), np.where(swap, left, right)
@@ -422,7 +429,7 @@ class Rows:
                 odd[part] = np.maximum(odd[part], np.bitwise_count(x ^ y).sum(axis=1))
         low = 2 * odd / (self.n[left] + self.n[right] + odd)
         near = low <= 1 - percent / 100 + 1e-9
-        return self.sid[left[near]], self.sid[right[near]], low[near]
+        return left[near], right[near], low[near]
 
     def _maps(self, rows: np.ndarray, width: int) -> np.ndarray:
         return self.data[self.begin[rows][:, None] + np.arange(width)]
@@ -433,7 +440,7 @@ ROUNDS = 1
 _PAIRS = 1 << 20
 
 
-def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _whole_lists(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[tuple]:
     """Tables of whole lists, and where those begin and end that hold several components; rows come list by list."""
 
     def several(table: pa.Table) -> tuple:
@@ -446,7 +453,7 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows < 50_000:
+        if held.num_rows < most:
             continue
         gram = held.column("gram").to_numpy()
         last = int(np.searchsorted(gram, gram[-1]))  # the last list may go on
@@ -524,6 +531,89 @@ def _list_pairs(percent: int, nearest: bool = False) -> Callable:
     return run
 
 
+def _open_rows(percent: int) -> Callable:
+    """Rows (gram, sid, group, n, place, bits) that have a pair of different components in their list which bitmaps leave open, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin, end in _whole_lists(batches):
+            long = end - begin > LONG_LIST
+            keep, rows = np.zeros(table.num_rows, bool), Rows(table)
+            for left, right in short_pairs(begin[~long], end[~long]):
+                for side in rows.near(left, right, percent)[:2]:
+                    keep[side] = True
+            for at, stop in zip(begin[long].tolist(), end[long].tolist()):
+                for pair in Listed(table.slice(at, stop - at)).pairs(percent):
+                    for sids in pair[:2]:
+                        keep[at:stop] |= np.isin(rows.sid[at:stop], sids)
+            yield from table.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+class Joined:
+    """Components that links found so far have joined."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, node: int) -> int:
+        while (above := self.above.get(node, node)) != node:
+            self.above[node] = self.above.get(above, above)
+            node = above
+        return node
+
+    def join(self, one: int, other: int) -> None:
+        self.above[one] = other
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, sorted, have so many of their elements in common."""
+    shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _list_links(percent: int) -> Callable:
+    """Links between different components; rows (gram, sid, group, n, place, bits, grams) come list by list.
+
+    Of a task those that join what no earlier one has joined: fewer than there are components.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined_, found = Joined(), []
+        apart: set[tuple[int, int]] = set()
+        for table, begin, end in _whole_lists(batches, 2000):
+            sids, groups = table.column("sid").to_pylist(), table.column("group").to_pylist()
+            row = dict(zip(sids, range(len(sids))))
+            grams = table.column("grams")
+
+            def check(a: np.ndarray, b: np.ndarray, low: np.ndarray):
+                order = np.argsort(low, kind="stable")
+                for one, other in zip(a[order].tolist(), b[order].tolist()):
+                    i, j = row[one], row[other]
+                    x, y = joined_.top(groups[i]), joined_.top(groups[j])
+                    if x == y or (one, other) in apart:
+                        continue
+                    if linked(*(np.frombuffer(grams[k].as_buffer(), np.uint64) for k in (i, j)), percent):
+                        joined_.join(x, y)
+                        found.append((one, other))
+                    else:
+                        if len(apart) > 1 << 18:
+                            apart.clear()
+                        apart.add((one, other))
+
+            long = end - begin > LONG_LIST
+            rows = Rows(table)
+            for left, right in short_pairs(begin[~long], end[~long]):
+                check(*rows.pairs(left, right, percent))
+            for at, stop in zip(begin[long].tolist(), end[long].tolist()):
+                for pairs in Listed(table.slice(at, stop - at)).pairs(percent):
+                    check(*pairs)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return run
+
+
 def label_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int = 24, bloom_bits: int = 27) -> DataFrame:
     """doc_id, sid (of its set), n (size of the set) and component of every document; empty sets have no component."""
     spark = docs.sparkSession
@@ -606,19 +696,26 @@ def label_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int
     grams = fetched(used, "open")
     rows = scratch.write(possible.drop("group").join(used, "sid").join(bits_of, "sid"), "open-rows")
     scratch.drop(possible)
-    number, every = 1, False
+    number = 1
     while True:
         exact = compare(pairs, grams, f"exact-{number}").where("linked").select("a", "b")
         none = exact.isEmpty()
         if not none:
             links = links.unionByName(exact)
             component = connected_components(links, scratch, f"round-{number}")
-        if every:
+        if none or number == ROUNDS:
             break
-        every = none or number == ROUNDS
-        found = grouped(rows).mapInArrow(_list_pairs(percent, not every), "a long, b long").distinct()
+        found = grouped(rows).mapInArrow(_list_pairs(percent, True), "a long, b long").distinct()
         pairs, number = scratch.write(found, f"pairs-{number}"), number + 1
-    scratch.drop(grams, rows)
+    fields = "gram long, sid long, group long, n int, place int, bits binary"
+    rest = scratch.write(grouped(rows).mapInArrow(_open_rows(percent), fields), "rest")
+    whole = rest.join(grams, "sid").select("gram", "sid", "group", "n", "place", "bits", "grams")
+    whole = whole.repartition("gram").sortWithinPartitions("gram")
+    exact = scratch.write(whole.mapInArrow(_list_links(percent), "a long, b long").distinct(), "last-links")
+    if not exact.isEmpty():
+        component = connected_components(links.unionByName(exact), scratch, "last")
+    scratch.drop(grams, rows, rest)
+    free_shuffles(spark)
 
     named = component.select(F.col("node").alias("sid"), "component")
     whole = members.select("doc_id", "sid", "n").join(named, "sid", "left")

@@ -569,6 +569,26 @@ def test_a_pair_per_set_from_lists_of_near_ones(monkeypatch, long):
     assert len(set(every)) >= 300 * 299 // 2 - 300
 
 
+@pytest.mark.parametrize("long", [512, 3])
+def test_lists_give_links_away_and_no_pairs(monkeypatch, long):
+    """200 sets of other components near each other in five lists: 40 join to one, the others link with none."""
+    monkeypatch.setattr(shingle_join, "LONG_LIST", long)
+    sets = [np.append(np.arange(100 - 7 * (i >= 40)), 1000 + 40 * i + np.arange(1 + 8 * (i >= 40))).astype(np.uint64) for i in range(200)]
+    rows = [
+        (gram, i, 500 + i, len(own), 0, shingle_join.parity(own), own.tobytes()) for gram in range(5) for i, own in enumerate(sets)
+    ]
+    names = ["gram", "sid", "group", "n", "place", "bits", "grams"]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()] * 2
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    want = {i: {j for j in range(200) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))} for i in range(200)}
+    assert all(want[i] == (set(range(40)) if i < 40 else {i}) for i in range(200))
+    kept = pa.Table.from_batches(shingle_join._open_rows(85)(iter(table.drop_columns("grams").to_batches())))
+    open_ = {r["sid"] for r in kept.to_pylist()}
+    assert kept.num_rows <= table.num_rows and open_ >= set(range(40))
+    links = [tuple(r.values()) for b in shingle_join._list_links(85)(iter(table.to_batches())) for r in b.to_pylist()]
+    assert len(links) == 39 and {i for link in links for i in link} == set(range(40))
+
+
 def test_rows_without_a_possible_partner_get_no_bitmap():
     rows = [(1, 1, 5, 100, 0), (1, 2, 5, 100, 0), (2, 1, 5, 100, 1), (2, 3, 3, 90, 1), (2, 4, 4, 50, 0), (3, 1, 5, 100, 14), (3, 6, 6, 100, 14)]
     columns = zip(("gram", "sid", "group", "n", "place"), zip(*rows))
