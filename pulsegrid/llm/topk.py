@@ -5,79 +5,89 @@ weights of all candidates of the block. A query is a sparse row of terms. For a
 candidates, every term scatters query weight times posting weight into a dense array of scores; the best of each
 query are selected by partition, and the selections of all blocks are merged.
 
-Queries are in blocks of a fixed size, and each meets every block of candidates through a join on the block's number,
-so no task holds more than one block of each. Vectors that are null or empty, or hold a null or non-finite component,
-take no part. Of vectors of different lengths the common components count. Ties go to the smaller id; a candidate is any row but
-the query's own, and rows that repeat an id count each as a candidate for queries with another id. Scores must fit 64 bits, else the query
-fails. A null id takes no part.
+Blocks of candidates are dealt into groups of bounded size, blocks of queries into groups of their own. Each pair of groups is
+a cell: its task holds the candidates, and the queries pass by in blocks. Candidates move once per group of queries, queries once
+per group of candidates; the numbers of groups follow from the sizes of both sides, and nothing but these sizes reaches the driver.
+Vectors that are null or empty, or hold a null or non-finite component, take no part. Of vectors of different lengths the common
+components count. Ties go to the smaller id; a candidate is any row but the query's own, and rows that repeat an id count each as
+a candidate for queries with another id. Scores must fit 64 bits, else the query fails. A null id takes no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pulsegrid.llm.common import Scratch
+from pulsegrid.llm.common import Scratch, partitions, ragged
 
-BLOCK = "ids binary, data binary, terms int, wide boolean"
+BLOCK = "ids binary, data binary, terms int, width int"
 TOP = "query_row long, query_id long, vec_id long, score long"
 _TILE = 64
-
-
-def _quantized(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids, rows = [], []
-    for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        if vec_id is None or not values or any(v is None for v in values):
-            continue
-        row = np.floor(scale * np.array(values, np.float64))
-        if not np.isfinite(row).all():
-            continue
-        if np.abs(row).max() >= 2.0**62:
-            raise OverflowError(f"vector {vec_id} has components beyond 64 bits")
-        ids.append(vec_id)
-        rows.append(row.astype(np.int64))
-    return np.array(ids, np.int64), rows
+_UNIT = 256  # candidates that are stored and dealt together
+_GROUP = 32 << 20  # bytes of candidates that a task holds
+_CELL = 1 << 29  # products that are worth a task of their own
+_FOUND = 12  # bytes of a selected row on its way to the merge
+_KINDS = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}
+
+
+def _quantized(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the vectors that take part: ids, lengths, and all components one after the other."""
+    lists = batch.column(1)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = np.floor(scale * pc.cast(lists.flatten(), pa.float64(), safe=False).to_numpy(zero_copy_only=False))  # a null is NaN
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    kept = (lengths > 0) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+    kept[row[~np.isfinite(values)]] = False
+    ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    inside = kept[row]
+    values = values[inside]
+    beyond = np.abs(values) >= 2.0**62
+    if beyond.any():
+        raise OverflowError(f"vector {ids[row[inside][beyond.argmax()]]} has components beyond 64 bits")
+    return ids[kept], lengths[kept], values.astype(np.int64)
+
+
+def _packed(ids: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    matrix = np.zeros((len(ids), int(lengths.max())), np.int64)
+    matrix[np.repeat(np.arange(len(ids)), lengths), ragged(np.zeros(len(ids), np.int64), lengths)] = values
+    most = int(np.abs(matrix).max())
+    width = next(w for w in _KINDS if most < 1 << (8 * w - 1))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.T.astype(_KINDS[width]).tobytes()], pa.binary()),
+            pa.array([matrix.shape[1]], pa.int32()), pa.array([width], pa.int32()),
+        ],
+        ["ids", "data", "terms", "width"],
+    )
 
 
 def _blocks(scale: float, size: int) -> Callable:
     """Blocks of at most `size` vectors: ids, and a matrix of terms by vectors."""
 
-    def emit(ids: list[int], rows: list[np.ndarray]) -> pa.RecordBatch:
-        terms = max(map(len, rows))
-        matrix = np.zeros((terms, len(rows)), np.int64)
-        for i, row in enumerate(rows):
-            matrix[: len(row), i] = row
-        wide = int(np.abs(matrix).max()) >= 1 << 15
-        data = matrix.astype(np.int64 if wide else np.int16).tobytes()
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([data], pa.binary()),
-                pa.array([terms], pa.int32()), pa.array([wide], pa.bool_()),
-            ],
-            ["ids", "data", "terms", "wide"],
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = [], []
+        ids = lengths = values = np.empty(0, np.int64)
         for batch in batches:
-            new_ids, new_rows = _quantized(batch, scale)
-            ids += new_ids.tolist()
-            rows += new_rows
-            while len(ids) >= size:
-                yield emit(ids[:size], rows[:size])
-                ids, rows = ids[size:], rows[size:]
-        if ids:
-            yield emit(ids, rows)
+            ids, lengths, values = (np.concatenate(x) for x in zip((ids, lengths, values), _quantized(batch, scale)))
+            at = begin = 0
+            while len(ids) - at >= size:
+                end = begin + int(lengths[at : at + size].sum())
+                yield _packed(ids[at : at + size], lengths[at : at + size], values[begin:end])
+                at, begin = at + size, end
+            ids, lengths, values = ids[at:], lengths[at:], values[begin:]
+        if len(ids):
+            yield _packed(ids, lengths, values)
 
     return run
 
 
 def _numbered(blocks: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Blocks with numbers from 0; their count comes from the files."""
+    """Blocks with numbers of their own, which deal them into groups."""
     schema = f"number long, {BLOCK}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +100,28 @@ def _numbered(blocks: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.write(blocks.mapInArrow(run, schema), name)
 
 
-def _matrix(ids: bytes, data: bytes, terms: int, wide: bool) -> tuple[np.ndarray, np.ndarray]:
-    kind = np.int64 if wide else np.int16
-    return np.frombuffer(ids, np.int64), np.frombuffer(data, kind).reshape(terms, -1)
+def _matrix(ids: bytes, data: bytes, terms: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(data, _KINDS[width]).reshape(terms, -1)
+
+
+def _joined(units: list[tuple[np.ndarray, np.ndarray]], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of about `size` vectors out of smaller ones; missing terms are 0."""
+    out, at = [], 0
+    while at < len(units):
+        end, n = at + 1, len(units[at][0])
+        while end < len(units) and n + len(units[end][0]) <= size:
+            n += len(units[end][0])
+            end += 1
+        part = units[at:end]
+        matrix = np.zeros((max(len(m) for _, m in part), n), np.result_type(*(m.dtype for _, m in part)))
+        left = 0
+        for _, m in part:
+            matrix[: len(m), left : left + m.shape[1]] = m
+            left += m.shape[1]
+        out.append((np.concatenate([ids for ids, _ in part]), matrix))
+        units[at:end] = [None] * (end - at)  # so that both are not held at once
+        at = end
+    return out
 
 
 def select(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -105,17 +134,23 @@ def select(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((ids[places], -scores[places]))[:k]]
 
 
+def _most(queries: np.ndarray, candidates: np.ndarray) -> int:
+    """What no score of the two blocks exceeds, nor a part of its sum: the greatest sum of a query's weights, times the greatest weight."""
+    weights = np.abs(queries.astype(np.int64))
+    if len(weights) * int(weights.max(initial=0)) >= 1 << 63:
+        weights = weights.astype(object)
+    return int(weights.sum(axis=0).max(initial=0)) * int(np.abs(candidates.astype(np.int64)).max(initial=0))
+
+
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Scores of all queries and candidates of two blocks (terms by vectors), term at a time."""
     terms = min(len(queries), len(candidates))
-    most = int(np.abs(queries[:terms].astype(np.int64)).max(initial=0)) * int(
-        np.abs(candidates[:terms].astype(np.int64)).max(initial=0)
-    )
-    if most * max(terms, 1) >= 1 << 63:
+    most = _most(queries[:terms], candidates[:terms])
+    if most >= 1 << 63:
         raise OverflowError("scores beyond 64 bits")
-    kind = np.int32 if most * max(terms, 1) < 1 << 31 else np.int64
+    kind = next(_KINDS[w] for w in (2, 4, 8) if most < 1 << (8 * w - 1))
     scores = np.zeros((queries.shape[1], candidates.shape[1]), kind)
-    weights, postings = queries.astype(kind), candidates.astype(kind)
+    weights, postings = queries[:terms].astype(kind), candidates[:terms].astype(kind)
     product = np.empty((_TILE, candidates.shape[1]), kind)
     for at in range(0, queries.shape[1], _TILE):
         tile = scores[at : at + _TILE]
@@ -128,30 +163,71 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _meet(k: int) -> Callable:
+def _best(q_ids: np.ndarray, q: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of the k best candidates of every query of a block; of later blocks of candidates only what reaches the k-th score counts."""
+    none = np.empty(0, np.int64)
+    best = [(none, none)] * len(q_ids)
+    least = np.full(len(q_ids), np.iinfo(np.int64).min)
+    for c_ids, c in held:
+        scores = accumulate(q, c)
+        limits = np.iinfo(scores.dtype)
+        able = scores >= np.clip(least, limits.min, limits.max).astype(scores.dtype)[:, None]
+        able &= q_ids[:, None] != c_ids[None, :]
+        for i in np.flatnonzero(able.any(axis=1)):
+            places = np.flatnonzero(able[i])
+            ids, line = np.concatenate([best[i][0], c_ids[places]]), np.concatenate([best[i][1], scores[i, places].astype(np.int64)])
+            found = select(ids, line, k)
+            best[i] = ids[found], line[found]
+            if len(found) == k:
+                least[i] = line[found[-1]]
+    return best
+
+
+def _meet(k: int, block: int) -> Callable:
+    """Of every cell first the candidates, which are held, then the queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, units, held = None, [], []
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, q = _matrix(row["q_ids"], row["q_data"], row["q_terms"], row["q_wide"])
-                c_ids, c = _matrix(row["ids"], row["data"], row["terms"], row["wide"])
-                scores = accumulate(q, c)
-                out = [[], [], [], []]
-                for i, query in enumerate(q_ids):
-                    other = np.flatnonzero(c_ids != query)
-                    own = len(other) < len(c_ids)
-                    ids, line = (c_ids[other], scores[i, other]) if own else (c_ids, scores[i])
-                    best = select(ids, line, k)
-                    out[0].append(np.full(len(best), (row["q_number"] << 16) + i))
-                    out[1].append(np.full(len(best), query))
-                    out[2].append(ids[best])
-                    out[3].append(line[best].astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in out], ["query_row", "query_id", "vec_id", "score"]
-                )
+            for i in range(batch.num_rows):
+                row = {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+                ids, matrix = _matrix(row["ids"], row["data"], row["terms"], row["width"])
+                if row["cell"] != cell:
+                    cell, units, held = row["cell"], [], []
+                if not row["asks"]:
+                    units.append((ids, matrix))
+                    continue
+                if units:
+                    held, units = _joined(units, block), []
+                best = _best(ids, matrix, held, k)
+                counts = [len(x) for x, _ in best]
+                out = [
+                    np.repeat((row["number"] << 16) + np.arange(len(ids)), counts), np.repeat(ids, counts),
+                    np.concatenate([x for x, _ in best]), np.concatenate([x for _, x in best]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
+def _size(blocks: DataFrame) -> tuple[int, int, int]:
+    """Vectors, bytes and components of all blocks."""
+    vectors = F.length("ids") / 8
+    row = blocks.agg(F.sum(vectors), F.sum(vectors * F.col("terms") * F.col("width")), F.sum(vectors * F.col("terms"))).first()
+    return tuple(int(x or 0) for x in row)
+
+
+def _grid(held: tuple[int, int, int], asked: tuple[int, int, int], k: int, tasks: int) -> tuple[int, int]:
+    """Groups of candidates and of queries: cells for all tasks, and the least moved.
+
+    Candidates move once per group of queries; queries, and the best of each, once per group of candidates.
+    """
+    cells = max(1, min(2 * tasks, held[2] * asked[0] // _CELL))
+    columns = round(math.sqrt(cells * held[1] / max(1, asked[1] + _FOUND * k * asked[0])))
+    columns = max(1, min(columns, cells), -(-held[1] // _GROUP))
+    return columns, -(-cells // columns)
+
+
 def exact_top_k(
     vectors: DataFrame, is_query: str, k: int = 20, scale: float = 64.0, block: int = 4096, query_block: int = 512
 ) -> DataFrame:
@@ -159,16 +235,21 @@ def exact_top_k(
     scratch = Scratch(vectors.sparkSession, "topk")
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     queries = source.where(is_query)
-    held = _numbered(source.mapInArrow(_blocks(scale, block), BLOCK), scratch, "candidates")
+    held = _numbered(source.mapInArrow(_blocks(scale, min(block, _UNIT)), BLOCK), scratch, "candidates")
     asked = _numbered(queries.mapInArrow(_blocks(scale, query_block), BLOCK), scratch, "queries")
-    # Every block of queries is sent to every block of candidates, by number.
-    numbers = [r["number"] for r in held.select("number").collect()]  # one per block of candidates
-    there = F.explode(F.lit(numbers) if numbers else F.array().cast("array<long>"))
-    sent = asked.select(
-        there.alias("number"), F.col("number").alias("q_number"),
-        *[F.col(c).alias(f"q_{c}") for c in ("ids", "data", "terms", "wide")],
-    )
-    best = held.join(sent, "number").mapInArrow(_meet(k), TOP)
+    columns, rows = _grid(_size(held), _size(asked), k, partitions(vectors.sparkSession))
+
+    def dealt(blocks: DataFrame, asks: bool) -> DataFrame:
+        """A row per cell of the group that a block is in."""
+        own, others = (rows, columns) if asks else (columns, rows)
+        group, other = F.pmod(F.xxhash64("number"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        parts = blocks.select(other.alias("other"), group.alias("group"), F.lit(asks).alias("asks"), *blocks.columns)
+        cell = F.col("other") * rows + F.col("group") if asks else F.col("group") * rows + F.col("other")
+        return parts.select(cell.cast("long").alias("cell"), "asks", *blocks.columns)
+
+    # Exchanged by cell: the planner takes a block for one row however many cells it goes to, so no side may be broadcast.
+    cells = dealt(held, False).unionByName(dealt(asked, True)).repartition(columns * rows, "cell")
+    best = cells.sortWithinPartitions("cell", "asks").mapInArrow(_meet(k, block), TOP)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

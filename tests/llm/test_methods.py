@@ -502,6 +502,36 @@ def test_top_k(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_in_cells(spark, monkeypatch):
+    """Groups of candidates and of queries, vectors of several lengths and widths, ids that repeat, many ties; no side is broadcast."""
+    monkeypatch.setattr(topk, "_CELL", 1, raising=False)
+    monkeypatch.setattr(topk, "_UNIT", 16, raising=False)
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.integers(-2, 3, rng.integers(1, 9)).astype(float).tolist()) for i in rng.integers(0, 400, 500)]
+    rows += [(20, [1e4] * 8), (21, [-1e9, 3.0]), (40, None), (60, [1.0, None]), (None, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.exact_top_k(vectors, "vec_id % 20 = 0", k=9, block=50, query_block=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    whole = [(i, np.floor(64 * np.array(v)).astype(np.int64)) for i, v in rows if i is not None and v and None not in v]
+    want = []
+    for q, x in whole:
+        if q % 20 == 0:
+            best = sorted((-int(x[: len(y)] @ y[: len(x)]), i) for i, y in whole if i != q)[:9]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_top_k_grid():
+    """No task holds more candidates than its share, there are cells for all tasks, and the number of cells does not follow the table."""
+    for n in (10_000, 700_000, 15_000_000, 80_000_000):
+        columns, rows = topk._grid((n, 64 * n, 64 * n), (n // 20, 64 * n // 20, 64 * n // 20), 20, 200)
+        assert 64 * n <= columns * topk._GROUP and columns * rows <= 1000
+        assert columns * rows >= min(400, 64 * n * (n // 20) // topk._CELL)
+    assert topk._grid((0, 0, 0), (0, 0, 0), 20, 200) == (1, 1)
+    assert topk._grid((500, 32_000, 32_000), (25, 1600, 1600), 20, 200) == (1, 1)
+
+
 @pytest.mark.parametrize(("size", "percent", "long"), [(4, 85, 512), (2, 60, 512), (4, 85, 3)])
 def test_similar(spark, monkeypatch, size, percent, long):
     """Chains of near copies, and families that lie near each other without a link; lists short and long."""
